@@ -84,9 +84,11 @@ def scope_match(scope, c) -> Column:
     ``scope`` is a column, or a Python string which then folds into the plan.
     """
     c = _col(c)
-    if scope is None or scope == "":
+    if scope is None:
         return F.lit(True)
     if isinstance(scope, str):
+        if scope == "":
+            return F.lit(True)
         if scope.startswith("*"):
             return c.endswith(scope[1:]) | (c == scope[2:])
         return c == scope
