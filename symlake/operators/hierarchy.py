@@ -18,9 +18,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symlake.functions.descriptors import descriptors_match
 from symlake.functions.flags import INTERFACE, has_flag
 from symlake.functions.names import innermost_name, simple_name
+from symlake.operators.resolve import descriptor_join
 from symlake.session import Scratch
 
 MAX_DEPTH = 64
@@ -177,7 +177,7 @@ def first_common_super(pairs: DataFrame, types: DataFrame, max_depth: int = MAX_
 
 
 def resolve_member(refs: DataFrame, members: DataFrame, types: DataFrame, interfaces: DataFrame | None = None,
-                   max_depth: int = MAX_DEPTH) -> DataFrame:
+                   max_depth: int = MAX_DEPTH, wild_decls: bool = True) -> DataFrame:
     """Nearest type at or above ``refs(container, type_name, name, descriptor)`` that declares the member.
 
     At every step the type copy in the container of the reference is preferred; without one the first container
@@ -212,10 +212,13 @@ def resolve_member(refs: DataFrame, members: DataFrame, types: DataFrame, interf
         placed, n = scratch.save(homed, f"at-{depth}")
         if n == 0:
             break
-        # Distinct (type, member pattern) meets the overloads of one name only.
+        # Distinct member patterns meet the overloads of their name; the references, which may crowd on one
+        # member, only meet the patterns that were found.
+        patterns = placed.select("home", "at", "name", "descriptor").distinct()
+        found = descriptor_join(patterns, declared, ["home", "at", "name"], "descriptor", "declared", wild_decls)
         hits = (
-            placed.join(declared, ["home", "at", "name"])
-            .filter(descriptors_match("descriptor", "declared"))
+            placed.join(found.select("home", "at", "name", "descriptor"), ["home", "at", "name", "descriptor"],
+                        "left_semi")
             .groupBy(*ident).agg(F.min("at").alias("found_type")).withColumn("depth", F.lit(depth))
         )
         hits, _ = scratch.save(hits, f"found-{depth}")

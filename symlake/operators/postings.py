@@ -86,8 +86,12 @@ def by_root_container(entries: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_entries"), F.sum("length").alias("total_length"))
 
 
-def usage_rank(postings: DataFrame, approximate: bool = False) -> DataFrame:
-    """How many entries use each key. ``approximate`` trades the distinct shuffle for a sketch per key."""
+def usage_rank(postings: DataFrame, approximate: bool = False, distinct: bool = False) -> DataFrame:
+    """How many entries use each key. ``approximate`` trades the distinct shuffle for a sketch per key;
+    ``distinct=True`` says the rows are distinct already (as from ``build_postings``), which leaves one shuffle of
+    pre-aggregated counts."""
+    if distinct and not approximate:
+        return postings.groupBy("index_name", "key").agg(F.count(F.lit(1)).alias("n_entries"))
     if approximate:
         return postings.groupBy("index_name", "key").agg(
             F.approx_count_distinct(F.struct("container", "entry_path")).alias("n_entries"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symlake import model as m
-from symlake.functions.descriptors import descriptors_match
+from symlake.functions.descriptors import descriptor_arity, descriptors_match
 from symlake.functions.locators import build_locator, parse_fragment
 from symlake.functions.names import simple_name
 from symlake.functions.patterns import scope_match
@@ -68,30 +68,75 @@ def live_refs(refs: DataFrame, decls: DataFrame, key: str = "key") -> DataFrame:
     return refs.join(decls.select(key).distinct(), key, "left_semi")
 
 
-def member_match(refs: DataFrame, members: DataFrame) -> DataFrame:
+def _any_params(d: Column) -> Column:
+    return d.startswith("(*")
+
+
+def _wild(d: Column) -> Column:
+    return d.contains("?") | d.contains("*")
+
+
+def _shape(d: Column) -> Column:
+    """Parameter count of a method, -1 for a field."""
+    return F.when(d.startswith("("), descriptor_arity(d)).otherwise(F.lit(-1)).cast("string")
+
+
+def _present(*keys: Column) -> Column:
+    return F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull()))
+
+
+def descriptor_join(refs: DataFrame, decls: DataFrame, keys: list[str], ref_desc: str, decl_desc: str,
+                    wild_decls: bool = True) -> DataFrame:
+    """Inner join on ``keys`` where the two descriptors match, as one equi-join.
+
+    Each side is keyed by what it can meet: an exact descriptor meets the same descriptor; one with unknown types
+    meets descriptors of the same shape; "any parameters" meets every method of the name. So a name with very many
+    overloads never pairs all of its references with all of its declarations. ``wild_decls=False`` (class files
+    never declare wildcards) leaves out the keys that only wildcard declarations answer.
+    """
+    r, d = F.col(ref_desc), F.col(decl_desc)
+    same, shape, wild_shape, any_method, any_decl = "=", "#", "~#", "*", "~*"
+    r_plain, d_plain = ~_wild(r), ~_wild(d)
+    r_any, d_any = _any_params(r), _any_params(d)
+    ref_keys = [F.when(r_plain, F.concat(F.lit(same), r)),
+                F.when(~r_plain & ~r_any, F.concat(F.lit(shape), _shape(r))),
+                F.when(r_any, any_method)]
+    decl_keys = [F.when(d_plain, F.concat(F.lit(same), d)),
+                 F.when(d_plain, F.concat(F.lit(shape), _shape(d))),
+                 F.when(d.startswith("("), any_method)]
+    if wild_decls:
+        ref_keys += [F.when(~r_any, F.concat(F.lit(wild_shape), _shape(r))),
+                     F.when(~r_any & r.startswith("("), any_decl)]
+        decl_keys += [F.when(~d_plain & ~d_any, F.concat(F.lit(wild_shape), _shape(d))), F.when(d_any, any_decl)]
+    left = refs.select("*", _present(*ref_keys).alias("_meet"))
+    right = decls.select("*", _present(*decl_keys).alias("_meet"))
+    exact = F.col("_meet").startswith(same)
+    return left.join(right, [*keys, "_meet"]).filter(exact | descriptors_match(ref_desc, decl_desc)).drop("_meet")
+
+
+def member_match(refs: DataFrame, members: DataFrame, wild_decls: bool = True) -> DataFrame:
     """Distinct ``(type_name, name, descriptor)`` references with the declared descriptors they may mean.
 
-    Both sides are made distinct first, so a (type, name) group holds its overloads only, however often the
-    member is referenced or copied. Wildcards may stand on both sides. A type ``*/T`` is looked up through its
-    simple name and then checked in full.
+    Both sides are made distinct first, so what is joined are patterns and overloads, however often a member is
+    referenced or copied. Wildcards may stand on both sides. A type ``*/T`` is looked up through its simple name
+    and then checked in full.
     """
     wanted = refs.select("type_name", "name", "descriptor").distinct()
     have = members.select(F.col("type_name").alias("found_type"), "name",
                           F.col("descriptor").alias("found_descriptor")).distinct()
-    exact = wanted.filter(~F.col("type_name").startswith("*")).withColumn("found_type", F.col("type_name"))
-    direct = exact.join(have, ["found_type", "name"])
-    loose = (
-        wanted.filter(F.col("type_name").startswith("*")).withColumn("_simple", simple_name("type_name"))
-        .join(have.withColumn("_simple", simple_name("found_type")), ["_simple", "name"])
-        .filter(scope_match(F.col("type_name"), "found_type")).drop("_simple")
-    )
+    # Known types meet on the full name, unknown ones on the simple name behind a mark of their own.
+    unknown = F.col("type_name").startswith("*")
+    loose = lambda c: F.concat(F.lit("*/"), simple_name(c))
+    left = wanted.withColumn("_type", F.when(unknown, loose("type_name")).otherwise(F.col("type_name")))
+    right = have.select("*", F.explode(F.array("found_type", loose("found_type"))).alias("_type"))
     return (
-        direct.unionByName(loose).filter(descriptors_match("descriptor", "found_descriptor"))
+        descriptor_join(left, right, ["_type", "name"], "descriptor", "found_descriptor", wild_decls)
+        .filter(~unknown | scope_match(F.col("type_name"), "found_type"))
         .select("type_name", "name", "descriptor", "found_type", "found_descriptor")
     )
 
 
-def match_fragment(declarations: DataFrame, fragments: DataFrame) -> DataFrame:
+def match_fragment(declarations: DataFrame, fragments: DataFrame, wild_decls: bool = True) -> DataFrame:
     """``fragments(fragment)`` against ``declarations(type_name, name, descriptor, start, end)``.
 
     A bare type finds type declarations, ``*/T`` in any package; members compare descriptors with wildcards; a
@@ -99,21 +144,28 @@ def match_fragment(declarations: DataFrame, fragments: DataFrame) -> DataFrame:
     """
     f = fragments.select("fragment").distinct().withColumn("f", parse_fragment("fragment"))
     f = f.select("fragment", F.col("f.type").alias("f_type"), F.col("f.name").alias("f_name"),
-                 F.col("f.descriptor").alias("f_desc"), simple_name("f.type").alias("_simple")
-                 ).filter(F.col("f_type").isNotNull())
-    d = declarations.withColumn("_simple", simple_name("type_name"))
-    types, members = d.filter(F.col("name").isNull()), d.filter(F.col("name").isNotNull())
-    same_type = scope_match(F.col("f_type"), "type_name")
+                 F.col("f.descriptor").alias("f_desc")).filter(F.col("f_type").isNotNull())
+    unknown = lambda c: F.col(c).startswith("*")
+    loose = lambda c: F.concat(F.lit("*/"), simple_name(c))
+    f = f.withColumn("_type", F.when(unknown("f_type"), loose("f_type")).otherwise(F.col("f_type")))
+    # Types written by a source that does not know their package are declared as */T: they answer both forms of
+    # themselves, and every full name that ends with them.
+    d = declarations.select("*", F.explode(F.array_distinct(F.array("type_name", loose("type_name")))).alias("_type"))
+    f_all = f if not wild_decls else f.select(
+        *[c for c in f.columns if c != "_type"],
+        F.explode(F.array_distinct(F.array("_type", loose("f_type")))).alias("_type"))
+    same_type = scope_match(F.col("f_type"), "type_name") | (
+        unknown("type_name") & scope_match(F.col("type_name"), "f_type"))
     cols = ["fragment", "type_name", "name", "descriptor", "start", "end"]
-    of_types = f.filter(F.col("f_name").isNull()).join(types, "_simple").filter(same_type).select(*cols)
-    of_members = (
-        f.filter(F.col("f_name").isNotNull())
-        .join(members, (f["_simple"] == members["_simple"]) & (f["f_name"] == members["name"]))
-        .filter(same_type & descriptors_match("f_desc", "descriptor")).select(*cols)
-    )
+    types, members = d.filter(F.col("name").isNull()), d.filter(F.col("name").isNotNull())
+    of_types = f.filter(F.col("f_name").isNull()).join(types, "_type").filter(
+        scope_match(F.col("f_type"), "type_name")).select(*cols)
+    of_members = descriptor_join(
+        f_all.filter(F.col("f_name").isNotNull()).withColumnRenamed("f_name", "name"), members, ["_type", "name"],
+        "f_desc", "descriptor", wild_decls).filter(same_type).select(*cols).distinct()
     orphans = f.filter((F.col("f_name") == "<clinit>") & (F.col("f_desc") == "()V")).join(
         of_members.select("fragment").distinct(), "fragment", "left_anti")
-    fallback = orphans.join(types, "_simple").filter(F.col("f_type") == F.col("type_name")).select(*cols)
+    fallback = orphans.join(types, "_type").filter(F.col("f_type") == F.col("type_name")).select(*cols)
     return of_types.unionByName(of_members).unionByName(fallback)
 
 

@@ -129,7 +129,7 @@ def resolve_member(spark, sf):
         t, "l_partkey").withColumn("descriptor", F.lit("(I)V"))
     refs = items.selectExpr("l_partkey", "'nOp' || cast(l_suppkey % 5 + 3 AS string) AS name").distinct().join(
         t, "l_partkey").withColumn("descriptor", F.lit("(?)V"))
-    return H.resolve_member(refs, members, _supers(spark, sf)).select("type_name", "name", "found_type", "depth")
+    return H.resolve_member(refs, members, _supers(spark, sf), wild_decls=False).select("type_name", "name", "found_type", "depth")
 
 
 @query("compact_tree", f"""
@@ -152,9 +152,9 @@ def compact_tree(spark, sf):
 
 
 @query("outline", f"""
-SELECT container, type_name, count(*) AS n_members, string_agg(kind || ':' || name, ' ' ORDER BY kind, name) AS members
+SELECT container, type_name, 0 AS block, count(*) AS n_block, string_agg(kind || ':' || name, ' ' ORDER BY kind, name) AS members
 FROM (SELECT DISTINCT container, type_name, kind, name FROM {sub('members')}) GROUP BY container, type_name""")
 def outline(spark, sf):
     m = view(spark, sf, "members").select("container", "type_name", "kind", "name").distinct()
     shown = F.transform("members", lambda x: F.concat(x["kind"], F.lit(":"), x["label"]))
-    return O.outline(m, "name").select("container", "type_name", "n_members", F.array_join(shown, " ").alias("members"))
+    return O.outline(m, "name").select("container", "type_name", "block", "n_block", F.array_join(shown, " ").alias("members"))

@@ -58,7 +58,7 @@ def ambiguous(spark, sf):
 @query("usage_rank", f"""
 SELECT index_name, key, count(DISTINCT container || '!' || entry_path) AS n_entries FROM {WORDS_SQL} GROUP BY index_name, key""")
 def usage_rank(spark, sf):
-    return P.usage_rank(word_postings(spark, sf))
+    return P.usage_rank(word_postings(spark, sf), distinct=True)
 
 
 @query("union_containers", f"""

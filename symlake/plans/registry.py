@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-SECTIONS = ["source_queries", "column_queries", "extract_queries", "posting_queries", "search_queries",
+SECTIONS = ["source_queries", "artifact_queries", "column_queries", "extract_queries", "posting_queries", "search_queries",
             "resolve_queries", "hierarchy_queries", "log_queries"]
 
 

@@ -83,7 +83,7 @@ SELECT r.type_name, r.name, r.descriptor, d.found_type, d.found_descriptor FROM
 WHERE (r.type_name = d.found_type OR r.type_name LIKE '*%') AND (r.descriptor = d.found_descriptor OR r.descriptor = '(*)?'
   OR (contains(r.descriptor, '?)') AND d.found_descriptor IN (replace(r.descriptor,'?)','D)'), replace(r.descriptor,'?)','I)'), replace(r.descriptor,'?)','Z)'))))""")
 def member_match(spark, sf):
-    return R.member_match(_member_refs(spark, sf), view(spark, sf, "members").filter("kind = 'method'"))
+    return R.member_match(_member_refs(spark, sf), view(spark, sf, "members").filter("kind = 'method'"), wild_decls=False)
 
 
 @query("match_fragment", f"""
@@ -107,7 +107,7 @@ def match_fragment(spark, sf):
     frags = types.selectExpr("explode(array(type_name, type_name || '-<clinit>-()V')) AS fragment").unionByName(
         mem.selectExpr("explode(array('*/' || split_part(type_name,'/',-1) || '-' || name || '-(*)?', "
                        "type_name || '-' || name || '-' || descriptor)) AS fragment"))
-    return R.match_fragment(decls, frags)
+    return R.match_fragment(decls, frags, wild_decls=False)
 
 
 @query("line_lookup", """

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _local_dirs: list[str] = []
+_shipped: set[str] = set()
 
 
 def local_session(cores: str = "8", app: str = "symlake") -> SparkSession:
@@ -40,6 +43,26 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_dirs[0]
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per application. Clusters that already get it through
+    ``--py-files`` lose nothing."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="symlake-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "symlake_package.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for base, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(base, name)
+                    z.write(full, os.path.join("symlake", os.path.relpath(full, home)))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(app)
+
+
 class Scratch:
     """Tables of one iterative job. A written table cuts lineage, survives lost executors and carries the size
     that lets the optimizer decide about broadcasting."""

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symlake import model
+from symlake.session import ship_package
 
 # File extensions opened as archives.
 ARCHIVE_EXTENSIONS = ["zip", "jar", "war", "ear", "aar", "kar", "jmod"]
@@ -97,6 +98,7 @@ def _expander(max_depth: int, limit: int):
 def expand_archives(files: DataFrame, max_depth: int = DEFAULT_DEPTH,
                     max_member_bytes: int = MAX_MEMBER_BYTES) -> DataFrame:
     """Entries of ``files(container, root_container, depth, content)`` and of archives nested inside them."""
+    ship_package(files.sparkSession)
     return files.select("container", "root_container", "depth", "content").mapInPandas(
         _expander(max_depth, max_member_bytes), model.ENTRIES)
 

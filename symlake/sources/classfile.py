@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from symlake import model as m
 from symlake.operators.postings import build_postings
-from symlake.session import Scratch
+from symlake.session import Scratch, ship_package
 
 # Constant pool tags of the class file format and the size of their payload.
 UTF8, INTEGER, FLOAT, LONG, DOUBLE, CLASS, STRING = 1, 3, 4, 5, 6, 7, 8
@@ -280,6 +280,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 def class_symbols(entries: DataFrame) -> DataFrame:
     """Tagged symbols of all class entries: post, type, member, super, inner, and error for unreadable files."""
     classes = entries.filter(~F.col("is_dir") & F.col("entry_path").endswith(".class") & F.col("content").isNotNull())
+    ship_package(entries.sparkSession)
     return classes.select("container", "entry_path", "content").mapInPandas(_parse, SYMBOLS)
 
 

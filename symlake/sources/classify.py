@@ -7,7 +7,7 @@ with a path pattern that matches comes first, else the last registered rule with
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RULES = "seq int, kind string, container_type string, entry_kind string, what string, path_regex string"
@@ -91,48 +91,54 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str | None]] = D
     return spark.createDataFrame(rule_rows(rules + (user_rules or [])), RULES)
 
 
-def _lookup_keys(entry_kind: Column) -> Column:
-    """The eight selectors of an entry in order of priority."""
-    path = F.col("entry_path")
-    name = F.substring_index(path, "/", -1)
-    ext = F.when(name.contains("."), F.concat(F.lit("*."), F.substring_index(name, ".", -1)))
-    whats = [path, F.concat(F.lit("*/"), name), ext, F.lit("*")]
-    return F.array(*[F.concat_ws(":", t, entry_kind, w) if w is not ext else
-                     F.when(ext.isNotNull(), F.concat_ws(":", t, entry_kind, w))
-                     for t in (F.col("container_type"), F.lit("*")) for w in whats])
-
-
 def classify(entries: DataFrame, rules: list[tuple[str, str, str | None]] = DISPLAY_RULES,
              user_rules: list[tuple[str, str, str | None]] | None = None, out: str = "kind") -> DataFrame:
     """``entries`` plus the kind of the best rule, null when none applies.
 
     The rule list has a fixed, small size, so it is folded into the plan as one expression: the verdict is reached
-    inside the scan stage without a join, window or shuffle. Null selectors (no extension) never match.
+    inside the scan stage, in generated code, without a join, window or shuffle.
     """
-    by_selector: dict[str, list[tuple[str, str | None]]] = {}
-    for _, kind, ctype, entry_kind, what, pattern in rule_rows(rules + (user_rules or [])):
-        by_selector.setdefault(f"{ctype}:{entry_kind}:{what}", []).append((kind, pattern))
     path = F.col("entry_path")
-    selectors = _lookup_keys(F.when(F.col("is_dir"), "dir").otherwise("file"))
-    fixed: dict[str, str] = {}
-    patterned: dict[str, list[tuple[str, str]]] = {}
-    for selector, options in by_selector.items():
-        for kind, pattern in options:
-            if pattern is None:
-                fixed[selector] = kind
-            else:
-                patterned.setdefault(selector, []).append((kind, pattern))
-    fixed_map = F.create_map(*[F.lit(x) for kv in fixed.items() for x in kv])
-
-    def verdict(selector: Column) -> Column:
-        answer = F.try_element_at(fixed_map, selector)
-        for sel, options in patterned.items():
-            for kind, pattern in reversed(options):
-                answer = F.when((selector == sel) & path.rlike("\\A(?:" + pattern + ")\\z"), kind).otherwise(answer)
-        return answer
-
-    kinds = F.filter(F.transform(selectors, verdict), lambda k: k.isNotNull())
-    return entries.withColumn(out, F.get(kinds, F.lit(0)))
+    name = F.substring_index(path, "/", -1)
+    ext = F.when(name.contains("."), F.substring_index(name, ".", -1))
+    own = F.concat_ws(":", "container_type", F.when(F.col("is_dir"), "dir").otherwise("file"))
+    any_type = F.when(F.col("is_dir"), "*:dir").otherwise("*:file")
+
+    # Rules by the way they are looked up: exact path, */name, *.extension, *.
+    tables: dict[tuple[bool, int], dict[str, list[tuple[str, str | None]]]] = {}
+    for _, kind, ctype, entry_kind, what, pattern in rule_rows(rules + (user_rules or [])):
+        if what == "*":
+            way, rest = 3, ""
+        elif what.startswith("*/"):
+            way, rest = 1, what[2:]
+        elif what.startswith("*."):
+            way, rest = 2, what[2:]
+        else:
+            way, rest = 0, what
+        table = tables.setdefault((ctype == "*", way), {})
+        table.setdefault(f"{ctype}:{entry_kind}:{rest}", []).append((kind, pattern))
+
+    steps = []
+    for star in (False, True):
+        scope = any_type if star else own
+        for way, rest in enumerate((path, name, ext, F.lit(""))):
+            table = tables.get((star, way))
+            if not table:
+                continue
+            # A null extension makes the key null, which no rule answers.
+            key = F.concat(scope, F.lit(":"), rest)
+            fixed = {sel: [k for k, p in options if p is None][-1]
+                     for sel, options in table.items() if any(p is None for _, p in options)}
+            answer = F.lit(None).cast("string")
+            if fixed:
+                answer = F.try_element_at(F.create_map(*[F.lit(x) for kv in fixed.items() for x in kv]), key)
+            for sel, options in table.items():
+                for kind, pattern in reversed(options):
+                    if pattern is not None:
+                        hit = (key == sel) & path.rlike("\\A(?:" + pattern + ")\\z")
+                        answer = F.when(hit, kind).otherwise(answer)
+            steps.append(answer)
+    return entries.withColumn(out, F.coalesce(*steps))
 
 
 def kind_census(classified: DataFrame, kind: str = "kind") -> DataFrame:
