@@ -41,7 +41,6 @@ def chain_closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
         up = known.select(F.col("src").alias("via"), F.col("dst").alias("top"), F.col("depth").alias("more"))
         step = (
             jumps.join(up, jumps["dst"] == up["via"])
-            .filter(F.col("src") != F.col("top"))
             .select("src", F.col("top").alias("dst"), (F.col("more") + reach).alias("depth"))
         )
         reach *= 2
@@ -50,9 +49,10 @@ def chain_closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
         jumps = level.filter(F.col("depth") == reach)
     out = reduce(DataFrame.unionByName, parts)
     if n:
-        # Only a cycle (or a chain beyond the limit) is still growing here.
+        # Only a cycle (or a chain beyond the limit) is still growing here; without one all pairs are distinct.
+        out = out.filter((F.col("src") != F.col("dst")) & (F.col("depth") <= max_depth))
         out = out.groupBy("src", "dst").agg(F.min("depth").alias("depth"))
-    return out.filter(F.col("depth") <= max_depth)
+    return out
 
 
 def graph_closure(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:

@@ -26,7 +26,7 @@ def write_index(postings: DataFrame, path: str, mode: str = "overwrite", files_p
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(model.POSTINGS).parquet(path)
+    return spark.read.schema(model.POSTINGS).parquet(path).select("index_name", "key", "container", "entry_path")
 
 
 def with_short_key(postings: DataFrame) -> DataFrame:

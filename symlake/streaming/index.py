@@ -50,4 +50,4 @@ def read_stream_index(spark: SparkSession, path: str) -> DataFrame:
     latest = log.groupBy("root_container").agg(F.max("batch").alias("batch"))
     root = F.substring_index("container", "!/", 1)
     return rows.withColumn("root_container", root).join(
-        latest, ["root_container", "batch"], "left_semi").drop("root_container", "batch")
+        latest, ["root_container", "batch"], "left_semi").select("index_name", "key", "container", "entry_path")
