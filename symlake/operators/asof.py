@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from symlake.session import Scratch
+
 HEAVY_ROWS = 2_000_000
 SLICES = 256
 
@@ -18,39 +20,76 @@ SLICES = 256
 def asof_floor(left: DataFrame, right: DataFrame, keys: list[str], left_pos: str, right_pos: str,
                value: str, heavy_rows: int = HEAVY_ROWS, slices: int = SLICES) -> DataFrame:
     """``left`` plus ``value`` and ``matched_pos`` of the last right row at or below ``left_pos``; ties on the
-    right take the highest value. No match gives nulls."""
-    probe = left.select(*keys, F.col(left_pos).alias("_pos")).distinct().withColumn("_side", F.lit(1))
-    best = right.groupBy(*keys, F.col(right_pos).alias("_pos")).agg(F.max(value).alias("_value"))
-    rows = probe.withColumn("_hit", F.lit(None).cast(best.select(F.struct("_pos", "_value")).schema[0].dataType)) \
-        .unionByName(best.select(*keys, "_pos", F.lit(0).alias("_side"), F.struct("_pos", "_value").alias("_hit")))
+    right take the highest value. No match gives nulls.
 
-    heavy = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > heavy_rows)
-    points = [i / slices for i in range(1, slices)]
-    number = F.col("_pos").cast("double") if not _is_time(left, left_pos) else F.unix_micros(F.col("_pos").cast(
-        "timestamp")).cast("double")
-    cuts = (
-        rows.join(heavy.select(*keys), keys, "left_semi").groupBy(*keys)
-        .agg(F.percentile_approx(number, points, F.lit(slices * 20)).alias("_cuts"))
+    One counting job finds out whether any key is heavy. Without one, the answer is a single window over the
+    union of both sides.
+    """
+    right = right.dropna(subset=[*keys, right_pos])
+    sizes = left.select(*keys).unionByName(right.select(*keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    heavy = sizes.filter(F.col("_n") > heavy_rows).select(*keys)
+    if heavy.isEmpty():
+        return _scan(left, right, keys, left_pos, right_pos, value)
+    heavy, _ = Scratch(left.sparkSession, "asof").save(heavy, "heavy")
+    light = _scan(left.join(heavy, keys, "left_anti"), right.join(heavy, keys, "left_anti"), keys, left_pos,
+                  right_pos, value)
+    hot = _sliced(left.join(heavy, keys, "left_semi"), right.join(heavy, keys, "left_semi"), keys, left_pos,
+                  right_pos, value, slices)
+    return light.unionByName(hot)
+
+
+def _hit_type(right: DataFrame, pos: str, value: str):
+    return right.select(F.struct(F.col(pos).alias("_pos"), F.col(value).alias("_value"))).schema[0].dataType
+
+
+def _scan(left: DataFrame, right: DataFrame, keys: list[str], left_pos: str, right_pos: str, value: str) -> DataFrame:
+    """One window per key over the left rows, which keep their columns, and the right rows."""
+    row = F.struct(*left.columns)
+    none = F.lit(None)
+    asked = left.select(*keys, F.col(left_pos).alias("_pos"), F.lit(1).alias("_side"), row.alias("_row"),
+                        none.cast(_hit_type(right, right_pos, value)).alias("_hit"))
+    known = right.select(*keys, F.col(right_pos).alias("_pos"), F.lit(0).alias("_side"),
+                         none.cast(asked.schema["_row"].dataType).alias("_row"),
+                         F.struct(F.col(right_pos).alias("_pos"), F.col(value).alias("_value")).alias("_hit"))
+    upto = W.partitionBy(*keys).orderBy("_pos", "_side", "_hit").rowsBetween(W.unboundedPreceding, 0)
+    return (
+        asked.unionByName(known).withColumn("_last", F.last("_hit", ignorenulls=True).over(upto))
+        .filter(F.col("_side") == 1)
+        .select(*[F.col(f"_row.{c}").alias(c) for c in left.columns], F.col("_last._value").alias(value),
+                F.col("_last._pos").alias("matched_pos"))
     )
-    sliced = rows.join(cuts, keys, "left").withColumn(
-        "_slice", F.coalesce(F.size(F.filter("_cuts", lambda c: c < number)), F.lit(0))).withColumn(
-        "_slice", F.when(F.col("_slice") < 0, 0).otherwise(F.col("_slice"))).drop("_cuts")
 
+
+def _sliced(left: DataFrame, right: DataFrame, keys: list[str], left_pos: str, right_pos: str, value: str,
+            slices: int) -> DataFrame:
+    """Heavy keys: equal positions are folded first, then every key is scanned in slices."""
+    probe = left.select(*keys, F.col(left_pos).alias("_pos")).distinct().withColumn("_side", F.lit(1))
+    best = right.groupBy(*keys, F.col(right_pos).alias("_pos")).agg(F.max(value).alias("_value"))
+    scratch = Scratch(left.sparkSession, "asof")
+    rows, _ = scratch.save(
+        probe.withColumn("_hit", F.lit(None).cast(_hit_type(right, right_pos, value)))
+        .unionByName(best.select(*keys, "_pos", F.lit(0).alias("_side"), F.struct("_pos", "_value").alias("_hit"))),
+        "rows")
+    number = F.col("_pos")
+    if _is_time(left, left_pos):
+        number = F.unix_micros(F.col("_pos").cast("timestamp"))
+    number = number.cast("double")
+    points = [i / slices for i in range(1, slices)]
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(number, points, F.lit(slices * 20)).alias("_cuts"))
+    sliced, _ = scratch.save(
+        rows.join(cuts, keys).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < number))).drop("_cuts"),
+        "sliced")
     inside = W.partitionBy(*keys, "_slice").orderBy("_pos", "_side").rowsBetween(W.unboundedPreceding, 0)
     scanned = sliced.withColumn("_in", F.last("_hit", ignorenulls=True).over(inside)).filter(F.col("_side") == 1)
-    tails = (
-        sliced.join(heavy.select(*keys), keys, "left_semi")
-        .groupBy(*keys, "_slice").agg(F.max("_hit").alias("_tail"))
-    )
+    tails = sliced.groupBy(*keys, "_slice").agg(F.max("_hit").alias("_tail"))
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     carry = tails.withColumn("_carry", F.last("_tail", ignorenulls=True).over(before)).drop("_tail")
     answer = (
-        scanned.join(carry, [*keys, "_slice"], "left")
-        .withColumn("_hit", F.coalesce("_in", "_carry"))
+        scanned.join(carry, [*keys, "_slice"], "left").withColumn("_hit", F.coalesce("_in", "_carry"))
         .select(*keys, F.col("_pos").alias(left_pos), F.col("_hit._value").alias(value),
                 F.col("_hit._pos").alias("matched_pos"))
     )
-    return left.join(answer, [*keys, left_pos], "left")
+    return left.join(answer, [*keys, left_pos], "left").select(*left.columns, value, "matched_pos")
 
 
 def _is_time(df: DataFrame, col: str) -> bool:

@@ -13,17 +13,17 @@ split a popular ancestor.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symlake.functions.descriptors import descriptors_match
 from symlake.functions.flags import INTERFACE, has_flag
 from symlake.functions.names import innermost_name, simple_name
-from symlake.operators.resolve import descriptor_join
+from symlake.operators.resolve import meet_decls, meet_refs
 from symlake.session import Scratch
 
 MAX_DEPTH = 64
+SMALL_FRONTIER = 500_000
 
 
 def chain_closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -33,21 +33,20 @@ def chain_closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """
     scratch = Scratch(edges.sparkSession, "chain")
     first = edges.filter(F.col("src") != F.col("dst")).select("src", "dst", F.lit(1).alias("depth"))
-    level, n = scratch.save(first, "reach-1")
-    parts, reach = [level], 1
-    jumps = level
+    reach, steps = 1, ["reach-1"]
+    jumps, n = scratch.save(first, steps[0])
     while n and reach < max_depth:
-        known = reduce(DataFrame.unionByName, parts)
-        up = known.select(F.col("src").alias("via"), F.col("dst").alias("top"), F.col("depth").alias("more"))
+        up = scratch.read(*steps).select(
+            F.col("src").alias("via"), F.col("dst").alias("top"), F.col("depth").alias("more"))
         step = (
             jumps.join(up, jumps["dst"] == up["via"])
             .select("src", F.col("top").alias("dst"), (F.col("more") + reach).alias("depth"))
         )
         reach *= 2
         level, n = scratch.save(step, f"reach-{reach}")
-        parts.append(level)
+        steps.append(f"reach-{reach}")
         jumps = level.filter(F.col("depth") == reach)
-    out = reduce(DataFrame.unionByName, parts)
+    out = scratch.read(*steps)
     if n:
         # Only a cycle (or a chain beyond the limit) is still growing here; without one all pairs are distinct.
         out = out.filter((F.col("src") != F.col("dst")) & (F.col("depth") <= max_depth))
@@ -61,23 +60,20 @@ def graph_closure(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH
     edges, _ = scratch.save(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct(), "edges")
     hop = edges.select(F.col("src").alias("via"), F.col("dst").alias("next"))
     frontier = seeds.select(F.col("node").alias("src"), F.col("node").alias("dst")).distinct()
-    parts: list[DataFrame] = []
+    steps: list[str] = []
     for depth in range(1, max_depth + 1):
         step = (
             frontier.join(hop, frontier["dst"] == hop["via"])
             .select("src", F.col("next").alias("dst")).filter(F.col("src") != F.col("dst")).distinct()
         )
-        if parts:
-            known = reduce(DataFrame.unionByName, parts).select("src", "dst")
-            step = step.join(known, ["src", "dst"], "left_anti")
+        if steps:
+            step = step.join(scratch.read(*steps).select("src", "dst"), ["src", "dst"], "left_anti")
         level, n = scratch.save(step.withColumn("depth", F.lit(depth)), f"level-{depth}")
-        if n == 0 and parts:
-            break
-        parts.append(level)
+        steps.append(f"level-{depth}")
         if n == 0:
             break
         frontier = level.select("src", "dst")
-    return reduce(DataFrame.unionByName, parts)
+    return scratch.read(*steps)
 
 
 def outermost(inner_outer: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -163,21 +159,28 @@ def instance_of(pairs: DataFrame, supertypes: DataFrame, max_depth: int = MAX_DE
 
 def first_common_super(pairs: DataFrame, types: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """``pairs(a, b)`` with the nearest shared type of the two superclass chains, themselves included."""
-    wanted = pairs.select("a", "b").distinct()
+    scratch = Scratch(types.sparkSession, "common")
+    wanted, _ = scratch.save(pairs.select("a", "b").distinct(), "pairs")
     chain = chain_closure(superclass_edges(types), max_depth)
     nodes = wanted.select(F.explode(F.array("a", "b")).alias("src")).distinct()
-    line = chain.join(nodes, "src", "left_semi").select("src", "dst", "depth").unionByName(
-        nodes.select("src", F.col("src").alias("dst"), F.lit(0).alias("depth")))
-    above_a = wanted.join(line.select(F.col("src").alias("a"), F.col("dst").alias("sup"),
-                                      F.col("depth").alias("depth_a")), "a")
-    above_b = line.select(F.col("src").alias("b"), F.col("dst").alias("sup"))
-    best = above_a.join(above_b, ["b", "sup"]).groupBy("a", "b").agg(
-        F.min_by("sup", "depth_a").alias("common_super"))
+    itself = F.struct(F.col("src").alias("dst"), F.lit(0).alias("depth"))
+    above = chain.groupBy("src").agg(F.collect_list(F.struct("dst", "depth")).alias("up"))
+    # One row per wanted type: its chain is as long as the hierarchy is deep.
+    line, _ = scratch.save(nodes.join(above, "src", "left").select(
+        "src", F.concat(F.array(itself), F.coalesce("up", F.array().cast("array<struct<dst:string,depth:int>>"))).alias("up")),
+        "lines")
+    both = (
+        wanted.join(line.select(F.col("src").alias("a"), F.col("up").alias("up_a")), "a")
+        .join(line.select(F.col("src").alias("b"), F.transform("up", lambda u: u["dst"]).alias("up_b")), "b")
+    )
+    shared = F.filter("up_a", lambda u: F.array_contains(F.col("up_b"), u["dst"]))
+    nearest = F.get(F.array_sort(F.transform(shared, lambda u: F.struct(u["depth"], u["dst"]))), F.lit(0))
+    best = both.select("a", "b", nearest["dst"].alias("common_super"))
     return pairs.join(best, ["a", "b"], "left")
 
 
 def resolve_member(refs: DataFrame, members: DataFrame, types: DataFrame, interfaces: DataFrame | None = None,
-                   max_depth: int = MAX_DEPTH, wild_decls: bool = True) -> DataFrame:
+                   max_depth: int = MAX_DEPTH, wild_refs: bool = True, wild_decls: bool = True) -> DataFrame:
     """Nearest type at or above ``refs(container, type_name, name, descriptor)`` that declares the member.
 
     At every step the type copy in the container of the reference is preferred; without one the first container
@@ -187,51 +190,64 @@ def resolve_member(refs: DataFrame, members: DataFrame, types: DataFrame, interf
     """
     scratch = Scratch(refs.sparkSession, "member")
     ident = ["container", "type_name", "name", "descriptor"]
-    wanted, n = scratch.save(refs.select(*ident).distinct(), "refs")
+    wanted, _ = scratch.save(refs.select(*ident).distinct(), "refs")
     root_of_interface = has_flag("flags", INTERFACE) & (F.col("super_name") == "java/lang/Object")
     supers = types.select("container", "type_name",
                           F.when(~root_of_interface, F.col("super_name")).alias("super_name"))
     if interfaces is not None:
         supers = supers.unionByName(interfaces.select("container", "type_name", "super_name"))
-    homes = types.groupBy("type_name").agg(F.min("container").alias("first_home"))
-    local = types.select("container", F.col("type_name").alias("at"), F.lit(True).alias("is_local")).distinct()
-    declared = members.select(F.col("container").alias("home"), F.col("type_name").alias("at"), "name",
-                              F.col("descriptor").alias("declared")).distinct()
-    up = supers.select(F.col("container").alias("home"), F.col("type_name").alias("at"),
-                       F.col("super_name").alias("next")).filter(F.col("next").isNotNull()).distinct()
+    homes, _ = scratch.save(types.groupBy(F.col("type_name").alias("at")).agg(
+        F.min("container").alias("first_home")), "homes")
+    local, _ = scratch.save(types.select("container", F.col("type_name").alias("at"),
+                                         F.lit(True).alias("is_local")).distinct(), "local")
+    declared, _ = scratch.save(meet_decls(members.select(
+        F.col("container").alias("home"), F.col("type_name").alias("at"), "name",
+        F.col("descriptor").alias("declared")).distinct(), "declared", wild_refs, wild_decls), "declared")
+    up, _ = scratch.save(supers.select(
+        F.col("container").alias("home"), F.col("type_name").alias("at"),
+        F.col("super_name").alias("next")).filter(F.col("next").isNotNull()).distinct(), "up")
 
     frontier = wanted.withColumn("at", F.col("type_name"))
-    found_parts: list[DataFrame] = []
+    steps: list[str] = []
+    join_keys = ["home", "at", "name", "_meet"]
     for depth in range(0, max_depth + 1):
-        homed = (
+        placed = (
             frontier.join(local, ["container", "at"], "left")
-            .join(homes.withColumnRenamed("type_name", "at"), "at", "left")
+            .join(homes, "at", "left")
             .withColumn("home", F.when(F.col("is_local"), F.col("container")).otherwise(F.col("first_home")))
             .filter(F.col("home").isNotNull()).select(*ident, "at", "home")
         )
-        placed, n = scratch.save(homed, f"at-{depth}")
+        placed, n = scratch.save(placed, f"at-{depth}")
         if n == 0:
             break
-        # Distinct member patterns meet the overloads of their name; the references, which may crowd on one
-        # member, only meet the patterns that were found.
-        patterns = placed.select("home", "at", "name", "descriptor").distinct()
-        found = descriptor_join(patterns, declared, ["home", "at", "name"], "descriptor", "declared", wild_decls)
-        hits = (
-            placed.join(found.select("home", "at", "name", "descriptor"), ["home", "at", "name", "descriptor"],
-                        "left_semi")
-            .groupBy(*ident).agg(F.min("at").alias("found_type")).withColumn("depth", F.lit(depth))
-        )
-        hits, _ = scratch.save(hits, f"found-{depth}")
-        found_parts.append(hits)
-        frontier = (
-            placed.join(hits.select(*ident), ident, "left_anti")
-            .join(up, ["home", "at"]).select(*ident, F.col("next").alias("at")).distinct()
-        )
-    found = reduce(DataFrame.unionByName, found_parts) if found_parts else wanted.limit(0).select(
-        *ident, F.lit(None).cast("string").alias("found_type"), F.lit(None).cast("int").alias("depth"))
-    best = found.groupBy(*ident).agg(F.min_by("found_type", "depth").alias("found_type"),
-                                     F.min("depth").alias("depth"))
-    return wanted.join(best, ident, "left")
+        asked = meet_refs(placed, "descriptor", wild_refs, wild_decls).alias("r")
+        same = [F.col(f"r.{k}") == F.col(f"d.{k}") for k in join_keys]
+        if wild_refs or wild_decls:
+            same.append(F.when(F.col("r._meet").startswith("="), True).otherwise(
+                descriptors_match("r.descriptor", "d.declared")))
+        # Large frontiers use a semi join, so references that crowd on one member are never multiplied. Small ones
+        # use an inner join, because there the optimizer may broadcast the frontier instead of moving the members.
+        small = n <= SMALL_FRONTIER
+        hits = asked.join(declared.alias("d"), same, "inner" if small else "left_semi").select(
+            *[F.col(f"r.{c}").alias(c) for c in (*ident, "at")])
+        if wild_decls or (small and wild_refs):
+            hits = hits.distinct()
+        hits, n = scratch.save(hits.withColumn("depth", F.lit(depth)), f"found-{depth}")
+        steps.append(f"found-{depth}")
+        rest = placed.join(hits.select(*ident), ident, "left_anti") if n else placed
+        frontier = rest.join(up, ["home", "at"]).select(*ident, F.col("next").alias("at"))
+        if interfaces is not None:
+            frontier = frontier.distinct()
+    found = (
+        scratch.read(*steps).withColumnRenamed("at", "found_type") if steps else
+        wanted.limit(0).select(*ident, F.lit(None).cast("string").alias("found_type"), F.lit(None).cast("int").alias("depth"))
+    )
+    if interfaces is not None:
+        # Several parents may find the member at several levels; a single chain finds it once.
+        nearest = F.min(F.struct("depth", "found_type"))
+        found = found.groupBy(*ident).agg(nearest.alias("n")).select(
+            *ident, F.col("n.found_type").alias("found_type"), F.col("n.depth").alias("depth"))
+    return wanted.join(found, ident, "left")
 
 
 def compact_tree(directories: DataFrame, files: DataFrame, max_depth: int = 256) -> DataFrame:

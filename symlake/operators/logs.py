@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from symlake.functions.locators import build_locator
 from symlake.functions.names import simple_name
+from symlake.sources.logs import lines_from_column
 
 # One frame of a stack trace, with any loader or module prefix skipped.
 FRAME = r"^\s*at (?:[^\s/(]*/)*([^\s/(]+)\.([^\s/.(]+)\(([^)]*)\)"
@@ -28,6 +29,11 @@ def stack_frames(lines: DataFrame, text: str = "text") -> DataFrame:
         (where == NATIVE).alias("native"))
 
 
+def frames_from_column(df: DataFrame, col: str, ids: list[str]) -> DataFrame:
+    """Frames of log text held in a column, with ``line_no`` inside each text."""
+    return stack_frames(lines_from_column(df, col, ids))
+
+
 def declared_targets(decls: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """One row per type: number of declaring entries and the first of them, at its outermost entry if ``roots``
     (see ``hierarchy.root_entries``) is given."""

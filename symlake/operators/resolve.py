@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symlake import model as m
-from symlake.functions.descriptors import descriptor_arity, descriptors_match
+from symlake.functions.descriptors import descriptors_match
 from symlake.functions.locators import build_locator, parse_fragment
 from symlake.functions.names import simple_name
 from symlake.functions.patterns import scope_match
@@ -78,60 +78,94 @@ def _wild(d: Column) -> Column:
 
 def _shape(d: Column) -> Column:
     """Parameter count of a method, -1 for a field."""
-    return F.when(d.startswith("("), descriptor_arity(d)).otherwise(F.lit(-1)).cast("string")
+    inside = F.substring_index(F.substring_index(d, ")", 1), "(", -1)
+    count = F.length(F.regexp_replace(inside, r"\[*(?:L[^;]*;|[^L\[])", "."))
+    return F.when(d.startswith("("), count).otherwise(F.lit(-1)).cast("string")
 
 
 def _present(*keys: Column) -> Column:
     return F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull()))
 
 
+# Marks of the ways a reference and a declaration can meet.
+_SAME, _SHAPE, _WILD_SHAPE, _ANY_METHOD, _ANY_DECL = "=", "#", "~#", "*", "~*"
+
+
+def meet_refs(refs: DataFrame, descriptor: str, wild_refs: bool = True, wild_decls: bool = True) -> DataFrame:
+    """``refs`` keyed by what their descriptor can meet, in column ``_meet``."""
+    d = F.col(descriptor)
+    if not wild_refs and not wild_decls:
+        return refs.withColumn("_meet", d)
+    keys = [F.when(~_wild(d), F.concat(F.lit(_SAME), d)).when(_any_params(d), _ANY_METHOD)
+            .otherwise(F.concat(F.lit(_SHAPE), _shape(d)))]
+    if not wild_decls:
+        return refs.withColumn("_meet", F.coalesce(keys[0], F.lit("")))
+    keys += [F.when(~_any_params(d), F.concat(F.lit(_WILD_SHAPE), _shape(d))),
+             F.when(~_any_params(d) & d.startswith("("), _ANY_DECL)]
+    return refs.select("*", _present(*keys).alias("_meet"))
+
+
+def meet_decls(decls: DataFrame, descriptor: str, wild_refs: bool = True, wild_decls: bool = True) -> DataFrame:
+    """``decls`` keyed by the ways they can be met, in column ``_meet``."""
+    d = F.col(descriptor)
+    if not wild_refs and not wild_decls:
+        return decls.withColumn("_meet", d)
+    plain = ~_wild(d)
+    keys = [F.when(plain, F.concat(F.lit(_SAME), d))]
+    if wild_refs:
+        keys += [F.when(plain, F.concat(F.lit(_SHAPE), _shape(d))), F.when(d.startswith("("), _ANY_METHOD)]
+    if wild_decls:
+        keys += [F.when(~plain & ~_any_params(d), F.concat(F.lit(_WILD_SHAPE), _shape(d))),
+                 F.when(_any_params(d), _ANY_DECL)]
+    if len(keys) == 1:
+        return decls.withColumn("_meet", keys[0])
+    return decls.select("*", _present(*keys).alias("_meet"))
+
+
+def meets(ref_desc: str, decl_desc: str) -> Column:
+    """What is left to check once both sides share ``_meet``."""
+    return F.when(F.col("_meet").startswith(_SAME), True).otherwise(descriptors_match(ref_desc, decl_desc))
+
+
 def descriptor_join(refs: DataFrame, decls: DataFrame, keys: list[str], ref_desc: str, decl_desc: str,
-                    wild_decls: bool = True) -> DataFrame:
+                    wild_refs: bool = True, wild_decls: bool = True) -> DataFrame:
     """Inner join on ``keys`` where the two descriptors match, as one equi-join.
 
     Each side is keyed by what it can meet: an exact descriptor meets the same descriptor; one with unknown types
     meets descriptors of the same shape; "any parameters" meets every method of the name. So a name with very many
-    overloads never pairs all of its references with all of its declarations. ``wild_decls=False`` (class files
-    never declare wildcards) leaves out the keys that only wildcard declarations answer.
+    overloads never pairs all of its references with all of its declarations. Class files hold no wildcards on
+    either side: ``wild_refs=False`` and ``wild_decls=False`` leave out the keys only wildcards use.
     """
-    r, d = F.col(ref_desc), F.col(decl_desc)
-    same, shape, wild_shape, any_method, any_decl = "=", "#", "~#", "*", "~*"
-    r_plain, d_plain = ~_wild(r), ~_wild(d)
-    r_any, d_any = _any_params(r), _any_params(d)
-    ref_keys = [F.when(r_plain, F.concat(F.lit(same), r)),
-                F.when(~r_plain & ~r_any, F.concat(F.lit(shape), _shape(r))),
-                F.when(r_any, any_method)]
-    decl_keys = [F.when(d_plain, F.concat(F.lit(same), d)),
-                 F.when(d_plain, F.concat(F.lit(shape), _shape(d))),
-                 F.when(d.startswith("("), any_method)]
-    if wild_decls:
-        ref_keys += [F.when(~r_any, F.concat(F.lit(wild_shape), _shape(r))),
-                     F.when(~r_any & r.startswith("("), any_decl)]
-        decl_keys += [F.when(~d_plain & ~d_any, F.concat(F.lit(wild_shape), _shape(d))), F.when(d_any, any_decl)]
-    left = refs.select("*", _present(*ref_keys).alias("_meet"))
-    right = decls.select("*", _present(*decl_keys).alias("_meet"))
-    exact = F.col("_meet").startswith(same)
-    return left.join(right, [*keys, "_meet"]).filter(exact | descriptors_match(ref_desc, decl_desc)).drop("_meet")
+    left = meet_refs(refs, ref_desc, wild_refs, wild_decls)
+    right = meet_decls(decls, decl_desc, wild_refs, wild_decls)
+    both = left.join(right, [*keys, "_meet"])
+    if wild_refs or wild_decls:
+        both = both.filter(meets(ref_desc, decl_desc))
+    return both.drop("_meet")
 
 
-def member_match(refs: DataFrame, members: DataFrame, wild_decls: bool = True) -> DataFrame:
+def member_match(refs: DataFrame, members: DataFrame, wild_refs: bool = True, wild_decls: bool = True) -> DataFrame:
     """Distinct ``(type_name, name, descriptor)`` references with the declared descriptors they may mean.
 
     Both sides are made distinct first, so what is joined are patterns and overloads, however often a member is
     referenced or copied. Wildcards may stand on both sides. A type ``*/T`` is looked up through its simple name
-    and then checked in full.
+    and then checked in full. Exact references (``wild_refs=False``) are a plain equi-join.
     """
     wanted = refs.select("type_name", "name", "descriptor").distinct()
     have = members.select(F.col("type_name").alias("found_type"), "name",
                           F.col("descriptor").alias("found_descriptor")).distinct()
+    if not wild_refs:
+        left, right = wanted.withColumn("_type", F.col("type_name")), have.withColumn("_type", F.col("found_type"))
+        return descriptor_join(left, right, ["_type", "name"], "descriptor", "found_descriptor", wild_refs,
+                               wild_decls).select("type_name", "name", "descriptor", "found_type", "found_descriptor")
     # Known types meet on the full name, unknown ones on the simple name behind a mark of their own.
     unknown = F.col("type_name").startswith("*")
     loose = lambda c: F.concat(F.lit("*/"), simple_name(c))
-    left = wanted.withColumn("_type", F.when(unknown, loose("type_name")).otherwise(F.col("type_name")))
+    left = wanted.withColumn("_type", F.coalesce(F.when(unknown, loose("type_name")).otherwise(F.col("type_name")), F.lit("")))
     right = have.select("*", F.explode(F.array("found_type", loose("found_type"))).alias("_type"))
     return (
-        descriptor_join(left, right, ["_type", "name"], "descriptor", "found_descriptor", wild_decls)
-        .filter(~unknown | scope_match(F.col("type_name"), "found_type"))
+        descriptor_join(left, right, ["_type", "name"], "descriptor", "found_descriptor", wild_refs, wild_decls)
+        .filter(F.when(unknown, scope_match(F.col("type_name"), "found_type")).otherwise(True))
         .select("type_name", "name", "descriptor", "found_type", "found_descriptor")
     )
 
@@ -142,31 +176,37 @@ def match_fragment(declarations: DataFrame, fragments: DataFrame, wild_decls: bo
     A bare type finds type declarations, ``*/T`` in any package; members compare descriptors with wildcards; a
     static initializer that is not declared falls back to its type.
     """
-    f = fragments.select("fragment").distinct().withColumn("f", parse_fragment("fragment"))
-    f = f.select("fragment", F.col("f.type").alias("f_type"), F.col("f.name").alias("f_name"),
-                 F.col("f.descriptor").alias("f_desc")).filter(F.col("f_type").isNotNull())
     unknown = lambda c: F.col(c).startswith("*")
     loose = lambda c: F.concat(F.lit("*/"), simple_name(c))
-    f = f.withColumn("_type", F.when(unknown("f_type"), loose("f_type")).otherwise(F.col("f_type")))
-    # Types written by a source that does not know their package are declared as */T: they answer both forms of
-    # themselves, and every full name that ends with them.
-    d = declarations.select("*", F.explode(F.array_distinct(F.array("type_name", loose("type_name")))).alias("_type"))
-    f_all = f if not wild_decls else f.select(
-        *[c for c in f.columns if c != "_type"],
-        F.explode(F.array_distinct(F.array("_type", loose("f_type")))).alias("_type"))
-    same_type = scope_match(F.col("f_type"), "type_name") | (
-        unknown("type_name") & scope_match(F.col("type_name"), "f_type"))
+    # A bare type is a member without name and descriptor, so one join serves types, fields and methods.
+    none = F.lit("")
+    f = fragments.select("fragment").distinct().withColumn("f", parse_fragment("fragment"))
+    f = f.filter(F.col("f.type").isNotNull()).select(
+        "fragment", F.col("f.type").alias("f_type"), F.coalesce("f.name", none).alias("_name"),
+        F.coalesce("f.descriptor", none).alias("f_desc"))
+    key = F.when(unknown("f_type"), loose("f_type")).otherwise(F.col("f_type"))
+    # A declaration written without its package (*/T) answers every full name that ends with it.
+    keys = F.array_distinct(F.array(key, loose("f_type"))) if wild_decls else F.array(key)
+    f = f.withColumn("_type", F.explode(keys))
+    d = declarations.select(
+        "type_name", "name", "descriptor", "start", "end", F.coalesce("name", none).alias("_name"),
+        F.coalesce("descriptor", none).alias("_desc"),
+        F.explode(F.array_distinct(F.array("type_name", loose("type_name")))).alias("_type"))
+    same_type = scope_match(F.col("f_type"), "type_name")
+    if wild_decls:
+        same_type = same_type | (unknown("type_name") & scope_match(F.col("type_name"), "f_type"))
     cols = ["fragment", "type_name", "name", "descriptor", "start", "end"]
-    types, members = d.filter(F.col("name").isNull()), d.filter(F.col("name").isNotNull())
-    of_types = f.filter(F.col("f_name").isNull()).join(types, "_type").filter(
-        scope_match(F.col("f_type"), "type_name")).select(*cols)
-    of_members = descriptor_join(
-        f_all.filter(F.col("f_name").isNotNull()).withColumnRenamed("f_name", "name"), members, ["_type", "name"],
-        "f_desc", "descriptor", wild_decls).filter(same_type).select(*cols).distinct()
-    orphans = f.filter((F.col("f_name") == "<clinit>") & (F.col("f_desc") == "()V")).join(
-        of_members.select("fragment").distinct(), "fragment", "left_anti")
-    fallback = orphans.join(types, "_type").filter(F.col("f_type") == F.col("type_name")).select(*cols)
-    return of_types.unionByName(of_members).unionByName(fallback)
+    found = descriptor_join(f, d, ["_type", "_name"], "f_desc", "_desc", True, wild_decls).filter(
+        same_type).select(*cols)
+    if wild_decls:
+        found = found.distinct()
+    initializer = (F.col("_name") == "<clinit>")
+    declared = d.filter(initializer & (F.col("_desc") == "()V")).select(F.col("type_name").alias("f_type")).distinct()
+    orphans = f.filter(initializer & (F.col("f_desc") == "()V") & (F.col("_type") == F.col("f_type"))).join(
+        declared, "f_type", "left_anti")
+    types = declarations.filter(F.col("name").isNull())
+    fallback = orphans.join(types, F.col("f_type") == F.col("type_name")).select(*cols)
+    return found.unionByName(fallback)
 
 
 # Well-known type names of the core package, tried after imports and packages.

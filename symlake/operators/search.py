@@ -123,8 +123,8 @@ def highlight(occurrences: DataFrame, pattern: str, flags: str, scope: str | Non
     """Ranges to mark in each entry.
 
     ``flags``: ``d`` declarations, ``r`` references, ``t`` types, ``c`` constructors, ``f`` fields, ``m``
-    methods, ``s`` strings. ``occurrences`` has ``role`` (declaration, reference, string), ``kind`` (type,
-    field, method), ``type_name``, ``name``, ``owner``, ``start``, ``end`` and, for strings, ``text``. A method
+    methods, ``M`` modules, ``s`` strings. ``occurrences`` has ``role`` (declaration, reference, string),
+    ``kind`` (type, field, method, module), ``type_name``, ``name``, ``owner``, ``start``, ``end`` and, for strings, ``text``. A method
     called ``<init>`` counts as a method and as a constructor.
     """
     role, kind, name = F.col("role"), F.col("kind"), F.col("name")
@@ -139,6 +139,8 @@ def highlight(occurrences: DataFrame, pattern: str, flags: str, scope: str | Non
         by_name = by_name | (kind == "field")
     if "m" in flags:
         by_name = by_name | (kind == "method")
+    if "M" in flags:
+        by_name = by_name | (kind == "module")
     roles = [r for f, r in (("d", "declaration"), ("r", "reference")) if f in flags]
     scoped = F.when(role == "declaration", scope_match(scope, "type_name")).otherwise(scope_match(scope, "owner"))
     hit = (by_type & _anchored(innermost_name("type_name"), pattern)) | (by_name & _anchored(name, pattern))

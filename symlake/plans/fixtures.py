@@ -146,6 +146,15 @@ VIEWS: dict[str, tuple[list[str], str | None, dict[str, str]]] = {
 }
 
 
+# Columns that are never null. Saying so keeps the optimizer from repeating their expressions in null checks.
+_FILLED = {"container", "simple", "short_type", "type_name", "entry_path", "label", "kind", "name", "descriptor", "key",
+           "container_type", "root_container", "source", "text"}
+VIEWS = {
+    name: (tables, condition, {c: f"coalesce({e},'')" if c in _FILLED else e for c, e in columns.items()})
+    for name, (tables, condition, columns) in VIEWS.items()
+}
+
+
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     tables, condition, columns = VIEWS[name]
     df = table(spark, sf, tables[0])

@@ -79,3 +79,8 @@ class Scratch:
         seen = Observation()
         df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(self.path(step))
         return self.spark.read.schema(df.schema).parquet(self.path(step)), seen.get["n"]
+
+    def read(self, *steps: str) -> DataFrame:
+        """Several steps of one schema as a single scan."""
+        first = self.spark.read.parquet(self.path(steps[0])).schema
+        return self.spark.read.schema(first).parquet(*[self.path(s) for s in steps])
