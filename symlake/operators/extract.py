@@ -1,4 +1,4 @@
-"""From entry content to posting rows. Everything runs inside the scan stage; only distinct rows shuffle."""
+"""From entry content to posting rows. Everything runs inside the scan stage, without a shuffle."""
 
 from __future__ import annotations
 
@@ -61,13 +61,24 @@ EJB_TYPE_PATHS = [
 ]
 
 
-def posts(df: DataFrame, index_name: str, keys: Column) -> DataFrame:
-    """Distinct posting rows for an array of keys per entry; null and empty keys are dropped."""
+def posts(df: DataFrame, *indexes: tuple[str, Column]) -> DataFrame:
+    """Posting rows for arrays of keys per entry, ``(index_name, keys)`` each; null and empty keys are dropped.
+
+    Keys are made distinct inside the row. With one row per entry, as every source delivers, the result is distinct
+    without a shuffle; ``postings.build_postings`` covers anything else.
+    """
+
+    def tagged(name: str, keys: Column) -> Column:
+        return F.transform(F.array_distinct(keys), lambda k: F.struct(F.lit(name).alias("index_name"), k.alias("key")))
+
+    pairs = [tagged(name, keys) for name, keys in indexes]
+    # A null array (no text) must not swallow the others.
+    none = F.array().cast("array<struct<index_name:string,key:string>>")
+    every = F.concat(*[F.coalesce(p, none) for p in pairs])
     return (
-        df.select(F.lit(index_name).alias("index_name"), F.explode(F.array_distinct(keys)).alias("key"),
-                  "container", "entry_path")
+        df.select(F.explode(every).alias("p"), "container", "entry_path")
+        .select("p.index_name", "p.key", "container", "entry_path")
         .filter(F.col("key").isNotNull() & (F.col("key") != ""))
-        .distinct()
     )
 
 
@@ -75,7 +86,8 @@ def text_postings(entries: DataFrame, text: str = "text") -> tuple[DataFrame, Da
     """Whole-text symbols. The posting key is the SHA-1 of the text; the second table maps it back, once per
     distinct text, so equal files store their text once."""
     keyed = entries.select("container", "entry_path", F.sha1(F.col(text)).alias("key"), F.col(text).alias("text"))
-    rows = keyed.select(F.lit(m.STRINGS).alias("index_name"), "key", "container", "entry_path").distinct()
+    rows = keyed.filter(F.col("key").isNotNull()).select(
+        F.lit(m.STRINGS).alias("index_name"), "key", "container", "entry_path")
     return rows, keyed.groupBy("key").agg(F.first("text").alias("text"))
 
 
@@ -117,35 +129,35 @@ def attribute_values(text: Column, element: str, attribute: str) -> Column:
 
 
 def markup_postings(entries: DataFrame, text: str = "text") -> DataFrame:
-    return posts(entries, m.STRINGS, markup_tokens(F.col(text)))
+    return posts(entries, (m.STRINGS, markup_tokens(F.col(text))))
 
 
 def attribute_refs(entries: DataFrame, element: str, attribute: str, text: str = "text",
                    index_name: str = m.TYPE_REFERENCES) -> DataFrame:
     """One posting per distinct attribute value, as written."""
-    return posts(entries, index_name, attribute_values(F.col(text), element, attribute))
+    return posts(entries, (index_name, attribute_values(F.col(text), element, attribute)))
 
 
 def bean_postings(entries: DataFrame, text: str = "text") -> DataFrame:
     """XML with bean definitions: ``bean@class`` becomes a type reference and is not a string."""
     col = F.col(text)
     classes = attribute_values(col, "bean", "class")
-    strings = posts(entries, m.STRINGS, markup_tokens(col, skip_values=classes))
-    types = posts(entries, m.TYPE_REFERENCES, F.transform(classes, lambda c: F.translate(F.trim(c), ".", "/")))
-    return strings.unionByName(types)
+    types = F.transform(classes, lambda c: F.translate(F.trim(c), ".", "/"))
+    return posts(entries, (m.STRINGS, markup_tokens(col, skip_values=classes)), (m.TYPE_REFERENCES, types))
 
 
 def line_refs(entries: DataFrame, text: str = "text", index_name: str = m.TYPE_REFERENCES,
-              comment: str = "#") -> DataFrame:
-    """One reference per line; blank lines and lines that start with the comment sign are skipped."""
+              comment: str = "#", internal: bool = False) -> DataFrame:
+    """One reference per line; blank lines and lines that start with the comment sign are skipped. ``internal``
+    turns dotted names into internal ones."""
     lines = F.transform(F.split(F.col(text), "\r?\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
     kept = F.filter(lines, lambda s: (s != "") & ~s.startswith(comment))
-    return posts(entries, index_name, kept)
+    return posts(entries, (index_name, F.transform(kept, lambda s: F.translate(s, ".", "/")) if internal else kept))
 
 
 def service_refs(entries: DataFrame, text: str = "text") -> DataFrame:
     """Provider files: dotted names become internal type names."""
-    return line_refs(entries, text).withColumn("key", F.translate("key", ".", "/"))
+    return line_refs(entries, text, internal=True)
 
 
 def _schema_of(tree: dict) -> T.DataType:
@@ -187,8 +199,8 @@ def path_values(text: Column, paths: list[str]) -> Column:
 
 
 def path_type_refs(entries: DataFrame, paths: list[str], text: str = "text") -> DataFrame:
-    return posts(entries, m.TYPE_REFERENCES,
-                 F.transform(path_values(F.col(text), paths), lambda s: F.translate(s, ".", "/")))
+    return posts(entries, (m.TYPE_REFERENCES,
+                           F.transform(path_values(F.col(text), paths), lambda s: F.translate(s, ".", "/"))))
 
 
 def web_type_refs(entries: DataFrame, text: str = "text") -> DataFrame:

@@ -61,15 +61,21 @@ def graph_closure(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH
     hop = edges.select(F.col("src").alias("via"), F.col("dst").alias("next"))
     frontier = seeds.select(F.col("node").alias("src"), F.col("node").alias("dst")).distinct()
     steps: list[str] = []
+    n = total = 0
     for depth in range(1, max_depth + 1):
         step = (
             frontier.join(hop, frontier["dst"] == hop["via"])
             .select("src", F.col("next").alias("dst")).filter(F.col("src") != F.col("dst")).distinct()
         )
         if steps:
-            step = step.join(scratch.read(*steps).select("src", "dst"), ["src", "dst"], "left_anti")
+            known = scratch.read(*steps).select("src", "dst")
+            if n <= SMALL_FRONTIER < total:
+                # Few sources still grow: what is known about the others needs no shuffle.
+                known = known.join(frontier.select("src").distinct(), "src", "left_semi")
+            step = step.join(known, ["src", "dst"], "left_anti")
         level, n = scratch.save(step.withColumn("depth", F.lit(depth)), f"level-{depth}")
         steps.append(f"level-{depth}")
+        total += n
         if n == 0:
             break
         frontier = level.select("src", "dst")

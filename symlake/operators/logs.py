@@ -36,7 +36,10 @@ def frames_from_column(df: DataFrame, col: str, ids: list[str]) -> DataFrame:
 
 def declared_targets(decls: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """One row per type: number of declaring entries and the first of them, at its outermost entry if ``roots``
-    (see ``hierarchy.root_entries``) is given."""
+    (see ``hierarchy.root_entries``) is given. A stored result of this function passes through, which spares
+    streams the aggregation in every batch."""
+    if "n_targets" in decls.columns:
+        return decls
     if roots is not None:
         decls = decls.join(roots, ["container", "entry_path"], "left").withColumn(
             "entry_path", F.coalesce("root_entry", "entry_path"))

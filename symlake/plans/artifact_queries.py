@@ -146,7 +146,7 @@ def index_round_trip(spark, sf):
     rows = supers.select(F.lit(m.TYPE_REFERENCES).alias("index_name"), "key", "container", "entry_path").unionByName(
         t.select(F.lit(m.TYPE_DECLARATIONS).alias("index_name"), F.col("type_name").alias("key"), "container", "entry_path"))
     path = Scratch(spark, "index").path("store")
-    write_index(rows, path, files_per_index=4)
+    write_index(rows, path, partitions=4)
     stored = read_index(spark, path).filter(
         (F.col("index_name") == m.TYPE_REFERENCES) & F.col("key").startswith("com/promo/"))
     return usage_rank(stored, distinct=True)

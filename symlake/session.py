@@ -70,6 +70,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{scratch_root(spark)}/symlake/{name}-{uuid.uuid4().hex[:12]}"
+        self._schemas: dict = {}
 
     def path(self, step: str) -> str:
         return f"{self.base}/{step}"
@@ -77,10 +78,10 @@ class Scratch:
     def save(self, df: DataFrame, step: str) -> tuple[DataFrame, int]:
         """Write ``df`` and return it re-read, with its row count taken on the way."""
         seen = Observation()
+        self._schemas[step] = df.schema
         df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(self.path(step))
         return self.spark.read.schema(df.schema).parquet(self.path(step)), seen.get["n"]
 
     def read(self, *steps: str) -> DataFrame:
         """Several steps of one schema as a single scan."""
-        first = self.spark.read.parquet(self.path(steps[0])).schema
-        return self.spark.read.schema(first).parquet(*[self.path(s) for s in steps])
+        return self.spark.read.schema(self._schemas[steps[0]]).parquet(*[self.path(s) for s in steps])

@@ -9,19 +9,20 @@ from symlake import model
 from symlake.functions.names import innermost_name
 
 
-def write_index(postings: DataFrame, path: str, mode: str = "overwrite", files_per_index: int = 64) -> None:
-    """Write postings by ``index_name``, sorted by key inside each file.
+def write_index(postings: DataFrame, path: str, mode: str = "overwrite", partitions: int | None = None,
+                max_records_per_file: int = 20_000_000) -> None:
+    """Write postings by ``index_name``, range-partitioned and sorted by key.
 
-    Rows are spread by index and key hash, so a large index fills ``files_per_index`` files instead of one, and
-    the key sort gives row groups narrow key ranges for exact and prefix lookups. A key that owns very many
-    entries is spread further by an entry salt.
+    Every file covers a narrow key range, so exact and prefix lookups skip most files and row groups. An entry hash
+    is the last range column: a key that owns a large share of all rows spreads over as many files as its share
+    asks for. The number of ranges follows ``spark.sql.shuffle.partitions`` unless given.
     """
-    salted = postings.withColumn("_part", F.pmod(F.xxhash64("key", F.substring(F.md5("entry_path"), 1, 1)),
-                                                 F.lit(files_per_index)))
+    spread = F.xxhash64("container", "entry_path")
+    columns = ["index_name", "key", spread]
+    ranged = postings.repartitionByRange(partitions, *columns) if partitions else postings.repartitionByRange(*columns)
     (
-        salted.repartition("index_name", "_part").drop("_part")
-        .sortWithinPartitions("index_name", "key")
-        .write.mode(mode).partitionBy("index_name").parquet(path)
+        ranged.sortWithinPartitions("index_name", "key")
+        .write.mode(mode).option("maxRecordsPerFile", max_records_per_file).partitionBy("index_name").parquet(path)
     )
 
 

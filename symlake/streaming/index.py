@@ -23,7 +23,7 @@ def append_batch(files: DataFrame, batch_id: int, path: str) -> None:
         F.col("path").alias("container"), F.col("path").alias("root_container"), F.lit(0).alias("depth"), "content"))
     postings = build_postings(class_symbols(entries).filter(F.col("tag") == "post").select(
         F.col("a").alias("index_name"), F.col("b").alias("key"), "container", "entry_path"))
-    write_index(postings, f"{path}/postings/batch={batch_id}", files_per_index=8)
+    write_index(postings, f"{path}/postings/batch={batch_id}")
     files.select(F.col("path").alias("root_container")).write.mode("overwrite").parquet(
         f"{path}/containers/batch={batch_id}")
 

@@ -238,7 +238,7 @@ def test_classify_archive_entries(spark, entries):
 
 def test_index_store(spark, symbols, tmp_path):
     path = str(tmp_path / "index")
-    write_index(symbols["postings"], path, files_per_index=2)
+    write_index(symbols["postings"], path, partitions=3)
     back = read_index(spark, path)
     assert back.exceptAll(symbols["postings"]).count() == 0 and back.count() == symbols["postings"].count()
     pruned = back.filter("index_name = 'strings' and key >= 'h'")
