@@ -59,7 +59,7 @@ VIEWS: dict[str, tuple[list[str], str | None, dict[str, str]]] = {
         "container": "('app' || cast(cast(floor(p_partkey/200) as bigint) as string))",
         "type_name": f"('com/' || lower(p_type) || '/T' || cast(p_partkey as string))",
         "entry_path": f"('com/' || lower(p_type) || '/T' || cast(p_partkey as string) || '.class')",
-        "outer_id": "(case when p_size > 12 then p_partkey - 1 end)",
+        "outer_id": "(case when p_size > 12 and p_partkey > 0 then p_partkey - 1 end)",
         "label": CAMEL,
     }),
     "members": (["lineitem", "part"], "l_partkey = p_partkey", {
