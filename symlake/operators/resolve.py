@@ -60,6 +60,15 @@ def resolve_same_container(refs: DataFrame, decls: DataFrame) -> DataFrame:
         chosen["container"].alias("first_container"), chosen["entry_path"].alias("first_entry"))
 
 
+def preferred_entries(names: DataFrame, decls: DataFrame, container: str) -> DataFrame:
+    """Entry to open for each of ``names(type_name, ...)`` seen from one container: its own declaration if it has
+    one, else the first of all. ``decls(type_name, container, entry_path)``."""
+    refs = names.withColumn("key", F.col("type_name")).withColumn("container", F.lit(container))
+    found = resolve_same_container(refs, decls.select(F.col("type_name").alias("key"), "container", "entry_path"))
+    return found.select(*names.columns, F.col("first_container").alias("container"),
+                        F.col("first_entry").alias("entry_path"))
+
+
 def dangling_refs(refs: DataFrame, decls: DataFrame, key: str = "key") -> DataFrame:
     return refs.join(decls.select(key).distinct(), key, "left_anti")
 

@@ -156,6 +156,16 @@ def test_same_container_preference(spark):
     assert sets.filter("set_key = 'k' and set_container is null").count() == 3
 
 
+def test_entries_of_descendants(spark):
+    sup = spark.createDataFrame([("x", "p/B", "p/A", "class"), ("y", "p/C", "p/B", "class"), ("y", "p/D", "p/A", "interface")],
+                                "container string, type_name string, super_name string, kind string")
+    decls = spark.createDataFrame([("p/B", "x", "b1"), ("p/B", "y", "b2"), ("p/C", "y", "c"), ("p/A", "x", "a")],
+                                  "type_name string, container string, entry_path string")
+    below = hierarchy.descendants(sup, spark.createDataFrame([("p/A",)], "type_name string")).selectExpr("descendant AS type_name", "depth")
+    got = rows(resolve.preferred_entries(below, decls, "y"), "type_name", "depth", "entry_path")
+    assert got == [("p/B", 1, "b2"), ("p/C", 2, "c"), ("p/D", 1, None)]
+
+
 def test_class_root_takes_the_longest_suffix(spark):
     df = spark.createDataFrame([("/r/a/b/C.class", "a/b/C"), ("/r/b/C.class", "a/b/C"), ("/r/XC.class", "a/b/C")], "file_path string, type_name string")
     assert [(r["inner_path"], r["root_path"]) for r in resolve.class_root(df).orderBy("file_path").collect()] == [
