@@ -27,12 +27,13 @@ SMALL_FRONTIER = 500_000
 
 
 def chain_closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """All ``(src, dst, depth)`` above each node for edges ``(src, dst)`` with at most one ``dst`` per ``src``.
+    """All ``(src, dst, depth)`` above each node for edges ``(src, dst)``; of several ``dst`` the smallest counts.
 
     Cycles end: a node is never its own ancestor and each pair keeps its smallest depth.
     """
     scratch = Scratch(edges.sparkSession, "chain")
-    first = edges.filter(F.col("src") != F.col("dst")).select("src", "dst", F.lit(1).alias("depth"))
+    first = edges.filter(F.col("src") != F.col("dst")).groupBy("src").agg(F.min("dst").alias("dst")).withColumn(
+        "depth", F.lit(1))
     reach, steps = 1, ["reach-1"]
     jumps, n = scratch.save(first, steps[0])
     while n and reach < max_depth:
@@ -94,14 +95,18 @@ def outermost(inner_outer: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
 
 
 def root_entries(types: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``(container, entry_path, root_entry)`` for every class entry; the chain stays inside the container and
-    a missing outermost entry falls back to the entry itself."""
-    key = F.concat_ws("\u0001", "container", "type_name")
-    outer = F.concat_ws("\u0001", "container", "outer_name")
+    """``(container, entry_path, root_entry)`` for every class entry. The chain stays inside the container and below
+    the same root directory, as for the versions of a multi-release archive; a missing outermost entry falls back to
+    the entry itself."""
+    own_path = F.concat("type_name", F.lit(".class"))
+    below = F.when(F.col("entry_path").endswith(own_path), F.substring(
+        "entry_path", F.lit(1), F.length("entry_path") - F.length(own_path))).otherwise("")
+    key = F.concat_ws("\u0001", "container", below, "type_name")
+    outer = F.concat_ws("\u0001", "container", below, "outer_name")
     roots = outermost(types.filter(F.col("outer_name").isNotNull())
                       .select(key.alias("inner_name"), outer.alias("outer_name")), max_depth)
     own = types.select("container", "entry_path", key.alias("inner_name"))
-    target = types.select(key.alias("root_name"), F.col("entry_path").alias("root_entry"))
+    target = types.groupBy(key.alias("root_name")).agg(F.min("entry_path").alias("root_entry"))
     return (
         own.join(roots, "inner_name", "left").join(target, "root_name", "left")
         .select("container", "entry_path", F.coalesce("root_entry", "entry_path").alias("root_entry"))
@@ -112,7 +117,9 @@ def display_names(types: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """``(container, type_name, display_name)``: package cut, inner names joined with dots along the chain of
     enclosing types. The chain ends at the first type that has no outer type in the container."""
     key = F.concat_ws("\u0001", "container", "type_name")
-    named = types.select("container", "type_name", "outer_name", "inner_name", key.alias("src"),
+    once = types.groupBy("container", "type_name").agg(
+        F.min("outer_name").alias("outer_name"), F.min("inner_name").alias("inner_name"))
+    named = once.select("container", "type_name", "outer_name", "inner_name", key.alias("src"),
                          F.when(F.col("outer_name").isNotNull(),
                                 F.concat_ws("\u0001", "container", "outer_name")).alias("dst"))
     chain = chain_closure(named.filter(F.col("dst").isNotNull()).select("src", "dst"), max_depth)
@@ -248,11 +255,9 @@ def resolve_member(refs: DataFrame, members: DataFrame, types: DataFrame, interf
         scratch.read(*steps).withColumnRenamed("at", "found_type") if steps else
         wanted.limit(0).select(*ident, F.lit(None).cast("string").alias("found_type"), F.lit(None).cast("int").alias("depth"))
     )
-    if interfaces is not None:
-        # Several parents may find the member at several levels; a single chain finds it once.
-        nearest = F.min(F.struct("depth", "found_type"))
-        found = found.groupBy(*ident).agg(nearest.alias("n")).select(
-            *ident, F.col("n.found_type").alias("found_type"), F.col("n.depth").alias("depth"))
+    # Several parents, or copies of a type in one container, may find the member more than once.
+    found = found.groupBy(*ident).agg(F.min(F.struct("depth", "found_type")).alias("n")).select(
+        *ident, F.col("n.found_type").alias("found_type"), F.col("n.depth").alias("depth"))
     return wanted.join(found, ident, "left")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from symlake import functions as L
 from symlake.functions.filters import DEFAULT_PREFIX_RULES, JAVA_KEYWORDS, RESERVED_FILE_NAMES
-from symlake.plans.fixtures import DESCRIPTOR, MEMBER, VIEWS, sub, table, view
+from symlake.plans.fixtures import DESCRIPTOR, sub, table, view
 from symlake.plans.registry import query
 
 _TAIL = "split_part(split_part(x,'/',-1),'$',-1)"

@@ -144,6 +144,21 @@ def test_member_resolution_prefers_the_own_container(spark):
         ("two", "p/Sub", "deep"): ("p/Root", 2), ("two", "p/Sub", "none"): (None, None), ("two", "p/Unknown", "run"): (None, None)}
 
 
+def test_copies_of_a_type_in_one_container_do_not_multiply(spark):
+    """A multi-release archive holds a type more than once."""
+    types = spark.createDataFrame(
+        [("c", "a/O.class", "a/O", None, None, "x", 1), ("c", "v9/a/O.class", "a/O", None, None, "x", 1),
+         ("c", "a/O$I.class", "a/O$I", "a/O", "I", "a/O", 1), ("c", "v9/a/O$I.class", "a/O$I", "a/O", "I", "a/P", 1)],
+        "container string, entry_path string, type_name string, outer_name string, inner_name string, super_name string, flags int")
+    assert rows(hierarchy.root_entries(types)) == [
+        ("c", "a/O$I.class", "a/O.class"), ("c", "a/O.class", "a/O.class"), ("c", "v9/a/O$I.class", "v9/a/O.class"),
+        ("c", "v9/a/O.class", "v9/a/O.class")]
+    assert rows(hierarchy.display_names(types)) == [("c", "a/O", "O"), ("c", "a/O$I", "O.I")]
+    members = spark.createDataFrame([("c", "a/O", "m", "()V")], "container string, type_name string, name string, descriptor string")
+    refs = spark.createDataFrame([("c", "a/O$I", "m", "()V")], "container string, type_name string, name string, descriptor string")
+    assert rows(hierarchy.resolve_member(refs, members, types), "found_type", "depth") == [("a/O", 1)]
+
+
 # --- resolution ---
 
 def test_same_container_preference(spark):
