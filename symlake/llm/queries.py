@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm import language
+from symlake.llm import language, minhash
 from symlake.llm.session import ids_and_texts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,3 +26,25 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.predict(docs, language.fit(docs))
     return found.select("doc_id", F.coalesce(~language.learned_from(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(ids_and_texts(table(spark, sf_dir, "documents")))
+
+
+ORACLES["op9_minhash_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 2
+        THEN [words[i] || ' ' || words[i + 1] for i in range(1, len(words))] WHEN len(words) = 1 THEN words ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_have FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+         WHERE 100 * both_have >= 80 * (p.n_shingles + q.n_shingles - both_have)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents
+          UNION SELECT r.doc_id, l.other FROM reach r JOIN (SELECT x AS one, y AS other FROM link UNION SELECT y, x FROM link) l ON l.one = r.other)
+SELECT d.doc_id, coalesce(n.n_shingles, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
+"""
