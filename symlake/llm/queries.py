@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm import language, minhash
+from symlake.llm import decontaminate, language, minhash
 from symlake.llm.session import ids_and_texts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +48,33 @@ reach AS (SELECT doc_id, doc_id AS other FROM documents
 SELECT d.doc_id, coalesce(n.n_shingles, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
 """
+
+
+@query
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_hits(ids_and_texts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda n, h: n + h["end"] - h["first"])
+    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+_FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES["op4_benchmark_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_FOLDED} AS words FROM documents),
+b AS (SELECT item_id, {_FOLDED} AS words FROM benchmark),
+item_window AS (SELECT DISTINCT item_id, least(len(words), 10) AS size,
+                  unnest([array_to_string(words[i:i + least(len(words), 10) - 1], ' ') for i in range(1, len(words) - least(len(words), 10) + 2)]) AS w
+                FROM b WHERE len(words) > 0),
+sizes AS (SELECT DISTINCT size FROM item_window),
+doc_window AS (SELECT doc_id, size, unnest(range(1, len(words) - size + 2)) AS i,
+                 unnest([array_to_string(words[i:i + size - 1], ' ') for i in range(1, len(words) - size + 2)]) AS w
+               FROM d, sizes WHERE len(words) >= size),
+hit AS (SELECT doc_id, i, item_id, size FROM doc_window JOIN item_window USING (size, w)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hit) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
