@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm import decontaminate, language, minhash
+from symlake.llm import bpe, decontaminate, language, minhash
 from symlake.llm.session import ids_and_texts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,21 @@ found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
+def _vocabulary(path: str | None = None) -> bpe.Vocabulary:
+    """Ranks from ``path``; by default the public 50k byte-level vocabulary installed beside Python."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.Vocabulary.read(path)
+
+
+@query
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _vocabulary()
+    tokens = bpe.encode(ids_and_texts(table(spark, sf_dir, "documents")), words)
+    both = bpe.decode(tokens, words)
+    return both.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("bytes", 256).alias("decoded_sha256"))
