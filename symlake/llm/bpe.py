@@ -25,7 +25,8 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from symlake.llm.arrays import slices, utf8
 from symlake.llm.session import prepare
@@ -297,11 +298,17 @@ class Vocabulary:
         return out
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, with_offsets: bool = False) -> DataFrame:
-    """``doc_id, n_bytes, ids`` (binary: little-endian unsigned 32-bit numbers) and, if asked for, ``offsets`` (likewise:
-    the byte of the text at which each token starts). ``n_bytes`` is the length of the text in UTF-8."""
+def count_tokens(ids: str) -> Column:
+    return F.shiftright(F.octet_length(ids), 2).cast("bigint")
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, with_offsets: bool = False, keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """``doc_id``, the columns to ``keep``, ``n_bytes, ids`` (binary: little-endian unsigned 32-bit numbers) and, if asked
+    for, ``offsets`` (likewise: the byte of the text at which each token starts). ``n_bytes`` is the length of the text
+    in UTF-8."""
     shared = prepare(docs).sparkContext.broadcast(vocabulary)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    kept = ["doc_id", *keep]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
@@ -311,13 +318,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, with_offsets: bool = False)
             for i, j in slices(offsets, SLICE_BYTES):
                 lo = offsets[i]
                 ids = words.encode(data[lo:offsets[j]], offsets[i:j + 1] - lo)
-                columns = [batch["doc_id"].slice(i, j - i), pa.array(np.diff(offsets[i:j + 1])), pa.array(ids, pa.binary())]
+                columns = [*(batch[c].slice(i, j - i) for c in kept), pa.array(np.diff(offsets[i:j + 1])), pa.array(ids, pa.binary())]
                 if with_offsets:
                     columns.append(pa.array([token_offsets(x, lengths) for x in ids], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "ids", "offsets"][:len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "n_bytes", "ids", "offsets"][:len(columns)])
 
     extra = ", offsets binary" if with_offsets else ""
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_bytes bigint, ids binary{extra}")
+    return docs.select(*kept, "text").mapInArrow(run, f"{kinds}, n_bytes bigint, ids binary{extra}")
 
 
 def token_offsets(ids: bytes, lengths: np.ndarray) -> bytes:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm import bpe, decontaminate, language, minhash
+from symlake.llm import bpe, decontaminate, language, minhash, secret_scan
 from symlake.llm.session import ids_and_texts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,7 +80,7 @@ SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
 
-def _vocabulary(path: str | None = None) -> bpe.Vocabulary:
+def byte_vocabulary(path: str | None = None) -> bpe.Vocabulary:
     """Ranks from ``path``; by default the public 50k byte-level vocabulary installed beside Python."""
     if path is None:
         import public_tokenizers
@@ -91,8 +91,19 @@ def _vocabulary(path: str | None = None) -> bpe.Vocabulary:
 
 @query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _vocabulary()
+    words = byte_vocabulary()
     tokens = bpe.encode(ids_and_texts(table(spark, sf_dir, "documents")), words)
     both = bpe.decode(tokens, words)
-    return both.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+    return both.select("doc_id", bpe.count_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@query
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = ids_and_texts(table(spark, sf_dir, "documents"))
+    found = secret_scan.scan(docs, secret_scan.train(docs))
+    n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "model")
+    return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"),
+                        F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
