@@ -9,8 +9,8 @@ Work is one row per document and table, never one per pair:
 
 1. documents with equal shingle sets form a class and only its smallest id goes on;
 2. in every table entry, members are compared with the smallest one only;
-3. entries that still hold members of different components after that compare across components, so no link
-   between components is lost, whatever the size of the entry;
+3. members of different components that share a smallest member are compared where their differences from it leave
+   a link possible (``_pairs_across``: exact), so no link between components is lost, whatever the size of the entry;
 4. confirmed links are contracted to components (``symlake.llm.components``).
 
 Defined results: null or empty text has no shingles and is linked with nothing; a text of one word (fewer words than a
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from symlake.llm.arrays import LOWER, NON_SPACE, Roller, mix, signed, slices, utf8, word_spans
 from symlake.llm.components import components
@@ -99,10 +100,10 @@ def table_keys(signed_docs: DataFrame) -> DataFrame:
     return signed_docs.select(F.explode(F.expr(pairs)).alias("key"), F.col("doc_id").alias("doc"))
 
 
-def similar(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose shingle sets satisfy ``100 * intersection >= percent * union``, from whole texts."""
+def compare(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """``a, b, linked, size_a, size_b, apart`` for pairs ``(a, b)``, from whole texts: are the shingle sets similar
+    (``100 * intersection >= percent * union``), their sizes, and the shingles that only one of them has."""
     prepare(docs)
-    # One text per id: repeated rows of an id agree or are classes of their own, see `near_duplicates`.
     left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b")
@@ -110,19 +111,26 @@ def similar(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [utf8(batch[c]) for c in ("text_a", "text_b")]
-            keep = np.zeros(batch.num_rows, dtype=bool)
+            linked, sizes, apart = [], [], []
             ids = batch["b"].to_numpy(zero_copy_only=False)
             last, last_set = None, None
             for k in range(batch.num_rows):
                 if last is None or ids[k] != last:
                     last, last_set = ids[k], _one_set(*columns[1], k, width)
                 own = _one_set(*columns[0], k, width)
-                common = len(np.intersect1d(own, last_set, assume_unique=True))
-                keep[k] = 100 * common >= percent * (len(own) + len(last_set) - common)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep))
+                different = np.setxor1d(own, last_set, assume_unique=True)
+                total = len(own) + len(last_set)
+                linked.append((100 + percent) * len(different) <= (100 - percent) * total)
+                sizes.append((len(own), len(last_set)))
+                apart.append(signed(different))
+            cut = np.concatenate([[0], np.cumsum([len(x) for x in apart])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(apart) if apart else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [batch["a"], batch["b"], pa.array(linked, pa.bool_()), pa.array([x for x, _ in sizes], pa.int64()),
+                 pa.array([y for _, y in sizes], pa.int64()), lists], names=["a", "b", "linked", "size_a", "size_b", "apart"])
 
     kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("a", "b"))
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, kinds)
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"{kinds}, linked boolean, size_a bigint, size_b bigint, apart array<bigint>")
 
 
 def _one_set(data: np.ndarray, offsets: np.ndarray, k: int, width: int) -> np.ndarray:
@@ -130,6 +138,39 @@ def _one_set(data: np.ndarray, offsets: np.ndarray, k: int, width: int) -> np.nd
     return shingle_sets(data[lo:hi], np.array([0, hi - lo]), width)[0]
 
 
+def _pairs_across(compared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of different components that were compared with one smallest member (hub) and may still be
+    similar to each other. None that is similar is left out.
+
+    Let ``D(x)`` be the shingles in which ``x`` and the hub ``h`` differ, ``c = (100 - percent) / (100 + percent)``.
+    ``x`` and ``y`` are similar exactly if they differ in at most ``c (|x| + |y|)`` shingles, that is if ``D(x)`` and
+    ``D(y)`` share at least ``(|D(x)| + |D(y)| - c (|x| + |y|)) / 2``. If both are linked to the hub they are in one
+    component already. If ``x`` is not, the number to share is at least ``(|D(x)| - c (|x| + |h|)) / 2`` and, for a
+    ``y`` that is linked, more than ``(|D(y)| + c (|h| - |y|)) / 2``, and never less than one. Two sets that share
+    ``t`` elements meet within the first ``size - t + 1`` of each in any common order. The order takes rare ones first:
+    what only one copy changed comes before what many changed, so few pairs meet by chance, however large the group."""
+    p, q = 100 + percent, 100 - percent
+    n = F.size("apart").cast("bigint")
+    far_least = f"greatest(1, cast(ceil((size(apart) * {p} - {q} * (size_a + size_b)) / {2 * p}D) as bigint))"
+    near_least = f"greatest(1, cast(floor((size(apart) * {p} + {q} * (size_b - size_a)) / {2 * p}D) as bigint) + 1)"
+    least = F.when(F.col("linked"), F.expr(near_least)).otherwise(F.expr(far_least))
+    placed = compared.join(found.select(F.col("node").alias("a"), "component"), "a", "left").select(
+        F.col("b").alias("hub"), F.col("a").alias("doc"), F.coalesce("component", "a").alias("component"), "linked", "size_a",
+        (n - least + 1).alias("reach"), "apart")
+    open_hubs = placed.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("hub")
+    tokens = placed.join(open_hubs, "hub").filter("reach > 0").select(
+        "hub", "doc", "component", "linked", "size_a", "reach", F.explode("apart").alias("token"))
+    counted = tokens.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Tokens of one document only stand first in its order; they meet nothing, but take up places.
+    known = tokens.join(counted, ["hub", "token"], "left")
+    place = F.row_number().over(Window.partitionBy("hub", "doc").orderBy(F.coalesce("n", F.lit(1)), "token"))
+    heads = known.withColumn("place", place).filter("place <= reach AND n IS NOT NULL")
+    x, y = heads.filter("NOT linked").alias("x"), heads.alias("y")
+    meet = (f"x.hub = y.hub AND x.token = y.token AND x.component != y.component AND (y.linked OR x.doc < y.doc) "
+            f"AND 100 * least(x.size_a, y.size_a) >= {percent} * greatest(x.size_a, y.size_a)")
+    return x.join(y, F.expr(meet)).select(F.expr("greatest(x.doc, y.doc)").alias("a"), F.expr("least(x.doc, y.doc)").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, halves: int = 10, rows: int = 2) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -143,23 +184,13 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, halves:
 
     keys = table_keys(reps)
     shared = keys.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).filter("hub < last").select("key", "hub")
-    members, _ = scratch.save(keys.join(shared, "key").select("key", "doc", "hub"), "members")
-    first_pairs, _ = scratch.save(members.filter("doc != hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct(), "pairs-1")
-    links, _ = scratch.save(similar(first_pairs, docs, percent, width), "links-1")
+    pairs = keys.join(shared, "key").filter("doc != hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
+    compared, _ = scratch.save(compare(pairs, docs, percent, width), "compared")
+    links = compared.filter("linked").select("a", "b")
     found = components(links, scratch, "stars-1")
-
-    # Entries with members of several components: compare across them, except what was compared already.
-    placed = members.select("key", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select(
-        "key", "doc", F.coalesce("component", "doc").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    open_rows, _ = scratch.save(
-        placed.join(mixed, "key").join(classes.select(F.col("rep").alias("doc"), "size").dropDuplicates(["doc"]), "doc"), "mixed")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    near = f"x.key = y.key AND x.component < y.component AND 100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size)"
-    rest = x.join(y, F.expr(near)).select(F.expr("greatest(x.doc, y.doc)").alias("a"), F.expr("least(x.doc, y.doc)").alias("b")).distinct()
-    more, n = scratch.save(rest.join(first_pairs, ["a", "b"], "left_anti"), "pairs-2")
+    more, n = scratch.save(_pairs_across(compared, found, percent), "across")
     if n:
-        more_links, n = scratch.save(similar(more, docs, percent, width), "links-2")
+        more_links, n = scratch.save(compare(more, docs, percent, width).filter("linked").select("a", "b"), "links-2")
         if n:
             found = components(links.unionAll(more_links), scratch, "stars-2")
     named = classes.select("s1", "s2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
