@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm import bpe, decontaminate, language, minhash, secret_scan, substrings
+from symlake.llm import bpe, decontaminate, language, merkle, minhash, secret_scan, substrings
 from symlake.llm.session import ids_and_texts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +125,12 @@ word AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1))
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT d.doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+@query
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = merkle.with_next(ids_and_texts(table(spark, sf_dir, "documents"))).withColumn("edited", merkle.edited())
+    shown = texts.select("doc_id", F.char_length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+                         "text", "edited", "next_text")
+    return merkle.fingerprint(shown, {"text": "fingerprint", "edited": "edited_fingerprint"},
+                              {"near_edited": ("text", "edited"), "near_next": ("text", "next_text")})
