@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm import bpe, decontaminate, language, merkle, minhash, secret_scan, substrings
+from symlake.llm import bpe, decontaminate, language, licenses, merkle, minhash, secret_scan, substrings
 from symlake.llm.session import ids_and_texts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,3 +134,15 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "text", "edited", "next_text")
     return merkle.fingerprint(shown, {"text": "fingerprint", "edited": "edited_fingerprint"},
                               {"near_edited": ("text", "edited"), "near_next": ("text", "next_text")})
+
+
+@query
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(ids_and_texts(table(spark, sf_dir, "documents")))
+    base, places = licenses.base_labels(), licenses.all_places()
+    both = F.array_sort(F.array_distinct(F.concat(base, F.transform("found", lambda h: h["label"]))))
+    confidence = F.array_max(F.concat(F.transform("found", lambda h: h["confidence"]), F.when(F.size(base) > 0, F.array(F.lit(0.9))).otherwise(F.array().cast("array<double>"))))
+    return found.select(
+        "doc_id", "n_words", F.size(places).cast("bigint").alias("n_base"), F.array_min(places).cast("bigint").alias("first_word"),
+        F.array_max(places).cast("bigint").alias("last_word"), F.array_join(F.array_sort(base), ",").alias("base_labels"),
+        F.array_join(both, ",").alias("labels"), F.coalesce(confidence, F.lit(0.0)).alias("score"))
