@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm import bpe, decontaminate, language, licenses, merkle, minhash, secret_scan, substrings
+from symlake.llm import bpe, decontaminate, language, licenses, merkle, minhash, secret_scan, substrings, warc
 from symlake.llm.session import ids_and_texts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,3 +146,17 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", F.size(places).cast("bigint").alias("n_base"), F.array_min(places).cast("bigint").alias("first_word"),
         F.array_max(places).cast("bigint").alias("last_word"), F.array_join(F.array_sort(base), ",").alias("base_labels"),
         F.array_join(both, ",").alias("labels"), F.coalesce(confidence, F.lit(0.0)).alias("score"))
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.read(warc.write(pages)).drop("url")
+
+
+ORACLES["op6_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM f"""
