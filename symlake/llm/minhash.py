@@ -9,8 +9,8 @@ Work is one row per document and table, never one per pair:
 
 1. documents with equal shingle sets form a class and only its smallest id goes on;
 2. in every table entry, members are compared with the smallest one only;
-3. members of different components that share a smallest member are compared where their differences from it leave
-   a link possible (``_pairs_across``: exact), so no link between components is lost, whatever the size of the entry;
+3. members of different components that share a smallest member are compared by their differences from it
+   (``_links_across``: exact), so no link between components is lost, whatever the size of the entry;
 4. confirmed links are contracted to components (``symlake.llm.components``).
 
 Defined results: null or empty text has no shingles and is linked with nothing; a text of one word (fewer words than a
@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from symlake.llm.arrays import LOWER, NON_SPACE, Roller, mix, signed, slices, utf8, word_spans
 from symlake.llm.components import components
@@ -138,37 +137,48 @@ def _one_set(data: np.ndarray, offsets: np.ndarray, k: int, width: int) -> np.nd
     return shingle_sets(data[lo:hi], np.array([0, hi - lo]), width)[0]
 
 
-def _pairs_across(compared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of different components that were compared with one smallest member (hub) and may still be
-    similar to each other. None that is similar is left out.
+def _links_across(compared: DataFrame, found: DataFrame, percent: int, x_tokens: int = 200_000, y_tokens: int = 1_000_000) -> DataFrame:
+    """Links ``(a, b)`` between members of different components that were compared with one smallest member (hub).
 
-    Let ``D(x)`` be the shingles in which ``x`` and the hub ``h`` differ, ``c = (100 - percent) / (100 + percent)``.
-    ``x`` and ``y`` are similar exactly if they differ in at most ``c (|x| + |y|)`` shingles, that is if ``D(x)`` and
-    ``D(y)`` share at least ``(|D(x)| + |D(y)| - c (|x| + |y|)) / 2``. If both are linked to the hub they are in one
-    component already. If ``x`` is not, the number to share is at least ``(|D(x)| - c (|x| + |h|)) / 2`` and, for a
-    ``y`` that is linked, more than ``(|D(y)| + c (|h| - |y|)) / 2``, and never less than one. Two sets that share
-    ``t`` elements meet within the first ``size - t + 1`` of each in any common order. The order takes rare ones first:
-    what only one copy changed comes before what many changed, so few pairs meet by chance, however large the group."""
-    p, q = 100 + percent, 100 - percent
-    n = F.size("apart").cast("bigint")
-    far_least = f"greatest(1, cast(ceil((size(apart) * {p} - {q} * (size_a + size_b)) / {2 * p}D) as bigint))"
-    near_least = f"greatest(1, cast(floor((size(apart) * {p} + {q} * (size_b - size_a)) / {2 * p}D) as bigint) + 1)"
-    least = F.when(F.col("linked"), F.expr(near_least)).otherwise(F.expr(far_least))
+    Let ``D(x)`` be the shingles in which ``x`` and the hub differ. ``x`` and ``y`` differ in
+    ``|D(x)| + |D(y)| - 2 |D(x) & D(y)|`` shingles, so their similarity follows from these short lists alone, exactly and
+    without their texts. Two members that are linked to the hub are in one component already, so one of a pair is not:
+    the few such members (side x) meet all (side y) in blocks of bounded size, in which an inverted list over the
+    differences of the x side counts what is shared. Only links leave a block, never pairs."""
+    prepare(compared)
     placed = compared.join(found.select(F.col("node").alias("a"), "component"), "a", "left").select(
-        F.col("b").alias("hub"), F.col("a").alias("doc"), F.coalesce("component", "a").alias("component"), "linked", "size_a",
-        (n - least + 1).alias("reach"), "apart")
-    open_hubs = placed.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("hub")
-    tokens = placed.join(open_hubs, "hub").filter("reach > 0").select(
-        "hub", "doc", "component", "linked", "size_a", "reach", F.explode("apart").alias("token"))
-    counted = tokens.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # Tokens of one document only stand first in its order; they meet nothing, but take up places.
-    known = tokens.join(counted, ["hub", "token"], "left")
-    place = F.row_number().over(Window.partitionBy("hub", "doc").orderBy(F.coalesce("n", F.lit(1)), "token"))
-    heads = known.withColumn("place", place).filter("place <= reach AND n IS NOT NULL")
-    x, y = heads.filter("NOT linked").alias("x"), heads.alias("y")
-    meet = (f"x.hub = y.hub AND x.token = y.token AND x.component != y.component AND (y.linked OR x.doc < y.doc) "
-            f"AND 100 * least(x.size_a, y.size_a) >= {percent} * greatest(x.size_a, y.size_a)")
-    return x.join(y, F.expr(meet)).select(F.expr("greatest(x.doc, y.doc)").alias("a"), F.expr("least(x.doc, y.doc)").alias("b")).distinct()
+        F.col("b").alias("hub"), F.col("a").alias("doc"), F.coalesce("component", "a").alias("component"), "linked", F.col("size_a").alias("size"), "apart")
+    n = F.size("apart").cast("bigint")
+    hubs = placed.groupBy("hub").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.when(F.col("linked"), 0).otherwise(n)).alias("x"), F.sum(n).alias("y")
+    ).filter("lo < hi").select("hub", F.ceil(F.col("x") / x_tokens).alias("x_blocks"), F.ceil(F.col("y") / y_tokens).alias("y_blocks"))
+    rows = placed.join(hubs, "hub")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(blocks) - 1))
+    keep = ["hub", "doc", "component", "size", "apart"]
+    x = rows.filter("NOT linked").select(*keep, F.pmod(F.xxhash64("doc", F.lit(1)), F.col("x_blocks")).alias("i"), every("y_blocks").alias("j"))
+    y = rows.filter("x_blocks > 0").select(*(F.col(c).alias(f"y_{c}") for c in keep), every("x_blocks").alias("y_i"), F.pmod(
+        F.xxhash64("doc", F.lit(2)), F.col("y_blocks")).alias("y_j"))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        sides = [[t[f"{side}{c}"].combine_chunks() for c in ("doc", "component", "size", "apart")] for t, side in ((left, ""), (right, "y_"))]
+        (x_doc, x_part, x_size), (y_doc, y_part, y_size) = ([c.to_numpy(zero_copy_only=False) for c in s[:3]] for s in sides)
+        (x_cut, x_all), (y_cut, y_all) = ((s[3].offsets.to_numpy() - s[3].offsets[0].as_py(), s[3].flatten().to_numpy()) for s in sides)
+        x_n, y_n = np.diff(x_cut), np.diff(y_cut)
+        order = np.argsort(x_all, kind="stable")
+        tokens, owner = x_all[order], np.repeat(np.arange(len(x_doc)), x_n)[order]
+        first, last = np.searchsorted(tokens, y_all, "left"), np.searchsorted(tokens, y_all, "right")
+        a, b = [], []
+        for k in range(len(y_doc)):
+            lo, hi = first[y_cut[k]:y_cut[k + 1]], last[y_cut[k]:y_cut[k + 1]]
+            some = np.flatnonzero(hi > lo)
+            shared = np.bincount(np.concatenate([owner[lo[q]:hi[q]] for q in some]), minlength=len(x_doc)) if len(some) else np.zeros(len(x_doc), np.int64)
+            good = ((100 + percent) * (x_n + y_n[k] - 2 * shared) <= (100 - percent) * (x_size + y_size[k])) & (x_part != y_part[k])
+            a += x_doc[good].tolist()
+            b += [y_doc[k]] * int(good.sum())
+        return pa.table({"a": pa.array(a, left["doc"].type), "b": pa.array(b, left["doc"].type)})
+
+    kind = compared.schema["a"].dataType.simpleString()
+    return x.groupBy("hub", "i", "j").cogroup(y.groupBy("y_hub", "y_i", "y_j")).applyInArrow(meet, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, halves: int = 10, rows: int = 2) -> DataFrame:
@@ -188,11 +198,9 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, halves:
     compared, _ = scratch.save(compare(pairs, docs, percent, width), "compared")
     links = compared.filter("linked").select("a", "b")
     found = components(links, scratch, "stars-1")
-    more, n = scratch.save(_pairs_across(compared, found, percent), "across")
+    more, n = scratch.save(_links_across(compared, found, percent), "links-2")
     if n:
-        more_links, n = scratch.save(compare(more, docs, percent, width).filter("linked").select("a", "b"), "links-2")
-        if n:
-            found = components(links.unionAll(more_links), scratch, "stars-2")
+        found = components(links.unionAll(more), scratch, "stars-2")
     named = classes.select("s1", "s2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     out = marked.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
