@@ -100,9 +100,11 @@ def _emit(docs: DataFrame, choose: Callable, extra: str = "") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch["text"])
+            named = batch["doc_id"].is_valid().to_numpy(zero_copy_only=False)
             for i, j in slices(offsets):
                 words = _Words(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 at, one, two = choose(words, batch, i, j)
+                at = at[named[words.row[at] + i]]
                 _, once = np.unique(words.keys(one, at), return_index=True)
                 at = at[once]
                 columns = [pa.array(signed(v[at])) for v in (one, two) if v is not None]
@@ -117,7 +119,7 @@ def _first_level(docs: DataFrame, small: int, large: int, hot: np.ndarray) -> Da
         at = np.unique(words.anchors(small, large)[words.inside(large)])
         return at[~_member(values[at], hot)], values, None
 
-    return _emit(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"), choose)
+    return _emit(docs.select("doc_id", "text"), choose)
 
 
 def _next_level(docs: DataFrame, small: int, large: int, hot_small: np.ndarray, hot_large: np.ndarray, anchored: bool) -> DataFrame:
@@ -134,7 +136,8 @@ def _next_level(docs: DataFrame, small: int, large: int, hot_small: np.ndarray,
         at = np.flatnonzero(alive & words.inside(large))
         return at[~_member(one[at], hot_large)], one, words.windows(large, _SECOND)
 
-    return _emit(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL"), choose, ", h2 bigint")
+    # No filter here: every level and the end join the same rows, so their texts are shuffled once.
+    return _emit(docs, choose, ", h2 bigint")
 
 
 def _repeated(rows: DataFrame, keys: list[str], test: str) -> DataFrame:
@@ -155,7 +158,7 @@ def _frequent(docs: DataFrame, sizes: list[int], sample_docs: int, share: float)
     ``sample windows / 20`` hashes reach the driver."""
     n = docs.count()
     rate = min(1.0, sample_docs / max(n, 1))
-    sample = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * rate) + 1))
+    sample = docs.filter(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * rate) + 1))
     least = max(20, int(share * min(n, sample_docs)))
     out = {}
     for size, following in zip(sizes, [*sizes[1:], None]):
@@ -205,7 +208,7 @@ def remove_repeats(docs: DataFrame, length: int = 13, sample_docs: int = 5000, s
     hot = _frequent(docs, sizes, sample_docs, share)
     hot_keys, hot_docs = _owners(docs, length, hot[length])
     if len(sizes) == 1:
-        found = _emit(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL"),
+        found = _emit(docs,
                       lambda words, batch, i, j: ((at := np.flatnonzero(words.inside(length)))[~_member(words.windows(length)[at], hot_keys)],
                                                   words.windows(length), words.windows(length, _SECOND)), ", h2 bigint")
     else:
@@ -262,7 +265,7 @@ def longest_repeats(docs: DataFrame, start: int = 13) -> DataFrame:
     scratch = Scratch(prepare(docs), "longest-repeats")
     docs = docs.select("doc_id", "text")
     none = np.zeros(0, np.uint64)
-    rows = _emit(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL"),
+    rows = _emit(docs,
                  lambda words, batch, i, j: (np.flatnonzero(words.inside(start)), words.windows(start), words.windows(start, _SECOND)), ", h2 bigint")
     size, found = start, None
     while True:
