@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm import bpe, decontaminate, language, licenses, merkle, minhash, secret_scan, substrings, warc
+from symlake.llm import bpe, decontaminate, language, licenses, merkle, minhash, secret_scan, shards, substrings, warc
 from symlake.llm.session import ids_and_texts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,3 +160,10 @@ f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest)
 SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id > first THEN first END AS refers_to
 FROM f"""
+
+
+@query
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest, index = shards.write(ids_and_texts(table(spark, sf_dir, "documents")), byte_vocabulary(), key=20_260_101)
+    found = shards.read(manifest).select("slot", F.shiftright(F.octet_length("ids"), 1).cast("bigint").alias("n_ids"), F.sha2("ids", 256).alias("ids_sha256"))
+    return found.join(index, "slot").select("slot", F.floor(F.col("slot") / 16_384).alias("shard"), "n_ids", "ids_sha256", "doc_ids")
