@@ -1,8 +1,8 @@
 """As-of lookups: the greatest right position at or below a left position, per key.
 
-A plain window per key would put a hot key into one task. Keys above ``heavy_rows`` are therefore cut into
-slices at approximate quantiles of their own positions; each slice is scanned on its own and starts from the
-last value of the slices before it. Where the cuts fall changes the work, never the answer.
+Rows of both sides are dealt by range over (key, position), so one key may span any number of partitions. Each
+partition is scanned on its own, and what the partitions before it hold of the same key (one row per key and partition)
+is carried in. There is one way for keys of every size.
 """
 
 from __future__ import annotations
@@ -13,97 +13,46 @@ from pyspark.sql import functions as F
 
 from symlake.session import Scratch
 
-HEAVY_ROWS = 2_000_000
-SLICES = 256
 
-
-def asof_floor(left: DataFrame, right: DataFrame, keys: list[str], left_pos: str, right_pos: str,
-               value: str, heavy_rows: int = HEAVY_ROWS, slices: int = SLICES) -> DataFrame:
+def asof_floor(left: DataFrame, right: DataFrame, keys: list[str], left_pos: str, right_pos: str, value: str) -> DataFrame:
     """``left`` plus ``value`` and ``matched_pos`` of the last right row at or below ``left_pos``; ties on the
-    right take the highest value. No match gives nulls.
-
-    One counting job finds out whether any key is heavy. Without one, the answer is a single window over the
-    union of both sides.
-    """
+    right take the highest value. No match gives nulls, and so does a null key or position."""
     right = right.dropna(subset=[*keys, right_pos])
-    sizes = left.select(*keys).unionByName(right.select(*keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = sizes.filter(F.col("_n") > heavy_rows).select(*keys)
-    if heavy.isEmpty():
-        return _scan(left, right, keys, left_pos, right_pos, value)
-    heavy, _ = Scratch(left.sparkSession, "asof").save(heavy, "heavy")
-    light = _scan(left.join(heavy, keys, "left_anti"), right.join(heavy, keys, "left_anti"), keys, left_pos,
-                  right_pos, value)
-    hot = _sliced(left.join(heavy, keys, "left_semi"), right.join(heavy, keys, "left_semi"), keys, left_pos,
-                  right_pos, value, slices)
-    return light.unionByName(hot)
-
-
-def _hit_type(right: DataFrame, pos: str, value: str):
-    return right.select(F.struct(F.col(pos).alias("_pos"), F.col(value).alias("_value"))).schema[0].dataType
-
-
-def _scan(left: DataFrame, right: DataFrame, keys: list[str], left_pos: str, right_pos: str, value: str) -> DataFrame:
-    """One window per key over the left rows, which keep their columns, and the right rows."""
+    usable = F.lit(True)
+    for c in (*keys, left_pos):
+        usable = usable & F.col(c).isNotNull()
+    hit = right.select(F.struct(F.col(right_pos).alias("_pos"), F.col(value).alias("_value")).alias("_hit"))
     row = F.struct(*left.columns)
-    none = F.lit(None)
-    asked = left.select(*keys, F.col(left_pos).alias("_pos"), F.lit(1).alias("_side"), row.alias("_row"),
-                        none.cast(_hit_type(right, right_pos, value)).alias("_hit"))
+    asked = left.filter(usable).select(*keys, F.col(left_pos).alias("_pos"), F.lit(1).alias("_side"), row.alias("_row"),
+                                       F.lit(None).cast(hit.schema[0].dataType).alias("_hit"))
     known = right.select(*keys, F.col(right_pos).alias("_pos"), F.lit(0).alias("_side"),
-                         none.cast(asked.schema["_row"].dataType).alias("_row"),
+                         F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"),
                          F.struct(F.col(right_pos).alias("_pos"), F.col(value).alias("_value")).alias("_hit"))
-    upto = W.partitionBy(*keys).orderBy("_pos", "_side", "_hit").rowsBetween(W.unboundedPreceding, 0)
-    return (
-        asked.unionByName(known).withColumn("_last", F.last("_hit", ignorenulls=True).over(upto))
-        .filter(F.col("_side") == 1)
-        .select(*[F.col(f"_row.{c}").alias(c) for c in left.columns], F.col("_last._value").alias(value),
-                F.col("_last._pos").alias("matched_pos"))
-    )
-
-
-def _sliced(left: DataFrame, right: DataFrame, keys: list[str], left_pos: str, right_pos: str, value: str,
-            slices: int) -> DataFrame:
-    """Heavy keys: equal positions are folded first, then every key is scanned in slices."""
-    probe = left.select(*keys, F.col(left_pos).alias("_pos")).distinct().withColumn("_side", F.lit(1))
-    best = right.groupBy(*keys, F.col(right_pos).alias("_pos")).agg(F.max(value).alias("_value"))
-    scratch = Scratch(left.sparkSession, "asof")
-    rows, _ = scratch.save(
-        probe.withColumn("_hit", F.lit(None).cast(_hit_type(right, right_pos, value)))
-        .unionByName(best.select(*keys, "_pos", F.lit(0).alias("_side"), F.struct("_pos", "_value").alias("_hit"))),
-        "rows")
-    number = F.col("_pos")
-    if _is_time(left, left_pos):
-        number = F.unix_micros(F.col("_pos").cast("timestamp"))
-    number = number.cast("double")
-    points = [i / slices for i in range(1, slices)]
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx(number, points, F.lit(slices * 20)).alias("_cuts"))
-    sliced, _ = scratch.save(
-        rows.join(cuts, keys).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < number))).drop("_cuts"),
-        "sliced")
-    inside = W.partitionBy(*keys, "_slice").orderBy("_pos", "_side").rowsBetween(W.unboundedPreceding, 0)
-    scanned = sliced.withColumn("_in", F.last("_hit", ignorenulls=True).over(inside)).filter(F.col("_side") == 1)
-    tails = sliced.groupBy(*keys, "_slice").agg(F.max("_hit").alias("_tail"))
-    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    carry = tails.withColumn("_carry", F.last("_tail", ignorenulls=True).over(before)).drop("_tail")
-    answer = (
-        scanned.join(carry, [*keys, "_slice"], "left").withColumn("_hit", F.coalesce("_in", "_carry"))
-        .select(*keys, F.col("_pos").alias(left_pos), F.col("_hit._value").alias(value),
-                F.col("_hit._pos").alias("matched_pos"))
-    )
-    return left.join(answer, [*keys, left_pos], "left").select(*left.columns, value, "matched_pos")
-
-
-def _is_time(df: DataFrame, col: str) -> bool:
-    return df.schema[col].dataType.typeName().startswith(("timestamp", "date"))
-
-
-def line_lookup(requests: DataFrame, line_map: DataFrame, **kw) -> DataFrame:
+    # A hash spreads even rows of one key and position.
+    laid, _ = Scratch(left.sparkSession, "asof").save(
+        asked.unionByName(known).repartitionByRange(*keys, "_pos", "_side", F.xxhash64("_row", "_hit"))
+        .withColumn("_part", F.spark_partition_id()), "laid")
+    # A hit is (position, value), so the last one is the greatest one so far.
+    inside = W.partitionBy(*keys, "_part").orderBy("_pos", "_side").rowsBetween(W.unboundedPreceding, 0)
+    scanned = laid.withColumn("_in", F.max("_hit").over(inside)).filter(F.col("_side") == 1)
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    carry = laid.groupBy(*keys, "_part").agg(F.max("_hit").alias("_tail")).withColumn(
+        "_carry", F.max("_tail").over(before)).drop("_tail")
+    last = F.coalesce("_in", "_carry")
+    found = scanned.join(carry, [*keys, "_part"], "left").select(
+        *[F.col(f"_row.{c}").alias(c) for c in left.columns], last["_value"].alias(value), last["_pos"].alias("matched_pos"))
+    return found.unionByName(left.filter(~usable).select(
+        *left.columns, F.lit(None).cast(found.schema[value].dataType).alias(value), F.lit(None).cast(found.schema["matched_pos"].dataType).alias("matched_pos")))
+
+
+def line_lookup(requests: DataFrame, line_map: DataFrame) -> DataFrame:
     """View line for ``requests(container, entry_path, line)``: the view line of the greatest source line at or
     below the request, the highest one on ties, and 1 without any."""
     known = line_map.filter(F.col("src_line") > 0)
-    return asof_floor(requests, known, ["container", "entry_path"], "line", "src_line", "view_line", **kw) \
+    return asof_floor(requests, known, ["container", "entry_path"], "line", "src_line", "view_line") \
         .withColumn("view_line", F.coalesce("view_line", F.lit(1))).drop("matched_pos")
 
 
-def enclosing_declaration(offsets: DataFrame, declarations: DataFrame, **kw) -> DataFrame:
+def enclosing_declaration(offsets: DataFrame, declarations: DataFrame) -> DataFrame:
     """Type declared at or before ``offsets(container, entry_path, offset)``; null ahead of the first one."""
-    return asof_floor(offsets, declarations, ["container", "entry_path"], "offset", "start", "type_name", **kw)
+    return asof_floor(offsets, declarations, ["container", "entry_path"], "offset", "start", "type_name")

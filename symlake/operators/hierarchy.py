@@ -1,14 +1,16 @@
 """Closures over parent and super-type edges.
 
-Two kernels:
+Three kernels, none with a depth limit:
 
-* ``chain_closure`` for edges with one parent per node. It doubles the reach each round, so the number of jobs is
-  the logarithm of the depth.
-* ``graph_closure`` for several parents per node, level by level from given seeds.
+* ``tops`` for edges with one parent per node when only the end of each chain matters: pointer jumping, one row per
+  node and round, as many rounds as the depth has binary digits.
+* ``chain_closure`` for all ancestors over such edges; it doubles the reach each round.
+* ``graph_closure`` for several parents per node, level by level from given seeds until nothing new is found.
 
 Each round is written to the scratch folder (see ``session.Scratch``); the row count comes with the write, so
 nothing but that count reaches the driver. Joins put the fast-growing side left, where adaptive execution can
-split a popular ancestor.
+split a popular ancestor. Cycles end: jumping stops when the reach exceeds the number of nodes, and what still moves
+then leads into a cycle; level by level, a node found before is not followed again.
 """
 
 from __future__ import annotations
@@ -18,25 +20,50 @@ from pyspark.sql import functions as F
 
 from symlake.functions.descriptors import descriptors_match
 from symlake.functions.flags import INTERFACE, has_flag
-from symlake.functions.names import innermost_name, simple_name
+from symlake.functions.names import simple_name
 from symlake.operators.resolve import meet_decls, meet_refs
 from symlake.session import Scratch
 
-MAX_DEPTH = 64
-SMALL_FRONTIER = 500_000
+
+def _one_parent(edges: DataFrame) -> DataFrame:
+    """Edges ``(src, dst)`` without self-links; of several ``dst`` the smallest counts."""
+    return edges.filter(F.col("src") != F.col("dst")).groupBy("src").agg(F.min("dst").alias("dst"))
+
+
+def tops(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """``(src, top, depth, cyclic)`` for edges ``(src, dst)``: the end of each node's chain. A node whose chain leads
+    into a cycle has none: ``cyclic`` is true, ``top`` and ``depth`` are null."""
+    scratch = scratch or Scratch(edges.sparkSession, "tops")
+    now, n = scratch.save(_one_parent(edges).select("src", F.col("dst").alias("top"), F.lit(1).cast("bigint").alias("depth"),
+                                                    F.lit(True).alias("moves")), "jump-0")
+    reach, k = 1, 0
+    while n and reach <= 2 * n:
+        up = now.select(F.col("src").alias("via"), F.col("top").alias("over"), F.col("depth").alias("more"))
+        step = now.join(up, now["top"] == up["via"], "left").select(
+            "src", F.coalesce("over", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+            F.col("over").isNotNull().alias("moves"))
+        k, reach = k + 1, 2 * reach
+        now, _ = scratch.save(step, f"jump-{k}")
+        if now.filter("moves").isEmpty():
+            break
+    none = F.col("moves") & F.lit(k > 0)
+    return now.select("src", F.when(~none, F.col("top")).alias("top"), F.when(~none, F.col("depth")).alias("depth"), none.alias("cyclic"))
 
 
-def chain_closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def chain_closure(edges: DataFrame) -> DataFrame:
     """All ``(src, dst, depth)`` above each node for edges ``(src, dst)``; of several ``dst`` the smallest counts.
 
-    Cycles end: a node is never its own ancestor and each pair keeps its smallest depth.
+    A node is never its own ancestor and each pair keeps its smallest depth. Chains that lead into a cycle, if there
+    are any, are followed level by level.
     """
     scratch = Scratch(edges.sparkSession, "chain")
-    first = edges.filter(F.col("src") != F.col("dst")).groupBy("src").agg(F.min("dst").alias("dst")).withColumn(
-        "depth", F.lit(1))
+    single, _ = scratch.save(_one_parent(edges), "edges")
+    ends, _ = scratch.save(tops(single, scratch), "ends")
+    looped = ends.filter("cyclic").select("src")
+    straight = single.join(looped, "src", "left_anti")
     reach, steps = 1, ["reach-1"]
-    jumps, n = scratch.save(first, steps[0])
-    while n and reach < max_depth:
+    jumps, n = scratch.save(straight.withColumn("depth", F.lit(1)), steps[0])
+    while n:
         up = scratch.read(*steps).select(
             F.col("src").alias("via"), F.col("dst").alias("top"), F.col("depth").alias("more"))
         step = (
@@ -48,53 +75,42 @@ def chain_closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
         steps.append(f"reach-{reach}")
         jumps = level.filter(F.col("depth") == reach)
     out = scratch.read(*steps)
-    if n:
-        # Only a cycle (or a chain beyond the limit) is still growing here; without one all pairs are distinct.
-        out = out.filter((F.col("src") != F.col("dst")) & (F.col("depth") <= max_depth))
-        out = out.groupBy("src", "dst").agg(F.min("depth").alias("depth"))
-    return out
+    if looped.isEmpty():
+        return out
+    return out.unionByName(graph_closure(single, looped.withColumnRenamed("src", "node")))
 
 
-def graph_closure(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def graph_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(src, dst, depth)`` reachable from ``seeds(node)`` over ``edges(src, dst)``, smallest depth per pair."""
     scratch = Scratch(edges.sparkSession, "graph")
     edges, _ = scratch.save(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct(), "edges")
     hop = edges.select(F.col("src").alias("via"), F.col("dst").alias("next"))
     frontier = seeds.select(F.col("node").alias("src"), F.col("node").alias("dst")).distinct()
     steps: list[str] = []
-    n = total = 0
-    for depth in range(1, max_depth + 1):
+    n, depth = 1, 0
+    while n:
+        depth += 1
         step = (
             frontier.join(hop, frontier["dst"] == hop["via"])
             .select("src", F.col("next").alias("dst")).filter(F.col("src") != F.col("dst")).distinct()
         )
         if steps:
-            known = scratch.read(*steps).select("src", "dst")
-            if n <= SMALL_FRONTIER < total:
-                # Few sources still grow: what is known about the others needs no shuffle.
-                known = known.join(frontier.select("src").distinct(), "src", "left_semi")
-            step = step.join(known, ["src", "dst"], "left_anti")
+            step = step.join(scratch.read(*steps).select("src", "dst"), ["src", "dst"], "left_anti")
         level, n = scratch.save(step.withColumn("depth", F.lit(depth)), f"level-{depth}")
         steps.append(f"level-{depth}")
-        total += n
-        if n == 0:
-            break
         frontier = level.select("src", "dst")
     return scratch.read(*steps)
 
 
-def outermost(inner_outer: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``(inner_name, root_name, depth)`` for edges ``(inner_name, outer_name)``."""
+def outermost(inner_outer: DataFrame) -> DataFrame:
+    """``(inner_name, root_name, depth)`` for edges ``(inner_name, outer_name)``; root and depth are null for a name
+    whose outer names lead into a cycle."""
     edges = inner_outer.filter(F.col("outer_name").isNotNull()).select(
         F.col("inner_name").alias("src"), F.col("outer_name").alias("dst"))
-    return (
-        chain_closure(edges, max_depth)
-        .groupBy(F.col("src").alias("inner_name"))
-        .agg(F.max_by("dst", "depth").alias("root_name"), F.max("depth").alias("depth"))
-    )
+    return tops(edges).select(F.col("src").alias("inner_name"), F.col("top").alias("root_name"), F.col("depth").cast("int").alias("depth"))
 
 
-def root_entries(types: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def root_entries(types: DataFrame) -> DataFrame:
     """``(container, entry_path, root_entry)`` for every class entry. The chain stays inside the container and below
     the same root directory, as for the versions of a multi-release archive; a missing outermost entry falls back to
     the entry itself."""
@@ -104,7 +120,7 @@ def root_entries(types: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     key = F.concat_ws("\u0001", "container", below, "type_name")
     outer = F.concat_ws("\u0001", "container", below, "outer_name")
     roots = outermost(types.filter(F.col("outer_name").isNotNull())
-                      .select(key.alias("inner_name"), outer.alias("outer_name")), max_depth)
+                      .select(key.alias("inner_name"), outer.alias("outer_name")))
     own = types.select("container", "entry_path", key.alias("inner_name"))
     target = types.groupBy(key.alias("root_name")).agg(F.min("entry_path").alias("root_entry"))
     return (
@@ -113,7 +129,7 @@ def root_entries(types: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     )
 
 
-def display_names(types: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def display_names(types: DataFrame) -> DataFrame:
     """``(container, type_name, display_name)``: package cut, inner names joined with dots along the chain of
     enclosing types. The chain ends at the first type that has no outer type in the container."""
     key = F.concat_ws("\u0001", "container", "type_name")
@@ -122,7 +138,7 @@ def display_names(types: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     named = once.select("container", "type_name", "outer_name", "inner_name", key.alias("src"),
                          F.when(F.col("outer_name").isNotNull(),
                                 F.concat_ws("\u0001", "container", "outer_name")).alias("dst"))
-    chain = chain_closure(named.filter(F.col("dst").isNotNull()).select("src", "dst"), max_depth)
+    chain = chain_closure(named.filter(F.col("dst").isNotNull()).select("src", "dst"))
     label = F.when(F.col("inner_name").isNotNull(), F.col("inner_name")).otherwise(simple_name("type_name"))
     labels = named.select(F.col("src").alias("dst"), label.alias("label"))
     # An outer type that is not in the container shows its own short name.
@@ -145,55 +161,47 @@ def superclass_edges(types: DataFrame) -> DataFrame:
         F.min_by("super_name", F.struct("container", "super_name")).alias("dst"))
 
 
-def ancestors(types: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def ancestors(types: DataFrame) -> DataFrame:
     """``(type_name, ancestor, depth, in_corpus)`` up to the first type outside the corpus."""
-    chain = chain_closure(superclass_edges(types), max_depth)
+    chain = chain_closure(superclass_edges(types))
     known = types.select(F.col("type_name").alias("dst"), F.lit(True).alias("known")).distinct()
     return chain.join(known, "dst", "left").select(
         F.col("src").alias("type_name"), F.col("dst").alias("ancestor"), "depth",
         F.coalesce("known", F.lit(False)).alias("in_corpus"))
 
 
-def descendants(supertypes: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def descendants(supertypes: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(type_name, descendant, depth)`` below ``seeds(type_name)``, over classes and interfaces."""
     edges = supertypes.select(F.col("super_name").alias("src"), F.col("type_name").alias("dst"))
-    return graph_closure(edges, seeds.select(F.col("type_name").alias("node")), max_depth).select(
+    return graph_closure(edges, seeds.select(F.col("type_name").alias("node"))).select(
         F.col("src").alias("type_name"), F.col("dst").alias("descendant"), "depth")
 
 
-def instance_of(pairs: DataFrame, supertypes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def instance_of(pairs: DataFrame, supertypes: DataFrame) -> DataFrame:
     """``pairs(a, b)`` with ``is_instance``: b is a, or lies above a over superclasses and interfaces."""
     edges = supertypes.select(F.col("type_name").alias("src"), F.col("super_name").alias("dst"))
-    up = graph_closure(edges, pairs.select(F.col("a").alias("node")), max_depth)
+    up = graph_closure(edges, pairs.select(F.col("a").alias("node")))
     hit = up.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(True).alias("above"))
     return pairs.join(hit, ["a", "b"], "left").select(
         "a", "b", ((F.col("a") == F.col("b")) | F.coalesce("above", F.lit(False))).alias("is_instance"))
 
 
-def first_common_super(pairs: DataFrame, types: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def first_common_super(pairs: DataFrame, types: DataFrame) -> DataFrame:
     """``pairs(a, b)`` with the nearest shared type of the two superclass chains, themselves included."""
     scratch = Scratch(types.sparkSession, "common")
     wanted, _ = scratch.save(pairs.select("a", "b").distinct(), "pairs")
-    chain = chain_closure(superclass_edges(types), max_depth)
     nodes = wanted.select(F.explode(F.array("a", "b")).alias("src")).distinct()
-    itself = F.struct(F.col("src").alias("dst"), F.lit(0).alias("depth"))
-    above = chain.groupBy("src").agg(F.collect_list(F.struct("dst", "depth")).alias("up"))
-    # One row per wanted type: its chain is as long as the hierarchy is deep.
-    line, _ = scratch.save(nodes.join(above, "src", "left").select(
-        "src", F.concat(F.array(itself), F.coalesce("up", F.array().cast("array<struct<dst:string,depth:int>>"))).alias("up")),
-        "lines")
-    both = (
-        wanted.join(line.select(F.col("src").alias("a"), F.col("up").alias("up_a")), "a")
-        .join(line.select(F.col("src").alias("b"), F.transform("up", lambda u: u["dst"]).alias("up_b")), "b")
-    )
-    shared = F.filter("up_a", lambda u: F.array_contains(F.col("up_b"), u["dst"]))
-    nearest = F.get(F.array_sort(F.transform(shared, lambda u: F.struct(u["depth"], u["dst"]))), F.lit(0))
-    best = both.select("a", "b", nearest["dst"].alias("common_super"))
+    above = chain_closure(superclass_edges(types)).join(nodes, "src", "left_semi")
+    line, _ = scratch.save(nodes.select("src", F.col("src").alias("dst"), F.lit(0).alias("depth")).unionByName(above), "lines")
+    up_a = line.select(F.col("src").alias("a"), "dst", "depth")
+    up_b = line.select(F.col("src").alias("b"), "dst")
+    best = wanted.join(up_a, "a").join(up_b, ["b", "dst"]).groupBy("a", "b").agg(
+        F.min(F.struct("depth", "dst"))["dst"].alias("common_super"))
     return pairs.join(best, ["a", "b"], "left")
 
 
 def resolve_member(refs: DataFrame, members: DataFrame, types: DataFrame, interfaces: DataFrame | None = None,
-                   max_depth: int = MAX_DEPTH, wild_refs: bool = True, wild_decls: bool = True) -> DataFrame:
+                   wild_refs: bool = True, wild_decls: bool = True) -> DataFrame:
     """Nearest type at or above ``refs(container, type_name, name, descriptor)`` that declares the member.
 
     At every step the type copy in the container of the reference is preferred; without one the first container
@@ -220,10 +228,16 @@ def resolve_member(refs: DataFrame, members: DataFrame, types: DataFrame, interf
         F.col("container").alias("home"), F.col("type_name").alias("at"),
         F.col("super_name").alias("next")).filter(F.col("next").isNotNull()).distinct(), "up")
 
-    frontier = wanted.withColumn("at", F.col("type_name"))
+    # A name that no type declares needs no walk.
+    frontier = wanted.join(declared.select("name").distinct(), "name", "left_semi").withColumn("at", F.col("type_name"))
     steps: list[str] = []
+    seen: list[str] = []
     join_keys = ["home", "at", "name", "_meet"]
-    for depth in range(0, max_depth + 1):
+    while True:
+        depth = len(seen)
+        if seen:
+            # On a cycle of super types a reference comes back to where it was.
+            frontier = frontier.join(scratch.read(*seen).select(*ident, "at"), [*ident, "at"], "left_anti")
         placed = (
             frontier.join(local, ["container", "at"], "left")
             .join(homes, "at", "left")
@@ -233,17 +247,15 @@ def resolve_member(refs: DataFrame, members: DataFrame, types: DataFrame, interf
         placed, n = scratch.save(placed, f"at-{depth}")
         if n == 0:
             break
+        seen.append(f"at-{depth}")
         asked = meet_refs(placed, "descriptor", wild_refs, wild_decls).alias("r")
         same = [F.col(f"r.{k}") == F.col(f"d.{k}") for k in join_keys]
         if wild_refs or wild_decls:
             same.append(F.when(F.col("r._meet").startswith("="), True).otherwise(
                 descriptors_match("r.descriptor", "d.declared")))
-        # Large frontiers use a semi join, so references that crowd on one member are never multiplied. Small ones
-        # use an inner join, because there the optimizer may broadcast the frontier instead of moving the members.
-        small = n <= SMALL_FRONTIER
-        hits = asked.join(declared.alias("d"), same, "inner" if small else "left_semi").select(
-            *[F.col(f"r.{c}").alias(c) for c in (*ident, "at")])
-        if wild_decls or (small and wild_refs):
+        # A semi join: references that crowd on one member are never multiplied.
+        hits = asked.join(declared.alias("d"), same, "left_semi").select(*[F.col(f"r.{c}").alias(c) for c in (*ident, "at")])
+        if wild_decls:
             hits = hits.distinct()
         hits, n = scratch.save(hits.withColumn("depth", F.lit(depth)), f"found-{depth}")
         steps.append(f"found-{depth}")
@@ -261,7 +273,7 @@ def resolve_member(refs: DataFrame, members: DataFrame, types: DataFrame, interf
     return wanted.join(found, ident, "left")
 
 
-def compact_tree(directories: DataFrame, files: DataFrame, max_depth: int = 256) -> DataFrame:
+def compact_tree(directories: DataFrame, files: DataFrame) -> DataFrame:
     """Merge chains of directories that hold exactly one child, a directory.
 
     ``directories(container, entry_path)`` and ``files(container, entry_path)``. One row per shown directory:
@@ -281,11 +293,11 @@ def compact_tree(directories: DataFrame, files: DataFrame, max_depth: int = 256)
     scratch = Scratch(d.sparkSession, "compact")
     links, _ = scratch.save(children.select("container", F.col("parent").alias("head"), "only"), "links")
     key = lambda c: F.concat_ws("\u0001", "container", c)
-    chain = chain_closure(links.select(key("head").alias("src"), key("only").alias("dst")), max_depth)
-    tails = chain.groupBy("src").agg(F.max_by("dst", "depth").alias("tail")).select(
+    ends = tops(links.select(key("head").alias("src"), key("only").alias("dst")), scratch)
+    tails = ends.select(
         F.substring_index("src", "\u0001", 1).alias("container"),
         F.substring_index("src", "\u0001", -1).alias("entry_path"),
-        F.substring_index("tail", "\u0001", -1).alias("tail_path"))
+        F.substring_index("top", "\u0001", -1).alias("tail_path"))
     merged = links.select("container", F.col("only").alias("entry_path"))
     tail = F.coalesce("tail_path", "entry_path")
     return (
@@ -294,8 +306,3 @@ def compact_tree(directories: DataFrame, files: DataFrame, max_depth: int = 256)
         .select("container", tail.alias("entry_path"), F.col("entry_path").alias("head_path"),
                 F.translate(F.substring(tail, cut + 2, F.length(tail)), "/", ".").alias("label"))
     )
-
-
-def sibling_label(type_name: str = "type_name"):
-    """Sort label of a type among its siblings."""
-    return innermost_name(type_name)

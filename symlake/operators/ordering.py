@@ -2,56 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symlake.operators.postings import BLOCK_SIZE, grouped_lists
-from symlake.session import Scratch
+from symlake.operators.postings import BLOCK_SIZE, grouped_lists, positions
 
-HEAVY_ROWS = 2_000_000
 
-
-def positions(df: DataFrame, groups: list[str], order: list[Column], out: str = "position",
-              heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Row number per group, for groups of any size.
-
-    Groups up to ``heavy_rows`` use a window. Rows of larger groups are spread by range over (group, order), so a
-    group may span many partitions; a written table fixes that layout, rows are numbered inside each partition
-    and shifted by what the partitions before hold. Whether there is a larger group is one counting job.
-    """
-    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = sizes.filter(F.col("_n") > heavy_rows).select(*[F.col(g).alias(f"_h_{g}") for g in groups])
-    if heavy.isEmpty():
-        return df.withColumn(out, F.row_number().over(W.partitionBy(*groups).orderBy(*order)))
-    same = F.lit(True)
-    for g in groups:
-        same = same & F.col(g).eqNullSafe(F.col(f"_h_{g}"))
-    light = df.join(heavy, same, "left_anti")
-    light = light.withColumn(out, F.row_number().over(W.partitionBy(*groups).orderBy(*order)))
-    big = df.join(heavy, same, "left_semi")
-    # A hash breaks ties, so even equal keys spread over partitions.
-    tie = F.xxhash64(*df.columns)
-    laid, _ = Scratch(df.sparkSession, "positions").save(
-        big.repartitionByRange(*groups, *order, tie).withColumn("_part", F.spark_partition_id()), "laid")
-    counts = laid.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    shift = counts.withColumn("_shift", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
-    inside = W.partitionBy(*groups, "_part").orderBy(*order, tie)
-    numbered = (
-        laid.withColumn("_rn", F.row_number().over(inside)).join(shift, [*groups, "_part"])
-        .withColumn(out, (F.col("_rn") + F.col("_shift")).cast("int")).select(*df.columns, out)
-    )
-    return light.unionByName(numbered)
-
-
-def sorted_entries(entries: DataFrame, by_parent: bool = True, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def sorted_entries(entries: DataFrame, by_parent: bool = True) -> DataFrame:
     """Directories first, then path. With ``by_parent`` each row gets its ``position`` among its siblings, else
     the whole table is range-sorted."""
     if not by_parent:
         return entries.orderBy("container", F.desc("is_dir"), "entry_path")
-    return positions(entries, ["container", "parent_path"], [F.desc("is_dir"), F.asc("entry_path")],
-                     heavy_rows=heavy_rows)
+    return positions(entries, ["container", "parent_path"], [F.desc("is_dir"), F.asc("entry_path")])
 
 
 def outline(members: DataFrame, label: str = "display_name", block_size: int = BLOCK_SIZE) -> DataFrame:

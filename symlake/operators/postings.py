@@ -5,8 +5,11 @@ into blocks, so one key may own any share of the corpus without its list landing
 """
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from symlake.session import Scratch
+
 BLOCK_SIZE = 65_536
 
 
@@ -16,26 +19,39 @@ def build_postings(symbols: DataFrame) -> DataFrame:
         ["index_name", "key", "container", "entry_path"])
 
 
+def positions(df: DataFrame, groups: list[str], order: list[Column], out: str = "position", distinct: bool = False) -> DataFrame:
+    """Row number per group, from 1, for groups of any size.
+
+    Rows are spread by range over (group, order), so a group may span many partitions; a written table fixes that
+    layout, rows are numbered inside each partition and shifted by what the partitions before hold. Equal rows of the
+    order are told apart by a hash of all columns, so numbers are repeatable. ``distinct`` drops repeated rows on the
+    way, for which ``order`` must name all other columns."""
+    tie = [] if distinct else [F.xxhash64(*df.columns)]
+    spread = df.repartitionByRange(*groups, *order, *tie)
+    if distinct:
+        spread = spread.distinct()
+    laid, _ = Scratch(df.sparkSession, "positions").save(spread.withColumn("_part", F.spark_partition_id()), "laid")
+    named = [F.col(g).alias(f"_g_{g}") for g in groups]
+    earlier = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    shift = laid.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_rows")).select(
+        *named, F.col("_part").alias("_at"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_shift"))
+    same = F.col("_part") == F.col("_at")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    inside = W.partitionBy(*groups, "_part").orderBy(*order, *tie)
+    return laid.withColumn("_rn", F.row_number().over(inside)).join(shift, same).withColumn(
+        out, (F.col("_rn") + F.col("_shift")).cast("int")).select(*df.columns, out)
+
+
 def grouped_lists(pairs: DataFrame, keys: list[str], values: list[str], out: str = "entries",
                   block_size: int = BLOCK_SIZE) -> DataFrame:
-    """``keys -> sorted set of values`` as rows ``(keys, block, n_block, out)``.
-
-    Lists longer than ``block_size`` are spread over ``ceil(n / block_size)`` blocks by a hash of the value, so
-    a block stays near ``block_size``. Only keys above the limit (at most rows / block_size of them) take part
-    in the extra join, and the skewed side of it is one adaptive execution may split.
-    """
-    pairs = pairs.select(*keys, *values).distinct()
-    heavy = (
-        pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > block_size)
-        .select(*keys, F.ceil(F.col("_n") / block_size).alias("_blocks"))
-    )
-    block = F.when(F.col("_blocks").isNull(), F.lit(0)).otherwise(
-        F.pmod(F.xxhash64(*values), F.col("_blocks"))).cast("int")
+    """``keys -> sorted set of values`` as rows ``(keys, block, n_block, out)``: block ``k`` holds the values number
+    ``k * block_size`` to ``(k + 1) * block_size - 1`` in order, so no row grows with the data."""
+    numbered = positions(pairs.select(*keys, *values), keys, [F.col(v) for v in values], "_n", distinct=True)
+    block = F.floor((F.col("_n") - 1) / block_size).cast("int")
     item: Column = F.col(values[0]) if len(values) == 1 else F.struct(*values)
     return (
-        pairs.join(heavy, keys, "left")
-        .groupBy(*keys, block.alias("block"))
+        numbered.groupBy(*keys, block.alias("block"))
         .agg(F.array_sort(F.collect_list(item)).alias(out))
         .withColumn("n_block", F.size(out))
     )

@@ -152,9 +152,10 @@ def compact_tree(spark, sf):
 
 
 @query("outline", f"""
-SELECT container, type_name, 0 AS block, count(*) AS n_block, string_agg(kind || ':' || name, ' ' ORDER BY kind, name) AS members
-FROM (SELECT DISTINCT container, type_name, kind, name FROM {sub('members')}) GROUP BY container, type_name""")
+SELECT container, type_name, CAST((n - 1) // 3 AS INT) AS block, count(*) AS n_block, string_agg(kind || ':' || name, ' ' ORDER BY kind, name) AS members
+FROM (SELECT *, row_number() OVER (PARTITION BY container, type_name ORDER BY kind, name) AS n FROM (SELECT DISTINCT container, type_name, kind, name FROM {sub('members')}))
+GROUP BY container, type_name, block""")
 def outline(spark, sf):
     m = view(spark, sf, "members").select("container", "type_name", "kind", "name").distinct()
     shown = F.transform("members", lambda x: F.concat(x["kind"], F.lit(":"), x["label"]))
-    return O.outline(m, "name").select("container", "type_name", "block", "n_block", F.array_join(shown, " ").alias("members"))
+    return O.outline(m, "name", block_size=3).select("container", "type_name", "block", "n_block", F.array_join(shown, " ").alias("members"))

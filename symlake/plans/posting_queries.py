@@ -8,24 +8,26 @@ from symlake.plans.registry import query
 
 
 @query("postings_grouped", f"""
-SELECT index_name, key, 0 AS block, count(*) AS n_block, string_agg(container || '!' || entry_path, ' ' ORDER BY container, entry_path) AS entries
-FROM (SELECT DISTINCT * FROM {WORDS_SQL}) GROUP BY index_name, key""")
+SELECT index_name, key, CAST((n - 1) // 100 AS INT) AS block, count(*) AS n_block, string_agg(container || '!' || entry_path, ' ' ORDER BY container, entry_path) AS entries
+FROM (SELECT *, row_number() OVER (PARTITION BY index_name, key ORDER BY container, entry_path) AS n FROM (SELECT DISTINCT * FROM {WORDS_SQL}))
+GROUP BY index_name, key, block""")
 def postings_grouped(spark, sf):
-    g = P.postings_grouped(word_postings(spark, sf))
+    g = P.postings_grouped(word_postings(spark, sf), block_size=100)
     names = F.transform("entries", lambda e: F.concat(e["container"], F.lit("!"), e["entry_path"]))
     return g.select("index_name", "key", "block", F.col("n_block").cast("bigint").alias("n_block"),
                     F.array_join(names, " ").alias("entries"))
 
 
 @query("subtype_lists", """
-SELECT r_name AS super_name, 0 AS block, count(*) AS n_block, string_agg(n_name, ' ' ORDER BY n_name) AS sub_types
-FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name
-UNION ALL SELECT n_name, 0, count(*), string_agg(c_name, ' ' ORDER BY c_name) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
+WITH e AS (SELECT r_name AS super_name, n_name AS sub FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION SELECT n_name, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT super_name, CAST((n - 1) // 25 AS INT) AS block, count(*) AS n_block, string_agg(sub, ' ' ORDER BY sub) AS sub_types
+FROM (SELECT *, row_number() OVER (PARTITION BY super_name ORDER BY sub) AS n FROM e) GROUP BY super_name, block""")
 def subtype_lists(spark, sf):
     n, r, c = (table(spark, sf, x) for x in ("nation", "region", "customer"))
     edges = n.join(r, F.expr("n_regionkey = r_regionkey")).selectExpr("r_name AS super_name", "n_name AS type_name").unionByName(
         c.join(n, F.expr("c_nationkey = n_nationkey")).selectExpr("n_name AS super_name", "c_name AS type_name"))
-    return P.subtype_lists(edges).select("super_name", "block", F.col("n_block").cast("bigint").alias("n_block"),
+    return P.subtype_lists(edges, block_size=25).select("super_name", "block", F.col("n_block").cast("bigint").alias("n_block"),
                                          F.array_join("sub_types", " ").alias("sub_types"))
 
 
@@ -38,10 +40,11 @@ def match_counts(spark, sf):
 
 
 @query("merge_locations", f"""
-SELECT type_name, 0 AS block, count(*) AS n_block, string_agg(container || '!' || entry_path, ' ' ORDER BY container, entry_path) AS locations
-FROM (SELECT DISTINCT type_name, container, entry_path FROM {sub('decls')}) GROUP BY type_name""")
+SELECT type_name, CAST((n - 1) // 2 AS INT) AS block, count(*) AS n_block, string_agg(container || '!' || entry_path, ' ' ORDER BY container, entry_path) AS locations
+FROM (SELECT *, row_number() OVER (PARTITION BY type_name ORDER BY container, entry_path) AS n FROM (SELECT DISTINCT type_name, container, entry_path FROM {sub('decls')}))
+GROUP BY type_name, block""")
 def merge_locations(spark, sf):
-    g = P.merge_locations(view(spark, sf, "decls"))
+    g = P.merge_locations(view(spark, sf, "decls"), block_size=2)
     names = F.transform("locations", lambda e: F.concat(e["container"], F.lit("!"), e["entry_path"]))
     return g.select("type_name", "block", F.col("n_block").cast("bigint").alias("n_block"),
                     F.array_join(names, " ").alias("locations"))

@@ -25,23 +25,25 @@ def skewed(spark):
 def test_blocks_hold_every_entry_once(skewed):
     got = postings.postings_grouped(skewed, block_size=20)
     hot = got.filter("key = 'hot'").collect()
-    assert len(hot) == 10 and max(r["n_block"] for r in hot) < 60
+    assert len(hot) == 10 and {r["n_block"] for r in hot} == {20}
     flat = sorted(e["entry_path"] for r in hot for e in r["entries"])
     assert flat == sorted({r["entry_path"] for r in skewed.filter("key = 'hot'").collect()})
     cold = got.filter("key <> 'hot'")
     assert cold.filter("block <> 0").count() == 0 and cold.count() == 7
 
 
-def test_positions_do_not_depend_on_the_path_taken(spark):
-    data = [("c", "hot" if i % 4 else "d", i % 5 == 0, f"p{(i * 37) % 400:03d}") for i in range(400)]
-    df = spark.createDataFrame(data, "container string, parent_path string, is_dir boolean, entry_path string")
-    cols = ["parent_path", "is_dir", "entry_path", "position"]
-    assert rows(ordering.sorted_entries(df, heavy_rows=50), *cols) == rows(ordering.sorted_entries(df), *cols)
+def test_positions_follow_the_order_in_every_group(spark):
+    data = [("c", None if i % 7 == 0 else "hot" if i % 4 else "d", i % 5 == 0, f"p{(i * 37) % 400:03d}") for i in range(400)]
+    df = spark.createDataFrame(data, "container string, parent_path string, is_dir boolean, entry_path string").repartition(7)
+    want = {}
+    for row in sorted(data, key=lambda r: (str(r[1]), not r[2], r[3])):
+        want[row] = sum(1 for o in want if o[1] == row[1]) + 1
+    assert {tuple(r)[:4]: r["position"] for r in ordering.sorted_entries(df).collect()} == want
 
 
 def test_positions_with_equal_keys(spark):
     df = spark.createDataFrame([("c", "d", False, "same")] * 200, "container string, parent_path string, is_dir boolean, entry_path string")
-    got = ordering.sorted_entries(df, heavy_rows=50)
+    got = ordering.sorted_entries(df)
     assert sorted(r["position"] for r in got.collect()) == list(range(1, 201))
 
 
@@ -58,18 +60,17 @@ def test_counts(skewed):
 def brute_asof(left, right):
     out = []
     for k, pos in left:
-        below = [(p, v) for rk, p, v in right if rk == k and p <= pos]
+        below = [] if k is None or pos is None else [(p, v) for rk, p, v in right if rk == k and p <= pos]
         out.append((k, pos, max(below)[1] if below else None))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("heavy", [10, 10_000])
-def test_asof_with_and_without_slices(spark, heavy):
+def test_asof_over_many_partitions(spark):
     rnd = random.Random(3)
-    left = [("hot" if rnd.random() < 0.6 else f"k{rnd.randrange(5)}", rnd.randrange(500)) for _ in range(300)]
+    left = [(None, 5), ("hot", None)] + [("hot" if rnd.random() < 0.6 else f"k{rnd.randrange(5)}", rnd.randrange(500)) for _ in range(300)]
     right = [("hot" if rnd.random() < 0.3 else f"k{rnd.randrange(7)}", rnd.randrange(500), rnd.randrange(1000)) for _ in range(80)]
     got = asof.asof_floor(spark.createDataFrame(left, "k string, pos int"), spark.createDataFrame(right, "k string, p int, v int"),
-                          ["k"], "pos", "p", "v", heavy_rows=heavy, slices=8)
+                          ["k"], "pos", "p", "v")
     assert sorted((tuple(r) for r in got.select("k", "pos", "v").collect()), key=str) == brute_asof(left, right)
 
 
@@ -110,6 +111,48 @@ def test_chain_closure(spark, edges):
     assert rows(hierarchy.chain_closure(df), "src", "dst", "depth") == brute_closure([e for e in edges if e[0] != e[1]])
 
 
+def deep(spark, n=500):
+    """A chain n -> ... -> 0, and names that lead into a cycle of three."""
+    edges = [(f"n{i:03d}", f"n{i - 1:03d}") for i in range(1, n + 1)] + [("x", "a"), ("a", "b"), ("b", "c"), ("c", "a")]
+    return edges, spark.createDataFrame(edges, "src string, dst string")
+
+
+def test_closures_have_no_depth_limit_and_end_on_cycles(spark):
+    edges, df = deep(spark)
+    ends = {r["src"]: (r["top"], r["depth"], r["cyclic"]) for r in hierarchy.tops(df).collect()}
+    assert all(ends[f"n{i:03d}"] == ("n000", i, False) for i in range(1, 501))
+    assert all(ends[x] == (None, None, True) for x in "xabc") and len(ends) == 504
+    got = hierarchy.chain_closure(df)
+    assert got.count() == 500 * 501 // 2 + 3 + 6
+    assert {tuple(r) for r in got.filter("src = 'x'").collect()} == {("x", "a", 1), ("x", "b", 2), ("x", "c", 3)}
+    named = df.toDF("inner_name", "outer_name")
+    roots = {r["inner_name"]: r["root_name"] for r in hierarchy.outermost(named).collect()}
+    assert roots["n500"] == "n000" and roots["n065"] == "n000" and roots["x"] is None
+    types = df.selectExpr("'c' AS container", "src AS type_name", "dst AS outer_name", "src AS inner_name", "src || '.class' AS entry_path",
+                          "dst AS super_name", "1 AS flags")
+    shown = {r["type_name"]: r["display_name"] for r in hierarchy.display_names(types).collect()}
+    assert shown["n500"].count(".") == 500 and shown["n500"].startswith("n000.n001.")
+    up = hierarchy.ancestors(types)
+    assert up.filter("type_name = 'n500'").count() == 500
+
+
+def test_walks_over_80_levels_and_cycles(spark):
+    edges, df = deep(spark, 80)
+    types = df.selectExpr("'c' AS container", "src AS type_name", "dst AS super_name", "1 AS flags").unionByName(
+        spark.createDataFrame([("c", "n000", None, 1)], "container string, type_name string, super_name string, flags int"))
+    members = spark.createDataFrame([("c", "n000", "m", "()V"), ("c", "zzz", "other", "()V")], "container string, type_name string, name string, descriptor string")
+    refs = spark.createDataFrame([("c", t, n, "()V") for t in ("n080", "x") for n in ("m", "other", "none")], "container string, type_name string, name string, descriptor string")
+    got = {(r["type_name"], r["name"]): (r["found_type"], r["depth"]) for r in hierarchy.resolve_member(refs, members, types).collect()}
+    assert got == {("n080", "m"): ("n000", 80), ("n080", "other"): (None, None), ("n080", "none"): (None, None),
+                   ("x", "m"): (None, None), ("x", "other"): (None, None), ("x", "none"): (None, None)}
+    pairs = spark.createDataFrame([("n080", "n000"), ("n080", "n081"), ("x", "c"), ("n001", "n002")], "a string, b string")
+    above = types.filter("super_name IS NOT NULL").select("type_name", "super_name")
+    assert {tuple(r) for r in hierarchy.instance_of(pairs, above).collect()} == {
+        ("n080", "n000", True), ("n080", "n081", False), ("x", "c", True), ("n001", "n002", False)}
+    common = spark.createDataFrame([("n080", "n040"), ("n003", "x"), ("x", "b")], "a string, b string")
+    assert {tuple(r) for r in hierarchy.first_common_super(common, types).collect()} == {("n080", "n040", "n040"), ("n003", "x", None), ("x", "b", "a")}
+
+
 def test_graph_closure_with_diamonds_and_cycles(spark):
     rnd = random.Random(5)
     edges = [(f"n{rnd.randrange(15)}", f"n{rnd.randrange(15)}") for _ in range(30)]
