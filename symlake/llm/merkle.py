@@ -143,7 +143,7 @@ def fingerprint(docs: DataFrame, columns: dict[str, str], compare: dict[str, tup
     return docs.mapInArrow(run, ", ".join(kinds))
 
 
-def with_next(docs: DataFrame, rows_per_range: int = 2000) -> DataFrame:
+def with_next(docs: DataFrame, rows_per_range: int = 400) -> DataFrame:
     """``doc_id, text, next_text``: the text of the document that follows in descending ``doc_id`` (after the last: the
     first). Null texts come as empty ones; equal ids follow each other in the order of a hash of their texts; null ids
     come last.
