@@ -153,13 +153,22 @@ def token_starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return starts[results[before, START], symbol]
 
 
+_NONE = np.iinfo(np.int64).max
+
+
+def _place(key: np.ndarray, size: int) -> np.ndarray:
+    """First place of a pair in a table of ``size`` (a power of two)."""
+    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (size.bit_length() - 1))).astype(np.int64)
+
+
 @dataclass
 class Vocabulary:
     """Ranks of byte strings; ``tokens[id]`` are the bytes of an id."""
 
     ranks: dict[bytes, int]
-    remembered: int = 400_000
+    remembered: int = 200_000
     _cache: dict[bytes, bytes] = field(default_factory=dict, repr=False)
+    _base: dict[bytes, bytes] | None = field(default=None, repr=False)
     _pairs: tuple | None = field(default=None, repr=False)
 
     @classmethod
@@ -168,7 +177,11 @@ class Vocabulary:
             return cls({base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())})
 
     def __getstate__(self):
-        return {**self.__dict__, "_cache": {}, "_pairs": None}
+        return {**self.__dict__, "_cache": {}, "_base": None, "_pairs": None}
+
+    def forget(self) -> None:
+        """Give back the memory of what was remembered."""
+        self._cache, self._base = {}, None
 
     @property
     def tokens(self) -> list[bytes]:
@@ -178,7 +191,8 @@ class Vocabulary:
         return out
 
     def _pair_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted pairs ``left << 32 | right`` of ids whose joined bytes are a token, with its rank; ids of bytes."""
+        """Pairs ``left << 32 | right`` of ids whose joined bytes are a token and their ranks, as a table with open
+        addressing; ids of bytes."""
         if self._pairs is None:
             pairs, joined = [], []
             get = self.ranks.get
@@ -188,33 +202,48 @@ class Vocabulary:
                     if a is not None and b is not None:
                         pairs.append(a << 32 | b)
                         joined.append(rank)
-            order = np.argsort(np.array(pairs, np.int64), kind="stable")
+            size = 1 << max(4, (4 * len(pairs)).bit_length())
+            keys, ranks = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+            for at, key, rank in zip(_place(np.array(pairs, np.int64), size).tolist(), pairs, joined):
+                while keys[at] >= 0:
+                    at = (at + 1) & (size - 1)
+                keys[at], ranks[at] = key, rank
             single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-            self._pairs = np.array(pairs, np.int64)[order], np.array(joined, np.int64)[order], single
+            self._pairs = keys, ranks, single
         return self._pairs
 
+    def _pair_ranks(self, key: np.ndarray) -> np.ndarray:
+        """Rank of every pair, the largest number where it is none."""
+        keys, ranks, _ = self._pair_table()
+        out = np.full(len(key), _NONE)
+        at = _place(key, len(keys))
+        todo = np.arange(len(key))
+        while len(todo):
+            there = keys[at]
+            hit = there == key[todo]
+            out[todo[hit]] = ranks[at[hit]]
+            go_on = (there >= 0) & ~hit
+            todo, at = todo[go_on], (at[go_on] + 1) & (len(keys) - 1)
+        return out
+
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Ids (little-endian, 32 bits each) of every piece, all merged side by side.
 
         A piece takes part until no pair of its ids is a token; in each round the leftmost pair of lowest rank of each
         piece becomes one id, as if it were alone."""
-        pairs, joined, single = self._pair_table()
+        _, _, single = self._pair_table()
         ids = single[np.frombuffer(b"".join(pieces), np.uint8)]
         owner = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
         place = np.arange(len(ids))
         done_ids, done_place, done_owner = [], [], []
-        none = np.iinfo(np.int64).max
         while len(ids):
-            key = ids[:-1] << 32 | ids[1:]
-            at = np.minimum(np.searchsorted(pairs, key), max(len(pairs) - 1, 0))
-            rank = np.full(len(ids), none)
-            if len(key) and len(pairs):
-                ok = (pairs[at] == key) & (owner[:-1] == owner[1:])
-                rank[:-1][ok] = joined[at][ok]
+            rank = np.full(len(ids), _NONE)
+            same = np.flatnonzero(owner[:-1] == owner[1:])
+            rank[same] = self._pair_ranks(ids[same] << 32 | ids[same + 1])
             first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             best = np.minimum.reduceat(rank, first)
             sizes = np.diff(np.append(first, len(ids)))
-            live = np.repeat(best != none, sizes)
+            live = np.repeat(best != _NONE, sizes)
             if not live.all():
                 done_ids.append(ids[~live])
                 done_place.append(place[~live])
@@ -270,8 +299,14 @@ class Vocabulary:
         rows = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         joined = b"\n".join(rows) + b"\n"
         points = np.frombuffer(joined.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
-        width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
-        at = np.cumsum(width) - width
+        if len(points) == len(joined):
+            at = np.arange(len(points), dtype=np.int32)
+        else:
+            width = (points >= 0x80).astype(np.int8)
+            width += points >= 0x800
+            width += points >= 0x10000
+            width += 1
+            at = np.cumsum(width, dtype=np.int64) - width
         ends_byte = offsets[1:] + np.arange(len(rows))
         ends = np.searchsorted(at, ends_byte)
         start = token_starts(points, ends)
@@ -280,12 +315,12 @@ class Vocabulary:
         pieces = [joined[a:b] for a, b in zip(begin, [*begin[1:], len(joined)])]
         # The separator of each row is a piece of its own, the last one of the row.
         cut = np.searchsorted(places, ends).tolist()
+        if not self._cache or len(self._cache) > self.remembered:
+            # What was remembered is only a speed-up: it starts anew from the vocabulary.
+            self._base = self._base or {t: int(r).to_bytes(4, "little") for t, r in self.ranks.items()}
+            self._cache = self._base.copy()
         found = self._cache
-        if len(found) > self.remembered:
-            found.clear()
-        if not found:
-            found.update((t, int(r).to_bytes(4, "little")) for t, r in self.ranks.items())
-        missing = list({p for p in pieces if p not in found})
+        missing = list(set(pieces).difference(found))
         if missing:
             short = [p for p in missing if len(p) <= LONG_PIECE]
             found.update(zip(short, self.merge(short)))

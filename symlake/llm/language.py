@@ -11,7 +11,6 @@ sorts first; repeated rows are scored each on their own; rows with null ``lang``
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -41,26 +40,27 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class LanguageModel:
-    """Tables of log frequencies; ``words`` and ``grams[n]`` map to one row per entry, one column per language."""
+    """Log frequencies: ``words`` and ``grams[n]`` name rows of ``logs``, which has one column per language."""
 
     languages: list[str]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[int, dict[str, tuple[float, ...]]]
-    floor: tuple[float, ...]
-    remembered: int = 400_000
+    words: dict[str, int]
+    grams: dict[int, dict[str, int]]
+    logs: np.ndarray
+    floor: float = -10.0
+    remembered: int = 150_000
     _rows: dict[str, int] = field(default_factory=dict, repr=False)
     _table: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self):
         return {**self.__dict__, "_rows": {}, "_table": None}
 
-    def back_off(self, word: str) -> tuple[float, ...]:
+    def back_off(self, word: str) -> np.ndarray | float:
         """Score of a word that training did not see."""
         for n in sorted(self.grams, reverse=True):
             known = self.grams[n]
             found = [known[g] for g in grams(word, n) if g in known]
             if found:
-                return tuple(sum(col) / len(found) for col in zip(*found))
+                return self.logs[found].mean(axis=0)
         return self.floor
 
     def _row(self, word: str) -> int:
@@ -69,7 +69,8 @@ class LanguageModel:
             at = len(self._rows)
             if at >= len(self._table):
                 self._table = np.concatenate([self._table, np.empty_like(self._table)])
-            self._table[at] = self.words.get(word) or self.back_off(word)
+            known = self.words.get(word)
+            self._table[at] = self.back_off(word) if known is None else self.logs[known]
             self._rows[word] = at
         return at
 
@@ -97,13 +98,13 @@ def learned_from(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.col(doc_id).cast("string")) % 3 != 1
 
 
-def fit(docs: DataFrame, docs_per_language: int = 2000, max_words: int = 50_000, max_grams: int = 20_000) -> LanguageModel:
+def fit(docs: DataFrame, docs_per_language: int = 2000, max_words: int = 25_000, max_grams: int = 10_000) -> LanguageModel:
     """Learn from ``text`` and ``lang``. The model holds at most ``max_words`` words and ``max_grams`` n-grams of each
     length 1 to 5 for each language (the most frequent ones), so what reaches the driver is bounded by parameters."""
     labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & learned_from())
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return LanguageModel([], {}, {}, ())
+        return LanguageModel([], {}, {}, np.zeros((0, 0), np.float32))
     rate = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, docs_per_language / n)))])
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
     sample = labelled.filter(share < rate[F.col("lang")]).select("lang", "text")
@@ -133,17 +134,21 @@ def fit(docs: DataFrame, docs_per_language: int = 2000, max_words: int = 50_000,
 
     languages = sorted(sizes)
     column = {lang: i for i, lang in enumerate(languages)}
-    counts: dict[int, dict[str, list[int]]] = {n: {} for n in range(LONGEST_GRAM + 1)}
-    totals: dict[int, list[int]] = {n: [0] * len(languages) for n in range(LONGEST_GRAM + 1)}
+    names: dict[int, dict[str, int]] = {n: {} for n in range(LONGEST_GRAM + 1)}
+    totals = np.ones((LONGEST_GRAM + 1, len(languages)))
+    cells = []
     for lang, size, unit, n, whole in zip(*(rows[c] for c in ("lang", "size", "unit", "n", "total"))):
-        counts[size].setdefault(unit, [0] * len(languages))[column[lang]] = n
-        totals[size][column[lang]] = whole
-
-    def logs(size: int) -> dict[str, tuple[float, ...]]:
-        base = [math.log(t + 1.0) for t in totals[size]]
-        return {u: tuple(math.log(n + 0.1) - b for n, b in zip(ns, base)) for u, ns in counts[size].items()}
-
-    return LanguageModel(languages, logs(0), {n: logs(n) for n in range(1, LONGEST_GRAM + 1)}, tuple([-10.0] * len(languages)))
+        at = names[size].setdefault(unit, len(names[size]))
+        cells.append((size, at, column[lang], n))
+        totals[size, column[lang]] = whole + 1
+    first = np.concatenate([[0], np.cumsum([len(names[n]) for n in range(LONGEST_GRAM + 1)])])
+    counts = np.zeros((first[-1], len(languages)))
+    of = np.repeat(np.arange(LONGEST_GRAM + 1), np.diff(first))
+    for size, at, lang, n in cells:
+        counts[first[size] + at, lang] = n
+    logs = (np.log(counts + 0.1) - np.log(totals[of])).astype(np.float32)
+    placed = {n: {u: int(first[n]) + k for u, k in names[n].items()} for n in names}
+    return LanguageModel(languages, placed[0], {n: placed[n] for n in range(1, LONGEST_GRAM + 1)}, logs)
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -166,4 +166,4 @@ FROM f"""
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, index = shards.write(ids_and_texts(table(spark, sf_dir, "documents")), byte_vocabulary(), key=20_260_101)
     found = shards.read(manifest).select("slot", F.shiftright(F.octet_length("ids"), 1).cast("bigint").alias("n_ids"), F.sha2("ids", 256).alias("ids_sha256"))
-    return found.join(index, "slot").select("slot", F.floor(F.col("slot") / 16_384).alias("shard"), "n_ids", "ids_sha256", "doc_ids")
+    return found.join(index, "slot").select("slot", F.floor(F.col("slot") / 8192).alias("shard"), "n_ids", "ids_sha256", "doc_ids")

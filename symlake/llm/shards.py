@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -87,7 +88,8 @@ class Permutation:
 
 
 def pack(docs: DataFrame, vocabulary: Vocabulary, length: int) -> DataFrame:
-    """``part, number, doc_ids, ids``: the sequences of each partition in order, and whose ids they hold.
+    """``part, number, doc_ids, ids``: the sequences of each partition in order (compressed, as they are stored and
+    shuffled before they get their place), and whose ids they hold.
 
     The end mark is the first id that is free in the vocabulary, padding repeats it."""
     if max(vocabulary.ranks.values()) + 1 >= 1 << 16:
@@ -100,6 +102,7 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         mark = np.array([end], "<u2").tobytes()
+        packer = zstandard.ZstdCompressor(level=3)
         held = b""  # ids not cut yet
         owners: list[tuple[object, int]] = []  # documents in them, with the byte at which each ends
 
@@ -121,7 +124,7 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, length: int) -> DataFrame:
             first, number = number, number + whole
             return pa.RecordBatch.from_arrays(
                 [pa.array([part] * whole, pa.int32()), pa.array(range(first, number), pa.int64()), pa.array(lists, pa.list_(owner_type)),
-                 pa.array([stream[r * size:(r + 1) * size] for r in range(whole)], pa.binary())], names=["part", "number", "doc_ids", "ids"])
+                 pa.array([packer.compress(stream[r * size:(r + 1) * size]) for r in range(whole)], pa.binary())], names=["part", "number", "doc_ids", "ids"])
 
         for batch in batches:
             data, offsets = utf8(batch["text"])
@@ -135,12 +138,13 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, length: int) -> DataFrame:
                 yield cut(b"".join(parts))
         if held:
             yield cut(held + mark * ((size - len(held)) // 2))
+        shared.value.forget()
 
     owner_type = to_arrow_type(docs.schema["doc_id"].dataType)
     return docs.select("doc_id", "text").mapInArrow(run, f"part int, number bigint, doc_ids array<{id_type}>, ids binary")
 
 
-def write(docs: DataFrame, vocabulary: Vocabulary, key: int, length: int = 1024, per_shard: int = 16_384, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+def write(docs: DataFrame, vocabulary: Vocabulary, key: int, length: int = 2048, per_shard: int = 8192, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Write the shards below ``folder`` and return ``(manifest, index)``.
 
     ``manifest``: ``shard, file, first_slot, n_rows, length, folder``; ``index``: ``slot, doc_ids``."""
@@ -149,7 +153,7 @@ def write(docs: DataFrame, vocabulary: Vocabulary, key: int, length: int = 1024,
     folder = folder or scratch.path("files")
     packed = scratch.path("packed")
     sequences = pack(docs, vocabulary, length)
-    sequences.write.option("compression", "zstd").parquet(packed)
+    sequences.write.option("compression", "none").parquet(packed)
     sequences = spark.read.schema(sequences.schema).parquet(packed)
     sizes = {r["part"]: r["n"] for r in sequences.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     before, total = {}, 0
@@ -168,6 +172,7 @@ def write(docs: DataFrame, vocabulary: Vocabulary, key: int, length: int = 1024,
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
         out, done, current = None, [], None
+        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             for slot, shard, ids in zip(*(batch[c].to_pylist() for c in ("slot", "shard", "ids"))):
                 if shard != current:
@@ -177,7 +182,7 @@ def write(docs: DataFrame, vocabulary: Vocabulary, key: int, length: int = 1024,
                     name = f"shard-{shard:06d}-{uuid.uuid4().hex[:8]}.bin"
                     out = store.open_output_stream(f"{path}/{name}", compression=None)
                     done.append([shard, name, slot, 0])
-                out.write(ids)
+                out.write(unpacker.decompress(ids))
                 done[-1][3] += 1
         if out:
             out.close()
@@ -185,7 +190,8 @@ def write(docs: DataFrame, vocabulary: Vocabulary, key: int, length: int = 1024,
                                              names=["shard", "file", "first_slot", "n_rows"])
 
     manifest, _ = scratch.save(rows.mapInArrow(run, "shard bigint, file string, first_slot bigint, n_rows bigint"), "manifest")
-    return manifest.withColumns({"length": F.lit(length), "folder": F.lit(folder)}), placed.select("slot", "doc_ids")
+    index, _ = scratch.save(placed.select("slot", "doc_ids"), "index")
+    return manifest.withColumns({"length": F.lit(length), "folder": F.lit(folder)}), index
 
 
 def read(manifest: DataFrame, chunk: int = 1024) -> DataFrame:

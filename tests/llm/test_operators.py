@@ -78,7 +78,7 @@ def test_language_of_edge_rows(docs, none):
 
 
 def test_language_backs_off_to_shorter_grams():
-    m = language.LanguageModel(["a", "b"], {"known": (-1.0, -9.0)}, {2: {"xy": (-9.0, -1.0)}, 1: {"z": (-1.0, -9.0)}}, (-10.0, -10.0))
+    m = language.LanguageModel(["a", "b"], {"known": 0}, {2: {"xy": 1}, 1: {"z": 0}}, np.array([[-1.0, -9.0], [-9.0, -1.0]], np.float32))
     assert m.score("known")[0] == "a" and m.score("wxyw")[0] == "b" and m.score("qzq")[0] == "a"
     assert m.score("qqq") == ("a", 0.5) and m.score("12 !") == ("und", 0.0) and m.score(None) == ("und", 0.0)
 
