@@ -357,6 +357,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, with_offsets: bool = False,
                 if with_offsets:
                     columns.append(pa.array([token_offsets(x, lengths) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, "n_bytes", "ids", "offsets"][:len(columns)])
+        # The worker may wait for its next task for long.
+        words.forget()
 
     extra = ", offsets binary" if with_offsets else ""
     return docs.select(*kept, "text").mapInArrow(run, f"{kinds}, n_bytes bigint, ids binary{extra}")

@@ -54,6 +54,10 @@ class LanguageModel:
     def __getstate__(self):
         return {**self.__dict__, "_rows": {}, "_table": None}
 
+    def forget(self) -> None:
+        """Give back the memory of what was remembered: a worker may wait for its next task for long."""
+        self._rows, self._table = {}, None
+
     def back_off(self, word: str) -> np.ndarray | float:
         """Score of a word that training did not see."""
         for n in sorted(self.grams, reverse=True):
@@ -162,6 +166,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 names=["doc_id", "lang_pred", "score"])
+        shared.value.forget()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double")
@@ -177,5 +182,6 @@ def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.
         for batch in batches:
             found = [score(t.as_py()) for t in batch["text"]]
             yield batch.filter(pa.array([lang != UNKNOWN and s >= min_score for lang, s in found], pa.bool_()))
+        shared.value.forget()
 
     return docs.mapInArrow(run, docs.schema)
