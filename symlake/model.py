@@ -23,6 +23,7 @@ METHOD_REFERENCES = "methodReferences"
 FIELD_DECLARATIONS = "fieldDeclarations"
 FIELD_REFERENCES = "fieldReferences"
 STRINGS = "strings"
+TEXTS = "texts"
 MODULE_DECLARATIONS = "javaModuleDeclarations"
 MODULE_REFERENCES = "javaModuleReferences"
 PACKAGE_DECLARATIONS = "packageDeclarations"

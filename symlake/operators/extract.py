@@ -14,7 +14,8 @@ TAG = r"""<[A-Za-z_](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
 ATTRIBUTE = r"""([\w:.-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 COMMENT = r"(?s)<!--(.*?)-->"
 CDATA = r"(?s)<!\[CDATA\[(.*?)\]\]>"
-INSTRUCTION = r"(?s)<\?([A-Za-z_][\w:.-]*)\s*(.*?)\?>"
+INSTRUCTION = r"(?s)<\?(?!xml[\s?])([A-Za-z_][\w:.-]*)\s*(.*?)\?>"
+DECLARATION = r"(?s)<\?xml\s(.*?)\?>"
 NOT_TEXT = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![A-Za-z][^>]*>|</[^<>]*>|" + TAG
 
 # Predefined entities, the ampersand last.
@@ -83,11 +84,12 @@ def posts(df: DataFrame, *indexes: tuple[str, Column]) -> DataFrame:
 
 
 def text_postings(entries: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Whole-text symbols. The posting key is the SHA-1 of the text; the second table maps it back, once per
-    distinct text, so equal files store their text once."""
+    """Whole-text symbols, in an index of their own: the posting key is the SHA-1 of the text, which no pattern is
+    compared with. The second table maps it back, once per distinct text, so equal files store their text once;
+    ``search.symbol_matches`` takes it to look into texts."""
     keyed = entries.select("container", "entry_path", F.sha1(F.col(text)).alias("key"), F.col(text).alias("text"))
     rows = keyed.filter(F.col("key").isNotNull()).select(
-        F.lit(m.STRINGS).alias("index_name"), "key", "container", "entry_path")
+        F.lit(m.TEXTS).alias("index_name"), "key", "container", "entry_path")
     return rows, keyed.groupBy("key").agg(F.first("text").alias("text"))
 
 
@@ -118,14 +120,22 @@ def markup_tokens(text: Column, skip_values: Column | None = None) -> Column:
     return F.filter(F.array_distinct(F.concat(
         element, F.filter(names, lambda n: n != "xmlns"), values, texts,
         trimmed(_all(text, COMMENT, 1)), trimmed(_all(text, CDATA, 1)),
-        _all(text, INSTRUCTION, 1), trimmed(_all(text, INSTRUCTION, 2)))),
+        _declared(text), _all(text, INSTRUCTION, 1), trimmed(_all(text, INSTRUCTION, 2)))),
         lambda t: t.isNotNull() & (t != ""))
 
 
+def _declared(text: Column) -> Column:
+    """Version and encoding of the XML declaration."""
+    inner = F.regexp_extract(text, DECLARATION, 1)
+    pairs = F.filter(_all(inner, ATTRIBUTE, 0), lambda a: a.rlike("^(?:version|encoding)"))
+    return F.transform(pairs, lambda a: F.regexp_extract(a, r"""["'](.*)["']$""", 1))
+
+
 def attribute_values(text: Column, element: str, attribute: str) -> Column:
-    """Values of ``<element ... attribute="...">``."""
-    regex = rf"""(?s)<\s*{element}\s(?:[^<>]*?\s)?{attribute}\s*=\s*"([^"]*)\""""
-    return _all(text, regex, 1)
+    """Values of ``<element ... attribute="...">``, in either kind of quotes; a prefix of the element does not count."""
+    regex = rf"""(?s)<\s*(?:[\w.-]+:)?{element}\s(?:[^<>]*?\s)?{attribute}\s*=\s*(?:"[^"]*"|'[^']*')"""
+    quoted = r"""(?s)(?:"([^"]*)"|'([^']*)')$"""
+    return F.transform(_all(text, regex, 0), lambda a: F.concat(F.regexp_extract(a, quoted, 1), F.regexp_extract(a, quoted, 2)))
 
 
 def markup_postings(entries: DataFrame, text: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from symlake import model as m
@@ -186,54 +187,57 @@ def match_fragment(declarations: DataFrame, fragments: DataFrame, wild_decls: bo
     static initializer that is not declared falls back to its type.
     """
     unknown = lambda c: F.col(c).startswith("*")
-    loose = lambda c: F.concat(F.lit("*/"), simple_name(c))
     # A bare type is a member without name and descriptor, so one join serves types, fields and methods.
     none = F.lit("")
     f = fragments.select("fragment").distinct().withColumn("f", parse_fragment("fragment"))
     f = f.filter(F.col("f.type").isNotNull()).select(
         "fragment", F.col("f.type").alias("f_type"), F.coalesce("f.name", none).alias("_name"),
         F.coalesce("f.descriptor", none).alias("f_desc"))
-    key = F.when(unknown("f_type"), loose("f_type")).otherwise(F.col("f_type"))
-    # A declaration written without its package (*/T) answers every full name that ends with it.
-    keys = F.array_distinct(F.array(key, loose("f_type"))) if wild_decls else F.array(key)
-    f = f.withColumn("_type", F.explode(keys))
-    d = declarations.select(
-        "type_name", "name", "descriptor", "start", "end", F.coalesce("name", none).alias("_name"),
-        F.coalesce("descriptor", none).alias("_desc"),
-        F.explode(F.array_distinct(F.array("type_name", loose("type_name")))).alias("_type"))
+    # Marks: a full name meets the same full name, an unknown reference every full name with its simple name, and a
+    # declaration written without its package (*/T) whatever has its simple name. Each pair meets under one mark only,
+    # and full names never meet by their simple name.
+    exact, by_ref, by_decl = (lambda c: F.concat(F.lit("="), c)), (lambda c: F.concat(F.lit("*"), simple_name(c))), (lambda c: F.concat(F.lit("~"), simple_name(c)))
+    keys = [F.when(unknown("f_type"), by_ref("f_type")).otherwise(exact(F.col("f_type")))]
+    if wild_decls:
+        keys.append(by_decl("f_type"))
+    f = f.withColumn("_type", F.explode(F.array(*keys)))
+    marks = F.array(exact(F.col("type_name")), by_ref("type_name"))
+    if wild_decls:
+        marks = F.when(unknown("type_name"), F.array(by_decl("type_name"))).otherwise(marks)
+    # A static initializer that is not declared is found at its type, so types stand in for it.
+    d = declarations.select("type_name", "name", "descriptor", "start", "end", F.explode(F.when(
+        F.col("name").isNull(), F.array(F.struct(none.alias("n"), none.alias("d"), F.lit(False).alias("stand_in")),
+                                        F.struct(F.lit("<clinit>").alias("n"), F.lit("()V").alias("d"), F.lit(True).alias("stand_in"))))
+        .otherwise(F.array(F.struct(F.col("name").alias("n"), F.coalesce("descriptor", none).alias("d"), F.lit(False).alias("stand_in"))))).alias("w"))
+    d = d.select("type_name", "name", "descriptor", "start", "end", F.col("w.n").alias("_name"), F.col("w.d").alias("_desc"),
+                 F.col("w.stand_in").alias("_stand_in"), F.explode(marks).alias("_type"))
     same_type = scope_match(F.col("f_type"), "type_name")
     if wild_decls:
         same_type = same_type | (unknown("type_name") & scope_match(F.col("type_name"), "f_type"))
-    cols = ["fragment", "type_name", "name", "descriptor", "start", "end"]
+    own = F.col("type_name") == F.col("f_type")
     found = descriptor_join(f, d, ["_type", "_name"], "f_desc", "_desc", True, wild_decls).filter(
-        same_type).select(*cols)
-    if wild_decls:
-        found = found.distinct()
-    initializer = (F.col("_name") == "<clinit>")
-    declared = d.filter(initializer & (F.col("_desc") == "()V")).select(F.col("type_name").alias("f_type")).distinct()
-    orphans = f.filter(initializer & (F.col("f_desc") == "()V") & (F.col("_type") == F.col("f_type"))).join(
-        declared, "f_type", "left_anti")
-    types = declarations.filter(F.col("name").isNull())
-    fallback = orphans.join(types, F.col("f_type") == F.col("type_name")).select(*cols)
-    return found.unionByName(fallback)
+        same_type & (~F.col("_stand_in") | (own & (F.col("f_desc") == "()V"))))
+    # Only initializers are looked at together; everything else stays spread.
+    lone = F.when(F.col("_name") != "<clinit>", F.xxhash64("type_name", "descriptor"))
+    declared = F.max(own & ~F.col("_stand_in")).over(W.partitionBy("fragment", lone))
+    return found.withColumn("_declared", declared).filter(~F.col("_stand_in") | ~F.col("_declared")).select(
+        "fragment", "type_name", "name", "descriptor", "start", "end")
 
 
-# Well-known type names of the core package, tried after imports and packages.
-CORE_TYPES = [
-    "Boolean", "Byte", "CharSequence", "Character", "Class", "ClassLoader", "Comparable", "Double", "Enum",
-    "Error", "Exception", "Float", "Integer", "Iterable", "Long", "Math", "Number", "Object", "Override",
-    "Process", "Record", "Runnable", "Runtime", "RuntimeException", "Short", "String", "StringBuffer",
-    "StringBuilder", "System", "Thread", "Throwable", "Void",
-]
+def core_types(types: DataFrame, package: str = "java/lang") -> DataFrame:
+    """``(name)`` of all top-level types of the core package in the corpus: what a name means without an import."""
+    head = package + "/"
+    return types.filter(F.col("type_name").startswith(head)).select(
+        F.substring(F.col("type_name"), F.lit(len(head) + 1), F.length("type_name")).alias("name")).filter(~F.col("name").rlike("[/$]")).distinct()
 
 
 def resolve_cascade(names: DataFrame, imports: DataFrame, declared: DataFrame,
-                    core_types: list[str] | None = None) -> DataFrame:
+                    core: DataFrame | None = None) -> DataFrame:
     """Resolve ``names(container, entry_path, package, name)`` to internal type names.
 
     Order: import of the entry, type of the same package in the container, type of the root package, core
     package, else ``*/name``. ``imports(container, entry_path, name, type_name)`` keeps one target per name and
-    ``declared(container, package, name)`` lists types. Every right side is unique on its join key, so no step
+    ``declared(container, package, name)`` lists types, ``core(name)`` those of the core package (see ``core_types``). Every right side is unique on its join key, so no step
     multiplies rows. Names that are already qualified pass through.
     """
     imp = imports.groupBy("container", "entry_path", "name").agg(F.max("type_name").alias("imported"))
@@ -241,11 +245,13 @@ def resolve_cascade(names: DataFrame, imports: DataFrame, declared: DataFrame,
         .withColumn("in_package", F.lit(True))
     root = declared.filter(F.col("package") == "").select("container", "name").distinct() \
         .withColumn("in_root", F.lit(True))
-    core = F.col("name").isin(CORE_TYPES if core_types is None else core_types)
+    if core is None:
+        core = names.select("name").limit(0)
     joined = (
         names.join(imp, ["container", "entry_path", "name"], "left")
         .join(own, ["container", "package", "name"], "left")
         .join(root, ["container", "name"], "left")
+        .join(core.select("name").distinct().withColumn("in_core", F.lit(True)), "name", "left")
     )
     qualified = F.col("name").contains(".") | F.col("name").contains("/")
     cases: list[tuple[Column, str, Column]] = [
@@ -253,7 +259,7 @@ def resolve_cascade(names: DataFrame, imports: DataFrame, declared: DataFrame,
         (F.col("imported").isNotNull(), "import", F.col("imported")),
         (F.col("in_package").isNotNull(), "package", F.concat_ws("/", "package", "name")),
         (F.col("in_root").isNotNull(), "root", F.col("name")),
-        (core, "core", F.concat(F.lit("java/lang/"), "name")),
+        (F.col("in_core").isNotNull(), "core", F.concat(F.lit("java/lang/"), "name")),
     ]
     by = F.lit("unknown")
     target = F.concat(F.lit("*/"), "name")

@@ -34,8 +34,9 @@ def _wanted(flags: int) -> tuple[list[str], list[str]]:
     return sorted(by_name), sorted(by_key)
 
 
-def symbol_matches(postings: DataFrame, pattern: str, flags: int) -> DataFrame:
-    """Posting rows whose symbol matches. ``index_name IN (...)`` prunes partitions of a stored index."""
+def symbol_matches(postings: DataFrame, pattern: str, flags: int, texts: DataFrame | None = None) -> DataFrame:
+    """Posting rows whose symbol matches. ``index_name IN (...)`` prunes partitions of a stored index. With ``texts(key,
+    text)`` a search for strings also finds the whole texts that match."""
     by_name, by_key = _wanted(flags)
     if pattern == "" or not (by_name or by_key):
         return postings.limit(0)
@@ -48,12 +49,16 @@ def symbol_matches(postings: DataFrame, pattern: str, flags: int) -> DataFrame:
     if by_key:
         other = index.isin(by_key) & glob_match("key", pattern)
         hit = other if hit is None else hit | other
-    return postings.filter(index.isin(by_name + by_key)).filter(hit)
+    found = postings.filter(index.isin(by_name + by_key)).filter(hit)
+    if texts is None or not flags & m.SEARCH_STRING:
+        return found
+    keys = texts.filter(glob_match("text", pattern)).select("key")
+    return found.unionByName(postings.filter(index == m.TEXTS).join(keys, "key", "left_semi").select(*postings.columns))
 
 
-def symbol_search(postings: DataFrame, pattern: str, flags: int) -> DataFrame:
+def symbol_search(postings: DataFrame, pattern: str, flags: int, texts: DataFrame | None = None) -> DataFrame:
     """Distinct entries with a matching symbol in any of the wanted indexes."""
-    return symbol_matches(postings, pattern, flags).select("container", "entry_path").distinct()
+    return symbol_matches(postings, pattern, flags, texts).select("container", "entry_path").distinct()
 
 
 def open_type(postings: DataFrame, pattern: str, limit: int = 80) -> DataFrame:

@@ -1,31 +1,31 @@
 """Finding ranges inside text columns."""
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from symlake.functions.patterns import find_regex
 
 
-def range_hits(df: DataFrame, ids: list[str], col: str, regex: str) -> DataFrame:
-    """All non-empty matches of ``regex`` as ``(ids, hit_no, hit_start, hit_end)``; offsets count characters.
-
-    ``ids`` identify a row. The text is cut into gaps and matches inside the scan stage; only their lengths (two
-    ints per hit) travel to the running sum, and rows without a hit never leave the scan.
-    """
-    text = F.col(col)
+def _ranges(text: Column, regex: str) -> Column:
+    """Array of ``(hit_start, hit_end)`` of all non-empty matches, in order, from the row alone: a match starts where
+    the gaps and matches before it end."""
     gaps = F.transform(F.split(text, regex, -1), lambda g: F.length(g))
     found = F.transform(F.regexp_extract_all(text, F.lit(regex), 0), lambda h: F.length(h))
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("hit")), lambda z: z["hit"].isNotNull())
-    steps = (
-        df.filter(text.rlike(regex))
-        .select(*ids, F.posexplode(pairs).alias("hit_no", "z"))
-        .select(*ids, "hit_no", F.col("z.gap").alias("gap"), F.col("z.hit").alias("hit"))
-    )
-    order = W.partitionBy(*ids).orderBy("hit_no").rowsBetween(W.unboundedPreceding, 0)
-    end = F.sum(F.col("gap") + F.col("hit")).over(order)
+    steps = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("hit")), lambda z: z["hit"].isNotNull())
+    none = F.expr("cast(array() AS array<struct<hit_start:int,hit_end:int>>)")
+    walked = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, z: F.struct(
+        (acc["at"] + z["gap"] + z["hit"]).alias("at"),
+        F.array_append(acc["out"], F.struct((acc["at"] + z["gap"]).alias("hit_start"), (acc["at"] + z["gap"] + z["hit"]).alias("hit_end"))).alias("out")))["out"]
+    return walked
+
+
+def range_hits(df: DataFrame, ids: list[str], col: str, regex: str) -> DataFrame:
+    """All non-empty matches of ``regex`` as ``(ids, hit_no, hit_start, hit_end)``; offsets count characters. Nothing
+    leaves the scan stage but the hits."""
+    text = F.col(col)
     return (
-        steps.select(*ids, "hit_no", (end - F.col("hit")).alias("hit_start"), end.alias("hit_end"))
+        df.filter(text.rlike(regex)).select(*ids, F.posexplode(_ranges(text, regex)).alias("hit_no", "h"))
+        .select(*ids, "hit_no", F.col("h.hit_start").alias("hit_start"), F.col("h.hit_end").alias("hit_end"))
         .filter(F.col("hit_end") > F.col("hit_start"))
     )
 
@@ -53,13 +53,13 @@ def find_next(df: DataFrame, ids: list[str], col: str, needle: str, caret: str,
               case_sensitive: bool = True, forward: bool = True) -> DataFrame:
     """Per row: number of hits and the next one at or after ``caret``, or the last one ending at or before it
     when searching backwards; past the edge the search wraps around."""
-    hits = find_text(df, [*ids, caret], col, needle, case_sensitive)
-    at = F.struct("hit_start", "hit_end")
+    if len(needle) < 2:
+        df, needle = df.limit(0), ".."
+    regex = _needle_regex(needle, case_sensitive)
+    rows = df.filter(F.col(col).rlike(regex)).select(*ids, caret, _ranges(F.col(col), regex).alias("hits"))
     if forward:
-        chosen: Column = F.coalesce(F.min(F.when(F.col("hit_start") >= F.col(caret), at)), F.min(at))
+        chosen = F.coalesce(F.get(F.filter("hits", lambda h: h["hit_start"] >= F.col(caret)), F.lit(0)), F.get("hits", F.lit(0)))
     else:
-        chosen = F.coalesce(F.max(F.when(F.col("hit_end") <= F.col(caret), at)), F.max(at))
-    return (
-        hits.groupBy(*ids, caret).agg(F.count(F.lit(1)).alias("n_hits"), chosen.alias("h"))
-        .select(*ids, caret, "n_hits", F.col("h.hit_start").alias("next_start"), F.col("h.hit_end").alias("next_end"))
-    )
+        chosen = F.coalesce(F.try_element_at(F.filter("hits", lambda h: h["hit_end"] <= F.col(caret)), F.lit(-1)), F.try_element_at("hits", F.lit(-1)))
+    return rows.select(*ids, caret, F.size("hits").cast("bigint").alias("n_hits"), chosen.alias("h")).select(
+        *ids, caret, "n_hits", F.col("h.hit_start").alias("next_start"), F.col("h.hit_end").alias("next_end"))

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from symlake import model as m
 from symlake.operators import extract as X
+from symlake.operators.search import symbol_search
 from symlake.plans.fixtures import VIEWS, sub, table, view
 from symlake.plans.registry import query
 
@@ -22,12 +24,33 @@ _PAGE = f"{VIEWS['pages'][2]['container']} AS container, 'page' || cast(page_id
 
 
 @query("text_postings", f"""
-SELECT DISTINCT 'strings' AS index_name, sha1(text) AS key, {_DOC}, length(text) AS n_chars FROM documents""")
+SELECT DISTINCT 'texts' AS index_name, sha1(text) AS key, {_DOC}, length(text) AS n_chars FROM documents""")
 def text_postings(spark, sf):
     rows, texts = X.text_postings(_documents(spark, sf))
     return rows.join(texts.select("key", F.length("text").alias("n_chars")), "key")
 
 
+@query("text_symbol_search", f"""
+SELECT DISTINCT {_DOC} FROM documents WHERE regexp_full_match(text, 'The.*ing.*')""")
+def text_symbol_search(spark, sf):
+    rows, texts = X.text_postings(_documents(spark, sf))
+    return symbol_search(rows, "The*ing", m.SEARCH_STRING | m.SEARCH_DECLARATION, texts)
+
+
+@query("bean_refs", f"""
+WITH p AS (SELECT {_PAGE}, page_id, unnest(regexp_extract_all(html, '<a[^>]* href="([^"]*)"', 1)) AS ref FROM pages)
+SELECT DISTINCT container, entry_path, replace(trim(ref), '.', '/') AS key FROM p WHERE trim(ref) <> ''""")
+def bean_refs(spark, sf):
+    """Links of pages as bean definitions: with and without a prefix, in either kind of quotes."""
+    quote = "CASE WHEN page_id % 2 = 0 THEN '\\'' ELSE '\"' END"
+    bean = "CASE WHEN page_id % 3 = 0 THEN '<b:bean' ELSE '<bean id=\"x\"' END"
+    links = "regexp_extract_all(html, '<a[^>]* href=\"([^\"]*)\"', 1)"
+    xml = table(spark, sf, "pages").selectExpr(
+        f"{VIEWS['pages'][2]['container']} AS container", "'page' || cast(page_id AS string) AS entry_path",
+        f"concat('<?xml version=\"1.0\" encoding=\"UTF-8\"?><beans>', array_join(transform({links}, v -> concat({bean}, ' class=', {quote}, v, {quote}, '/>')), ''), '</beans>') AS text")
+    return X.bean_postings(xml).filter(F.col("index_name") == m.TYPE_REFERENCES).select("container", "entry_path", "key")
+
+
 _TAG_SQL = """'<[A-Za-z_](?:[^<>"'']|"[^"]*"|''[^'']*'')*>'"""
 _ATTR_SQL = """'([\\w:.-]+)\\s*=\\s*(?:"[^"]*"|''[^'']*'')'"""
 _NOT_TEXT_SQL = ("""'(?s)<!--.*?-->|<!\\[CDATA\\[.*?\\]\\]>|<\\?.*?\\?>|<![A-Za-z][^>]*>|</[^<>]*>|"""
@@ -98,10 +121,10 @@ def xpath_refs(spark, sf):
 WITH t AS (SELECT * FROM {sub('types')}),
 r AS (SELECT container, type_name || '/web.xml' AS entry_path, '/' || simple || '.jsp' AS ref FROM t WHERE size > 7
   UNION SELECT container, type_name || '/web.xml', 'index.jsp' FROM t WHERE size > 7),
-f AS (SELECT DISTINCT container, simple || '.jsp' AS path FROM t WHERE size > 30)
+f AS (SELECT DISTINCT container, simple || '.jsp' AS path FROM t)
 SELECT r.container, r.entry_path, r.ref, f.path AS target_path FROM r LEFT JOIN f ON f.container = r.container AND f.path = ltrim(r.ref, '/')""")
 def path_refs(spark, sf):
-    files = view(spark, sf, "types").filter("size > 30").selectExpr("container", "simple || '.jsp' AS entry_path")
+    files = view(spark, sf, "types").selectExpr("container", "simple || '.jsp' AS entry_path")
     return X.web_file_refs(_descriptors(spark, sf), files)
 
 

@@ -115,8 +115,8 @@ def common_super(spark, sf):
 @query("resolve_member", f"""
 WITH RECURSIVE {_UP_SQL},
 line AS (SELECT id, id AS a, 0 AS depth FROM t UNION ALL SELECT id, a, depth FROM up WHERE a IS NOT NULL),
-m AS (SELECT DISTINCT l_partkey AS id, {{name}} AS name FROM lineitem WHERE l_linenumber > 2),
-r AS (SELECT DISTINCT l_partkey AS id, 'nOp' || cast(l_suppkey % 5 + 3 AS string) AS name FROM lineitem),
+m AS (SELECT DISTINCT l_partkey AS id, {{name}} AS name FROM lineitem),
+r AS (SELECT DISTINCT l_partkey AS id, 'nOp' || cast(l_suppkey % 9 + 1 AS string) AS name FROM lineitem),
 hit AS (SELECT r.id, r.name, min(line.depth) AS depth FROM r JOIN line ON line.id = r.id JOIN m ON m.id = line.a AND m.name = r.name GROUP BY ALL)
 SELECT t.type_name, r.name, f.type_name AS found_type, hit.depth FROM r JOIN t ON t.id = r.id LEFT JOIN hit ON hit.id = r.id AND hit.name = r.name
 LEFT JOIN line ON line.id = hit.id AND line.depth = hit.depth LEFT JOIN t f ON f.id = line.a""".replace(
@@ -124,10 +124,10 @@ LEFT JOIN line ON line.id = hit.id AND line.depth = hit.depth LEFT JOIN t f ON f
 def resolve_member(spark, sf):
     t = view(spark, sf, "types").selectExpr("id AS l_partkey", "type_name", "container")
     items = table(spark, sf, "lineitem")
-    members = items.filter("l_linenumber > 2").selectExpr(
+    members = items.selectExpr(
         "l_partkey", "lower(l_returnflag) || 'Op' || cast(l_linenumber AS string) AS name").distinct().join(
         t, "l_partkey").withColumn("descriptor", F.lit("(I)V"))
-    refs = items.selectExpr("l_partkey", "'nOp' || cast(l_suppkey % 5 + 3 AS string) AS name").distinct().join(
+    refs = items.selectExpr("l_partkey", "'nOp' || cast(l_suppkey % 9 + 1 AS string) AS name").distinct().join(
         t, "l_partkey").withColumn("descriptor", F.lit("(?)V"))
     return H.resolve_member(refs, members, _supers(spark, sf), wild_decls=False).select("type_name", "name", "found_type", "depth")
 

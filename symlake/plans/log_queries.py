@@ -55,7 +55,7 @@ def column_frames(spark, sf):
 
 def _event_stream(spark, sf, columns):
     schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).selectExpr(*columns)
+    return spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").selectExpr(*columns)
 
 
 _TEXT = f"{VIEWS['log_lines'][2]['text']} AS text"
@@ -65,9 +65,9 @@ _TEXT = f"{VIEWS['log_lines'][2]['text']} AS text"
 def stream_link(spark, sf):
     lines = _event_stream(spark, sf, ["event_id", f"{VIEWS['log_lines'][2]['source']} AS source", _TEXT])
     scratch = Scratch(spark, "stream-link")
-    linked = S.stream_frames(lines, view(spark, sf, "log_decls"))
-    S.run_to_table(linked, scratch.path("out"), scratch.path("checkpoint")).awaitTermination()
-    return spark.read.schema(linked.schema).parquet(scratch.path("out"))
+    S.run_linked(lines, lambda s: view(s, sf, "log_decls"), scratch.path("out"), scratch.path("checkpoint")).awaitTermination()
+    shape = S.stream_frames(lines, view(spark, sf, "log_decls")).schema
+    return spark.read.schema(shape).parquet(f"{scratch.path('out')}/source=*/batch=*")
 
 
 @query("stream_window_counts", f"""

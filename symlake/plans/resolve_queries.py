@@ -10,40 +10,50 @@ from symlake.plans.registry import query
 
 
 def _part_decls(spark, sf):
-    """Types declared by the larger parts, each also by a second library."""
-    t = view(spark, sf, "types").filter("size > 15")
+    """All types, each also declared by a second library."""
+    t = view(spark, sf, "types")
     return t.selectExpr("type_name AS key", "explode(array(container, 'shade')) AS container", "entry_path")
 
 
-_PART_DECLS = f"""(SELECT type_name AS key, unnest([container, 'shade']) AS container, entry_path FROM {sub('types')} WHERE size > 15)"""
+_PART_DECLS = f"""(SELECT type_name AS key, unnest([container, 'shade']) AS container, entry_path FROM {sub('types')})"""
+
+# A share of the references names what nothing declares.
+_TYPE_KEY = "(case when ref_id % 7 = 0 then 'gone/' || type_name else type_name end)"
+_NAME_KEY = "(case when ref_id % 7 = 0 then 'Gone' || key else key end)"
+_PART_REFS = f"(SELECT ref_id, ref_line, {_TYPE_KEY} AS key FROM {sub('refs')})"
+_NAME_REFS = f"(SELECT ref_id, ref_line, {_NAME_KEY} AS key, container FROM {sub('refs')})"
 
 
 def _part_refs(spark, sf):
-    return view(spark, sf, "refs").selectExpr("ref_id", "ref_line", "type_name AS key")
+    return view(spark, sf, "refs").selectExpr("ref_id", "ref_line", f"{_TYPE_KEY} AS key")
+
+
+def _name_refs(spark, sf):
+    return view(spark, sf, "refs").selectExpr("ref_id", "ref_line", f"{_NAME_KEY} AS key", "container")
 
 
 @query("resolve_refs", f"""
 WITH d AS (SELECT key, count(*) AS n, min(container) AS c, min(entry_path) AS e FROM {_PART_DECLS} GROUP BY key)
-SELECT r.ref_id, r.ref_line, r.type_name AS key, coalesce(d.n, 0) AS n_targets, d.c AS target_container, d.e AS target_entry
-FROM {sub('refs')} r LEFT JOIN d ON d.key = r.type_name""")
+SELECT r.ref_id, r.ref_line, r.key, coalesce(d.n, 0) AS n_targets, d.c AS target_container, d.e AS target_entry
+FROM {_PART_REFS} r LEFT JOIN d ON d.key = r.key""")
 def resolve_refs(spark, sf):
     return R.resolve(_part_refs(spark, sf), _part_decls(spark, sf))
 
 
 @query("dangling_refs", f"""
-SELECT r.type_name AS key, r.ref_id, r.ref_line FROM {sub('refs')} r WHERE r.type_name NOT IN (SELECT key FROM {_PART_DECLS})""")
+SELECT r.key, r.ref_id, r.ref_line FROM {_PART_REFS} r WHERE r.key NOT IN (SELECT key FROM {_PART_DECLS})""")
 def dangling(spark, sf):
     return R.dangling_refs(_part_refs(spark, sf), _part_decls(spark, sf))
 
 
 @query("live_refs", f"""
-SELECT r.type_name AS key, r.ref_id, r.ref_line FROM {sub('refs')} r WHERE r.type_name IN (SELECT key FROM {_PART_DECLS})""")
+SELECT r.key, r.ref_id, r.ref_line FROM {_PART_REFS} r WHERE r.key IN (SELECT key FROM {_PART_DECLS})""")
 def live(spark, sf):
     return R.live_refs(_part_refs(spark, sf), _part_decls(spark, sf))
 
 
-# Simple names declared in many libraries; the names of the small parts are not declared at all.
-_DECLS = f"(SELECT * FROM {sub('decls')} WHERE size > 20 AND key NOT LIKE 'Old%')"
+# Simple names declared in many libraries.
+_DECLS = sub("decls")
 
 
 @query("resolve_same_container", f"""
@@ -53,17 +63,16 @@ w AS (SELECT key, count(*) AS n, min(container) AS c FROM d GROUP BY key),
 f AS (SELECT w.key, w.n, w.c, min(d.entry_path) AS e FROM w JOIN d ON d.key = w.key AND d.container = w.c GROUP BY ALL)
 SELECT r.ref_id, r.ref_line, r.key, r.container, CASE WHEN l.n IS NOT NULL THEN 'same' WHEN f.n IS NOT NULL THEN 'any' ELSE 'none' END AS scope,
   coalesce(l.n, f.n, 0) AS n_candidates, CASE WHEN l.n IS NOT NULL THEN r.container ELSE f.c END AS first_container, coalesce(l.e, f.e) AS first_entry
-FROM {sub('refs')} r LEFT JOIN l ON l.key = r.key AND l.container = r.container LEFT JOIN f ON f.key = r.key""")
+FROM {_NAME_REFS} r LEFT JOIN l ON l.key = r.key AND l.container = r.container LEFT JOIN f ON f.key = r.key""")
 def resolve_same_container(spark, sf):
-    refs = view(spark, sf, "refs").select("ref_id", "ref_line", "key", "container")
-    return R.resolve_same_container(refs, view(spark, sf, "decls").filter("size > 20 AND key NOT LIKE 'Old%'"))
+    return R.resolve_same_container(_name_refs(spark, sf), view(spark, sf, "decls"))
 
 
 @query("candidate_sets", f"""
 WITH d AS (SELECT DISTINCT key, container, entry_path FROM {_DECLS})
 SELECT key AS set_key, container AS set_container, container, entry_path FROM d UNION ALL SELECT key, NULL, container, entry_path FROM d""")
 def candidate_sets(spark, sf):
-    return R.candidate_sets(view(spark, sf, "decls").filter("size > 20 AND key NOT LIKE 'Old%'"))
+    return R.candidate_sets(view(spark, sf, "decls"))
 
 
 def _member_refs(spark, sf):
@@ -107,7 +116,7 @@ def match_fragment(spark, sf):
     frags = types.selectExpr("explode(array(type_name, type_name || '-<clinit>-()V')) AS fragment").unionByName(
         mem.selectExpr("explode(array('*/' || split_part(type_name,'/',-1) || '-' || name || '-(*)?', "
                        "type_name || '-' || name || '-' || descriptor)) AS fragment"))
-    return R.match_fragment(decls, frags, wild_decls=False)
+    return R.match_fragment(decls, frags)
 
 
 @query("line_lookup", """
@@ -140,24 +149,26 @@ def enclosing_decl(spark, sf):
 @query("resolve_cascade", f"""
 WITH n AS (SELECT c_custkey, 'n' || cast(c_nationkey AS string) AS container, 'e' || cast(c_custkey % 50 AS string) AS entry_path,
     CASE WHEN c_custkey % 3 = 0 THEN '' ELSE lower(c_mktsegment) END AS package,
-    CASE WHEN c_custkey % 11 = 0 THEN 'String' WHEN c_custkey % 13 = 0 THEN 'a.b.C' ELSE 'T' || cast(c_custkey % 40 AS string) END AS name FROM customer),
+    CASE WHEN c_custkey % 11 = 0 THEN 'E' || cast(c_custkey % 60 AS string) || 'Exception' WHEN c_custkey % 13 = 0 THEN 'a.b.C' ELSE 'T' || cast(c_custkey % 40 AS string) END AS name FROM customer),
 i AS (SELECT 'n' || cast(s_nationkey AS string) AS container, 'e' || cast(s_suppkey % 50 AS string) AS entry_path, 'T' || cast(s_suppkey % 40 AS string) AS name,
     max('imp/T' || cast(s_suppkey AS string)) AS imported FROM supplier GROUP BY ALL),
 d AS (SELECT DISTINCT 'n' || cast(c_nationkey AS string) AS container, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE lower(c_mktsegment) END AS package,
-    'T' || cast(cast(floor(c_acctbal) AS bigint) % 40 AS string) AS name FROM customer)
+    'T' || cast(cast(floor(c_acctbal) AS bigint) % 40 AS string) AS name FROM customer),
+k AS (SELECT DISTINCT 'E' || cast(p_size AS string) || 'Exception' AS name FROM part)
 SELECT n.*, CASE WHEN contains(n.name,'.') THEN replace(n.name,'.','/') WHEN i.imported IS NOT NULL THEN i.imported
-    WHEN p.name IS NOT NULL THEN n.package || '/' || n.name WHEN r.name IS NOT NULL THEN n.name WHEN n.name = 'String' THEN 'java/lang/String' ELSE '*/' || n.name END AS type_name,
+    WHEN p.name IS NOT NULL THEN n.package || '/' || n.name WHEN r.name IS NOT NULL THEN n.name WHEN k.name IS NOT NULL THEN 'java/lang/' || n.name ELSE '*/' || n.name END AS type_name,
   CASE WHEN contains(n.name,'.') THEN 'qualified' WHEN i.imported IS NOT NULL THEN 'import' WHEN p.name IS NOT NULL THEN 'package'
-    WHEN r.name IS NOT NULL THEN 'root' WHEN n.name = 'String' THEN 'core' ELSE 'unknown' END AS resolved_by
+    WHEN r.name IS NOT NULL THEN 'root' WHEN k.name IS NOT NULL THEN 'core' ELSE 'unknown' END AS resolved_by
 FROM n LEFT JOIN i ON i.container = n.container AND i.entry_path = n.entry_path AND i.name = n.name
 LEFT JOIN d p ON p.container = n.container AND p.package = n.package AND p.name = n.name AND n.package <> ''
-LEFT JOIN d r ON r.container = n.container AND r.package = '' AND r.name = n.name""")
+LEFT JOIN d r ON r.container = n.container AND r.package = '' AND r.name = n.name
+LEFT JOIN k ON k.name = n.name""")
 def resolve_cascade(spark, sf):
     cust = table(spark, sf, "customer")
     names = cust.selectExpr(
         "c_custkey", "'n' || cast(c_nationkey AS string) AS container", "'e' || cast(c_custkey % 50 AS string) AS entry_path",
         "CASE WHEN c_custkey % 3 = 0 THEN '' ELSE lower(c_mktsegment) END AS package",
-        "CASE WHEN c_custkey % 11 = 0 THEN 'String' WHEN c_custkey % 13 = 0 THEN 'a.b.C' ELSE 'T' || cast(c_custkey % 40 AS string) END AS name")
+        "CASE WHEN c_custkey % 11 = 0 THEN 'E' || cast(c_custkey % 60 AS string) || 'Exception' WHEN c_custkey % 13 = 0 THEN 'a.b.C' ELSE 'T' || cast(c_custkey % 40 AS string) END AS name")
     imports = table(spark, sf, "supplier").selectExpr(
         "'n' || cast(s_nationkey AS string) AS container", "'e' || cast(s_suppkey % 50 AS string) AS entry_path",
         "'T' || cast(s_suppkey % 40 AS string) AS name", "'imp/T' || cast(s_suppkey AS string) AS type_name")
@@ -165,7 +176,9 @@ def resolve_cascade(spark, sf):
         "'n' || cast(c_nationkey AS string) AS container",
         "CASE WHEN c_custkey % 4 = 0 THEN '' ELSE lower(c_mktsegment) END AS package",
         "'T' || cast(cast(floor(c_acctbal) AS bigint) % 40 AS string) AS name")
-    return R.resolve_cascade(names, imports, declared)
+    corpus = table(spark, sf, "part").selectExpr("explode(array('java/lang/E' || cast(p_size AS string) || 'Exception', "
+                                                 "'java/lang/ref/E' || cast(p_partkey AS string), 'java/lang/E' || cast(p_size AS string) || '$In')) AS type_name")
+    return R.resolve_cascade(names, imports, declared, R.core_types(corpus))
 
 
 _KIND = "case cast(ref_id % 4 as int) when 0 then 'type' when 1 then 'package' when 2 then 'module' else 'other' end"
@@ -173,18 +186,18 @@ _KIND = "case cast(ref_id % 4 as int) when 0 then 'type' when 1 then 'package' w
 
 @query("resolve_by_kind", f"""
 WITH d AS (SELECT * FROM {sub('decls')}),
-p AS (SELECT DISTINCT 'type' AS kind, key, container, entry_path FROM d WHERE size > 25 UNION SELECT 'package', key, container, entry_path FROM d WHERE size > 35
-  UNION SELECT 'module', key, container, entry_path FROM d WHERE size > 48),
+p AS (SELECT DISTINCT 'type' AS kind, key, container, entry_path FROM d UNION SELECT 'package', key, container, entry_path FROM d
+  UNION SELECT 'module', key, container, entry_path FROM d),
 g AS (SELECT kind, key, count(*) AS n, min(container) AS c FROM p GROUP BY ALL),
 f AS (SELECT g.kind, g.key, g.n, g.c, min(p.entry_path) AS e FROM g JOIN p ON p.kind = g.kind AND p.key = g.key AND p.container = g.c GROUP BY ALL)
 SELECT r.ref_id, r.ref_line, r.kind, r.key, coalesce(f.n, 0) AS n_targets, f.c AS target_container, f.e AS target_entry
-FROM (SELECT ref_id, ref_line, {_KIND} AS kind, key FROM {sub('refs')}) r LEFT JOIN f ON f.kind = r.kind AND f.key = r.key""")
+FROM (SELECT ref_id, ref_line, {_KIND} AS kind, key FROM {_NAME_REFS}) r LEFT JOIN f ON f.kind = r.kind AND f.key = r.key""")
 def resolve_by_kind(spark, sf):
     d = view(spark, sf, "decls")
-    post = lambda index, cond: d.filter(cond).select(F.lit(index).alias("index_name"), "key", "container", "entry_path")
-    postings = post(m.TYPE_DECLARATIONS, "size > 25").unionByName(post(m.PACKAGE_DECLARATIONS, "size > 35")).unionByName(
-        post(m.MODULE_DECLARATIONS, "size > 48"))
-    return R.resolve_by_kind(view(spark, sf, "refs").selectExpr("ref_id", "ref_line", f"{_KIND} AS kind", "key"), postings)
+    post = lambda index: d.select(F.lit(index).alias("index_name"), "key", "container", "entry_path")
+    postings = post(m.TYPE_DECLARATIONS).unionByName(post(m.PACKAGE_DECLARATIONS)).unionByName(
+        post(m.MODULE_DECLARATIONS))
+    return R.resolve_by_kind(_name_refs(spark, sf).selectExpr("ref_id", "ref_line", f"{_KIND} AS kind", "key"), postings)
 
 
 @query("source_coverage", f"""
@@ -230,12 +243,12 @@ def class_root(spark, sf):
 
 @query("entry_of_type", f"""
 WITH t AS (SELECT * FROM {sub('types')})
-SELECT r.ref_id, r.ref_line, r.type_name, CASE WHEN t.size > 18 AND 'lib' || cast(r.ref_id % 26 AS string) = t.container THEN t.entry_path END AS found_entry
+SELECT r.ref_id, r.ref_line, r.type_name, CASE WHEN 'lib' || cast(r.ref_id % 26 AS string) = t.container THEN t.entry_path END AS found_entry
 FROM {sub('refs')} r JOIN t ON t.type_name = r.type_name""")
 def entry_of_type(spark, sf):
     from symlake.functions.names import package_name
 
-    entries = view(spark, sf, "types").filter("size > 18").selectExpr("container", "entry_path", "false AS is_dir").withColumn(
+    entries = view(spark, sf, "types").selectExpr("container", "entry_path", "false AS is_dir").withColumn(
         "parent_path", package_name("entry_path"))
     asked = view(spark, sf, "refs").selectExpr(
         "ref_id", "ref_line", "'lib' || cast(ref_id % 26 AS string) AS container", "type_name").withColumn(

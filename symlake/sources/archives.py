@@ -23,7 +23,8 @@ from symlake.session import ship_package
 ARCHIVE_EXTENSIONS = ["zip", "jar", "war", "ear", "aar", "kar", "jmod"]
 
 BATCH_BYTES = 32 << 20
-MAX_MEMBER_BYTES = 512 << 20
+#: What one binary value can hold; larger files and members keep a row with the reason.
+LARGEST_VALUE = (1 << 31) - 1
 DEFAULT_DEPTH = 15
 
 
@@ -31,6 +32,11 @@ def is_archive(path: str) -> bool:
     return path.rsplit(".", 1)[-1].lower() in ARCHIVE_EXTENSIONS and "." in path
 
 
+def archive_glob() -> str:
+    """File name pattern of all archive suffixes, letters in either case."""
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in ext) for ext in ARCHIVE_EXTENSIONS) + "}"
+
+
 def container_type_of(name: str) -> str:
     """Type by suffix alone, as for every zipped container."""
     ext = name.rsplit(".", 1)[-1].lower()
@@ -67,9 +73,12 @@ def _members(container: str, root: str, data: bytes, depth: int, max_depth: int,
                 content = archive.read(info)
             except Exception as e:
                 error = f"{type(e).__name__}: {e}"
+        inner = content is not None and is_archive(name)
+        if inner and depth >= max_depth:
+            error = f"inner archive not opened: {max_depth} levels of nesting are"
         yield {**base, "entry_path": name, "parent_path": posixpath.dirname(name), "is_dir": False,
                "length": info.file_size, "content": content, "error": error}
-        if content is not None and depth < max_depth and is_archive(name):
+        if inner and depth < max_depth:
             yield from _members(f"{container}!/{name}", root, content, depth + 1, max_depth, limit)
 
 
@@ -96,7 +105,7 @@ def _expander(max_depth: int, limit: int):
 
 
 def expand_archives(files: DataFrame, max_depth: int = DEFAULT_DEPTH,
-                    max_member_bytes: int = MAX_MEMBER_BYTES) -> DataFrame:
+                    max_member_bytes: int = LARGEST_VALUE) -> DataFrame:
     """Entries of ``files(container, root_container, depth, content)`` and of archives nested inside them."""
     ship_package(files.sparkSession)
     return files.select("container", "root_container", "depth", "content").mapInPandas(
@@ -104,19 +113,28 @@ def expand_archives(files: DataFrame, max_depth: int = DEFAULT_DEPTH,
 
 
 def read_archives(spark: SparkSession, path: str, max_depth: int = DEFAULT_DEPTH,
-                  max_member_bytes: int = MAX_MEMBER_BYTES) -> DataFrame:
-    """Entries of all archives below ``path``. ``max_depth`` counts levels of nested archives."""
+                  max_member_bytes: int = LARGEST_VALUE) -> DataFrame:
+    """Entries of all archives below ``path``. ``max_depth`` counts levels of nested archives. A file above what one
+    value can hold (``spark.sql.sources.binaryFile.maxLength``) is never opened and keeps one row with the reason."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{" + ",".join(ARCHIVE_EXTENSIONS) + "}").load(path)
+        .option("pathGlobFilter", archive_glob()).load(path)
     )
-    return expand_archives(
-        files.select(F.col("path").alias("container"), F.col("path").alias("root_container"),
-                     F.lit(0).alias("depth"), "content"), max_depth, max_member_bytes)
+    limit = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(LARGEST_VALUE)))
+    whole = expand_archives(
+        files.filter(F.col("length") <= limit).select(F.col("path").alias("container"), F.col("path").alias("root_container"),
+                                                      F.lit(0).alias("depth"), "content"), max_depth, max_member_bytes)
+    ext = F.lower(F.substring_index("path", ".", -1))
+    kind = F.when(ext.isin("kar", "jmod", "ear", "war", "jar"), ext).otherwise("generic")
+    too_long = files.filter(F.col("length") > limit).select(
+        F.col("path").alias("container"), F.col("path").alias("root_container"), kind.alias("container_type"), F.lit("").alias("entry_path"),
+        F.lit("").alias("parent_path"), F.lit(True).alias("is_dir"), "length", F.lit(0).alias("depth"), F.lit(None).cast("binary").alias("content"),
+        F.concat(F.lit("file of "), F.col("length").cast("string"), F.lit(f" bytes is above the limit of {limit}")).alias("error"))
+    return whole.unionByName(too_long)
 
 
 def expand_nested(entries: DataFrame, max_depth: int = DEFAULT_DEPTH,
-                  max_member_bytes: int = MAX_MEMBER_BYTES) -> DataFrame:
+                  max_member_bytes: int = LARGEST_VALUE) -> DataFrame:
     """Entries of the archives among ``entries`` that were not opened yet (for a scan done with depth 0)."""
     ext = F.lower(F.substring_index("entry_path", ".", -1))
     nested = entries.filter(~F.col("is_dir") & ext.isin(ARCHIVE_EXTENSIONS) & F.col("content").isNotNull())

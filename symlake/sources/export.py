@@ -49,12 +49,13 @@ def export_file_count(entries: DataFrame) -> DataFrame:
 
 
 def export_entries(plan: DataFrame, entries: DataFrame, out: str) -> None:
-    """Write the planned text entries as a table ``(target_path, text)`` partitioned by container. Rows are ranged
-    by container and path first: small containers share a task and get one file, large ones spread over several."""
+    """Write the planned entries, byte for byte, as a table ``(container, target_path, content)``. Rows are ranged and
+    sorted by container and path: small containers share a file, large ones spread over several, and a reader of one
+    container skips the files of all others."""
     content = entries.filter(F.col("content").isNotNull()).select("container", "entry_path", "content")
     (
         plan.join(content, ["container", "entry_path"])
-        .select("container", "target_path", F.decode("content", "UTF-8").alias("text"))
-        .repartitionByRange("container", "target_path")
-        .write.mode("overwrite").partitionBy("container").parquet(out)
+        .select("container", "target_path", "content")
+        .repartitionByRange("container", "target_path").sortWithinPartitions("container", "target_path")
+        .write.mode("overwrite").parquet(out)
     )

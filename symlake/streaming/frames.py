@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from symlake.operators.logs import link_frames, stack_frames
+from symlake.streaming.index import stream_id
 
 
 def stream_frames(lines: DataFrame, decls: DataFrame, text: str = "text") -> DataFrame:
-    """Frames of a line stream linked to code by a stream-static join; the static side is re-read per batch, so
-    a grown index shows up in later batches."""
+    """Frames of a line stream linked to code by a stream-static join. ``decls`` keeps the files it was made with; use
+    ``run_linked`` where the index grows."""
     return link_frames(stack_frames(lines, text), decls)
 
 
+def run_linked(lines: DataFrame, open_decls: Callable[[SparkSession], DataFrame], path: str, checkpoint: str,
+               text: str = "text") -> StreamingQuery:
+    """Link a line stream batch by batch. ``open_decls`` opens the index anew for every batch, so what was added to it
+    since shows up. Each batch owns a folder, named by stream and batch, that a replay overwrites."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        linked = link_frames(stack_frames(batch, text), open_decls(spark))
+        linked.write.mode("overwrite").parquet(f"{path}/source={stream_id(spark, checkpoint)}/batch={batch_id}")
+
+    return (
+        lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+    )
+
+
 def stream_counts(frames: DataFrame, event_time: str, window: str = "1 hour", watermark: str = "2 hours") -> DataFrame:
     """Frame counts per tumbling window; rows later than the watermark are dropped and closed windows leave the
     state."""
@@ -39,7 +57,7 @@ def run_counts_to_table(counts: DataFrame, path: str, checkpoint: str) -> Stream
     Read it back with ``read_counts``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/source={stream_id(batch.sparkSession, checkpoint)}/batch={batch_id}")
 
     return (
         counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint)

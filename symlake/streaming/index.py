@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from symlake import model
 from symlake.operators.postings import build_postings
-from symlake.sources.archives import ARCHIVE_EXTENSIONS, expand_archives
+from symlake.sources.archives import archive_glob, expand_archives
 from symlake.sources.classfile import class_symbols
 from symlake.sources.index_store import write_index
 
@@ -16,38 +18,44 @@ from symlake.sources.index_store import write_index
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def append_batch(files: DataFrame, batch_id: int, path: str) -> None:
-    """Index one batch of archive files. A replayed batch overwrites its own folders; an archive that comes again
-    supersedes its older rows through the container log."""
+def append_batch(files: DataFrame, batch_id: int, path: str, source: str = "manual") -> None:
+    """Index one batch of archive files of one ``source`` (a name of its own for every stream). A replayed batch
+    overwrites its own folders and no other's; an archive that comes again supersedes its older rows through the
+    container log."""
     entries = expand_archives(files.select(
         F.col("path").alias("container"), F.col("path").alias("root_container"), F.lit(0).alias("depth"), "content"))
-    postings = build_postings(class_symbols(entries).filter(F.col("tag") == "post").select(
-        F.col("a").alias("index_name"), F.col("b").alias("key"), "container", "entry_path"))
-    write_index(postings, f"{path}/postings/batch={batch_id}")
-    files.select(F.col("path").alias("root_container")).write.mode("overwrite").parquet(
-        f"{path}/containers/batch={batch_id}")
+    part = f"source={source}/batch={batch_id}"
+    post = class_symbols(entries).filter(F.col("tag") == "post").select(F.col("a").alias("index_name"), F.col("b").alias("key"), "container", "entry_path")
+    write_index(build_postings(post), f"{path}/postings/{part}")
+    files.select(F.col("path").alias("root_container"), F.current_timestamp().alias("at")).write.mode("overwrite").parquet(f"{path}/containers/{part}")
 
 
 def stream_index(spark: SparkSession, source: str, path: str, checkpoint: str,
                  max_files: int = 1000) -> StreamingQuery:
     files = (
         spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{" + ",".join(ARCHIVE_EXTENSIONS) + "}")
+        .option("pathGlobFilter", archive_glob())
         .option("maxFilesPerTrigger", max_files).load(source)
     )
     return (
         files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-        .foreachBatch(lambda batch, batch_id: append_batch(batch, batch_id, path)).start()
+        .foreachBatch(lambda batch, batch_id: append_batch(batch, batch_id, path, stream_id(spark, checkpoint))).start()
     )
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """Name of the stream that owns a checkpoint: Spark writes it there before the first batch."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def read_stream_index(spark: SparkSession, path: str) -> DataFrame:
     """Postings of the latest version of every archive."""
-    rows = spark.read.schema(model.POSTINGS + ", batch bigint").option("basePath", f"{path}/postings").parquet(
+    rows = spark.read.schema(model.POSTINGS + ", source string, batch bigint").option("basePath", f"{path}/postings").parquet(
         f"{path}/postings")
-    log = spark.read.schema("root_container string, batch bigint").option(
+    log = spark.read.schema("root_container string, at timestamp, source string, batch bigint").option(
         "basePath", f"{path}/containers").parquet(f"{path}/containers")
-    latest = log.groupBy("root_container").agg(F.max("batch").alias("batch"))
+    latest = log.groupBy("root_container").agg(F.max(F.struct("at", "batch", "source")).alias("v")).select(
+        "root_container", F.col("v.source").alias("source"), F.col("v.batch").alias("batch"))
     root = F.substring_index("container", "!/", 1)
     return rows.withColumn("root_container", root).join(
-        latest, ["root_container", "batch"], "left_semi").select("index_name", "key", "container", "entry_path")
+        latest, ["root_container", "source", "batch"], "left_semi").select("index_name", "key", "container", "entry_path")

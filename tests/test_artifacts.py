@@ -204,10 +204,12 @@ def test_export(spark, entries, symbols, tmp_path):
     got = by_path(plan, "/lib.jar", "target_path")
     assert got["a/Outer.class"] == ("a/Outer.java",) and "a/Outer$In.class" not in got
     assert by_path(plan, "app.war", "target_path")["WEB-INF/lib/inner.jar"] == ("WEB-INF/lib/inner-sources.jar",)
-    text_only = plan.filter(F.col("entry_path").endswith(".txt"))
-    export_entries(text_only, entries, str(tmp_path / "out"))
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert {r["text"] for r in back.collect()} == {"näh"} and back.count() == 2
+    export_entries(plan, entries, str(tmp_path / "out"))
+    back = {(r["container"], r["target_path"]): bytes(r["content"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    whole = {(r["container"], r["entry_path"]): bytes(r["content"]) for r in entries.filter("content IS NOT NULL").collect()}
+    planned = plan.join(entries.filter("content IS NOT NULL").select("container", "entry_path"), ["container", "entry_path"]).collect()
+    assert back == {(r["container"], r["target_path"]): whole[r["container"], r["entry_path"]] for r in planned}
+    assert any(k[1].endswith(".java") for k in back) and sum(v.decode("utf-8", "replace") == "näh" for v in back.values()) == 2
 
 
 def test_text_extractors(entries):
@@ -284,3 +286,32 @@ def test_log_source(spark, folder):
 
     frames = stack_frames(read_logs(spark, folder)).collect()
     assert [(r["type_name"], r["method"], r["line"]) for r in frames] == [("a/Outer", "go", 3)]
+
+
+def test_suffixes_in_upper_case_long_files_and_unopened_archives(spark, tmp_path):
+    import io
+    import zipfile
+
+    def jar(**members):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, data in members.items():
+                z.writestr(name, data)
+        return out.getvalue()
+
+    inner = jar(**{"deep.txt": b"x"})
+    (tmp_path / "LIB.JAR").write_bytes(jar(**{"a.txt": b"hello", "in.Jar": inner}))
+    (tmp_path / "big.zip").write_bytes(jar(**{"z.txt": bytes(range(256)) * 50}))
+    all_rows = A.read_archives(spark, str(tmp_path))
+    assert {r["entry_path"] for r in all_rows.filter("NOT is_dir").collect()} == {"a.txt", "in.Jar", "deep.txt", "z.txt"}
+    assert all_rows.filter("error IS NOT NULL").count() == 0
+    flat = {r["entry_path"]: r["error"] for r in A.read_archives(spark, str(tmp_path), max_depth=0).filter("NOT is_dir").collect()}
+    assert "not opened" in flat["in.Jar"] and flat["a.txt"] is None and "deep.txt" not in flat
+    old = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        rows = A.read_archives(spark, str(tmp_path)).collect()
+        assert [(r["container"].rsplit("/", 1)[-1], r["content"]) for r in rows if r["error"]] == [("big.zip", None)]
+        assert {r["entry_path"] for r in rows if not r["is_dir"]} == {"a.txt", "in.Jar", "deep.txt"}
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", old)

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from symlake import model as m
 from symlake.operators import asof, extract, hierarchy, logs, ordering, postings, resolve, search, text
 from symlake.streaming import frames as sframes
 
@@ -327,3 +328,49 @@ def test_streams_equal_batch_and_late_rows_drop(spark, tmp_path):
     sframes.run_to_table(linked, str(tmp_path / "o2"), str(tmp_path / "c2")).awaitTermination()
     batch = logs.link_frames(logs.stack_frames(spark.read.schema(schema).parquet(f"{src}/*")), decls)
     assert rows(spark.read.parquet(str(tmp_path / "o2"))) == rows(batch)
+
+
+def test_linked_stream_sees_a_grown_index(spark, tmp_path):
+    """Two runs of one stream: what was added to the index between them is found by the second."""
+    src, index = str(tmp_path / "src"), str(tmp_path / "index")
+    put = lambda name, n: spark.createDataFrame([(f"\tat a.{name}.m({name}.java:1)",)], "text string").coalesce(1).write.parquet(f"{src}/f={n}")
+    add = lambda t: spark.createDataFrame([("typeDeclarations", t, t, "lib", f"{t}.class")], "index_name string, key string, type_name string, container string, entry_path string").write.mode("append").parquet(index)
+    run = lambda: sframes.run_linked(spark.readStream.schema("text string").parquet(f"{src}/*"), lambda s: s.read.parquet(index), str(tmp_path / "out"),
+                                     str(tmp_path / "ck")).awaitTermination()
+    add("a/Other")
+    put("B", 1)
+    run()
+    add("a/B")
+    put("B", 2)
+    run()
+    got = spark.read.parquet(f"{tmp_path}/out/source=*/batch=*")
+    assert got.count() == 2 and got.filter("n_targets = 1").count() == 1
+
+
+def test_text_is_not_searched_by_its_hash(spark):
+    entries = spark.createDataFrame([("c", f"e{i}", f"text {i}") for i in range(40)], "container string, entry_path string, text string")
+    posts, texts = extract.text_postings(entries)
+    flags = m.SEARCH_STRING | m.SEARCH_DECLARATION | m.SEARCH_REFERENCE
+    assert search.symbol_search(posts, "a", flags, texts).count() == 0
+    assert search.symbol_search(posts, "text", flags, texts).count() == 40
+    assert search.symbol_search(posts, "text 7", flags, texts).count() == 1
+
+
+def test_beans_and_declarations(spark):
+    text = """<?xml version="1.0" encoding="UTF-8"?><beans><b:bean class="a.B"/><bean id='x' class='a.C'/></beans>"""
+    got = extract.bean_postings(spark.createDataFrame([("c", "e", text)], "container string, entry_path string, text string")).collect()
+    assert {r["key"] for r in got if r["index_name"] == m.TYPE_REFERENCES} == {"a/B", "a/C"}
+    assert {r["key"] for r in got if r["index_name"] == m.STRINGS} == {"1.0", "UTF-8", "beans", "bean", "id", "x", "class"}
+
+
+def test_core_names_come_from_the_corpus(spark):
+    types = spark.createDataFrame([("java/lang/NullPointerException",), ("java/lang/ref/Reference",), ("java/lang/Thread$State",), ("a/B",)], "type_name string")
+    assert [r[0] for r in resolve.core_types(types).collect()] == ["NullPointerException"]
+
+
+def test_same_simple_name_does_not_pair_all_full_names(spark):
+    n = 20_000
+    decls = spark.range(n).selectExpr("concat('p', id, '/Main') AS type_name", "cast(null AS string) AS name", "cast(null AS string) AS descriptor", "0 AS start", "1 AS `end`")
+    got = resolve.match_fragment(decls, decls.selectExpr("type_name AS fragment"))
+    joined = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
+    assert got.count() == n and len(joined) <= 6
