@@ -135,5 +135,10 @@ class Roller:
         return out
 
 
+def release() -> None:
+    """Hand unused Arrow memory back to the system."""
+    pa.default_memory_pool().release_unused()
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

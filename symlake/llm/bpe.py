@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symlake.llm.arrays import slices, utf8
+from symlake.llm.arrays import release, slices, utf8
 from symlake.llm.session import prepare
 
 SLICE_BYTES = 1 << 20
@@ -182,6 +182,7 @@ class Vocabulary:
     def forget(self) -> None:
         """Give back the memory of what was remembered."""
         self._cache, self._base = {}, None
+        release()
 
     @property
     def tokens(self) -> list[bytes]:
@@ -337,22 +338,26 @@ def count_tokens(ids: str) -> Column:
     return F.shiftright(F.octet_length(ids), 2).cast("bigint")
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, with_offsets: bool = False, keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, with_offsets: bool = False, keep: tuple[str, ...] | list[str] = (),
+           verify: bool = False) -> DataFrame:
     """``doc_id``, the columns to ``keep``, ``n_bytes, ids`` (binary: little-endian unsigned 32-bit numbers) and, if asked
     for, ``offsets`` (likewise: the byte of the text at which each token starts). ``n_bytes`` is the length of the text
-    in UTF-8."""
+    in UTF-8. ``verify`` decodes every row on the spot and fails if the text does not come back."""
     shared = prepare(docs).sparkContext.broadcast(vocabulary)
     kept = ["doc_id", *keep]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
-        lengths = np.array([len(t) for t in words.tokens], np.int64) if with_offsets else None
+        tokens = words.tokens if with_offsets or verify else []
+        lengths = np.array([len(t) for t in tokens], np.int64)
         for batch in batches:
             data, offsets = utf8(batch["text"])
             for i, j in slices(offsets, SLICE_BYTES):
                 lo = offsets[i]
                 ids = words.encode(data[lo:offsets[j]], offsets[i:j + 1] - lo)
+                if verify and decoded(b"".join(ids), tokens) != data[lo:offsets[j]].tobytes():
+                    raise ValueError("tokens do not decode to the text")
                 columns = [*(batch[c].slice(i, j - i) for c in kept), pa.array(np.diff(offsets[i:j + 1])), pa.array(ids, pa.binary())]
                 if with_offsets:
                     columns.append(pa.array([token_offsets(x, lengths) for x in ids], pa.binary()))
@@ -364,6 +369,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, with_offsets: bool = False,
     return docs.select(*kept, "text").mapInArrow(run, f"{kinds}, n_bytes bigint, ids binary{extra}")
 
 
+def decoded(ids: bytes, tokens: list[bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 def token_offsets(ids: bytes, lengths: np.ndarray) -> bytes:
     each = lengths[np.frombuffer(ids, "<u4")]
     return (np.cumsum(each) - each).astype("<u4").tobytes()
@@ -375,11 +384,11 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.tokens.__getitem__
+        tokens = shared.value.tokens
         for batch in batches:
             data, offsets = utf8(batch["ids"])
             raw = data.tobytes()
-            out = [b"".join(map(token, np.frombuffer(raw, "<u4", (b - a) // 4, a).tolist())) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            out = [decoded(raw[a:b], tokens) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "bytes"])
 
     return encoded.mapInArrow(run, f"{kinds}, bytes binary")

@@ -15,6 +15,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from symlake.llm.arrays import release
 from symlake.llm.session import prepare
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -33,11 +35,6 @@ def normal(text: str) -> str:
     return unicodedata.normalize("NFC", text).lower()
 
 
-def grams(word: str, n: int) -> list[str]:
-    padded = f"<{word}>"
-    return [padded[i:i + n] for i in range(len(padded) - n + 1)]
-
-
 @dataclass
 class LanguageModel:
     """Log frequencies: ``words`` and ``grams[n]`` name rows of ``logs``, which has one column per language."""
@@ -50,33 +47,38 @@ class LanguageModel:
     remembered: int = 150_000
     _rows: dict[str, int] = field(default_factory=dict, repr=False)
     _table: np.ndarray | None = field(default=None, repr=False)
+    _all: np.ndarray | None = field(default=None, repr=False)
+    _lengths: list[int] = field(default_factory=list, repr=False)
 
     def __getstate__(self):
-        return {**self.__dict__, "_rows": {}, "_table": None}
+        return {**self.__dict__, "_rows": {}, "_table": None, "_all": None}
 
     def forget(self) -> None:
         """Give back the memory of what was remembered: a worker may wait for its next task for long."""
-        self._rows, self._table = {}, None
+        self._rows, self._table, self._all = {}, None, None
+        release()
 
-    def back_off(self, word: str) -> np.ndarray | float:
-        """Score of a word that training did not see."""
-        for n in sorted(self.grams, reverse=True):
+    def back_off(self, word: str) -> list[int]:
+        """Rows of the n-grams that stand for a word that training did not see: the longest of which one is known."""
+        padded = f"<{word}>"
+        for n in self._lengths:
             known = self.grams[n]
-            found = [known[g] for g in grams(word, n) if g in known]
+            found = [known[g] for k in range(len(padded) - n + 1) if (g := padded[k:k + n]) in known]
             if found:
-                return self.logs[found].mean(axis=0)
-        return self.floor
-
-    def _row(self, word: str) -> int:
-        at = self._rows.get(word)
-        if at is None:
-            at = len(self._rows)
-            if at >= len(self._table):
-                self._table = np.concatenate([self._table, np.empty_like(self._table)])
-            known = self.words.get(word)
-            self._table[at] = self.back_off(word) if known is None else self.logs[known]
-            self._rows[word] = at
-        return at
+                return found
+        return [len(self.logs)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the scores of words not met before: mean rows, all words at once."""
+        first = len(self._rows)
+        rows = [[at] if (at := self.words.get(w)) is not None else self.back_off(w) for w in words]
+        self._rows.update(zip(words, range(first, first + len(words))))
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        starts = np.cumsum(sizes) - sizes
+        means = np.add.reduceat(self._all[list(chain.from_iterable(rows))], starts) / sizes[:, None]
+        while first + len(words) > len(self._table):
+            self._table = np.concatenate([self._table, np.empty_like(self._table)])
+        self._table[first:first + len(words)] = means
 
     def score(self, text: str | None) -> tuple[str, float]:
         """The most likely language of a whole text and its posterior probability under equal priors."""
@@ -87,12 +89,12 @@ class LanguageModel:
             return UNKNOWN, 0.0
         if self._table is None or len(self._rows) > self.remembered:
             # What was remembered is only a speed-up: it starts anew when full.
-            self._rows, self._table = {}, np.empty((4096, len(self.languages)))
-        get, row = self._rows.get, self._row
-        at = [get(w) for w in words]
-        if None in at:
-            at = [row(w) if i is None else i for w, i in zip(words, at)]
-        total = self._table[at].sum(axis=0)
+            self._rows, self._table = {}, np.empty((4096, len(self.languages)), np.float32)
+            self._all = np.vstack([self.logs, np.full((1, len(self.languages)), self.floor, np.float32)])
+            self._lengths = sorted(self.grams, reverse=True)
+        if new := set(words).difference(self._rows):
+            self._learn(sorted(new))
+        total = self._table[list(map(self._rows.__getitem__, words))].sum(axis=0, dtype=np.float64)
         best = int(total.argmax())
         return self.languages[best], float(1.0 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 

@@ -77,12 +77,12 @@ def test_stages_on_edge_rows(spark, tables, tmp_path):
     enc = reference(Q.byte_vocabulary())
     for r in kept["byte_bpe"]:
         assert np.frombuffer(r["ids"], "<u4").tolist() == enc.encode_ordinary(fourth[r["doc_id"]])
-        assert r["decoded_sha256"] == hashlib.sha256(fourth[r["doc_id"]].encode()).hexdigest()
+        assert r["n_bytes"] == len(fourth[r["doc_id"]].encode()) and r["ids_sha256"] == hashlib.sha256(r["ids"]).hexdigest()
 
 
 def test_pipeline_runs_whole_and_on_nothing(spark, sf, tables, tmp_path):
     out = corpus_pipeline.run(spark, sf)
-    assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    assert out.columns == ["doc_id", "lang", "source", "n_bytes", "n_tokens", "ids", "ids_sha256"]
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     assert 0.7 * n < out.count() <= n
     empty_docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
