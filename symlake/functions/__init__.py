@@ -11,7 +11,7 @@ from symlake.functions.descriptors import (
     return_type,
     types_match,
 )
-from symlake.functions.filters import accepts_path, only_prefixes, prefix_rules, suspicious_name
+from symlake.functions.filters import only_prefixes, prefix_rules, suspicious_name
 from symlake.functions.flags import decode_flags, is_visible_field, is_visible_method, is_visible_inner, visible_members
 from symlake.functions.locators import build_locator, parse_fragment, parse_locator
 from symlake.functions.names import (
@@ -28,7 +28,7 @@ from symlake.functions.patterns import camel_match, find_regex, glob_match, glob
 from symlake.functions.versions import java_release, release_features, release_label
 
 __all__ = [
-    "accepts_path", "build_locator", "camel_match", "decode_flags", "descriptor_arity", "display_package",
+    "build_locator", "camel_match", "decode_flags", "descriptor_arity", "display_package",
     "explode_descriptor", "find_regex", "glob_match", "glob_regex", "innermost_name", "is_visible_field",
     "is_visible_inner", "is_visible_method", "java_release", "only_prefixes", "package_name", "package_of_source",
     "param_types", "parse_fragment", "parse_locator", "prefix_rules", "qualified_name", "release_features",

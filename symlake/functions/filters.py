@@ -43,7 +43,6 @@ def prefix_rules(c, rules: str = DEFAULT_PREFIX_RULES) -> Column:
     return F.lit(False) if verdict is None else verdict.otherwise(False)
 
 
-accepts_path = prefix_rules
 
 
 def only_prefixes(df: DataFrame, c: str, prefixes: list[str]) -> DataFrame:

@@ -88,12 +88,6 @@ def find_keys(postings: DataFrame, wanted: DataFrame, index_name: str | None = N
     return postings.join(wanted.select("key").distinct(), "key", "left_semi")
 
 
-def contains_key(postings: DataFrame, index_name: str, key: str) -> DataFrame:
-    """Entries of one exact key; both filters reach the scan."""
-    return postings.filter((F.col("index_name") == index_name) & (F.col("key") == key)).select(
-        "container", "entry_path")
-
-
 def outer_entries(matches: DataFrame, roots: DataFrame, types_only: bool = False) -> DataFrame:
     """Replace inner-class entries by the entry of their outermost class.
 

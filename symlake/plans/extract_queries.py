@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from symlake import model as m
 from symlake.operators import extract as X
+from symlake.operators import index as I
 from symlake.operators.search import symbol_search
 from symlake.plans.fixtures import VIEWS, sub, table, view
 from symlake.plans.registry import query
@@ -51,6 +52,40 @@ def bean_refs(spark, sf):
     return X.bean_postings(xml).filter(F.col("index_name") == m.TYPE_REFERENCES).select("container", "entry_path", "key")
 
 
+# One entry of each kind: texts of documents, and descriptors and provider files made of parts.
+_KINDS = """
+WITH t AS (SELECT container, replace(type_name, '/', '.') AS dotted, type_name, id FROM {types}),
+e AS (SELECT source AS container, 'doc' || cast(doc_id AS string) || '.txt' AS entry_path, 'generic' AS container_type, text AS content FROM documents UNION ALL
+  SELECT container || '-' || cast(id AS string), 'WEB-INF/web.xml', 'war', '<web-app><servlet><servlet-class>' || dotted || '</servlet-class></servlet></web-app>' FROM t WHERE id % 5 = 0 UNION ALL
+  SELECT container, 'conf/b' || cast(id AS string) || '.xml', 'jar', '<beans><bean class="' || dotted || '"/></beans>' FROM t WHERE id % 5 = 1 UNION ALL
+  SELECT container, 'META-INF/services/s' || cast(id AS string), 'jar', '# ' || dotted || chr(10) || dotted FROM t WHERE id % 5 = 2 UNION ALL
+  SELECT container, 'schema/x' || cast(id AS string) || '.xsd', 'jar', '<schema><name>' || dotted || '</name></schema>' FROM t WHERE id % 5 = 3 UNION ALL
+  SELECT container, 'classes/' || type_name || '.txt', 'jmod', dotted FROM t WHERE id % 5 = 4)"""
+
+
+@query("index_entries", _KINDS.format(types=sub("types")) + """,
+w AS (SELECT DISTINCT container, entry_path, regexp_extract(content, '<servlet-class>(.*)</servlet-class>', 1) AS v FROM e WHERE container_type = 'war'),
+b AS (SELECT container, entry_path, regexp_extract(content, 'class="([^"]*)"', 1) AS v FROM e WHERE entry_path LIKE 'conf/%'),
+x AS (SELECT container, entry_path, regexp_extract(content, '<name>(.*)</name>', 1) AS v FROM e WHERE entry_path LIKE 'schema/%'),
+s AS (SELECT container, entry_path, string_split(content, chr(10))[2] AS v FROM e WHERE entry_path LIKE 'META-INF/%'),
+j AS (SELECT container, string_split(entry_path, '/') AS p FROM e WHERE container_type = 'jmod'),
+p AS (SELECT DISTINCT container, array_to_string(p[1:i], '/') AS entry_path FROM (SELECT container, p, unnest(range(2, len(p))) AS i FROM j))
+SELECT 'texts' AS index_name, sha1(content) AS key, container, entry_path FROM e WHERE entry_path LIKE '%.txt'
+UNION ALL SELECT 'typeReferences', replace(v, '.', '/'), container, entry_path FROM (FROM w UNION ALL FROM b UNION ALL FROM s)
+UNION ALL SELECT 'strings', unnest(['web-app', 'servlet', 'servlet-class', v]), container, entry_path FROM w
+UNION ALL SELECT 'strings', unnest(['beans', 'bean', 'class']), container, entry_path FROM b
+UNION ALL SELECT 'strings', unnest(['schema', 'name', v]), container, entry_path FROM x
+UNION ALL SELECT 'packageDeclarations', entry_path[9:], container, entry_path FROM p""")
+def index_entries(spark, sf):
+    table(spark, sf, "documents").createOrReplaceTempView("symlake_documents")
+    view(spark, sf, "types").createOrReplaceTempView("symlake_types")
+    made = spark.sql(_KINDS.format(types="symlake_types").replace("FROM documents", "FROM symlake_documents") + " SELECT * FROM e")
+    entries = made.select(
+        "container", F.col("container").alias("root_container"), "container_type", "entry_path", F.lit("").alias("parent_path"), F.lit(False).alias("is_dir"),
+        F.lit(0).cast("bigint").alias("length"), F.lit(0).alias("depth"), F.encode("content", "UTF-8").alias("content"), F.lit(None).cast("string").alias("error"))
+    return I.index_entries(entries)["postings"].distinct()
+
+
 _TAG_SQL = """'<[A-Za-z_](?:[^<>"'']|"[^"]*"|''[^'']*'')*>'"""
 _ATTR_SQL = """'([\\w:.-]+)\\s*=\\s*(?:"[^"]*"|''[^'']*'')'"""
 _NOT_TEXT_SQL = ("""'(?s)<!--.*?-->|<!\\[CDATA\\[.*?\\]\\]>|<\\?.*?\\?>|<![A-Za-z][^>]*>|</[^<>]*>|"""

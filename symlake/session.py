@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 _local_dirs: list[str] = []
 _shipped: set[str] = set()
+_scratch: list[str] = []
 
 
 def local_session(cores: str = "8", app: str = "symlake") -> SparkSession:
@@ -70,6 +71,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{scratch_root(spark)}/symlake/{name}-{uuid.uuid4().hex[:12]}"
+        _scratch.append(self.base)
         self._schemas: dict = {}
 
     def path(self, step: str) -> str:
@@ -85,3 +87,13 @@ class Scratch:
     def read(self, *steps: str) -> DataFrame:
         """Several steps of one schema as a single scan."""
         return self.spark.read.schema(self._schemas[steps[0]]).parquet(*[self.path(s) for s in steps])
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete what this application's iterative jobs wrote to the shared folder. Call it when their results have been
+    written elsewhere: results read from there until then. Returns the number of folders deleted."""
+    n = 0
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n

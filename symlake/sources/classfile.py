@@ -36,8 +36,9 @@ SYMBOLS = (
 )
 _SYMBOL_COLUMNS = [f.split(" ")[0] for f in SYMBOLS.split(", ")]
 
-# A type inside a descriptor or signature: a type variable is skipped, a class type yields its name.
-_SIGNATURE_TYPE = re.compile(r"T[^;<>:]+;|L([^;<>:.]+)|[^:<;>]*:")
+# A type inside a descriptor or signature: labels of type parameters, member names after a point and type variables are
+# skipped, a class type yields its name.
+_SIGNATURE_TYPE = re.compile(r"[^:<;>()]+:|\.[^;<>:.]+|T[^;<>:]+;|L([^;<>:.]+)")
 
 
 @dataclass

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symlake import model
-from symlake.functions.names import innermost_name
+
 
 
 def write_index(postings: DataFrame, path: str, mode: str = "overwrite", partitions: int | None = None,
@@ -28,8 +28,3 @@ def write_index(postings: DataFrame, path: str, mode: str = "overwrite", partiti
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(model.POSTINGS).parquet(path).select("index_name", "key", "container", "entry_path")
-
-
-def with_short_key(postings: DataFrame) -> DataFrame:
-    """Adds ``short_key``, the innermost name, for stores that serve type searches."""
-    return postings.withColumn("short_key", innermost_name("key"))

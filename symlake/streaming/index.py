@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from symlake import model
+from symlake.operators.index import index_entries
 from symlake.operators.postings import build_postings
 from symlake.sources.archives import archive_glob, expand_archives
-from symlake.sources.classfile import class_symbols
 from symlake.sources.index_store import write_index
 
 # Schema of the binaryFile source.
@@ -25,8 +25,10 @@ def append_batch(files: DataFrame, batch_id: int, path: str, source: str = "manu
     entries = expand_archives(files.select(
         F.col("path").alias("container"), F.col("path").alias("root_container"), F.lit(0).alias("depth"), "content"))
     part = f"source={source}/batch={batch_id}"
-    post = class_symbols(entries).filter(F.col("tag") == "post").select(F.col("a").alias("index_name"), F.col("b").alias("key"), "container", "entry_path")
-    write_index(build_postings(post), f"{path}/postings/{part}")
+    found = index_entries(entries)
+    write_index(build_postings(found["postings"]), f"{path}/postings/{part}")
+    for name in ("supertypes", "texts"):
+        found[name].write.mode("overwrite").parquet(f"{path}/{name}/{part}")
     files.select(F.col("path").alias("root_container"), F.current_timestamp().alias("at")).write.mode("overwrite").parquet(f"{path}/containers/{part}")
 
 
@@ -50,12 +52,20 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
 
 def read_stream_index(spark: SparkSession, path: str) -> DataFrame:
     """Postings of the latest version of every archive."""
-    rows = spark.read.schema(model.POSTINGS + ", source string, batch bigint").option("basePath", f"{path}/postings").parquet(
-        f"{path}/postings")
+    return _latest(spark, path, "postings", model.POSTINGS)
+
+
+def read_stream_supertypes(spark: SparkSession, path: str) -> DataFrame:
+    """Super types of the latest version of every archive, for the hierarchy operators."""
+    return _latest(spark, path, "supertypes", model.SUPERTYPES)
+
+
+def _latest(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    rows = spark.read.schema(schema + ", source string, batch bigint").option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
     log = spark.read.schema("root_container string, at timestamp, source string, batch bigint").option(
         "basePath", f"{path}/containers").parquet(f"{path}/containers")
     latest = log.groupBy("root_container").agg(F.max(F.struct("at", "batch", "source")).alias("v")).select(
         "root_container", F.col("v.source").alias("source"), F.col("v.batch").alias("batch"))
     root = F.substring_index("container", "!/", 1)
     return rows.withColumn("root_container", root).join(
-        latest, ["root_container", "source", "batch"], "left_semi").select("index_name", "key", "container", "entry_path")
+        latest, ["root_container", "source", "batch"], "left_semi").select(*[c.split(" ")[0] for c in schema.split(", ")])

@@ -315,3 +315,30 @@ def test_suffixes_in_upper_case_long_files_and_unopened_archives(spark, tmp_path
         assert {r["entry_path"] for r in rows if not r["is_dir"]} == {"a.txt", "in.Jar", "deep.txt"}
     finally:
         spark.conf.set("spark.sql.sources.binaryFile.maxLength", old)
+
+
+@pytest.mark.parametrize("signature, names", [
+    ("Lp/Outer<TT;>.Listener;", {"p/Outer"}), ("Lp/Outer<Ljava/lang/String;>.MyLong;", {"p/Outer", "java/lang/String"}),
+    ("<LABEL::Ljava/lang/Comparable<TLABEL;>;>(TLABEL;)V", {"java/lang/Comparable"}), ("(ILa/B;[La/C;)Ld/E;", {"a/B", "a/C", "d/E"}),
+    ("<K:Ljava/lang/Object;V::Ljava/util/List<TK;>;>Lbase/L;", {"java/lang/Object", "java/util/List", "base/L"}),
+])
+def test_type_names_of_signatures(signature, names):
+    from symlake.sources.classfile import _SIGNATURE_TYPE
+
+    assert {t for t in _SIGNATURE_TYPE.findall(signature) if t} == names
+
+
+def test_index_job_and_search_flow(entries, symbols, spark):
+    from symlake import model as m
+    from symlake.operators.hierarchy import root_entries
+    from symlake.operators.index import index_entries, search_tree
+
+    found = index_entries(entries)
+    posts = found["postings"].cache()
+    kinds = {r[0] for r in posts.select("index_name").distinct().collect()}
+    assert {m.TYPE_DECLARATIONS, m.TEXTS} <= kinds
+    assert {tuple(r) for r in found["supertypes"].collect()} == {tuple(r) for r in symbols["supertypes"].select("container", "type_name", "super_name", "kind").collect()}
+    tree, counts = search_tree(entries, posts, root_entries(symbols["types"]), "Out*", m.SEARCH_TYPE | m.SEARCH_DECLARATION, found["texts"])
+    shown = {r["entry_path"] for r in tree.filter("NOT is_dir").collect()}
+    assert shown and all(p.startswith("a/Outer") for p in shown if p.endswith(".class"))
+    assert counts.filter("container IS NULL").first()["n_matches"] >= 1

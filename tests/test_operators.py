@@ -374,3 +374,14 @@ def test_same_simple_name_does_not_pair_all_full_names(spark):
     got = resolve.match_fragment(decls, decls.selectExpr("type_name AS fragment"))
     joined = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
     assert got.count() == n and len(joined) <= 6
+
+
+def test_scratch_folders_can_be_dropped(spark, tmp_path, monkeypatch):
+    from symlake import session
+
+    monkeypatch.setattr(session, "_scratch", [])
+    monkeypatch.setattr(session, "scratch_root", lambda s: str(tmp_path))
+    session.Scratch(spark, "x").save(spark.range(3).toDF("n"), "a")
+    session.Scratch(spark, "never-used")
+    assert len(list((tmp_path / "symlake").iterdir())) == 1
+    assert session.drop_scratch(spark) == 1 and list((tmp_path / "symlake").iterdir()) == []

@@ -8,10 +8,11 @@ from symlake.functions.patterns import scope_match
 from symlake.operators.resolve import match_fragment
 from symlake.operators.search import highlight
 
+# Own names; the descriptors and what matches what are fixed values.
 MEMBERS = [
-    ("attributeInt", "I"), ("attributeBoolean", "Z"), ("attributeArrayBoolean", "[[Z"),
-    ("attributeString", "Ljava/lang/String;"), ("getInt", "()I"), ("getString", "()Ljava/lang/String;"),
-    ("add", "(JJ)J"), ("createBuffer", "(I)[C"),
+    ("count", "I"), ("ready", "Z"), ("grid", "[[Z"),
+    ("label", "Ljava/lang/String;"), ("size", "()I"), ("title", "()Ljava/lang/String;"),
+    ("plus", "(JJ)J"), ("room", "(I)[C"),
 ]
 DECLS = "type_name string, name string, descriptor string, start int, end int"
 
@@ -25,12 +26,12 @@ def declarations(spark, types=("Test", "test/Test")):
 
 
 FRAGMENTS = {
-    "Test-attributeBoolean-Z": 1, "test/Test-attributeBoolean-Z": 1, "*/Test-attributeBoolean-Z": 2,
-    "Test-createBuffer-(I)[C": 1, "test/Test-createBuffer-(I)[C": 1, "*/Test-getString-(*)?": 2,
-    "test/Test-add-(?J)?": 1,
+    "Test-ready-Z": 1, "test/Test-ready-Z": 1, "*/Test-ready-Z": 2,
+    "Test-room-(I)[C": 1, "test/Test-room-(I)[C": 1, "*/Test-title-(*)?": 2,
+    "test/Test-plus-(?J)?": 1,
     # A missing static initializer falls back to its type; an unknown member finds nothing.
     "Test-<clinit>-()V": 1, "Test-nothing-()V": 0, "*/Test": 2, "test/Test": 1, "Test-oops": 0,
-    "test/Test-add-(JI)?": 0,
+    "test/Test-plus-(JI)?": 0,
 }
 
 
@@ -42,16 +43,17 @@ def test_fragments(spark, wild):
 
 
 def test_fragments_with_wildcards_on_the_declaration(spark):
-    rows = [("*/Test", "getInt", "()I", 0, 1), ("*/Test", "add", "(*)?", 0, 1), ("test/Test", "attributeBoolean", "?", 0, 1),
+    rows = [("*/Test", "size", "()I", 0, 1), ("*/Test", "plus", "(*)?", 0, 1), ("test/Test", "ready", "?", 0, 1),
             ("*/Test", "set", "(?I)V", 0, 1)]
-    frags = {"test/Test-getInt-()I": 1, "test/Test-add-(JJ)J": 1, "test/Test-attributeBoolean-Z": 1, "a/Test-set-(JI)V": 1,
-             "a/Test-set-(JJ)V": 0, "a/Best-getInt-()I": 0, "*/Test-add-(?J)?": 1, "*/Test-attributeBoolean-?": 1}
+    frags = {"test/Test-size-()I": 1, "test/Test-plus-(JJ)J": 1, "test/Test-ready-Z": 1, "a/Test-set-(JI)V": 1,
+             "a/Test-set-(JJ)V": 0, "a/Best-size-()I": 0, "*/Test-plus-(?J)?": 1, "*/Test-ready-?": 1}
     df = spark.createDataFrame([(f,) for f in frags], "fragment string")
     got = {r["fragment"]: r["count"] for r in match_fragment(
         spark.createDataFrame(rows, DECLS), df).groupBy("fragment").count().collect()}
     assert {f: got.get(f, 0) for f in frags} == frags
 
 
+# Descriptors and whether they match.
 PAIRS = [
     ("?", "?", True), ("I", "?", True), ("L*/Test;", "Ltest/Test;", True), ("[[[L*/Test;", "?", True),
     ("()I", "(*)?", True), ("(IJ)I", "(*)?", True),
@@ -67,6 +69,7 @@ def test_descriptor_pairs_both_ways(spark):
     assert bad == []
 
 
+# Scopes and whether they hold a type.
 SCOPES = [
     (None, "java/lang/String", True), ("", "java/lang/String", True), ("java/lang/String", "java/lang/String", True),
     ("*/lang/String", "java/lang/String", True), ("*/String", "java/lang/String", True), (None, "Test", True),
