@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from symlake.operators.postings import build_postings
 from symlake.operators.resolve import source_coverage
+from symlake.session import Scratch
 from symlake.sources.classify import EXTRACTOR_RULES, classify
 from symlake.sources.containers import container_types
 
@@ -49,9 +50,12 @@ class Extensions:
         return classify(entries, EXTRACTOR_RULES, own, out="extractor")
 
     def run(self, entries: DataFrame, built_in: dict[str, Extractor] | None = None) -> DataFrame:
-        """Postings of all extractors, each over its own slice. The route is decided on the path, before any
-        content is read."""
+        """Postings of all extractors, each over its own slice. The route is decided on the path; what is routed is
+        written once, by extractor, so the corpus is opened once however many extractors there are."""
         fns = {**(built_in or {}), **{name: fn for name, (_, _, fn) in self.extractors.items()}}
-        routed = self.route(entries)
-        parts = [fn(routed.filter(F.col("extractor") == name).drop("extractor")) for name, fn in fns.items()]
+        target = Scratch(entries.sparkSession, "routed").path("entries")
+        routed = self.route(entries).filter(F.col("extractor").isin(list(fns)))
+        routed.write.partitionBy("extractor").parquet(target)
+        once = entries.sparkSession.read.schema(routed.schema).parquet(target)
+        parts = [fn(once.filter(F.col("extractor") == name).drop("extractor")) for name, fn in fns.items()]
         return build_postings(reduce(DataFrame.unionByName, parts))
