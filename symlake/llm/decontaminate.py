@@ -14,7 +14,8 @@ each on their own; an item id that occurs twice counts once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -237,31 +238,76 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_cov
     """``docs`` without benchmark passages; all columns stay, ``n_chars`` (if there) follows the new text.
 
     Each hit range goes from the start of its first word to the start of the next word that stays. A row of which more
-    than ``max_coverage`` of the words are hit goes as a whole. Rows without a hit stay as they are, null texts too.
-    What remains is read again until nothing is hit, as a cut may join words to a new window."""
+    than ``max_coverage`` of the words are hit, by the items of all automata together, goes as a whole. Rows without a
+    hit stay as they are, null texts too. What remains is read again until nothing is hit, as a cut may join words to a
+    new window. With several automata each round marks the hits of all of them before it cuts; only rows that were cut
+    go to the next round."""
     spark = prepare(docs)
-    schema = docs.schema
+    shared = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, max_words)]
+    if len(shared) == 1:
+        return docs.mapInArrow(_rewrite(lambda text, _: without_hits(text, shared[0].value, max_coverage)), docs.schema)
     scratch = Scratch(spark, "decontaminated")
-    for k, automaton in enumerate(automata(benchmark, window, max_words)):
-        shared = spark.sparkContext.broadcast(automaton)
-        if k:
-            docs, _ = scratch.save(docs, f"pass-{k}")
+    left, done, first = docs, [], True
+    while True:
+        marked = left.withColumn(_MARK, F.array().cast(HITS))
+        for k, automaton in enumerate(shared):
+            marked, _ = scratch.save(_marked(marked, automaton), f"round-{len(done)}-{k}")
+        done.append(marked.filter(F.size(_MARK) == 0).drop(_MARK))
+        limit = max_coverage if first else None
+        cut = marked.filter(F.size(_MARK) > 0).mapInArrow(_rewrite(lambda text, hits, limit=limit: _cut(text, hits, limit)), marked.schema)
+        left, n = scratch.save(cut.drop(_MARK), f"round-{len(done)}")
+        first = False
+        if not n:
+            return reduce(DataFrame.union, done)
+
+
+#: Column of the hits of all automata, for as long as a round lasts.
+_MARK = "__benchmark_hits__"
+
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
-            for batch in batches:
-                data, offsets = utf8(batch["text"])
-                raw = data.tobytes()
-                changed: dict[int, str | None] = {}
-                for i in range(batch.num_rows):
-                    text = raw[offsets[i]:offsets[i + 1]]
-                    clean = without_hits(text, automaton, max_coverage)
-                    if clean is not text:
-                        changed[i] = None if clean is None else clean.decode()
-                yield _replace(batch, changed) if changed else batch
+def _marked(docs: DataFrame, shared) -> DataFrame:
+    """Add the hits of one automaton to the marks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = shared.value
+        for batch in batches:
+            data, offsets = utf8(batch["text"])
+            raw = data.tobytes()
+            at = batch.schema.names.index(_MARK)
+            hits = []
+            for i, before in enumerate(batch[_MARK].to_pylist()):
+                got, _ = automaton.scan(_word_ids(raw[offsets[i]:offsets[i + 1]], automaton.vocabulary))
+                hits.append([{"first": a, "end": b} for a, b in merged(got, [(h["first"], h["end"]) for h in before])])
+            yield batch.set_column(at, batch.schema.field(at), pa.array(hits, batch.schema.field(at).type))
 
-        docs = docs.mapInArrow(run, schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _rewrite(change: Callable[[bytes, list], bytes | None]) -> Callable:
+    """Put ``change(text, marks)`` into the place of each text; rows for which it is ``None`` go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch["text"])
+            raw = data.tobytes()
+            marks = batch[_MARK].to_pylist() if _MARK in batch.schema.names else [()] * batch.num_rows
+            changed: dict[int, str | None] = {}
+            for i in range(batch.num_rows):
+                text = raw[offsets[i]:offsets[i + 1]]
+                clean = change(text, marks[i])
+                if clean is not text:
+                    changed[i] = None if clean is None else clean.decode()
+            yield _replace(batch, changed) if changed else batch
+
+    return run
+
+
+def _cut(text: bytes, marks: list[dict], max_coverage: float | None) -> bytes | None:
+    """The text without the marked words, or ``None`` if they are more than ``max_coverage`` of all."""
+    hits = [(h["first"], h["end"]) for h in marks]
+    if max_coverage is not None and sum(b - a for a, b in hits) > max_coverage * len(words_of(text)):
+        return None
+    return _without(text, hits)
 
 
 def without_hits(text: bytes, automaton: SuffixAutomaton, max_coverage: float) -> bytes | None:
@@ -275,13 +321,17 @@ def without_hits(text: bytes, automaton: SuffixAutomaton, max_coverage: float) -
         if first and sum(b - a for a, b in hits) > max_coverage * len(ids):
             return None
         first = False
-        data = np.frombuffer(text, np.uint8)
-        starts, _, _ = word_spans(data, np.array([0, len(text)]), ALNUM)
-        parts, at = [], 0
-        for a, b in hits:
-            parts.append(text[at:starts[a]])
-            at = int(starts[b]) if b < len(starts) else len(text)
-        text = b"".join([*parts, text[at:]])
+        text = _without(text, hits)
+
+
+def _without(text: bytes, hits: list[tuple[int, int]]) -> bytes:
+    data = np.frombuffer(text, np.uint8)
+    starts, _, _ = word_spans(data, np.array([0, len(text)]), ALNUM)
+    parts, at = [], 0
+    for a, b in hits:
+        parts.append(text[at:starts[a]])
+        at = int(starts[b]) if b < len(starts) else len(text)
+    return b"".join([*parts, text[at:]])
 
 
 def _replace(batch: pa.RecordBatch, changed: dict[int, str | None]) -> pa.RecordBatch:
