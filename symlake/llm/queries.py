@@ -80,12 +80,12 @@ SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
 
-def byte_vocabulary(path: str | None = None, name: str = "byte_bpe_50k.tiktoken") -> bpe.Vocabulary:
-    """Ranks from ``path``; by default a public byte-level vocabulary installed beside Python."""
+def byte_vocabulary(path: str | None = None) -> bpe.Vocabulary:
+    """Ranks from ``path``; by default the public 50k byte-level vocabulary installed beside Python."""
     if path is None:
         import public_tokenizers
 
-        path = public_tokenizers.path(name)
+        path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.Vocabulary.read(path)
 
 
@@ -164,9 +164,7 @@ FROM f"""
 
 @query
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The corpus holds several languages, so the vocabulary for many languages makes the fewest tokens.
-    words = byte_vocabulary(name="byte_bpe_multi_50k.tiktoken")
-    manifest, index = shards.write(ids_and_texts(table(spark, sf_dir, "documents")), words, key=20_260_101)
+    manifest, index = shards.write(ids_and_texts(table(spark, sf_dir, "documents")), byte_vocabulary(), key=20_260_101)
     found = shards.read(manifest).select("slot", F.shiftright(F.octet_length("ids"), 1).cast("bigint").alias("n_ids"), F.sha2("ids", 256).alias("ids_sha256"))
     # The manifest is tiny, what is read through it is not: never broadcast it by the manifest's size.
-    return found.hint("merge").join(index, "slot").select("slot", F.floor(F.col("slot") / 8192).alias("shard"), "n_ids", "ids_sha256", "doc_ids")
+    return found.hint("merge").join(index, "slot").select("slot", F.floor(F.col("slot") / 16_384).alias("shard"), "n_ids", "ids_sha256", "doc_ids")
