@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symlake.llm.arrays import release
-from symlake.llm.session import prepare
+from symlake.llm.session import Scratch, prepare
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -104,9 +104,10 @@ def learned_from(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.col(doc_id).cast("string")) % 3 != 1
 
 
-def fit(docs: DataFrame, docs_per_language: int = 2000, max_words: int = 25_000, max_grams: int = 10_000) -> LanguageModel:
+def fit(docs: DataFrame, docs_per_language: int = 2000, max_words: int = 50_000, max_grams: int = 20_000) -> LanguageModel:
     """Learn from ``text`` and ``lang``. The model holds at most ``max_words`` words and ``max_grams`` n-grams of each
-    length 1 to 5 for each language (the most frequent ones), so what reaches the driver is bounded by parameters."""
+    length 1 to 5 for each language (the most frequent ones), so what reaches the driver is bounded by parameters. What
+    is kept for one language has its counts in all of them."""
     labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & learned_from())
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
@@ -114,7 +115,7 @@ def fit(docs: DataFrame, docs_per_language: int = 2000, max_words: int = 25_000,
     rate = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, docs_per_language / n)))])
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
     sample = labelled.filter(share < rate[F.col("lang")]).select("lang", "text")
-    prepare(docs)
+    spark = prepare(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,27 +134,23 @@ def fit(docs: DataFrame, docs_per_language: int = 2000, max_words: int = 25_000,
               .select("lang", "n", "size", F.explode(F.transform(F.sequence(F.lit(1), F.length("p") - F.col("size") + 1),
                                                                  lambda i: F.col("p").substr(i, F.col("size")))).alias("unit")))
     counted = pieces.groupBy("lang", "size", "unit").agg(F.sum("n").alias("n")).unionByName(words.withColumn("size", F.lit(0)))
-    total = counted.groupBy("lang", "size").agg(F.sum("n").alias("total"))
-    rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "unit"))
-    top = counted.withColumn("rank", rank).filter(F.col("rank") <= F.when(F.col("size") == 0, max_words).otherwise(max_grams))
-    rows = top.join(total, ["lang", "size"]).select("lang", "size", "unit", "n", "total").toArrow().to_pydict()
-
+    counted, _ = Scratch(spark, "language").save(counted, "counts")
     languages = sorted(sizes)
     column = {lang: i for i, lang in enumerate(languages)}
-    names: dict[int, dict[str, int]] = {n: {} for n in range(LONGEST_GRAM + 1)}
     totals = np.ones((LONGEST_GRAM + 1, len(languages)))
-    cells = []
-    for lang, size, unit, n, whole in zip(*(rows[c] for c in ("lang", "size", "unit", "n", "total"))):
-        at = names[size].setdefault(unit, len(names[size]))
-        cells.append((size, at, column[lang], n))
-        totals[size, column[lang]] = whole + 1
-    first = np.concatenate([[0], np.cumsum([len(names[n]) for n in range(LONGEST_GRAM + 1)])])
-    counts = np.zeros((first[-1], len(languages)))
-    of = np.repeat(np.arange(LONGEST_GRAM + 1), np.diff(first))
-    for size, at, lang, n in cells:
-        counts[first[size] + at, lang] = n
+    for r in counted.groupBy("lang", "size").agg(F.sum("n").alias("total")).collect():
+        totals[r["size"], column[r["lang"]]] = r["total"] + 1
+    rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "unit"))
+    top = F.col("rank") <= F.when(F.col("size") == 0, max_words).otherwise(max_grams)
+    # One row per unit, with a column of counts per language.
+    units = (counted.withColumn("rank", rank).groupBy("size", "unit")
+             .agg(F.max(top).alias("kept"), *[F.sum(F.when(F.col("lang") == lang, F.col("n"))).alias(f"n{i}") for lang, i in column.items()])
+             .filter("kept").drop("kept").toArrow().sort_by("size"))
+    of = units["size"].to_numpy()
+    first = np.searchsorted(of, np.arange(LONGEST_GRAM + 2))
+    counts = np.stack([units[f"n{i}"].fill_null(0).to_numpy() for i in range(len(languages))], axis=1)
     logs = (np.log(counts + 0.1) - np.log(totals[of])).astype(np.float32)
-    placed = {n: {u: int(first[n]) + k for u, k in names[n].items()} for n in names}
+    placed = {n: dict(zip(units["unit"][first[n]:first[n + 1]].to_pylist(), range(first[n], first[n + 1]))) for n in range(LONGEST_GRAM + 1)}
     return LanguageModel(languages, placed[0], {n: placed[n] for n in range(1, LONGEST_GRAM + 1)}, logs)
 
 
