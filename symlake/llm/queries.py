@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm import bpe, decontaminate, language, licenses, merkle, minhash, secret_scan, shards, substrings, warc
+from symlake.llm import bpe, decontaminate, hard_negatives, language, licenses, merkle, minhash, secret_scan, shards, substrings, url_filter, warc
 from symlake.llm.session import ids_and_texts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,3 +168,46 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = shards.read(manifest).select("slot", F.shiftright(F.octet_length("ids"), 1).cast("bigint").alias("n_ids"), F.sha2("ids", 256).alias("ids_sha256"))
     # The manifest is tiny, what is read through it is not: never broadcast it by the manifest's size.
     return found.hint("merge").join(index, "slot").select("slot", F.floor(F.col("slot") / 16_384).alias("shard"), "n_ids", "ids_sha256", "doc_ids")
+
+
+#: The rules that the query applies.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+@query
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = url_filter.build(spark.createDataFrame(URL_RULES, "rule string, verdict string"))
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
+ORACLES["op12_url_filter"] = r"""
+WITH rules(rule, verdict) AS (VALUES ('net/', 'block'), ('example.net/en/', 'allow'), ('example.com/de/', 'block'), ('org/fr/', 'allow')),
+r AS (SELECT *, regexp_extract(rule, '^[^/]*') AS rule_host, substr(rule, length(regexp_extract(rule, '^[^/]*')) + 1) AS rule_path FROM rules),
+p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM p)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM u LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) = 1"""
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", shifted.alias("label"))
+    return hard_negatives.mine(hard_negatives.integers(rows))
+
+
+ORACLES["op13_hard_negatives"] = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) <= 3"""
