@@ -232,8 +232,7 @@ class Miner:
             return []
         dealt = vectors.select("id", "label", "v", F.expr(f"cast({floor} AS double)").alias("floor"), F.expr(f"cast({windows} AS array<bigint>)").alias("windows"),
                                F.pmod(F.xxhash64("id"), F.lit(-(-n // rows))).cast("int").alias("block"))
-        files, _ = self.scratch.save(dealt.groupBy("block").applyInArrow(run, BLOCK), f"{name}-files")
-        return [r["file"] for r in files.collect()]
+        return [r["file"] for r in dealt.groupBy("block").applyInArrow(run, BLOCK).collect()]
 
     def meet(self, anchors: list[str], n: int) -> DataFrame:
         """Join every block of anchors with every stripe and keep the first ``n`` per anchor and window."""
@@ -270,20 +269,16 @@ def _rounds(miner: Miner, todo: DataFrame, start: str, lower: str, full: str, wi
     ``todo``: anchors ``id, label, v`` and what the expressions name; ``full`` sees the number of found rows as ``found``
     (per anchor, an array by window) and the threshold as ``floor``."""
     scratch, out, k = miner.scratch, [], 0
-    todo = todo.withColumn("floor", F.expr(f"cast({start} AS double)"))
-    while True:
-        todo, left = scratch.save(todo, f"{name}-todo-{k}")
-        if not left:
-            break
+    todo, left = scratch.save(todo.withColumn("floor", F.expr(f"cast({start} AS double)")), f"{name}-todo-0")
+    while left:
         files = miner.blocks(todo, left, f"{name}-{k}", miner.block_rows, "floor", windows)
         got, _ = scratch.save(miner.meet(files, n), f"{name}-got-{k}")
         counts = got.groupBy("anchor", "k").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("anchor").alias("id")).agg(
             F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("found"))
         state = todo.join(counts, "id", "left").withColumn("found", F.coalesce("found", F.create_map().cast("map<int,bigint>")))
-        state, _ = scratch.save(state.withColumn("full", F.expr(full)), f"{name}-state-{k}")
-        out.append(got.join(state.filter("full").select(F.col("id").alias("anchor")), "anchor", "left_semi"))
-        todo = state.filter("NOT full").drop("found", "full").withColumn("floor", F.expr(lower))
         k += 1
+        todo, left = scratch.save(state.filter(f"NOT ({full})").drop("found").withColumn("floor", F.expr(lower)), f"{name}-todo-{k}")
+        out.append(got.join(todo.select(F.col("id").alias("anchor")), "anchor", "left_anti"))
     if not out:
         return miner.spark.createDataFrame([], "anchor bigint, k int, score bigint, id bigint, rank int")
     whole = out[0]
