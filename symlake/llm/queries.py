@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symlake.llm import bpe, decontaminate, hard_negatives, language, licenses, merkle, minhash, secret_scan, shards, substrings, url_filter, warc
+from symlake.llm import bpe, decontaminate, hard_negatives, language, licenses, merkle, minhash, secret_scan, shards, spelling, substrings, url_filter, warc
 from symlake.llm.session import ids_and_texts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,6 +170,38 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.hint("merge").join(index, "slot").select("slot", F.floor(F.col("slot") / 16_384).alias("shard"), "n_ids", "ids_sha256", "doc_ids")
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.words(ids_and_texts(table(spark, sf_dir, "documents")), alter=31)
+    return spelling.variants(found).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+ORACLES["op11_spelling_variants"] = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([i, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t
+  FROM range(256) r(i)),
+run AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+own AS (SELECT doc_id, run, count(*) AS n FROM run WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (SELECT run, n, doc_id, hex(encode(doc_id || ':' || run)) AS h FROM own),
+marked AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2), lambda k: CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT))),
+             lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) AS h, doc_id FROM hashed, crc),
+word AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN doc_id IS NOT NULL AND h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM marked)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM word),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM cut),
+near AS (SELECT DISTINCT * FROM (
+    SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION ALL SELECT a.word, b.word FROM less a JOIN word b ON a.rest = b.word
+    UNION ALL SELECT b.word, a.word FROM less a JOIN word b ON a.rest = b.word)),
+best AS (SELECT a AS word, count(*) AS n_near, min({'n': -n, 'word': b}) AS best FROM near JOIN word ON b = word GROUP BY a),
+named AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.n >= 10 * w.n THEN best.word END AS form,
+            CASE WHEN -best.n >= 10 * w.n THEN -best.n END AS form_n FROM word w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, form FROM named UNION ALL SELECT c.word, c.form, n.form FROM chain c JOIN named n ON n.word = c.form)
+SELECT n.word, n.form, c.root, n.n, n.n_near, n.form_n FROM named n JOIN chain c ON c.word = n.word AND c.form IS NULL"""
+
+
 #: The rules that the query applies.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
