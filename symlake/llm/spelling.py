@@ -351,6 +351,6 @@ def variants(found: DataFrame, ratio: int = 10, **limits) -> DataFrame:
         moved = steps.join(ahead, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
         whole, _ = scratch.save(moved, f"roots-{k}")
         steps, n = whole.select("word", "root"), whole.filter("moved").limit(1).count()
-    text = lambda c: F.decode(c, F.lit("ISO-8859-1"))
+    text = lambda c: F.decode(c, "ISO-8859-1")
     return rows.join(steps, "word", "left").select(
         text(F.col("word")).alias("word"), text(F.col("form")).alias("form"), text(F.coalesce("root", "word")).alias("root"), "n", "n_near", "form_n")

@@ -7,7 +7,8 @@ sorted by the 64-bit xxhash of its strings and written in segments by range of t
 - ``rules``: host and path together, with the verdict.
 
 A segment holds digests, string offsets and the full strings; a task maps the segments that its probes reach, so memory
-is page cache that the machine may take back, shared by all workers. All probes of a batch go through one vectorised
+is page cache that the machine may take back, shared by all workers (from a store that cannot be mapped, a task reads
+the segment, and keeps a few). All probes of a batch go through one vectorised
 binary search per segment; a hit counts only if the stored string equals the wanted one, and equal digests of different
 strings are walked through, so collisions change nothing. First the suffixes of the distinct hosts of a batch are probed,
 no longer than the longest rule host, then the path prefixes of exactly the lengths that the found hosts have. Nothing is
@@ -22,9 +23,6 @@ with two verdicts blocks; rules without a host or verdict are left out; without
 from __future__ import annotations
 
 import mmap
-import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -40,6 +38,8 @@ from pyspark.sql import functions as F
 from symlake.llm.session import Scratch, prepare
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Segments that a task keeps open; the one used longest ago is let go.
+HELD = 16
 DIRECTORY = "array string, low bigint, high bigint, file string, n bigint, longest bigint"
 
 
@@ -106,26 +106,17 @@ def _write(strings: DataFrame, name: str, folder: str, segment_rows: int, scratc
     return tuple((r["low"], r["high"], r["file"], r["longest"]) for r in directory.orderBy("low").collect())
 
 
-def _near_file(folder: str, name: str) -> str:
-    """A path that can be mapped: the file itself, or one copy per machine of what lies in a remote store."""
-    store, path = fs.FileSystem.from_uri(folder)
-    if isinstance(store, fs.LocalFileSystem):
-        return f"{path}/{name}"
-    target = os.path.join(tempfile.gettempdir(), name)
-    if not os.path.exists(target):
-        own = f"{target}.{uuid.uuid4().hex}"
-        with store.open_input_stream(f"{path}/{name}") as source, open(own, "wb") as out:
-            shutil.copyfileobj(source, out)
-        os.replace(own, target)
-    return target
-
-
 class Segment:
-    """One mapped file."""
-
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    """One file: mapped where its folder is mounted, else read as a whole (its size is bounded by ``segment_rows``)."""
+
+    def __init__(self, folder: str, name: str):
+        store, path = fs.FileSystem.from_uri(folder)
+        if isinstance(store, fs.LocalFileSystem):
+            with open(f"{path}/{name}", "rb") as f:
+                self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        else:
+            with store.open_input_stream(f"{path}/{name}") as f:
+                self.map = f.read()
         n = int(np.frombuffer(self.map, np.int64, 1)[0])
         self.keys = np.frombuffer(self.map, np.int64, n, 8)
         self.cuts = [np.frombuffer(self.map, np.int64, n + 1, 8 + 8 * n + k * 8 * (n + 1)) for k in range(2)]
@@ -134,7 +125,7 @@ class Segment:
 
     def text(self, column: int, row: int) -> bytes:
         a, b = self.cuts[column][row:row + 2]
-        return self.map[self.starts[column] + int(a):self.starts[column] + int(b)]
+        return bytes(self.map[self.starts[column] + int(a):self.starts[column] + int(b)])
 
 
 class DigestArray:
@@ -154,8 +145,10 @@ class DigestArray:
         places = np.searchsorted(self.highs, keys)
         for k in np.unique(places[places < len(self.segments)]).tolist():
             if k not in self.open:
-                self.open[k] = Segment(_near_file(self.folder, self.segments[k][2]))
-            segment = self.open[k]
+                if len(self.open) >= HELD:
+                    self.open.pop(next(iter(self.open)))
+                self.open[k] = Segment(self.folder, self.segments[k][2])
+            segment = self.open[k] = self.open.pop(k)
             own = np.flatnonzero(places == k)
             first, last = np.searchsorted(segment.keys, keys[own], "left"), np.searchsorted(segment.keys, keys[own], "right")
             for q in np.flatnonzero(last > first).tolist():
