@@ -176,16 +176,15 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(found).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+# Counts grow tenfold along the forms, so 32 steps reach every root of 64-bit counts.
 ORACLES["op11_spelling_variants"] = r"""
-WITH RECURSIVE crc AS (
-  SELECT list(list_reduce([i, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t
-  FROM range(256) r(i)),
-run AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+WITH run AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
           '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
 own AS (SELECT doc_id, run, count(*) AS n FROM run WHERE length(run) >= 7 GROUP BY doc_id, run),
 hashed AS (SELECT run, n, doc_id, hex(encode(doc_id || ':' || run)) AS h FROM own),
-marked AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2), lambda k: CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT))),
-             lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) AS h, doc_id FROM hashed, crc),
+marked AS (SELECT run, n, doc_id, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(0, length(h) // 2),
+             lambda k: [CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+             lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) AS h FROM hashed),
 word AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
     SELECT CASE WHEN doc_id IS NOT NULL AND h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM marked)
   WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
@@ -196,10 +195,15 @@ near AS (SELECT DISTINCT * FROM (
     UNION ALL SELECT a.word, b.word FROM less a JOIN word b ON a.rest = b.word
     UNION ALL SELECT b.word, a.word FROM less a JOIN word b ON a.rest = b.word)),
 best AS (SELECT a AS word, count(*) AS n_near, min({'n': -n, 'word': b}) AS best FROM near JOIN word ON b = word GROUP BY a),
-named AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.n >= 10 * w.n THEN best.word END AS form,
+named AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.n >= 10 * w.n THEN best.word END AS form,
             CASE WHEN -best.n >= 10 * w.n THEN -best.n END AS form_n FROM word w LEFT JOIN best USING (word)),
-chain AS (SELECT word, word AS root, form FROM named UNION ALL SELECT c.word, c.form, n.form FROM chain c JOIN named n ON n.word = c.form)
-SELECT n.word, n.form, c.root, n.n, n.n_near, n.form_n FROM named n JOIN chain c ON c.word = n.word AND c.form IS NULL"""
+s0 AS MATERIALIZED (SELECT word, coalesce(form, word) AS root FROM named),
+s1 AS MATERIALIZED (SELECT a.word, b.root FROM s0 a JOIN s0 b ON b.word = a.root),
+s2 AS MATERIALIZED (SELECT a.word, b.root FROM s1 a JOIN s1 b ON b.word = a.root),
+s3 AS MATERIALIZED (SELECT a.word, b.root FROM s2 a JOIN s2 b ON b.word = a.root),
+s4 AS MATERIALIZED (SELECT a.word, b.root FROM s3 a JOIN s3 b ON b.word = a.root),
+s5 AS MATERIALIZED (SELECT a.word, b.root FROM s4 a JOIN s4 b ON b.word = a.root)
+SELECT n.word, n.form, s5.root, n.n, n.n_near, n.form_n FROM named n JOIN s5 USING (word)"""
 
 
 #: The rules that the query applies.
