@@ -194,9 +194,9 @@ near AS (SELECT DISTINCT * FROM (
     SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
     UNION ALL SELECT a.word, b.word FROM less a JOIN word b ON a.rest = b.word
     UNION ALL SELECT b.word, a.word FROM less a JOIN word b ON a.rest = b.word)),
-best AS (SELECT a AS word, count(*) AS n_near, min({'n': -n, 'word': b}) AS best FROM near JOIN word ON b = word GROUP BY a),
-named AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.n >= 10 * w.n THEN best.word END AS form,
-            CASE WHEN -best.n >= 10 * w.n THEN -best.n END AS form_n FROM word w LEFT JOIN best USING (word)),
+best AS (SELECT a AS word, count(*) AS n_near, min({'n': -n, 'word': b}) AS top FROM near JOIN word ON b = word GROUP BY a),
+named AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.n >= 10 * w.n THEN top.word END AS form,
+            CASE WHEN -top.n >= 10 * w.n THEN -top.n END AS form_n FROM word w LEFT JOIN best USING (word)),
 s0 AS MATERIALIZED (SELECT word, coalesce(form, word) AS root FROM named),
 s1 AS MATERIALIZED (SELECT a.word, b.root FROM s0 a JOIN s0 b ON b.word = a.root),
 s2 AS MATERIALIZED (SELECT a.word, b.root FROM s1 a JOIN s1 b ON b.word = a.root),
