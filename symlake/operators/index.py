@@ -17,6 +17,11 @@ TEXT_EXTRACTORS = ["text", "xml", "xml-based", "web.xml", "ejb-jar.xml", "servic
 CLASS_EXTRACTORS = ["class", "module-info"]
 
 
+def as_text(content: Column) -> Column:
+    """Bytes as UTF-8 text; what is no UTF-8 becomes U+FFFD, so a file in another encoding is still searched."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def _dotted(names: Column) -> Column:
     return F.transform(names, lambda s: F.translate(F.regexp_replace(s, r"^\s+|\s+$", ""), ".", "/"))
 
@@ -25,7 +30,7 @@ def text_symbols(routed: DataFrame) -> DataFrame:
     """Postings of all text extractors. Web and bean descriptors post their strings like any XML, and their type
     references besides."""
     rows = routed.filter(F.col("extractor").isin(TEXT_EXTRACTORS) & F.col("content").isNotNull()).withColumn(
-        "text", F.decode(F.col("content"), "UTF-8"))
+        "text", as_text(F.col("content")))
     text, by = F.col("text"), F.col("extractor")
     beans = X.attribute_values(text, "bean", "class")
     lines = F.filter(F.transform(F.split(text, "\r?\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: (s != "") & ~s.startswith("#"))
@@ -50,7 +55,7 @@ def index_entries(entries: DataFrame) -> dict[str, DataFrame]:
     supers = symbols.filter(F.col("tag") == "super").select(
         "container", F.col("a").alias("type_name"), F.col("b").alias("super_name"), F.col("c").alias("kind"))
     plain = routed.filter((F.col("extractor") == "text") & F.col("content").isNotNull()).select(
-        F.decode(F.col("content"), "UTF-8").alias("text"))
+        as_text(F.col("content")).alias("text"))
     texts = plain.groupBy(F.sha1("text").alias("key")).agg(F.first("text").alias("text"))
     return {"postings": classes.unionByName(text_symbols(routed)).unionByName(packages), "supertypes": supers, "texts": texts}
 
