@@ -4,6 +4,7 @@
 number per language; the sampling rate follows from full counts) and derives the n-gram counts from the word counts.
 ``predict`` scores every word of every whole text: a known word by the log of its smoothed per-language relative
 frequency, an unseen one by the mean log frequency of its longest character n-grams of which at least one is known.
+Tasks hold the model as sorted 64-bit keys and one matrix of scores (``Scorer``), not as dictionaries of strings.
 
 Defined results: null text, no letter at all or an empty model give ``und`` with score 0; ties go to the language that
 sorts first; repeated rows are scored each on their own; rows with null ``lang`` or null ``doc_id`` teach nothing.
@@ -15,10 +16,10 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,6 +36,47 @@ def normal(text: str) -> str:
     return unicodedata.normalize("NFC", text).lower()
 
 
+#: Odd multipliers, one per place of a character n-gram.
+_PLACES = np.random.default_rng(23).integers(0, 1 << 63, LONGEST_GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def word_key(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def gram_keys(codes: np.ndarray, n: int) -> np.ndarray:
+    """64-bit keys of all windows of ``n`` code points. Two different windows share a key with a chance near 2**-60."""
+    count = max(len(codes) - n + 1, 0)
+    out = np.zeros(count, np.uint64)
+    for k in range(n):
+        out += codes[k:k + count].astype(np.uint64) * _PLACES[k]
+    return out
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+@dataclass
+class Keys:
+    """Rows of units by their sorted 64-bit keys: 12 bytes a unit instead of a string in a dictionary."""
+
+    keys: np.ndarray
+    rows: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, rows: np.ndarray) -> Keys:
+        order = np.argsort(keys, kind="stable")
+        return cls(keys[order], rows[order])
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The row of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(wanted), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.rows[at], np.int32(-1))
+
+
 @dataclass
 class LanguageModel:
     """Log frequencies: ``words`` and ``grams[n]`` name rows of ``logs``, which has one column per language."""
@@ -44,41 +86,78 @@ class LanguageModel:
     grams: dict[int, dict[str, int]]
     logs: np.ndarray
     floor: float = -10.0
+
+    def scorer(self) -> Scorer:
+        """The flat form that tasks work with."""
+        def rows(names: dict[str, int]) -> np.ndarray:
+            return np.fromiter(names.values(), np.int32, len(names))
+
+        words = Keys.of(np.fromiter(map(word_key, self.words), np.uint64, len(self.words)), rows(self.words))
+        grams = {}
+        for n in sorted(self.grams, reverse=True):
+            codes = code_points("".join(self.grams[n]))
+            grams[n] = Keys.of(gram_keys(codes, n)[::n], rows(self.grams[n]))
+        every = np.vstack([self.logs, np.full((1, len(self.languages)), self.floor, np.float32)])
+        return Scorer(self.languages, words, grams, every)
+
+    def score(self, text: str | None) -> tuple[str, float]:
+        return self.scorer().score(text)
+
+
+@dataclass
+class Scorer:
+    """A model as flat arrays: sorted keys of the words and of the n-grams of each length (longest first), and the
+    scores by row, the last of which stands for a word of which nothing is known."""
+
+    languages: list[str]
+    words: Keys
+    grams: dict[int, Keys]
+    logs: np.ndarray
     remembered: int = 150_000
     _rows: dict[str, int] = field(default_factory=dict, repr=False)
     _table: np.ndarray | None = field(default=None, repr=False)
-    _all: np.ndarray | None = field(default=None, repr=False)
-    _lengths: list[int] = field(default_factory=list, repr=False)
 
     def __getstate__(self):
-        return {**self.__dict__, "_rows": {}, "_table": None, "_all": None}
+        return {**self.__dict__, "_rows": {}, "_table": None}
 
     def forget(self) -> None:
         """Give back the memory of what was remembered: a worker may wait for its next task for long."""
-        self._rows, self._table, self._all = {}, None, None
+        self._rows, self._table = {}, None
         release()
 
-    def back_off(self, word: str) -> list[int]:
-        """Rows of the n-grams that stand for a word that training did not see: the longest of which one is known."""
-        padded = f"<{word}>"
-        for n in self._lengths:
-            known = self.grams[n]
-            found = [known[g] for k in range(len(padded) - n + 1) if (g := padded[k:k + n]) in known]
-            if found:
-                return found
-        return [len(self.logs)]
+    def means(self, words: list[str]) -> np.ndarray:
+        """Scores of words: their own, or the mean of the longest n-grams of which at least one is known."""
+        out = np.empty((len(words), len(self.languages)), np.float32)
+        own = self.words.find(np.fromiter(map(word_key, words), np.uint64, len(words)))
+        out[own >= 0] = self.logs[own[own >= 0]]
+        left = np.flatnonzero(own < 0)
+        for n, keys in self.grams.items():
+            if not len(left):
+                return out
+            padded = [f"<{words[k]}>" for k in left.tolist()]
+            sizes = np.fromiter(map(len, padded), np.int64, len(padded))
+            windows = np.maximum(sizes - n + 1, 0)
+            # The windows of each word on its own: those that reach into the next word are left out.
+            at = np.repeat(np.cumsum(sizes) - sizes - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
+            owner = np.repeat(np.arange(len(left)), windows)
+            found = keys.find(gram_keys(code_points("".join(padded)), n)[at])
+            owner, found = owner[found >= 0], found[found >= 0]
+            if not len(found):
+                continue
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            count = np.diff(np.r_[first, len(owner)])
+            out[left[owner[first]]] = np.add.reduceat(self.logs[found], first) / count[:, None]
+            left = np.delete(left, owner[first])
+        out[left] = self.logs[-1]
+        return out
 
     def _learn(self, words: list[str]) -> None:
-        """Remember the scores of words not met before: mean rows, all words at once."""
+        """Remember the scores of words not met before, all words at once."""
         first = len(self._rows)
-        rows = [[at] if (at := self.words.get(w)) is not None else self.back_off(w) for w in words]
-        self._rows.update(zip(words, range(first, first + len(words))))
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        starts = np.cumsum(sizes) - sizes
-        means = np.add.reduceat(self._all[list(chain.from_iterable(rows))], starts) / sizes[:, None]
         while first + len(words) > len(self._table):
             self._table = np.concatenate([self._table, np.empty_like(self._table)])
-        self._table[first:first + len(words)] = means
+        self._table[first:first + len(words)] = self.means(words)
+        self._rows.update(zip(words, range(first, first + len(words))))
 
     def score(self, text: str | None) -> tuple[str, float]:
         """The most likely language of a whole text and its posterior probability under equal priors."""
@@ -90,8 +169,6 @@ class LanguageModel:
         if self._table is None or len(self._rows) > self.remembered:
             # What was remembered is only a speed-up: it starts anew when full.
             self._rows, self._table = {}, np.empty((4096, len(self.languages)), np.float32)
-            self._all = np.vstack([self.logs, np.full((1, len(self.languages)), self.floor, np.float32)])
-            self._lengths = sorted(self.grams, reverse=True)
         if new := set(words).difference(self._rows):
             self._learn(sorted(new))
         total = self._table[list(map(self._rows.__getitem__, words))].sum(axis=0, dtype=np.float64)
@@ -156,7 +233,7 @@ def fit(docs: DataFrame, docs_per_language: int = 2000, max_words: int = 50_000,
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``doc_id, lang_pred, score`` for every row, from its whole text and nothing else."""
-    shared = prepare(docs).sparkContext.broadcast(model)
+    shared = prepare(docs).sparkContext.broadcast(model.scorer())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = shared.value.score
@@ -174,7 +251,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.0) -> DataFrame:
     """The rows whose language is known with at least ``min_score``; all columns stay as they are. Rows without text or
     without a letter go."""
-    shared = prepare(docs).sparkContext.broadcast(model)
+    shared = prepare(docs).sparkContext.broadcast(model.scorer())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = shared.value.score

@@ -99,6 +99,11 @@ def table_keys(signed_docs: DataFrame) -> DataFrame:
     return signed_docs.select(F.explode(F.expr(pairs)).alias("key"), F.col("doc_id").alias("doc"))
 
 
+def tasks_for(rows: int, per_task: int = 500_000) -> int:
+    """Tasks that put out about ``per_task`` rows each."""
+    return max(1, -(-rows // per_task))
+
+
 def compare(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """``a, b, linked, size_a, size_b, apart`` for pairs ``(a, b)``, from whole texts: are the shingle sets similar
     (``100 * intersection >= percent * union``), their sizes, and the shingles that only one of them has."""
@@ -188,11 +193,12 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, halves:
     spark = prepare(docs)
     scratch = Scratch(spark, "minhash")
     marked, _ = scratch.save(signatures(docs, width, halves, rows), "signatures")
-    classes, _ = scratch.save(
+    classes, n_classes = scratch.save(
         marked.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size")), "classes")
     reps = marked.join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).filter("doc_id = rep").select("doc_id", "lefts", "rights")
 
-    keys = table_keys(reps)
+    # A row becomes halves**2 rows: the number of tasks follows what they put out, which adaptive execution cannot see.
+    keys = table_keys(reps.repartition(tasks_for(n_classes * halves * halves), "doc_id"))
     shared = keys.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).filter("hub < last").select("key", "hub")
     pairs = keys.join(shared, "key").filter("doc != hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
     compared, _ = scratch.save(compare(pairs, docs, percent, width), "compared")
