@@ -33,10 +33,15 @@ def _one_parent(edges: DataFrame) -> DataFrame:
 def tops(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``(src, top, depth, cyclic)`` for edges ``(src, dst)``: the end of each node's chain. A node whose chain leads
     into a cycle has none: ``cyclic`` is true, ``top`` and ``depth`` are null."""
-    scratch = scratch or Scratch(edges.sparkSession, "tops")
+    return jump_tables(edges, scratch or Scratch(edges.sparkSession, "tops"))[0]
+
+
+def jump_tables(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """What ``tops`` gives, and the written tables it comes from: table ``k`` holds for every ``src`` the ``top`` that is
+    2**k steps above, or the end of its chain if that is nearer, and the ``depth`` of that step."""
     now, n = scratch.save(_one_parent(edges).select("src", F.col("dst").alias("top"), F.lit(1).cast("bigint").alias("depth"),
                                                     F.lit(True).alias("moves")), "jump-0")
-    reach, k = 1, 0
+    reach, k, tables = 1, 0, [now]
     while n and reach <= 2 * n:
         up = now.select(F.col("src").alias("via"), F.col("top").alias("over"), F.col("depth").alias("more"))
         step = now.join(up, now["top"] == up["via"], "left").select(
@@ -44,10 +49,12 @@ def tops(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
             F.col("over").isNotNull().alias("moves"))
         k, reach = k + 1, 2 * reach
         now, _ = scratch.save(step, f"jump-{k}")
+        tables.append(now)
         if now.filter("moves").isEmpty():
             break
     none = F.col("moves") & F.lit(k > 0)
-    return now.select("src", F.when(~none, F.col("top")).alias("top"), F.when(~none, F.col("depth")).alias("depth"), none.alias("cyclic"))
+    ends = now.select("src", F.when(~none, F.col("top")).alias("top"), F.when(~none, F.col("depth")).alias("depth"), none.alias("cyclic"))
+    return ends, tables
 
 
 def chain_closure(edges: DataFrame) -> DataFrame:
@@ -187,17 +194,61 @@ def instance_of(pairs: DataFrame, supertypes: DataFrame) -> DataFrame:
 
 
 def first_common_super(pairs: DataFrame, types: DataFrame) -> DataFrame:
-    """``pairs(a, b)`` with the nearest shared type of the two superclass chains, themselves included."""
+    """``pairs(a, b)`` with the nearest shared type of the two superclass chains, themselves included; null where the
+    chains share none or a side is null.
+
+    Binary lifting: the jump tables say how deep both sides lie and where their chains end. Chains with different ends
+    share nothing. Otherwise the deeper side is lifted to the depth of the other one, then both climb by falling powers
+    of two for as long as they stay apart, and the type above them is the answer: one row per pair and step, no chain is
+    ever listed. Only types whose chains lead into a cycle are followed type by type (``_common_on_cycles``)."""
     scratch = Scratch(types.sparkSession, "common")
-    wanted, _ = scratch.save(pairs.select("a", "b").distinct(), "pairs")
-    nodes = wanted.select(F.explode(F.array("a", "b")).alias("src")).distinct()
-    above = chain_closure(superclass_edges(types)).join(nodes, "src", "left_semi")
-    line, _ = scratch.save(nodes.select("src", F.col("src").alias("dst"), F.lit(0).alias("depth")).unionByName(above), "lines")
+    edges, _ = scratch.save(superclass_edges(types), "edges")
+    ends, tables = jump_tables(edges, scratch)
+
+    def side(c: str) -> DataFrame:
+        return ends.select(F.col("src").alias(c), F.col("top").alias(f"{c}_end"), F.col("depth").alias(f"{c}_depth"), F.col("cyclic").alias(f"{c}_loops"))
+
+    loops = [F.coalesce(f"{c}_loops", F.lit(False)) for c in "ab"]
+    wanted = pairs.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL").distinct()
+    placed, _ = scratch.save(wanted.join(side("a"), "a", "left").join(side("b"), "b", "left").select(
+        "a", "b", (loops[0] & loops[1]).alias("loops"), (loops[0] | loops[1]).alias("looping"),
+        (F.coalesce("a_end", "a") == F.coalesce("b_end", "b")).alias("meets"),
+        (F.coalesce("a_depth", F.lit(0)) - F.coalesce("b_depth", F.lit(0))).alias("gap")), "placed")
+    low, high = F.when(F.col("gap") >= 0, F.col("a")).otherwise(F.col("b")), F.when(F.col("gap") >= 0, F.col("b")).otherwise(F.col("a"))
+    at = placed.filter("meets AND NOT looping").select("a", "b", low.alias("low"), high.alias("high"), F.abs("gap").alias("gap"))
+
+    def above(k: int, c: str) -> DataFrame:
+        return tables[k].select(F.col("src").alias(c), F.col("top").alias(f"{c}_up"))
+
+    powers = range(len(tables) - 1, -1, -1)
+    for k in powers:
+        lifted = F.when(F.col("gap") >= 1 << k, F.col("low_up")).otherwise(F.col("low"))
+        rest = F.when(F.col("gap") >= 1 << k, F.col("gap") - (1 << k)).otherwise(F.col("gap"))
+        at = at.join(above(k, "low"), "low", "left").select("a", "b", lifted.alias("low"), "high", rest.alias("gap"))
+    at, _ = scratch.save(at.drop("gap"), "level")
+    # Pairs that met are done; the others have a type above both.
+    done = at.filter("low = high").select("a", "b", F.col("low").alias("common_super"))
+    at = at.filter("low != high")
+    for k in powers:
+        apart = F.col("low_up") != F.col("high_up")
+        at = at.join(above(k, "low"), "low").join(above(k, "high"), "high").select(
+            "a", "b", F.when(apart, F.col("low_up")).otherwise(F.col("low")).alias("low"),
+            F.when(apart, F.col("high_up")).otherwise(F.col("high")).alias("high"))
+    met = at.join(above(0, "low"), "low").select("a", "b", F.col("low_up").alias("common_super"))
+    best = done.unionByName(met).unionByName(_common_on_cycles(placed.filter("loops").select("a", "b"), edges))
+    return pairs.join(best, ["a", "b"], "left")
+
+
+def _common_on_cycles(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """``a, b, common_super`` where both chains lead into a cycle: the shared type with the fewest steps from ``a``."""
+    if pairs.isEmpty():
+        return pairs.limit(0).select("a", "b", F.col("a").alias("common_super"))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    line = nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("depth")).unionByName(graph_closure(edges, nodes))
     up_a = line.select(F.col("src").alias("a"), "dst", "depth")
     up_b = line.select(F.col("src").alias("b"), "dst")
-    best = wanted.join(up_a, "a").join(up_b, ["b", "dst"]).groupBy("a", "b").agg(
+    return pairs.join(up_a, "a").join(up_b, ["b", "dst"]).groupBy("a", "b").agg(
         F.min(F.struct("depth", "dst"))["dst"].alias("common_super"))
-    return pairs.join(best, ["a", "b"], "left")
 
 
 def resolve_member(refs: DataFrame, members: DataFrame, types: DataFrame, interfaces: DataFrame | None = None,

@@ -1,5 +1,7 @@
 """Finding ranges inside text columns."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +14,33 @@ def _ranges(text: Column, regex: str) -> Column:
     gaps = F.transform(F.split(text, regex, -1), lambda g: F.length(g))
     found = F.transform(F.regexp_extract_all(text, F.lit(regex), 0), lambda h: F.length(h))
     steps = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("hit")), lambda z: z["hit"].isNotNull())
-    none = F.expr("cast(array() AS array<struct<hit_start:int,hit_end:int>>)")
-    walked = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, z: F.struct(
-        (acc["at"] + z["gap"] + z["hit"]).alias("at"),
-        F.array_append(acc["out"], F.struct((acc["at"] + z["gap"]).alias("hit_start"), (acc["at"] + z["gap"] + z["hit"]).alias("hit_end"))).alias("out")))["out"]
-    return walked
+    # Bound to a lambda variable, so that the matches are looked for once and not for every block.
+    return F.transform(F.array(steps), _placed)[0]
+
+
+def _placed(steps: Column) -> Column:
+    """Ranges of all steps. A fold that appends copies what it has got so far, so it only ever runs over one block, and
+    once over the blocks."""
+    blocks = F.transform(F.filter(F.sequence(F.lit(0), F.size(steps), F.lit(BLOCK)), lambda i: i < F.size(steps)),
+                         lambda i: F.slice(steps, i + 1, F.lit(BLOCK)))
+    return F.flatten(_fold(blocks, "array<struct<start:int,steps:array<struct<gap:int,hit:int>>>>",
+                           lambda at, b: F.struct(at.alias("start"), b.alias("steps")),
+                           lambda b: F.aggregate(b, F.lit(0), lambda n, z: n + z["gap"] + z["hit"]),
+                           lambda placed: F.transform(placed, lambda p: _fold(
+                               p["steps"], "array<struct<hit_start:int,hit_end:int>>",
+                               lambda at, z: F.struct((at + z["gap"]).alias("hit_start"), (at + z["gap"] + z["hit"]).alias("hit_end")),
+                               lambda z: z["gap"] + z["hit"], start=p["start"]))))
+
+
+#: Hits of a text that are numbered in one go.
+BLOCK = 256
+
+
+def _fold(items: Column, kind: str, item: Callable, length: Callable, finish: Callable = lambda out: out, start: Column | None = None) -> Column:
+    """``item(at, x)`` for every ``x`` of ``items``, where ``at`` is ``start`` plus the lengths of those before it."""
+    first = F.struct((F.lit(0) if start is None else start).alias("at"), F.expr(f"cast(array() AS {kind})").alias("out"))
+    return F.aggregate(items, first, lambda acc, x: F.struct(
+        (acc["at"] + length(x)).alias("at"), F.array_append(acc["out"], item(acc["at"], x)).alias("out")), lambda acc: finish(acc["out"]))
 
 
 def range_hits(df: DataFrame, ids: list[str], col: str, regex: str) -> DataFrame:
