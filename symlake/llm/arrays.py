@@ -6,7 +6,9 @@ text), not the batch or the partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,8 +138,27 @@ class Roller:
 
 
 def release() -> None:
-    """Hand unused Arrow memory back to the system."""
+    """Hand unused memory back to the system: Arrow's and, where the C library can, that of Python and numpy."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+    if trim is not None:
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task over record batches that hands its memory back at its end: a worker may wait for its next task for long."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return task
+
+
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about ``limit`` bytes of text, so that what is worked on follows the part."""
+    for i, j in slices(utf8(batch[column])[1], limit):
+        yield batch.slice(i, j - i)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

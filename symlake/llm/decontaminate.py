@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symlake.llm.arrays import ALNUM, LOWER, slices, utf8, word_spans
+from symlake.llm.arrays import ALNUM, LOWER, pieces, releasing, slices, utf8, word_spans
 from symlake.llm.session import Scratch, prepare
 
 #: Separators become spaces, A-Z small letters; all else stays.
@@ -287,7 +288,7 @@ def _rewrite(change: Callable[[bytes, list], bytes | None]) -> Callable:
     """Put ``change(text, marks)`` into the place of each text; rows for which it is ``None`` go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(pieces, batches)):
             data, offsets = utf8(batch["text"])
             raw = data.tobytes()
             marks = batch[_MARK].to_pylist() if _MARK in batch.schema.names else [()] * batch.num_rows
@@ -299,7 +300,7 @@ def _rewrite(change: Callable[[bytes, list], bytes | None]) -> Callable:
                     changed[i] = None if clean is None else clean.decode()
             yield _replace(batch, changed) if changed else batch
 
-    return run
+    return releasing(run)
 
 
 def _cut(text: bytes, marks: list[dict], max_coverage: float | None) -> bytes | None:

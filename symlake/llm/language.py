@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from symlake.llm.arrays import release
+from symlake.llm.arrays import release, releasing
 from symlake.llm.session import Scratch, prepare
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, docs_per_language: int = 2000, max_words: int = 50_000,
                 [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()),
                  pa.array(seen.values(), pa.int64())], names=["lang", "unit", "n"])
 
-    words = sample.mapInArrow(count, "lang string, unit string, n bigint").groupBy("lang", "unit").agg(F.sum("n").alias("n"))
+    words = sample.mapInArrow(releasing(count), "lang string, unit string, n bigint").groupBy("lang", "unit").agg(F.sum("n").alias("n"))
     padded = F.concat(F.lit("<"), F.col("unit"), F.lit(">"))
     length = F.explode(F.sequence(F.lit(1), F.lit(LONGEST_GRAM)))
     pieces = (words.select("lang", "n", padded.alias("p"), length.alias("size")).filter(F.length("p") >= F.col("size"))

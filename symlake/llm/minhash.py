@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symlake.llm.arrays import LOWER, NON_SPACE, Roller, mix, signed, slices, utf8, word_spans
+from symlake.llm.arrays import LOWER, NON_SPACE, Roller, mix, releasing, signed, slices, utf8, word_spans
 from symlake.llm.components import components
-from symlake.llm.session import Scratch, prepare
+from symlake.llm.session import Scratch, prepare, tasks_for
 
 U = np.uint64
+#: Rows of table keys that one task puts out.
+TASK_ROWS = 500_000
 _WORDS, _SHINGLES = Roller(91), Roller(92)
 
 
@@ -90,7 +92,7 @@ def signatures(docs: DataFrame, width: int = 2, halves: int = 10, rows: int = 2,
                     names=["doc_id", "n_shingles", "s1", "s2", "lefts", "rights"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {id_type}, n_shingles bigint, s1 bigint, s2 bigint, lefts array<bigint>, rights array<bigint>")
+        releasing(run), f"doc_id {id_type}, n_shingles bigint, s1 bigint, s2 bigint, lefts array<bigint>, rights array<bigint>")
 
 
 def table_keys(signed_docs: DataFrame) -> DataFrame:
@@ -99,11 +101,6 @@ def table_keys(signed_docs: DataFrame) -> DataFrame:
     return signed_docs.select(F.explode(F.expr(pairs)).alias("key"), F.col("doc_id").alias("doc"))
 
 
-def tasks_for(rows: int, per_task: int = 500_000) -> int:
-    """Tasks that put out about ``per_task`` rows each."""
-    return max(1, -(-rows // per_task))
-
-
 def compare(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """``a, b, linked, size_a, size_b, apart`` for pairs ``(a, b)``, from whole texts: are the shingle sets similar
     (``100 * intersection >= percent * union``), their sizes, and the shingles that only one of them has."""
@@ -134,7 +131,7 @@ def compare(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> Data
                  pa.array([y for _, y in sizes], pa.int64()), lists], names=["a", "b", "linked", "size_a", "size_b", "apart"])
 
     kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("a", "b"))
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, f"{kinds}, linked boolean, size_a bigint, size_b bigint, apart array<bigint>")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(releasing(run), f"{kinds}, linked boolean, size_a bigint, size_b bigint, apart array<bigint>")
 
 
 def _one_set(data: np.ndarray, offsets: np.ndarray, k: int, width: int) -> np.ndarray:
@@ -198,7 +195,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, halves:
     reps = marked.join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).filter("doc_id = rep").select("doc_id", "lefts", "rights")
 
     # A row becomes halves**2 rows: the number of tasks follows what they put out, which adaptive execution cannot see.
-    keys = table_keys(reps.repartition(tasks_for(n_classes * halves * halves), "doc_id"))
+    keys = table_keys(reps.repartition(tasks_for(n_classes * halves * halves, TASK_ROWS), "doc_id"))
     shared = keys.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).filter("hub < last").select("key", "hub")
     pairs = keys.join(shared, "key").filter("doc != hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
     compared, _ = scratch.save(compare(pairs, docs, percent, width), "compared")

@@ -35,9 +35,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from symlake.llm.arrays import mix, slices, utf8
 from symlake.llm.bpe import SLICE_BYTES, Vocabulary
-from symlake.llm.session import Scratch, prepare
+from symlake.llm.session import TASK_BYTES, Scratch, prepare, tasks_for
 
 U = np.uint64
+#: Beyond so many shards a task writes several neighbouring ones.
+MOST_TASKS = 10_000
 
 
 @dataclass(frozen=True)
@@ -166,7 +168,11 @@ def write(docs: DataFrame, vocabulary: Vocabulary, key: int, length: int = 1024,
         return pd.Series(order.slots(part.map(before).to_numpy(np.int64) + number.to_numpy(np.int64)))
 
     placed = sequences.withColumn("slot", slot_of("part", "number"))
-    rows = placed.select("slot", F.floor(F.col("slot") / per_shard).alias("shard"), "ids").repartitionByRange("shard").sortWithinPartitions("slot")
+    # The ranges are known, so no sample of the rows is needed: the shard number is the partition.
+    n_shards = tasks_for(total, per_shard)
+    tasks = min(n_shards, MOST_TASKS)
+    rows = placed.select("slot", F.floor(F.col("slot") / per_shard).alias("shard"), "ids").repartitionById(
+        tasks, F.floor(F.col("shard") * tasks / n_shards).cast("int")).sortWithinPartitions("slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(folder)
@@ -198,7 +204,9 @@ def read(manifest: DataFrame, chunk: int = 1024) -> DataFrame:
     """``slot, ids`` of all shards, each read from its start in ranges of ``chunk`` rows."""
     prepare(manifest)
     starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_rows") - 1, F.lit(chunk).cast("bigint")))
-    ranges = manifest.select("folder", "file", "length", F.col("first_slot"), starts.alias("row"), "n_rows").repartition("file", "row")
+    wanted = manifest.agg(F.sum(F.col("n_rows") * F.col("length") * 2)).first()[0] or 0
+    ranges = manifest.select("folder", "file", "length", F.col("first_slot"), starts.alias("row"), "n_rows").repartition(
+        tasks_for(wanted, TASK_BYTES), "file", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

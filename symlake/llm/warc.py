@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symlake.llm.session import Scratch, prepare
+from symlake.llm.session import TASK_BYTES, Scratch, prepare, tasks_for
 
 DIRECTORY = ("first_key string, last_key string, n bigint, index_file string, index_offset bigint, index_length bigint, "
              "archive string, archive_offset bigint, archive_length bigint")
@@ -168,7 +168,9 @@ def read(directory: DataFrame, with_payload: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types[:6 + with_payload])],
                                                  names=[c.split()[0] for c in columns.split(", ")])
 
-    return directory.repartition("index_file", "index_offset").mapInArrow(run, columns)
+    # The directory is tiny, what is read through it is not: the number of tasks follows the archive bytes.
+    wanted = directory.agg(F.sum("archive_length")).first()[0] or 0
+    return directory.repartition(tasks_for(wanted, TASK_BYTES), "index_file", "index_offset").mapInArrow(run, columns)
 
 
 def lookup(directory: DataFrame, keys: list[str]) -> list[dict]:
