@@ -18,6 +18,7 @@ from symlake.functions.descriptors import descriptors_match
 from symlake.functions.locators import build_locator, parse_fragment
 from symlake.functions.names import simple_name
 from symlake.functions.patterns import scope_match
+from symlake.session import Scratch
 
 
 def resolve(refs: DataFrame, decls: DataFrame, key: str = "key") -> DataFrame:
@@ -137,21 +138,89 @@ def meets(ref_desc: str, decl_desc: str) -> Column:
     return F.when(F.col("_meet").startswith(_SAME), True).otherwise(descriptors_match(ref_desc, decl_desc))
 
 
-def descriptor_join(refs: DataFrame, decls: DataFrame, keys: list[str], ref_desc: str, decl_desc: str,
-                    wild_refs: bool = True, wild_decls: bool = True) -> DataFrame:
-    """Inner join on ``keys`` where the two descriptors match, as one equi-join.
+def _kind(type_name: str, descriptor: str) -> Column:
+    """Kind of a reference or declaration: its type known or not, its descriptor plain, with unknown types, or any."""
+    d = F.coalesce(descriptor, F.lit(""))
+    return F.concat(F.when(F.col(type_name).startswith("*"), "unknown ").otherwise("known "),
+                    F.when(~_wild(d), "plain").when(_any_params(d), "any").otherwise("shaped"))
 
-    Each side is keyed by what it can meet: an exact descriptor meets the same descriptor; one with unknown types
-    meets descriptors of the same shape; "any parameters" meets every method of the name. So a name with very many
-    overloads never pairs all of its references with all of its declarations. Class files hold no wildcards on
-    either side: ``wild_refs=False`` and ``wild_decls=False`` leave out the keys only wildcards use.
+
+_KINDS = [f"{t} {d}" for t in ("known", "unknown") for d in ("plain", "shaped", "any")]
+
+
+def save_with_kinds(scratch: Scratch, df: DataFrame, step: str, type_name: str, descriptor: str) -> tuple[DataFrame, set[str]]:
+    """``df`` written to ``scratch`` and read again, with the kinds of its rows, which are noted on the way."""
+    kind = _kind(type_name, descriptor)
+    saved, _, seen = scratch.save_noting(df, step, {k: F.max(kind == k) for k in _KINDS})
+    return saved, {k for k in _KINDS if seen[k]}
+
+
+def _meeting(ref_kinds: set[str], decl_kinds: set[str], wild_decls: bool) -> list[tuple[str, str]]:
+    """The marks of type and descriptor under which rows of these kinds can meet. Rows of two kinds meet under one pair
+    of marks only, so no pair of rows is found twice."""
+    out = set()
+    for rt, rd in (k.split() for k in ref_kinds):
+        for dt, dd in (k.split() for k in decl_kinds):
+            t = _BY_DECL if wild_decls and dt == "unknown" else _FULL if rt == "known" else _BY_REF
+            if rd == "any":
+                d = _ANY_METHOD
+            elif dd == "plain":
+                d = _SAME if rd == "plain" else _SHAPE
+            else:
+                d = _WILD_SHAPE if dd == "shaped" else _ANY_DECL
+            if wild_decls or d not in (_WILD_SHAPE, _ANY_DECL):
+                out.add((t, d))
+    return sorted(out)
+
+
+_FULL, _BY_REF, _BY_DECL = "=", "*", "~"
+
+
+def wildcard_join(refs: DataFrame, decls: DataFrame, ref_kinds: set[str], decl_kinds: set[str], ref_type: str, decl_type: str,
+                  ref_name: str, decl_name: str, ref_desc: str, decl_desc: str, wild_decls: bool = True) -> DataFrame:
+    """Inner join where type, name and descriptor match, wildcards on both sides, as one equi-join.
+
+    A full name meets the same full name, an unknown reference every full name with its simple name, and a declaration
+    without its package (``*/T``) whatever has its simple name. An exact descriptor meets the same descriptor, one with
+    unknown types those of its shape, "any parameters" every method of the name. Each row is keyed by what it can meet
+    among the kinds the other side holds, so marks that nothing answers to are never shuffled. The key is a hash;
+    type, name and descriptor are compared afterwards.
     """
-    left = meet_refs(refs, ref_desc, wild_refs, wild_decls)
-    right = meet_decls(decls, decl_desc, wild_refs, wild_decls)
-    both = left.join(right, [*keys, "_meet"])
-    if wild_refs or wild_decls:
-        both = both.filter(meets(ref_desc, decl_desc))
-    return both.drop("_meet")
+    marks = _meeting(ref_kinds, decl_kinds, wild_decls)
+    empty = F.lit("")
+
+    def keyed(df: DataFrame, name: str, types: dict, descs: dict) -> DataFrame:
+        keys = []
+        for t, d in marks:
+            (t_if, t_key), (d_if, d_key) = types[t], descs[d]
+            keys.append(F.when(t_if & d_if, F.struct(F.lit(t + d).alias("mark"), F.xxhash64(t_key, F.col(name), d_key).alias("key"))))
+        none = F.struct(F.lit("").alias("mark"), F.lit(0).cast("bigint").alias("key"))
+        found = _present(*keys) if keys else F.explode(F.filter(F.array(none), lambda k: F.lit(False)))
+        return df.select("*", found.alias("_m")).select(*df.columns, F.col("_m.mark").alias("_mark"), F.col("_m.key").alias("_key"))
+
+    rt, rd, dt, dd = F.col(ref_type), F.col(ref_desc), F.col(decl_type), F.col(decl_desc)
+    always, unknown_ref = F.lit(True), rt.startswith("*")
+    full_decl = ~dt.startswith("*") if wild_decls else dt.isNotNull()
+    left = keyed(refs, ref_name, {
+        _FULL: (~unknown_ref, rt), _BY_REF: (unknown_ref, simple_name(ref_type)), _BY_DECL: (always, simple_name(ref_type))}, {
+        _SAME: (~_wild(rd), rd), _SHAPE: (_wild(rd) & ~_any_params(rd), _shape(rd)), _ANY_METHOD: (_any_params(rd), empty),
+        _WILD_SHAPE: (~_any_params(rd), _shape(rd)), _ANY_DECL: (~_any_params(rd) & rd.startswith("("), empty)})
+    right = keyed(decls, decl_name, {
+        _FULL: (full_decl, dt), _BY_REF: (full_decl, simple_name(decl_type)), _BY_DECL: (dt.startswith("*"), simple_name(decl_type))}, {
+        _SAME: (~_wild(dd), dd), _SHAPE: (~_wild(dd), _shape(dd)), _ANY_METHOD: (dd.startswith("("), empty),
+        _WILD_SHAPE: (_wild(dd) & ~_any_params(dd), _shape(dd)), _ANY_DECL: (_any_params(dd), empty)})
+    met = F.substring("_mark", 2, 2)
+    same_desc = F.when(met == _SAME, rd == dd)
+    if any(d in (_SHAPE, _WILD_SHAPE) for _, d in marks):
+        same_desc = same_desc.when(met.isin(_SHAPE, _WILD_SHAPE), descriptors_match(ref_desc, decl_desc))
+    same_type = F.when(F.col("_mark").startswith(_FULL), rt == dt)
+    if any(t != _FULL for t, _ in marks):
+        loose = scope_match(rt, decl_type)
+        if wild_decls:
+            loose = loose | (dt.startswith("*") & scope_match(dt, ref_type))
+        same_type = same_type.otherwise(loose)
+    return left.join(right, ["_mark", "_key"]).filter(
+        (F.col(ref_name) == F.col(decl_name)) & same_type & same_desc.otherwise(True)).drop("_mark", "_key")
 
 
 def member_match(refs: DataFrame, members: DataFrame, wild_refs: bool = True, wild_decls: bool = True) -> DataFrame:
@@ -165,19 +234,17 @@ def member_match(refs: DataFrame, members: DataFrame, wild_refs: bool = True, wi
     have = members.select(F.col("type_name").alias("found_type"), "name",
                           F.col("descriptor").alias("found_descriptor")).distinct()
     if not wild_refs:
-        left, right = wanted.withColumn("_type", F.col("type_name")), have.withColumn("_type", F.col("found_type"))
-        return descriptor_join(left, right, ["_type", "name"], "descriptor", "found_descriptor", wild_refs,
-                               wild_decls).select("type_name", "name", "descriptor", "found_type", "found_descriptor")
-    # Known types meet on the full name, unknown ones on the simple name behind a mark of their own.
-    unknown = F.col("type_name").startswith("*")
-    loose = lambda c: F.concat(F.lit("*/"), simple_name(c))
-    left = wanted.withColumn("_type", F.coalesce(F.when(unknown, loose("type_name")).otherwise(F.col("type_name")), F.lit("")))
-    right = have.select("*", F.explode(F.array("found_type", loose("found_type"))).alias("_type"))
-    return (
-        descriptor_join(left, right, ["_type", "name"], "descriptor", "found_descriptor", wild_refs, wild_decls)
-        .filter(F.when(unknown, scope_match(F.col("type_name"), "found_type")).otherwise(True))
-        .select("type_name", "name", "descriptor", "found_type", "found_descriptor")
-    )
+        left = meet_refs(wanted.withColumn("_type", F.col("type_name")), "descriptor", wild_refs, wild_decls)
+        right = meet_decls(have.withColumn("_type", F.col("found_type")), "found_descriptor", wild_refs, wild_decls)
+        both = left.join(right, ["_type", "name", "_meet"])
+        if wild_decls:
+            both = both.filter(meets("descriptor", "found_descriptor"))
+        return both.select("type_name", "name", "descriptor", "found_type", "found_descriptor")
+    scratch = Scratch(refs.sparkSession, "member-match")
+    wanted, ref_kinds = save_with_kinds(scratch, wanted.withColumn("_type", F.coalesce("type_name", F.lit(""))), "refs", "_type", "descriptor")
+    have, decl_kinds = save_with_kinds(scratch, have.withColumnRenamed("name", "_name"), "declared", "found_type", "found_descriptor")
+    return wildcard_join(wanted, have, ref_kinds, decl_kinds, "_type", "found_type", "name", "_name", "descriptor", "found_descriptor",
+                         wild_decls).select("type_name", "name", "descriptor", "found_type", "found_descriptor")
 
 
 def match_fragment(declarations: DataFrame, fragments: DataFrame, wild_decls: bool = True) -> DataFrame:
@@ -186,42 +253,32 @@ def match_fragment(declarations: DataFrame, fragments: DataFrame, wild_decls: bo
     A bare type finds type declarations, ``*/T`` in any package; members compare descriptors with wildcards; a
     static initializer that is not declared falls back to its type.
     """
-    unknown = lambda c: F.col(c).startswith("*")
     # A bare type is a member without name and descriptor, so one join serves types, fields and methods.
     none = F.lit("")
+    scratch = Scratch(declarations.sparkSession, "fragments")
     f = fragments.select("fragment").distinct().withColumn("f", parse_fragment("fragment"))
     f = f.filter(F.col("f.type").isNotNull()).select(
-        "fragment", F.col("f.type").alias("f_type"), F.coalesce("f.name", none).alias("_name"),
+        "fragment", F.col("f.type").alias("f_type"), F.coalesce("f.name", none).alias("f_name"),
         F.coalesce("f.descriptor", none).alias("f_desc"))
-    # Marks: a full name meets the same full name, an unknown reference every full name with its simple name, and a
-    # declaration written without its package (*/T) whatever has its simple name. Each pair meets under one mark only,
-    # and full names never meet by their simple name.
-    exact, by_ref, by_decl = (lambda c: F.concat(F.lit("="), c)), (lambda c: F.concat(F.lit("*"), simple_name(c))), (lambda c: F.concat(F.lit("~"), simple_name(c)))
-    keys = [F.when(unknown("f_type"), by_ref("f_type")).otherwise(exact(F.col("f_type")))]
-    if wild_decls:
-        keys.append(by_decl("f_type"))
-    f = f.withColumn("_type", F.explode(F.array(*keys)))
-    marks = F.array(exact(F.col("type_name")), by_ref("type_name"))
-    if wild_decls:
-        marks = F.when(unknown("type_name"), F.array(by_decl("type_name"))).otherwise(marks)
+    f, ref_kinds = save_with_kinds(scratch, f, "fragments", "f_type", "f_desc")
+    columns = ["type_name", "name", "descriptor", "start", "end"]
+    d, decl_kinds = save_with_kinds(scratch, declarations.select(
+        *columns, F.coalesce("name", none).alias("_name"), F.when(F.col("name").isNull(), none).otherwise(F.coalesce("descriptor", none)).alias("_desc")),
+        "declarations", "type_name", "_desc")
+
+    def found(refs: DataFrame, decls: DataFrame) -> DataFrame:
+        return wildcard_join(refs, decls, ref_kinds, decl_kinds, "f_type", "type_name", "f_name", "_name", "f_desc", "_desc", wild_decls)
+
+    # Only initializers are looked at together; everything else stays spread and is not moved again.
+    initializer = "<clinit>"
+    plain = found(f.filter(F.col("f_name") != initializer), d.filter(F.col("_name") != initializer)).select("fragment", *columns)
     # A static initializer that is not declared is found at its type, so types stand in for it.
-    d = declarations.select("type_name", "name", "descriptor", "start", "end", F.explode(F.when(
-        F.col("name").isNull(), F.array(F.struct(none.alias("n"), none.alias("d"), F.lit(False).alias("stand_in")),
-                                        F.struct(F.lit("<clinit>").alias("n"), F.lit("()V").alias("d"), F.lit(True).alias("stand_in"))))
-        .otherwise(F.array(F.struct(F.col("name").alias("n"), F.coalesce("descriptor", none).alias("d"), F.lit(False).alias("stand_in"))))).alias("w"))
-    d = d.select("type_name", "name", "descriptor", "start", "end", F.col("w.n").alias("_name"), F.col("w.d").alias("_desc"),
-                 F.col("w.stand_in").alias("_stand_in"), F.explode(marks).alias("_type"))
-    same_type = scope_match(F.col("f_type"), "type_name")
-    if wild_decls:
-        same_type = same_type | (unknown("type_name") & scope_match(F.col("type_name"), "f_type"))
-    own = F.col("type_name") == F.col("f_type")
-    found = descriptor_join(f, d, ["_type", "_name"], "f_desc", "_desc", True, wild_decls).filter(
-        same_type & (~F.col("_stand_in") | (own & (F.col("f_desc") == "()V"))))
-    # Only initializers are looked at together; everything else stays spread.
-    lone = F.when(F.col("_name") != "<clinit>", F.xxhash64("type_name", "descriptor"))
-    declared = F.max(own & ~F.col("_stand_in")).over(W.partitionBy("fragment", lone))
-    return found.withColumn("_declared", declared).filter(~F.col("_stand_in") | ~F.col("_declared")).select(
-        "fragment", "type_name", "name", "descriptor", "start", "end")
+    asked = f.filter(F.col("f_name") == initializer)
+    own = found(asked, d.filter(F.col("_name") == initializer)).select("fragment", *columns, (F.col("type_name") == F.col("f_type")).alias("_own"))
+    stand_in = asked.filter(F.col("f_desc") == "()V").join(
+        d.filter(F.col("name").isNull()).select(*columns), F.col("f_type") == F.col("type_name")).join(
+        own.filter("_own").select("fragment").distinct(), "fragment", "left_anti")
+    return plain.unionByName(own.select("fragment", *columns)).unionByName(stand_in.select("fragment", *columns))
 
 
 def core_types(types: DataFrame, package: str = "java/lang") -> DataFrame:

@@ -9,7 +9,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _local_dirs: list[str] = []
@@ -79,10 +79,15 @@ class Scratch:
 
     def save(self, df: DataFrame, step: str) -> tuple[DataFrame, int]:
         """Write ``df`` and return it re-read, with its row count taken on the way."""
+        saved, n, _ = self.save_noting(df, step, {})
+        return saved, n
+
+    def save_noting(self, df: DataFrame, step: str, notes: dict[str, Column]) -> tuple[DataFrame, int, dict]:
+        """As ``save``, with the values of the aggregates ``notes``, also taken on the way."""
         seen = Observation()
         self._schemas[step] = df.schema
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(self.path(step))
-        return self.spark.read.schema(df.schema).parquet(self.path(step)), seen.get["n"]
+        df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in notes.items()]).write.mode("overwrite").parquet(self.path(step))
+        return self.spark.read.schema(df.schema).parquet(self.path(step)), seen.get["n"], seen.get
 
     def read(self, *steps: str) -> DataFrame:
         """Several steps of one schema as a single scan."""

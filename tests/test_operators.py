@@ -385,3 +385,17 @@ def test_scratch_folders_can_be_dropped(spark, tmp_path, monkeypatch):
     session.Scratch(spark, "never-used")
     assert len(list((tmp_path / "symlake").iterdir())) == 1
     assert session.drop_scratch(spark) == 1 and list((tmp_path / "symlake").iterdir()) == []
+
+
+def test_only_marks_that_the_other_side_answers_are_joined(spark):
+    decls = spark.createDataFrame([("p/A", "run", "(I)V"), ("p/A", "go", "(J)V"), ("q/A", "run", "(I)V")], "type_name string, name string, descriptor string")
+    refs = decls.limit(0).unionByName(spark.createDataFrame(
+        [("p/A", "run", "(I)V"), ("*/A", "run", "(*)?"), ("p/A", "go", "(?)V"), ("p/A", "go", "(I)V")], "type_name string, name string, descriptor string"))
+    got = {tuple(r) for r in resolve.member_match(refs, decls, wild_decls=False).collect()}
+    assert got == {("p/A", "run", "(I)V", "p/A", "(I)V"), ("*/A", "run", "(*)?", "p/A", "(I)V"), ("*/A", "run", "(*)?", "q/A", "(I)V"),
+                   ("p/A", "go", "(?)V", "p/A", "(J)V")}
+    # Exact on both sides: one pair of marks, so one row of each side is joined.
+    assert resolve._meeting({"known plain"}, {"known plain"}, True) == [("=", "=")]
+    both = decls.selectExpr("type_name", "name", "descriptor", "0 AS start", "1 AS `end`")
+    exact = resolve.match_fragment(both, decls.selectExpr("concat(type_name, '-', name, '-', descriptor) AS fragment"))
+    assert exact.count() == 3
