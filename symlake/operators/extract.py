@@ -208,8 +208,14 @@ def path_values(text: Column, paths: list[str]) -> Column:
     return F.when(is_root & parsed.isNotNull(), clean).otherwise(F.array().cast("array<string>"))
 
 
+def spread(entries: DataFrame) -> DataFrame:
+    """``entries`` in as many tasks as keep all cores busy: parsing costs far more than the few bytes that make a scan
+    task, and adaptive execution keeps an explicit number."""
+    return entries.repartition(4 * entries.sparkSession.sparkContext.defaultParallelism)
+
+
 def path_type_refs(entries: DataFrame, paths: list[str], text: str = "text") -> DataFrame:
-    return posts(entries, (m.TYPE_REFERENCES,
+    return posts(spread(entries.select("container", "entry_path", text)), (m.TYPE_REFERENCES,
                            F.transform(path_values(F.col(text), paths), lambda s: F.translate(s, ".", "/"))))
 
 
@@ -231,7 +237,7 @@ def join_paths(refs: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def web_file_refs(entries: DataFrame, all_entries: DataFrame, text: str = "text") -> DataFrame:
-    refs = entries.select("container", "entry_path",
+    refs = spread(entries.select("container", "entry_path", text)).select("container", "entry_path",
                           F.explode(F.array_distinct(path_values(F.col(text), WEB_FILE_PATHS))).alias("ref"))
     return join_paths(refs.filter(F.col("ref") != ""), all_entries)
 
