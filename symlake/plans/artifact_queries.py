@@ -7,6 +7,7 @@ import io
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from symlake import model as m
@@ -28,20 +29,27 @@ def _zip(members: dict[str, bytes]) -> bytes:
     return out.getvalue()
 
 
+#: Pages packed at a time.
+PACKED = 256
+
+
 def _pack_pages(batches):
-    for b in batches:
-        rows = []
-        for page_id, html in zip(b["page_id"], b["html"]):
-            inner = _zip({f"doc/p{page_id}.txt": str(page_id).encode()})
-            name = f"file:/pages/{page_id}.war"
-            rows.append((name, name, 0, _zip({"WEB-INF/web.xml": b"<web-app/>", "index.html": html.encode("utf-8"),
-                                              "WEB-INF/lib/in.jar": inner})))
-        yield pd.DataFrame(rows, columns=["container", "root_container", "depth", "content"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, PACKED):
+            rows = []
+            for page in whole.slice(at, PACKED).to_pylist():
+                page_id, html = page["page_id"], page["html"]
+                inner = _zip({f"doc/p{page_id}.txt": str(page_id).encode()})
+                name = f"file:/pages/{page_id}.war"
+                rows.append({"container": name, "root_container": name, "depth": 0, "content": _zip({
+                    "WEB-INF/web.xml": b"<web-app/>", "index.html": html.encode("utf-8"), "WEB-INF/lib/in.jar": inner})})
+            kinds = [("container", pa.string()), ("root_container", pa.string()), ("depth", pa.int32()), ("content", pa.binary())]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
 
 
 def _page_archives(spark, sf):
     ship_package(spark)
-    return expand_archives(table(spark, sf, "pages").select("page_id", "html").mapInPandas(_pack_pages, _FILE_SCHEMA))
+    return expand_archives(table(spark, sf, "pages").select("page_id", "html").mapInArrow(_pack_pages, _FILE_SCHEMA))
 
 
 @query("src_archive", """

@@ -18,7 +18,6 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +29,7 @@ from symlake.session import ship_package
 # File extensions opened as archives.
 ARCHIVE_EXTENSIONS = ["zip", "jar", "war", "ear", "aar", "kar", "jmod"]
 
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 #: What one binary value can hold; larger files and members keep a row with the reason.
 LARGEST_VALUE = (1 << 31) - 1
 DEFAULT_DEPTH = 15
@@ -110,19 +109,20 @@ COLUMNS = ["container", "root_container", "container_type", "entry_path", "paren
 
 
 def _expander(max_depth: int, limit: int):
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
-            for container, root, data, depth in zip(
-                    batch["container"], batch["root_container"], batch["content"], batch["depth"]):
-                for row in _members(container, root, bytes(data), int(depth), max_depth, limit):
+            for i in range(batch.num_rows):
+                # One archive at a time becomes a Python value.
+                file = batch.slice(i, 1).to_pylist()[0]
+                for row in _members(file["container"], file["root_container"], file["content"], file["depth"], max_depth, limit):
                     rows.append(row)
                     size += len(row["content"] or b"") + 256
                     if size > BATCH_BYTES:
-                        yield pd.DataFrame(rows, columns=COLUMNS)
+                        yield _batch(rows)
                         rows, size = [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=COLUMNS)
+                yield _batch(rows)
 
     return expand
 
@@ -131,7 +131,7 @@ def expand_archives(files: DataFrame, max_depth: int = DEFAULT_DEPTH,
                     max_member_bytes: int = LARGEST_VALUE) -> DataFrame:
     """Entries of ``files(container, root_container, depth, content)`` and of archives nested inside them."""
     ship_package(files.sparkSession)
-    return files.select("container", "root_container", "depth", "content").mapInPandas(
+    return files.select("container", "root_container", "depth", "content").mapInArrow(
         _expander(max_depth, max_member_bytes), model.ENTRIES)
 
 

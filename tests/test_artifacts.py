@@ -342,3 +342,32 @@ def test_index_job_and_search_flow(entries, symbols, spark):
     shown = {r["entry_path"] for r in tree.filter("NOT is_dir").collect()}
     assert shown and all(p.startswith("a/Outer") for p in shown if p.endswith(".class"))
     assert counts.filter("container IS NULL").first()["n_matches"] >= 1
+
+
+def test_symbols_are_stored_without_sorting_them_and_parsed_in_tasks_cut_by_bytes(spark, tmp_path):
+    from symlake.sources.classfile import class_symbols, ingest_classes
+
+    data = ClassBuilder("a/B").build()
+    entries = spark.createDataFrame([("c", "a/B.class", False, bytearray(data))], "container string, entry_path string, is_dir boolean, content binary")
+    assert "RebalancePartitions" in class_symbols(entries)._jdf.queryExecution().optimizedPlan().toString()
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    assert ingest_classes(entries, str(tmp_path / "s"))["types"].first()["type_name"] == "a/B"
+    assert spark.conf.get(key) == before
+
+
+def test_archives_are_packed_and_opened_a_few_at_a_time():
+    import pyarrow as pa
+
+    from symlake.plans import artifact_queries as A
+
+    pages = pa.RecordBatch.from_pydict({"page_id": list(range(600)), "html": ["<p>"] * 600})
+    packed = list(A._pack_pages([pages]))
+    assert [b.num_rows for b in packed] == [256, 256, 88]
+
+
+def test_descriptors_are_parsed_by_all_cores(spark):
+    from symlake.operators.extract import web_type_refs
+
+    rows = spark.createDataFrame([("c", "web.xml", "<web-app/>")], "container string, entry_path string, text string").coalesce(1)
+    assert web_type_refs(rows).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
