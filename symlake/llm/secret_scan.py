@@ -3,8 +3,8 @@
 Candidates are the rule matches and all long runs of token characters with a digit (or long mixed-case ones). Each is
 read with ``CONTEXT`` characters on both sides, a long one in overlapping windows and piece by piece, so that every
 character is read; its probability is the largest of them. The network (one convolution over characters, maximum over places, one
-output) is trained in numpy on labelled findings: rule matches (secrets) and look-alikes of a known form of a bounded
-sample of documents, plus generated secrets and look-alikes with known labels. A candidate that neither a rule nor such
+output) is trained in numpy on labelled findings: rule matches (secrets) and look-alikes of a known form of all
+documents, plus generated secrets and look-alikes with known labels. A candidate that neither a rule nor such
 a form covers has no label and teaches nothing: it is what the network is asked about. A held-out part calibrates its
 output to probabilities (Platt) and sets, per shape of candidate, the highest threshold that keeps the wanted recall, one half at least.
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symlake.llm.arrays import pieces, releasing
-from symlake.llm.session import prepare
+from symlake.llm.session import Scratch, prepare, tasks_for
 
 #: Rules (fixed patterns). Letters of the first one in either case, ASCII only.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -300,13 +300,11 @@ def generated_findings(n: int, rng: np.random.Generator) -> tuple[np.ndarray, np
     return np.array(x), np.array(y, np.float64)
 
 
-def train(docs: DataFrame, sample_docs: int = 20_000, findings: int = 3000, generated: int = 2000, recall: float = 0.98, seed: int = 5) -> SecretModel:
-    """Fit on at most ``findings`` distinct labelled findings of each label, taken from about ``sample_docs`` documents,
-    and ``generated`` made-up ones. Candidates without a label stay out."""
-    n = docs.count()
+def train(docs: DataFrame, findings: int = 3000, generated: int = 2000, recall: float = 0.98, seed: int = 5) -> SecretModel:
+    """Fit on all distinct labelled findings of all documents and ``generated`` made-up ones. Candidates without a label
+    stay out. Up to ``findings`` of each label are fitted in one place; where there are more, that fit is only the start,
+    tasks go on from it over all findings (``fit_on_all``), and those held out of all calibrate and set the thresholds."""
     texts = docs.select("text").filter(F.col("text").isNotNull())
-    if n > sample_docs:
-        texts = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(1_000_003 * sample_docs / n))
     prepare(docs)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,11 +320,16 @@ def train(docs: DataFrame, sample_docs: int = 20_000, findings: int = 3000, gene
                                              names=["label", "seen"])
 
     # Copies of a window count once; one that a rule covers anywhere is a secret.
-    seen = texts.mapInArrow(releasing(label), "label int, seen binary").groupBy("seen").agg(F.max("label").alias("label"))
+    seen, n, notes = Scratch(docs.sparkSession, "findings").save_noting(
+        texts.mapInArrow(releasing(label), "label int, seen binary").groupBy("seen").agg(F.max("label").alias("label")), "seen", {"secrets": F.sum("label")})
+    secrets = notes["secrets"] or 0
+    many = secrets > findings or n - secrets > findings
+    apart = F.pmod(F.xxhash64("seen", F.lit(seed)), F.lit(4)) == 0
+    learned = seen.filter(~apart) if many else seen
     rng = np.random.default_rng(seed)
     x, y = generated_findings(generated, rng)
     for value in (1, 0):
-        rows = seen.filter(F.col("label") == value).orderBy(F.xxhash64("seen"), "seen").limit(findings).select("seen").toArrow()["seen"].to_pylist()
+        rows = learned.filter(F.col("label") == value).orderBy(F.xxhash64("seen"), "seen").limit(findings).select("seen").toArrow()["seen"].to_pylist()
         if rows:
             x = np.concatenate([x, np.array([np.frombuffer(r, np.uint8) for r in rows], np.int64)])
             y = np.concatenate([y, np.full(len(rows), float(value))])
@@ -337,37 +340,111 @@ def train(docs: DataFrame, sample_docs: int = 20_000, findings: int = 3000, gene
     network = CharacterNetwork.fresh(5, 24, rng)
     held = len(x) // 4
     network.train(x[held:], y[held:], rng)
-    slope, offset = platt(network.logits(x[:held]), y[:held])
-    model = SecretModel(network, slope, offset, (0.5,) * len(SHAPES))
-    p = model.probabilities(x[:held])
-    inside = [bytes((r[(r >= 128)] - 128).astype(np.uint8)).decode("ascii") for r in x[:held]]
+    inside = [body_of(r) for r in x[:held]]
+    logits, labels, weights = network.logits(x[:held]), y[:held], np.ones(held)
     shapes = np.array([shape(b) for b in inside])
-    whole = threshold(p, y[:held], recall)
-    limits = [threshold(p[shapes == s], y[:held][shapes == s], recall) if ((shapes == s) & (y[:held] == 1)).sum() >= 20 else whole for s in range(len(SHAPES))]
+    if many:
+        made = generated_findings(generated, np.random.default_rng(seed + 1))
+        network = fit_on_all(learned, network, tasks_for(n, FITTED), made, seed)
+        # Of the windows fitted in one place none is held out here: they were chosen among those that are learned.
+        logits, labels, weights, shapes = held_out(seen.filter(apart), network)
+    slope, offset = platt(logits, labels, weights)
+    model = SecretModel(network, slope, offset, (0.5,) * len(SHAPES))
+    p = 1 / (1 + np.exp(-np.clip(slope * logits + offset, -50, 50)))
+    whole = threshold(p, labels, recall, weights)
+    limits = []
+    for s in range(len(SHAPES)):
+        own = shapes == s
+        enough = weights[own & (labels == 1)].sum() >= 20
+        limits.append(threshold(p[own], labels[own], recall, weights[own]) if enough else whole)
     model.thresholds = tuple(limits)
     return model
 
 
-def platt(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+#: Findings that one task fits, and how often all of them are gone through and their networks averaged.
+FITTED, ROUNDS = 20_000, 2
+
+
+def body_of(x: np.ndarray) -> str:
+    """The characters of the candidate in a window."""
+    return bytes((x[x >= 128] - 128).astype(np.uint8)).decode("ascii")
+
+
+def _windows(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), LENGTH).astype(np.int64)
+
+
+def fit_on_all(seen: DataFrame, network: CharacterNetwork, tasks: int, made: tuple[np.ndarray, np.ndarray], seed: int) -> CharacterNetwork:
+    """``network`` trained on over all rows of ``seen(seen, label)``: each task goes on over its share and the made-up
+    findings, and the networks are averaged by the rows they saw (local gradient descent), ``ROUNDS`` times."""
+    names = ("own", "shared", "bias", "out")
+    dealt = seen.repartition(tasks, "seen").sortWithinPartitions("seen")
+    for turn in range(ROUNDS):
+        shared = seen.sparkSession.sparkContext.broadcast((network, made))
+
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, labels = [], []
+            for batch in batches:
+                held += batch["seen"].to_pylist()
+                labels += batch["label"].to_pylist()
+            if not held:
+                return
+            start, (made_x, made_y) = shared.value
+            net = CharacterNetwork(*[getattr(start, k).copy() for k in names], start.out_bias)
+            net.train(np.concatenate([_windows(held), made_x]), np.concatenate([np.array(labels, np.float64), made_y]),
+                      np.random.default_rng(seed + turn), epochs=2, rate=0.003)
+            flat = np.concatenate([*[getattr(net, k).ravel() for k in names], [net.out_bias]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * len(held)), pa.array(np.full(len(flat), float(len(held))))],
+                                             names=["at", "value", "weight"])
+
+        parts_of = dealt.mapInArrow(releasing(fit), "at int, value double, weight double")
+        flat = parts_of.groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value")).orderBy("at").toArrow()["value"].to_numpy()
+        shared.unpersist()
+        ends = np.cumsum([getattr(network, k).size for k in names])
+        fields = [v.reshape(getattr(network, k).shape) for k, v in zip(names, np.split(flat[:-1], ends[:-1]))]
+        network = CharacterNetwork(*fields, float(flat[-1]))
+    return network
+
+
+def held_out(seen: DataFrame, network: CharacterNetwork) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Logits (to 3 places), labels, numbers and shapes of all rows of ``seen(seen, label)``, equal ones counted together."""
+    shared = seen.sparkSession.sparkContext.broadcast(network)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _windows(batch["seen"].to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(np.round(shared.value.logits(x).astype(np.float64), 3)), batch["label"],
+                                                  pa.array([shape(body_of(r)) for r in x], pa.int32())], names=["logit", "label", "shape"])
+
+    found = seen.select("seen", "label").mapInArrow(releasing(score), "logit double, label int, shape int").groupBy("logit", "label", "shape").count()
+    table = found.orderBy("logit", "label", "shape").toArrow()
+    return tuple(table[c].to_numpy().astype(t) for c, t in (("logit", float), ("label", float), ("count", float), ("shape", int)))
+
+
+def platt(logits: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> tuple[float, float]:
     """Slope and offset that turn logits into probabilities, by Newton steps with a weak prior towards (1, 0)."""
+    n = np.ones(len(y)) if weights is None else weights
     w = np.array([1.0, 0.0])
     x = np.stack([logits, np.ones_like(logits)], axis=1)
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        grad = x.T @ (p - y) + 0.1 * (w - [1.0, 0.0])
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
+        grad = x.T @ (n * (p - y)) + 0.1 * (w - [1.0, 0.0])
+        hess = (x * (n * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
         w = w - np.clip(np.linalg.solve(hess, grad), -1, 1)
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def threshold(p: np.ndarray, y: np.ndarray, recall: float) -> float:
+def threshold(p: np.ndarray, y: np.ndarray, recall: float, weights: np.ndarray | None = None) -> float:
     """A threshold that finds at least ``recall`` of the labelled secrets and lets no look-alike through that a higher
     one of that recall would stop: halfway down to the next look-alike. 0.5 at least: what is less likely than not is
     never added."""
-    good = np.sort(p[y == 1])
+    n = np.ones(len(p)) if weights is None else weights
+    order = np.argsort(p[y == 1], kind="stable")
+    good, number = p[y == 1][order], n[y == 1][order]
     if not len(good):
         return 0.5
-    high = float(good[int((1 - recall) * len(good))])
+    high = float(good[np.searchsorted(np.cumsum(number), int((1 - recall) * number.sum()), side="right")])
     below = p[(y == 0) & (p < high)]
     return max(0.5, (high + float(below.max(initial=0.0))) / 2)
 
