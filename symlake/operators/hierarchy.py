@@ -197,13 +197,19 @@ def first_common_super(pairs: DataFrame, types: DataFrame) -> DataFrame:
     """``pairs(a, b)`` with the nearest shared type of the two superclass chains, themselves included; null where the
     chains share none or a side is null.
 
-    Binary lifting: the jump tables say how deep both sides lie and where their chains end. Chains with different ends
+    Where no chain is longer than ``LINE`` and none leads into a cycle, each type carries its whole chain in numbers and a
+    pair is moved three times: to the chain of either side and to the name of the first number both hold.
+
+    Else binary lifting: the jump tables say how deep both sides lie and where their chains end. Chains with different ends
     share nothing. Otherwise the deeper side is lifted to the depth of the other one, then both climb by falling powers
     of two for as long as they stay apart, and the type above them is the answer: one row per pair and step, no chain is
     ever listed. Only types whose chains lead into a cycle are followed type by type (``_common_on_cycles``)."""
     scratch = Scratch(types.sparkSession, "common")
     edges, _ = scratch.save(superclass_edges(types), "edges")
     ends, tables = jump_tables(edges, scratch)
+    height, loop = ends.agg(F.max("depth"), F.max("cyclic")).first()
+    if not loop and (height or 0) <= LINE:
+        return _common_on_lines(pairs, edges, height or 0, scratch)
 
     def side(c: str) -> DataFrame:
         return ends.select(F.col("src").alias(c), F.col("top").alias(f"{c}_end"), F.col("depth").alias(f"{c}_depth"), F.col("cyclic").alias(f"{c}_loops"))
@@ -239,6 +245,35 @@ def first_common_super(pairs: DataFrame, types: DataFrame) -> DataFrame:
     return pairs.join(best, ["a", "b"], "left")
 
 
+#: Longest chain that a type carries as a list.
+LINE = 64
+
+
+def _common_on_lines(pairs: DataFrame, edges: DataFrame, height: int, scratch: Scratch) -> DataFrame:
+    """``first_common_super`` for chains of at most ``height`` steps without cycles."""
+    edges = _one_parent(edges)
+    names, _ = scratch.save(edges.select(F.explode(F.array("src", "dst")).alias("name")).distinct().withColumn(
+        "id", F.monotonically_increasing_id()), "numbers")
+    number = lambda c: names.select(F.col("name").alias(c), F.col("id").alias(f"{c}_id"))
+    line, _ = scratch.save(edges.join(number("src"), "src").join(number("dst"), "dst").select(
+        F.col("src_id").alias("id"), F.array("dst_id").alias("above")), "line-1")
+    reach = 1
+    while reach < height:
+        up = line.select(F.col("id").alias("via"), F.col("above").alias("more"))
+        more = F.coalesce("more", F.array().cast("array<bigint>"))
+        reach *= 2
+        line, _ = scratch.save(line.join(up, F.element_at("above", -1) == F.col("via"), "left").select(
+            "id", F.concat("above", more).alias("above")), f"line-{reach}")
+    own = F.concat(F.array("id"), F.coalesce("above", F.array().cast("array<bigint>")))
+    lines, _ = scratch.save(names.join(line, "id", "left").select("name", own.alias("line")), "lines")
+    side = lambda c: lines.select(F.col("name").alias(c), F.col("line").alias(f"_{c}"))
+    met = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select(
+        *pairs.columns, F.get(F.array_intersect("_a", "_b"), F.lit(0)).alias("_id"))
+    found = met.join(names.select(F.col("id").alias("_id"), F.col("name").alias("_name")), "_id", "left")
+    return found.select("a", "b", *[c for c in pairs.columns if c not in ("a", "b")],
+                        F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("_name")).alias("common_super"))
+
+
 def _common_on_cycles(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """``a, b, common_super`` where both chains lead into a cycle: the shared type with the fewest steps from ``a``."""
     if pairs.isEmpty():

@@ -47,3 +47,14 @@ def test_many_hits_in_one_text(spark):
     df = spark.range(1).select("id", F.repeat(F.lit("ab "), n).alias("t"))
     got = text.find_text(df, ["id"], "t", "ab").agg(F.count(F.lit(1)), F.sum(F.col("hit_start") - 3 * F.col("hit_no")), F.max("hit_end")).first()
     assert tuple(got) == (n, 0, 3 * n - 1)
+
+
+def test_short_chains_are_met_in_three_moves_and_long_ones_by_lifting(spark, monkeypatch):
+    up = {f"t{i}": f"t{i // 3}" for i in range(1, 200)}
+    types = spark.createDataFrame([("c", t, s, 0) for t, s in up.items()], "container string, type_name string, super_name string, flags int")
+    pairs = spark.createDataFrame([(f"t{i}", f"t{i * 7 % 230}") for i in range(0, 230)] + [("t5", "t5"), ("t5", "t5"), ("x", "x"), (None, "t5")], "a string, b string")
+    short = hierarchy.first_common_super(pairs, types)
+    assert str(short._jdf.queryExecution().analyzed()).count("Join") <= 3
+    monkeypatch.setattr(hierarchy, "LINE", 2)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, short.collect())) == sorted(map(key, hierarchy.first_common_super(pairs, types).collect()))
