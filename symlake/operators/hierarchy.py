@@ -109,6 +109,10 @@ def graph_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return scratch.read(*steps)
 
 
+def _doubled(depth: int) -> bool:
+    return depth & (depth - 1) == 0
+
+
 def outermost(inner_outer: DataFrame) -> DataFrame:
     """``(inner_name, root_name, depth)`` for edges ``(inner_name, outer_name)``; root and depth are null for a name
     whose outer names lead into a cycle."""
@@ -286,6 +290,10 @@ def _common_on_cycles(pairs: DataFrame, edges: DataFrame) -> DataFrame:
         F.min(F.struct("depth", "dst"))["dst"].alias("common_super"))
 
 
+#: Types that are asked as they are, without cutting them to those that still matter.
+FEW = 10_000
+
+
 def resolve_member(refs: DataFrame, members: DataFrame, types: DataFrame, interfaces: DataFrame | None = None,
                    wild_refs: bool = True, wild_decls: bool = True) -> DataFrame:
     """Nearest type at or above ``refs(container, type_name, name, descriptor)`` that declares the member.
@@ -294,69 +302,89 @@ def resolve_member(refs: DataFrame, members: DataFrame, types: DataFrame, interf
     that holds the type is used. Descriptors may hold wildcards on both sides. Result: distinct references with
     ``found_type`` and ``depth``, both null when nothing declares the member. Only superclasses are walked,
     unless ``interfaces(container, type_name, super_name)`` is given.
+
+    References, types and copies of types (spots) are walked as numbers. A step asks types that lie above others by as
+    many steps only, so members, copies and edges are cut to these whenever they have halved.
     """
     scratch = Scratch(refs.sparkSession, "member")
     ident = ["container", "type_name", "name", "descriptor"]
-    wanted, _ = scratch.save(refs.select(*ident).distinct(), "refs")
+    number = F.monotonically_increasing_id()
+    wanted, _ = scratch.save(refs.select(*ident).distinct().withColumn("_ref", number), "refs")
     root_of_interface = has_flag("flags", INTERFACE) & (F.col("super_name") == "java/lang/Object")
     supers = types.select("container", "type_name",
                           F.when(~root_of_interface, F.col("super_name")).alias("super_name"))
     if interfaces is not None:
         supers = supers.unionByName(interfaces.select("container", "type_name", "super_name"))
-    homes, _ = scratch.save(types.groupBy(F.col("type_name").alias("at")).agg(
-        F.min("container").alias("first_home")), "homes")
-    local, _ = scratch.save(types.select("container", F.col("type_name").alias("at"),
-                                         F.lit(True).alias("is_local")).distinct(), "local")
-    declared, _ = scratch.save(meet_decls(members.select(
-        F.col("container").alias("home"), F.col("type_name").alias("at"), "name",
-        F.col("descriptor").alias("declared")).distinct(), "declared", wild_refs, wild_decls), "declared")
-    up, _ = scratch.save(supers.select(
-        F.col("container").alias("home"), F.col("type_name").alias("at"),
-        F.col("super_name").alias("next")).filter(F.col("next").isNotNull()).distinct(), "up")
-
-    # A name that no type declares needs no walk.
-    frontier = wanted.join(declared.select("name").distinct(), "name", "left_semi").withColumn("at", F.col("type_name"))
+    copies = types.select("container", F.col("type_name").alias("at")).dropna().distinct()
+    boxes, _ = scratch.save(copies.select("container").distinct().withColumn("_box", number), "boxes")
+    names, n_types = scratch.save(copies.groupBy("at").agg(F.min("container").alias("first")).withColumn("_type", number), "names")
+    spots, _ = scratch.save(copies.join(names, "at").join(boxes, "container").select(
+        "container", "_box", "at", "_type", (F.col("container") == F.col("first")).alias("is_first")).withColumn("_spot", number), "spots")
+    homes = spots.filter("is_first").select("at", "_type", F.col("_spot").alias("_home"))
+    above = homes.select(F.col("at").alias("super_name"), F.col("_type").alias("_next"), F.col("_home").alias("_next_home"))
+    up, n_up = scratch.save(supers.dropna().join(above, "super_name").withColumnRenamed("type_name", "at").join(
+        spots, ["container", "at"]).select("_spot", "_type", "_next", "_next_home").distinct(), "up")
+    local = spots.select("_box", "_type", "_spot")
+    # One way up from everywhere, as for classes: whoever meets the type marked last goes round a cycle.
+    one_way = n_up == up.select("_spot").distinct().count()
+
+    # What no reference asks for is not looked at, and a member that no type declares needs no walk.
+    filled = wanted.dropna()
+    keys, _ = scratch.save(meet_refs(filled, "descriptor", wild_refs, wild_decls).select("name", "_meet").distinct(), "keys")
+    declared, _ = scratch.save(
+        meet_decls(members.select("container", F.col("type_name").alias("at"), "name", F.col("descriptor").alias("declared")),
+                   "declared", wild_refs, wild_decls)
+        .join(keys, ["name", "_meet"], "left_semi").distinct().join(spots, ["container", "at"])
+        .select("_spot", "_type", "name", "declared", "_meet"), "declared")
+    keys, _ = scratch.save(declared.select("name", "_meet").distinct(), "answers")
+    walked = ["_ref", "_box", "name", "descriptor"]
+    frontier = meet_refs(filled, "descriptor", wild_refs, wild_decls).join(keys, ["name", "_meet"], "left_semi").join(
+        boxes, "container", "left").join(homes, F.col("type_name") == F.col("at")).select(
+        *walked, "_type", "_home", F.lit(None).cast("bigint").alias("_mark"))
+    if wild_decls:
+        frontier = frontier.distinct()
+    reach, kept = names.select("_type"), n_types
     steps: list[str] = []
     seen: list[str] = []
-    join_keys = ["home", "at", "name", "_meet"]
     while True:
         depth = len(seen)
-        if seen:
-            # On a cycle of super types a reference comes back to where it was.
-            frontier = frontier.join(scratch.read(*seen).select(*ident, "at"), [*ident, "at"], "left_anti")
-        placed = (
-            frontier.join(local, ["container", "at"], "left")
-            .join(homes, "at", "left")
-            .withColumn("home", F.when(F.col("is_local"), F.col("container")).otherwise(F.col("first_home")))
-            .filter(F.col("home").isNotNull()).select(*ident, "at", "home")
-        )
-        placed, n = scratch.save(placed, f"at-{depth}")
+        if seen and kept > FEW:
+            reach, n = scratch.save(up.join(reach, "_type", "left_semi").select(F.col("_next").alias("_type")).distinct(), f"reach-{depth}")
+            if 2 * n <= kept:
+                up, local, declared = (scratch.save(t.join(reach, "_type", "left_semi"), f"{c}-{depth}")[0]
+                                       for c, t in (("up", up), ("local", local), ("declared", declared)))
+                kept = n
+        if seen and not one_way and _doubled(depth):
+            # Where ways part, a reference may come back to where it was.
+            frontier = frontier.join(scratch.read(*seen).select("_ref", "_type"), ["_ref", "_type"], "left_anti")
+        placed, n = scratch.save(frontier.join(local, ["_box", "_type"], "left").select(
+            *walked, "_type", F.coalesce("_spot", "_home").alias("_spot"), "_mark"), f"at-{depth}")
         if n == 0:
             break
         seen.append(f"at-{depth}")
         asked = meet_refs(placed, "descriptor", wild_refs, wild_decls).alias("r")
-        same = [F.col(f"r.{k}") == F.col(f"d.{k}") for k in join_keys]
+        same = [F.col(f"r.{k}") == F.col(f"d.{k}") for k in ("_spot", "name", "_meet")]
         if wild_refs or wild_decls:
             same.append(F.when(F.col("r._meet").startswith("="), True).otherwise(
                 descriptors_match("r.descriptor", "d.declared")))
         # A semi join: references that crowd on one member are never multiplied.
-        hits = asked.join(declared.alias("d"), same, "left_semi").select(*[F.col(f"r.{c}").alias(c) for c in (*ident, "at")])
+        hits = asked.join(declared.alias("d"), same, "left_semi").select(F.col("r._ref").alias("_ref"), F.col("r._type").alias("_type"))
         if wild_decls:
             hits = hits.distinct()
         hits, n = scratch.save(hits.withColumn("depth", F.lit(depth)), f"found-{depth}")
         steps.append(f"found-{depth}")
-        rest = placed.join(hits.select(*ident), ident, "left_anti") if n else placed
-        frontier = rest.join(up, ["home", "at"]).select(*ident, F.col("next").alias("at"))
-        if interfaces is not None:
-            frontier = frontier.distinct()
-    found = (
-        scratch.read(*steps).withColumnRenamed("at", "found_type") if steps else
-        wanted.limit(0).select(*ident, F.lit(None).cast("string").alias("found_type"), F.lit(None).cast("int").alias("depth"))
-    )
+        rest = placed.join(hits.select("_ref"), "_ref", "left_anti") if n else placed
+        mark = F.col("_type") if _doubled(depth) else F.col("_mark")
+        frontier = rest.withColumn("_mark", mark if one_way else F.col("_mark")).join(up.drop("_type"), "_spot").select(
+            *walked, F.col("_next").alias("_type"), F.col("_next_home").alias("_home"), "_mark")
+        frontier = frontier.filter(F.col("_type") != F.col("_mark")) if one_way else frontier.distinct()
+    if not steps:
+        return wanted.select(*ident, F.lit(None).cast("string").alias("found_type"), F.lit(None).cast("int").alias("depth"))
     # Several parents, or copies of a type in one container, may find the member more than once.
-    found = found.groupBy(*ident).agg(F.min(F.struct("depth", "found_type")).alias("n")).select(
+    found = scratch.read(*steps).join(names.select("_type", F.col("at").alias("found_type")), "_type").groupBy("_ref").agg(
+        F.min(F.struct("depth", "found_type")).alias("n"))
+    return wanted.join(found, "_ref", "left").select(
         *ident, F.col("n.found_type").alias("found_type"), F.col("n.depth").alias("depth"))
-    return wanted.join(found, ident, "left")
 
 
 def compact_tree(directories: DataFrame, files: DataFrame) -> DataFrame:

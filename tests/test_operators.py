@@ -399,3 +399,29 @@ def test_only_marks_that_the_other_side_answers_are_joined(spark):
     both = decls.selectExpr("type_name", "name", "descriptor", "0 AS start", "1 AS `end`")
     exact = resolve.match_fragment(both, decls.selectExpr("concat(type_name, '-', name, '-', descriptor) AS fragment"))
     assert exact.count() == 3
+
+
+def saved_rows(monkeypatch, run):
+    """What ``run`` writes to scratch folders, as ``step -> rows``, and how often several steps are read back."""
+    from symlake.session import Scratch
+
+    sizes, reads, save, read = {}, [], Scratch.save, Scratch.read
+    monkeypatch.setattr(Scratch, "save", lambda self, df, step: (out := save(self, df, step), sizes.__setitem__(step, out[1]))[0])
+    monkeypatch.setattr(Scratch, "read", lambda self, *steps: (reads.append(steps), read(self, *steps))[1])
+    return run(), sizes, reads
+
+
+def test_members_nobody_asks_for_are_not_walked(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "FEW", 1, raising=False)
+    types = spark.createDataFrame([("c", f"t{i}", f"t{i // 3}" if i else None, 1) for i in range(81)],
+                                  "container string, type_name string, super_name string, flags int")
+    members = spark.createDataFrame([("c", f"t{i}", n, "(I)V") for i in range(81) for n in ("other", "m")] + [("c", "t0", "top", "(I)V")],
+                                    "container string, type_name string, name string, descriptor string").filter("name != 'm' OR type_name != 't80'")
+    refs = spark.createDataFrame([("c", t, n, "(?)V") for t in ("t80", "t7") for n in ("m", "top", "none")],
+                                 "container string, type_name string, name string, descriptor string")
+    got, sizes, _ = saved_rows(monkeypatch, lambda: hierarchy.resolve_member(refs, members, types, wild_decls=False))
+    assert rows(got, "type_name", "name", "found_type", "depth") == [
+        ("t7", "m", "t7", 0), ("t7", "none", None, None), ("t7", "top", "t0", 2),
+        ("t80", "m", "t26", 1), ("t80", "none", None, None), ("t80", "top", "t0", 4)]
+    assert sizes["declared"] == 81  # 80 of m, one of top, under the one mark that is asked for
+    assert sizes["declared-1"] == 28 and sizes["declared-2"] == 10  # types with others below them, and below those
