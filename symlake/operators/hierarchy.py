@@ -88,7 +88,10 @@ def chain_closure(edges: DataFrame) -> DataFrame:
 
 
 def graph_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``(src, dst, depth)`` reachable from ``seeds(node)`` over ``edges(src, dst)``, smallest depth per pair."""
+    """``(src, dst, depth)`` reachable from ``seeds(node)`` over ``edges(src, dst)``, smallest depth per pair.
+
+    Pairs found before are dropped at the levels 2, 4, 8 and so on only, so what was found is read again a few times
+    however deep the graph is; in between a level holds each pair once at most."""
     scratch = Scratch(edges.sparkSession, "graph")
     edges, _ = scratch.save(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct(), "edges")
     hop = edges.select(F.col("src").alias("via"), F.col("dst").alias("next"))
@@ -101,12 +104,12 @@ def graph_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
             frontier.join(hop, frontier["dst"] == hop["via"])
             .select("src", F.col("next").alias("dst")).filter(F.col("src") != F.col("dst")).distinct()
         )
-        if steps:
+        if steps and _doubled(depth):
             step = step.join(scratch.read(*steps).select("src", "dst"), ["src", "dst"], "left_anti")
         level, n = scratch.save(step.withColumn("depth", F.lit(depth)), f"level-{depth}")
         steps.append(f"level-{depth}")
         frontier = level.select("src", "dst")
-    return scratch.read(*steps)
+    return scratch.read(*steps).groupBy("src", "dst").agg(F.min("depth").alias("depth"))
 
 
 def _doubled(depth: int) -> bool:
@@ -188,12 +191,34 @@ def descendants(supertypes: DataFrame, seeds: DataFrame) -> DataFrame:
         F.col("src").alias("type_name"), F.col("dst").alias("descendant"), "depth")
 
 
+#: Types above each ``a`` that walking up is taken to find, when ``instance_of`` chooses its direction.
+ABOVE = 16
+
+
 def instance_of(pairs: DataFrame, supertypes: DataFrame) -> DataFrame:
-    """``pairs(a, b)`` with ``is_instance``: b is a, or lies above a over superclasses and interfaces."""
-    edges = supertypes.select(F.col("type_name").alias("src"), F.col("super_name").alias("dst"))
-    up = graph_closure(edges, pairs.select(F.col("a").alias("node")))
-    hit = up.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(True).alias("above"))
-    return pairs.join(hit, ["a", "b"], "left").select(
+    """``pairs(a, b)`` with ``is_instance``: b is a, or lies above a over superclasses and interfaces.
+
+    Types are walked as numbers: up from every ``a``, or down from every ``b`` where all types below all of them cannot
+    be more than ``ABOVE`` for each ``a``."""
+    scratch = Scratch(pairs.sparkSession, "instance")
+    pairs, _ = scratch.save(pairs.select("a", "b"), "pairs")
+    edges, _ = scratch.save(supertypes.select(F.col("type_name").alias("src"), F.col("super_name").alias("dst")).filter(
+        F.col("src") != F.col("dst")).distinct(), "edges")
+    names, n_types = scratch.save(edges.select(F.explode(F.array("src", "dst")).alias("name")).distinct().withColumn(
+        "id", F.monotonically_increasing_id()), "numbers")
+    number = lambda df, c: df.select(F.col("name").alias(c), F.col("id").alias(f"{c}_id"))
+    up = edges.join(number(names, "src"), "src").join(number(names, "dst"), "dst").select(
+        F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
+    # Of a side with few types only those are joined, so pairs that crowd on them stay where they are.
+    side = lambda c: scratch.save(names.join(pairs.select(F.col(c).alias("name")).distinct(), "name", "left_semi"), c)
+    (a, n_a), (b, n_b) = side("a"), side("b")
+    if n_b * n_types <= ABOVE * n_a:
+        found = graph_closure(up.select(F.col("dst").alias("src"), F.col("src").alias("dst")), b.select(F.col("id").alias("node")))
+        hit = found.select(F.col("src").alias("b_id"), F.col("dst").alias("a_id"), F.lit(True).alias("above"))
+    else:
+        found = graph_closure(up, a.select(F.col("id").alias("node")))
+        hit = found.select(F.col("src").alias("a_id"), F.col("dst").alias("b_id"), F.lit(True).alias("above"))
+    return pairs.join(number(b, "b"), "b", "left").join(number(a, "a"), "a", "left").join(hit, ["a_id", "b_id"], "left").select(
         "a", "b", ((F.col("a") == F.col("b")) | F.coalesce("above", F.lit(False))).alias("is_instance"))
 
 

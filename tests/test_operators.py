@@ -425,3 +425,28 @@ def test_members_nobody_asks_for_are_not_walked(spark, monkeypatch):
         ("t80", "m", "t26", 1), ("t80", "none", None, None), ("t80", "top", "t0", 4)]
     assert sizes["declared"] == 81  # 80 of m, one of top, under the one mark that is asked for
     assert sizes["declared-1"] == 28 and sizes["declared-2"] == 10  # types with others below them, and below those
+
+
+def test_closures_read_what_they_found_a_few_times(spark, monkeypatch):
+    edges, df = deep(spark, 40)
+    seeds = spark.createDataFrame([("n040",), ("x",)], "node string")
+    got, _, reads = saved_rows(monkeypatch, lambda: hierarchy.graph_closure(df, seeds))
+    assert rows(got, "dst", "depth") == sorted([(f"n{40 - d:03d}", d) for d in range(1, 41)] + [("a", 1), ("b", 2), ("c", 3)])
+    assert len(reads) <= 7
+
+
+def test_instances_are_walked_from_the_few(spark, monkeypatch):
+    above = spark.createDataFrame([(f"t{i}", f"t{(i - 1) // 2}") for i in range(1, 255)], "type_name string, super_name string")
+    pairs = spark.createDataFrame([(f"t{i}", b) for i in range(255) for b in ("t1", "t0")] + [("t9", None), (None, "t1"), ("new", "new"), ("new", "t1")], "a string, b string")
+    below = {1}
+    for i in range(2, 255):
+        if (i - 1) // 2 in below:
+            below.add(i)
+    got, sizes, _ = saved_rows(monkeypatch, lambda: hierarchy.instance_of(pairs, above))
+    assert {(r["a"], r["b"]): r["is_instance"] for r in got.collect()} == {
+        **{(f"t{i}", "t0"): True for i in range(255)}, **{(f"t{i}", "t1"): i in below for i in range(255)},
+        ("t9", None): None, (None, "t1"): None, ("new", "new"): True, ("new", "t1"): False}
+    assert sum(n for step, n in sizes.items() if step.startswith("level-")) == 254 + 126
+    # Many on either side: up.
+    got, _, _ = saved_rows(monkeypatch, lambda: hierarchy.instance_of(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")).filter("a IS NOT NULL"), above))
+    assert {(r["a"], r["b"]): r["is_instance"] for r in got.filter("b = 't0'").collect()} == {("t0", "t0"): True, ("t1", "t0"): True}
