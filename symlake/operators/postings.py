@@ -22,25 +22,27 @@ def build_postings(symbols: DataFrame) -> DataFrame:
 def positions(df: DataFrame, groups: list[str], order: list[Column], out: str = "position", distinct: bool = False) -> DataFrame:
     """Row number per group, from 1, for groups of any size.
 
-    Rows are spread by range over (group, order), so a group may span many partitions; a written table fixes that
-    layout, rows are numbered inside each partition and shifted by what the partitions before hold. Equal rows of the
-    order are told apart by a hash of all columns, so numbers are repeatable. ``distinct`` drops repeated rows on the
-    way, for which ``order`` must name all other columns."""
+    Rows are spread by range over (group, order), so a group may span many partitions, sorted there and numbered in that
+    order; a written table fixes the numbers. Less what a group's rows start with in a partition, plus what the
+    partitions before hold of it, they are the positions: the rows are moved and sorted once. Equal rows of the order
+    are told apart by a hash of all columns, so numbers are repeatable. ``distinct`` drops repeated rows on the way, for
+    which ``order`` must name all other columns."""
+    scratch = Scratch(df.sparkSession, "positions")
     tie = [] if distinct else [F.xxhash64(*df.columns)]
     spread = df.repartitionByRange(*groups, *order, *tie)
     if distinct:
         spread = spread.distinct()
-    laid, _ = Scratch(df.sparkSession, "positions").save(spread.withColumn("_part", F.spark_partition_id()), "laid")
+    laid, _ = scratch.save(spread.sortWithinPartitions(*groups, *order, *tie).withColumn("_id", F.monotonically_increasing_id()), "laid")
+    # The partition is in the upper bits.
+    part = F.shiftright("_id", 33)
     named = [F.col(g).alias(f"_g_{g}") for g in groups]
     earlier = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    shift = laid.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_rows")).select(
-        *named, F.col("_part").alias("_at"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_shift"))
-    same = F.col("_part") == F.col("_at")
+    starts, _ = scratch.save(laid.groupBy(*groups, part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_first")).select(
+        *named, F.col("_part").alias("_at"), (F.col("_first") - F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - 1).alias("_start")), "starts")
+    same = part == F.col("_at")
     for g in groups:
         same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    inside = W.partitionBy(*groups, "_part").orderBy(*order, *tie)
-    return laid.withColumn("_rn", F.row_number().over(inside)).join(shift, same).withColumn(
-        out, (F.col("_rn") + F.col("_shift")).cast("int")).select(*df.columns, out)
+    return laid.join(starts, same).withColumn(out, (F.col("_id") - F.col("_start")).cast("int")).select(*df.columns, out)
 
 
 def grouped_lists(pairs: DataFrame, keys: list[str], values: list[str], out: str = "entries",

@@ -450,3 +450,19 @@ def test_instances_are_walked_from_the_few(spark, monkeypatch):
     # Many on either side: up.
     got, _, _ = saved_rows(monkeypatch, lambda: hierarchy.instance_of(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")).filter("a IS NOT NULL"), above))
     assert {(r["a"], r["b"]): r["is_instance"] for r in got.filter("b = 't0'").collect()} == {("t0", "t0"): True, ("t1", "t0"): True}
+
+
+def test_positions_move_rows_once(spark):
+    """Numbers come from the sorted partitions; no window goes over the rows."""
+    data = [(None if i % 7 == 0 else "hot" if i % 3 else f"k{i % 5}", f"v{i % 400:03d}") for i in range(1200)]
+    df = spark.createDataFrame(data, "key string, value string")
+    got = postings.positions(df, ["key"], [F.col("value")])
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for key, value in data:
+        want.setdefault(key, []).append(value)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        ((k, v, i) for k, vs in want.items() for i, v in enumerate(sorted(vs), 1)), key=str)
+    once = postings.positions(df, ["key"], [F.col("value")], distinct=True)
+    assert sorted(map(tuple, once.collect()), key=str) == sorted(
+        ((k, v, i) for k, vs in want.items() for i, v in enumerate(sorted(set(vs)), 1)), key=str)
