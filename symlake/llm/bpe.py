@@ -170,6 +170,7 @@ class Vocabulary:
     _cache: dict[bytes, bytes] = field(default_factory=dict, repr=False)
     _base: dict[bytes, bytes] | None = field(default=None, repr=False)
     _pairs: tuple | None = field(default=None, repr=False)
+    _bytes: np.ndarray | None = field(default=None, repr=False)
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -177,7 +178,7 @@ class Vocabulary:
             return cls({base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())})
 
     def __getstate__(self):
-        return {**self.__dict__, "_cache": {}, "_base": None, "_pairs": None}
+        return {**self.__dict__, "_cache": {}, "_base": None, "_pairs": None, "_bytes": None}
 
     def forget(self) -> None:
         """Give back the memory of what was remembered."""
@@ -213,6 +214,13 @@ class Vocabulary:
             self._pairs = keys, ranks, single
         return self._pairs
 
+    def _byte_pairs(self) -> np.ndarray:
+        """Rank of every pair of bytes, the largest number where it is none."""
+        if self._bytes is None:
+            _, _, single = self._pair_table()
+            self._bytes = self._pair_ranks((single[:, None] << 32 | single).ravel()).reshape(256, 256)
+        return self._bytes
+
     def _pair_ranks(self, key: np.ndarray) -> np.ndarray:
         """Rank of every pair, the largest number where it is none."""
         keys, ranks, _ = self._pair_table()
@@ -230,38 +238,64 @@ class Vocabulary:
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Ids (little-endian, 32 bits each) of every piece, all merged side by side.
 
-        A piece takes part until no pair of its ids is a token; in each round the leftmost pair of lowest rank of each
-        piece becomes one id, as if it were alone."""
+        In each round the leftmost pair of lowest rank of each piece becomes one id, as if it were alone, until no pair
+        of its ids is a token. A round makes a piece one id shorter, so pieces are taken by their number of ids, from the
+        longest down: those of one number are the columns of one array, and shorter ones join when their turn comes."""
         _, _, single = self._pair_table()
-        ids = single[np.frombuffer(b"".join(pieces), np.uint8)]
-        owner = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
-        place = np.arange(len(ids))
-        done_ids, done_place, done_owner = [], [], []
-        while len(ids):
-            rank = np.full(len(ids), _NONE)
-            same = np.flatnonzero(owner[:-1] == owner[1:])
-            rank[same] = self._pair_ranks(ids[same] << 32 | ids[same + 1])
-            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            best = np.minimum.reduceat(rank, first)
-            sizes = np.diff(np.append(first, len(ids)))
-            live = np.repeat(best != _NONE, sizes)
-            if not live.all():
-                done_ids.append(ids[~live])
-                done_place.append(place[~live])
-                done_owner.append(owner[~live])
-            hit = np.flatnonzero((rank == np.repeat(best, sizes)) & live)
-            hit = hit[np.concatenate([[True], owner[hit][1:] != owner[hit][:-1]])] if len(hit) else hit
-            ids = ids.copy()
-            ids[hit] = rank[hit]
-            live[hit + 1] = False
-            ids, owner, place = ids[live], owner[live], place[live]
-        if not done_ids:
-            return [b""] * len(pieces)
-        ids, place, owner = np.concatenate(done_ids), np.concatenate(done_place), np.concatenate(done_owner)
-        order = np.argsort(place)
-        raw = ids[order].astype("<u4").tobytes()
-        cut = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(pieces)))]) * 4
-        return [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        pairs = self._byte_pairs()
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        begins = np.cumsum(lengths) - lengths
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        order = np.argsort(lengths, kind="stable")
+        longest = int(lengths.max(initial=0))
+        groups = np.searchsorted(lengths[order], np.arange(longest + 2))
+        bits = longest.bit_length()
+        highest = max(self.ranks.values()) + 1
+        kind = np.int32 if (highest + 1) << bits < 1 << 31 else np.int64
+        none = highest << bits
+        single, pairs = single.astype(kind), np.where(pairs == _NONE, none, pairs << bits).astype(kind)
+        places = np.arange(longest, dtype=kind)[:, None]
+        who, ids, rank = np.zeros(0, np.int64), np.zeros((longest + 1, 0), kind), np.zeros((longest, 0), kind)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def ranks(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            found = self._pair_ranks(left.astype(np.int64) << 32 | right)
+            return np.where(found == _NONE, none, found << bits)
+
+        for n in range(longest, 0, -1):
+            ids, rank = ids[:n], rank[:n - 1]
+            fresh = order[groups[n]:groups[n + 1]]
+            if len(fresh):
+                raw = data[begins[fresh] + np.arange(n)[:, None]]
+                who = np.concatenate([who, fresh])
+                ids = np.concatenate([ids, single[raw]], axis=1)
+                rank = np.concatenate([rank, pairs[raw[:-1], raw[1:]]], axis=1)
+            if n == 1 or not len(who):
+                done.append((who, ids))
+                continue
+            best = (rank + places[:n - 1]).min(axis=0)
+            stay = best < none
+            if not stay.all():
+                done.append((who[~stay], ids[:, ~stay]))
+                stay = np.flatnonzero(stay)
+                who, ids, rank, best = who[stay], ids.take(stay, 1), rank.take(stay, 1), best[stay]
+            at, column = best & ((1 << bits) - 1), np.arange(len(best))
+            ids = np.where(places[:n - 1] <= at, ids[:-1], ids[1:])
+            ids[at, column] = best >> bits
+            rank = np.where(places[:n - 2] < at, rank[:-1], rank[1:])
+            left, right = np.flatnonzero(at > 0), np.flatnonzero(at < n - 2)
+            before, after = at[left] - 1, at[right]
+            rank[before, left] = ranks(ids[before, left], ids[before + 1, left])
+            rank[after, right] = ranks(ids[after, right], ids[after + 1, right])
+        sizes = np.zeros(len(pieces), np.int64)
+        for who, ids in done:
+            sizes[who] = len(ids)
+        stops = np.cumsum(sizes)
+        flat = np.zeros(int(sizes.sum()), "<u4")
+        for who, ids in done:
+            flat[(stops - sizes)[who] + np.arange(len(ids))[:, None]] = ids
+        raw = flat.tobytes()
+        return [raw[a:b] for a, b in zip(((stops - sizes) * 4).tolist(), (stops * 4).tolist())]
 
     def merge_long(self, piece: bytes) -> bytes:
         """Ids of one piece: lowest rank first, then leftmost, with a heap of pairs and links between neighbours."""
@@ -312,25 +346,39 @@ class Vocabulary:
         ends = np.searchsorted(at, ends_byte)
         start = token_starts(points, ends)
         places = np.flatnonzero(start)
-        begin = at[places].tolist()
-        pieces = [joined[a:b] for a, b in zip(begin, [*begin[1:], len(joined)])]
-        # The separator of each row is a piece of its own, the last one of the row.
-        cut = np.searchsorted(places, ends).tolist()
+        # The pieces follow each other without gaps. Each different one is looked up once.
+        bounds = np.append(at[places], len(joined)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(bounds), pa.py_buffer(joined)]).dictionary_encode()
+        codes, (named, begin) = pieces.indices.to_numpy(), utf8(pieces.dictionary)
+        named, begin = named.tobytes(), begin.tolist()
+        different = [named[a:b] for a, b in zip(begin[:-1], begin[1:])]
         if not self._cache or len(self._cache) > self.remembered:
             # What was remembered is only a speed-up: it starts anew from the vocabulary.
             self._base = self._base or {t: int(r).to_bytes(4, "little") for t, r in self.ranks.items()}
             self._cache = self._base.copy()
         found = self._cache
-        missing = list(set(pieces).difference(found))
+        parts = list(map(found.get, different))
+        missing = [k for k, part in enumerate(parts) if part is None]
         if missing:
-            short = [p for p in missing if len(p) <= LONG_PIECE]
+            short = [p for k in missing if len(p := different[k]) <= LONG_PIECE]
             found.update(zip(short, self.merge(short)))
-            found.update((p, self.merge_long(p)) for p in missing if len(p) > LONG_PIECE)
-        get = found.__getitem__
+            found.update((p, self.merge_long(p)) for k in missing if len(p := different[k]) > LONG_PIECE)
+            for k in missing:
+                parts[k] = found[different[k]]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
+        heads = np.cumsum(sizes) - sizes
+        # The separator of each row is a piece of its own, the last one of the row; its ids are left out.
+        cut = np.searchsorted(places, ends)
+        counts = sizes[codes]
+        counts[cut] = 0
+        stops = np.cumsum(counts)
+        source = np.repeat(heads[codes] - (stops - counts), counts)
+        source += np.arange(len(source))
+        ids = np.frombuffer(b"".join(parts), "<u4")[source].tobytes()
         out, a = [], 0
-        for b in cut:
-            out.append(b"".join(map(get, pieces[a:b])))
-            a = b + 1
+        for b in (stops[cut] * 4).tolist():
+            out.append(ids[a:b])
+            a = b
         return out
 
 
