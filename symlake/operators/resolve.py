@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from symlake import model as m
 from symlake.functions.descriptors import descriptors_match
 from symlake.functions.locators import build_locator, parse_fragment
-from symlake.functions.names import simple_name
+from symlake.functions.names import _col, simple_name
 from symlake.functions.patterns import scope_match
 from symlake.session import Scratch
 
@@ -138,21 +138,21 @@ def meets(ref_desc: str, decl_desc: str) -> Column:
     return F.when(F.col("_meet").startswith(_SAME), True).otherwise(descriptors_match(ref_desc, decl_desc))
 
 
-def _kind(type_name: str, descriptor: str) -> Column:
+def _kind(type_name, descriptor) -> Column:
     """Kind of a reference or declaration: its type known or not, its descriptor plain, with unknown types, or any."""
     d = F.coalesce(descriptor, F.lit(""))
-    return F.concat(F.when(F.col(type_name).startswith("*"), "unknown ").otherwise("known "),
+    return F.concat(F.when(_col(type_name).startswith("*"), "unknown ").otherwise("known "),
                     F.when(~_wild(d), "plain").when(_any_params(d), "any").otherwise("shaped"))
 
 
 _KINDS = [f"{t} {d}" for t in ("known", "unknown") for d in ("plain", "shaped", "any")]
 
 
-def save_with_kinds(scratch: Scratch, df: DataFrame, step: str, type_name: str, descriptor: str) -> tuple[DataFrame, set[str]]:
-    """``df`` written to ``scratch`` and read again, with the kinds of its rows, which are noted on the way."""
-    kind = _kind(type_name, descriptor)
-    saved, _, seen = scratch.save_noting(df, step, {k: F.max(kind == k) for k in _KINDS})
-    return saved, {k for k in _KINDS if seen[k]}
+def save_with_kinds(scratch: Scratch, df: DataFrame, step: str, type_name, descriptor) -> tuple[DataFrame, set[str], int]:
+    """``df`` written to ``scratch`` and read again, with the kinds of its rows and their number, noted on the way."""
+    bits = F.create_map(*[F.lit(x) for i, k in enumerate(_KINDS) for x in (k, 1 << i)])
+    saved, n, seen = scratch.save_noting(df, step, {"kinds": F.bit_or(F.try_element_at(bits, _kind(type_name, descriptor)))})
+    return saved, {k for i, k in enumerate(_KINDS) if (seen["kinds"] or 0) >> i & 1}, n
 
 
 def _meeting(ref_kinds: set[str], decl_kinds: set[str], wild_decls: bool) -> list[tuple[str, str]]:
@@ -177,14 +177,15 @@ _FULL, _BY_REF, _BY_DECL = "=", "*", "~"
 
 
 def wildcard_join(refs: DataFrame, decls: DataFrame, ref_kinds: set[str], decl_kinds: set[str], ref_type: str, decl_type: str,
-                  ref_name: str, decl_name: str, ref_desc: str, decl_desc: str, wild_decls: bool = True) -> DataFrame:
+                  ref_name: str, decl_name: str, ref_desc: str, decl_desc: str, wild_decls: bool = True, near: tuple[str, ...] = ()) -> DataFrame:
     """Inner join where type, name and descriptor match, wildcards on both sides, as one equi-join.
 
     A full name meets the same full name, an unknown reference every full name with its simple name, and a declaration
     without its package (``*/T``) whatever has its simple name. An exact descriptor meets the same descriptor, one with
     unknown types those of its shape, "any parameters" every method of the name. Each row is keyed by what it can meet
     among the kinds the other side holds, so marks that nothing answers to are never shuffled. The key is a hash;
-    type, name and descriptor are compared afterwards.
+    type, name and descriptor are compared afterwards. ``near`` names columns that are equal wherever rows can meet; both
+    sides dealt by them are keyed and joined where they are.
     """
     marks = _meeting(ref_kinds, decl_kinds, wild_decls)
     empty = F.lit("")
@@ -219,8 +220,9 @@ def wildcard_join(refs: DataFrame, decls: DataFrame, ref_kinds: set[str], decl_k
         if wild_decls:
             loose = loose | (dt.startswith("*") & scope_match(dt, ref_type))
         same_type = same_type.otherwise(loose)
-    return left.join(right, ["_mark", "_key"]).filter(
-        (F.col(ref_name) == F.col(decl_name)) & same_type & same_desc.otherwise(True)).drop("_mark", "_key")
+    # Compared in one expression, so that rows are sorted by numbers and not by the strings behind them.
+    return left.join(right, [*near, "_key", "_mark"]).filter(
+        F.when(F.col(ref_name) == F.col(decl_name), same_type & same_desc.otherwise(True))).drop("_mark", "_key")
 
 
 def member_match(refs: DataFrame, members: DataFrame, wild_refs: bool = True, wild_decls: bool = True) -> DataFrame:
@@ -241,44 +243,79 @@ def member_match(refs: DataFrame, members: DataFrame, wild_refs: bool = True, wi
             both = both.filter(meets("descriptor", "found_descriptor"))
         return both.select("type_name", "name", "descriptor", "found_type", "found_descriptor")
     scratch = Scratch(refs.sparkSession, "member-match")
-    wanted, ref_kinds = save_with_kinds(scratch, wanted.withColumn("_type", F.coalesce("type_name", F.lit(""))), "refs", "_type", "descriptor")
-    have, decl_kinds = save_with_kinds(scratch, have.withColumnRenamed("name", "_name"), "declared", "found_type", "found_descriptor")
+    wanted, ref_kinds, _ = save_with_kinds(scratch, wanted.withColumn("_type", F.coalesce("type_name", F.lit(""))), "refs", "_type", "descriptor")
+    have, decl_kinds, _ = save_with_kinds(scratch, have.withColumnRenamed("name", "_name"), "declared", "found_type", "found_descriptor")
     return wildcard_join(wanted, have, ref_kinds, decl_kinds, "_type", "found_type", "name", "_name", "descriptor", "found_descriptor",
                          wild_decls).select("type_name", "name", "descriptor", "found_type", "found_descriptor")
 
 
+# Rows that one task is meant to join, and the groups that rows are counted in to find out where more would come together.
+TASK_ROWS, _GROUPS = 500_000, 1 << 16
+
+
+def _group(near: str) -> Column:
+    return F.pmod(F.col(near), F.lit(_GROUPS))
+
+
+def crowded_groups(near: str, n: int, *sides: DataFrame) -> list[int]:
+    """Groups of ``near`` with more of the ``n`` rows of all sides than one task is meant to join."""
+    if n <= TASK_ROWS:
+        return []
+    counts = reduce(DataFrame.unionByName, [s.select(_group(near).alias("group")) for s in sides]).groupBy("group").count()
+    return [r["group"] for r in counts.filter(F.col("count") > max(TASK_ROWS, 10 * n // _GROUPS)).collect()]
+
+
 def match_fragment(declarations: DataFrame, fragments: DataFrame, wild_decls: bool = True) -> DataFrame:
     """``fragments(fragment)`` against ``declarations(type_name, name, descriptor, start, end)``.
 
     A bare type finds type declarations, ``*/T`` in any package; members compare descriptors with wildcards; a
     static initializer that is not declared falls back to its type.
+
+    Whatever meets has the same simple type name. Rows are dealt by it once, as they came, and made distinct, keyed and
+    joined where they are; rows of a type that came side by side stay so. Simple names with more rows than one task is
+    meant to join are keyed first and dealt by all that has to be equal.
     """
     # A bare type is a member without name and descriptor, so one join serves types, fields and methods.
     none = F.lit("")
     scratch = Scratch(declarations.sparkSession, "fragments")
-    f = fragments.select("fragment").distinct().withColumn("f", parse_fragment("fragment"))
-    f = f.filter(F.col("f.type").isNotNull()).select(
-        "fragment", F.col("f.type").alias("f_type"), F.coalesce("f.name", none).alias("f_name"),
-        F.coalesce("f.descriptor", none).alias("f_desc"))
-    f, ref_kinds = save_with_kinds(scratch, f, "fragments", "f_type", "f_desc")
     columns = ["type_name", "name", "descriptor", "start", "end"]
-    d, decl_kinds = save_with_kinds(scratch, declarations.select(
-        *columns, F.coalesce("name", none).alias("_name"), F.when(F.col("name").isNull(), none).otherwise(F.coalesce("descriptor", none)).alias("_desc")),
-        "declarations", "type_name", "_desc")
-
-    def found(refs: DataFrame, decls: DataFrame) -> DataFrame:
-        return wildcard_join(refs, decls, ref_kinds, decl_kinds, "f_type", "type_name", "f_name", "_name", "f_desc", "_desc", wild_decls)
-
-    # Only initializers are looked at together; everything else stays spread and is not moved again.
-    initializer = "<clinit>"
-    plain = found(f.filter(F.col("f_name") != initializer), d.filter(F.col("_name") != initializer)).select("fragment", *columns)
-    # A static initializer that is not declared is found at its type, so types stand in for it.
-    asked = f.filter(F.col("f_name") == initializer)
-    own = found(asked, d.filter(F.col("_name") == initializer)).select("fragment", *columns, (F.col("type_name") == F.col("f_type")).alias("_own"))
-    stand_in = asked.filter(F.col("f_desc") == "()V").join(
-        d.filter(F.col("name").isNull()).select(*columns), F.col("f_type") == F.col("type_name")).join(
-        own.filter("_own").select("fragment").distinct(), "fragment", "left_anti")
-    return plain.unionByName(own.select("fragment", *columns)).unionByName(stand_in.select("fragment", *columns))
+    parsed = parse_fragment("fragment")
+    f_columns = {"f_type": parsed["type"], "f_name": F.coalesce(parsed["name"], none), "f_desc": F.coalesce(parsed["descriptor"], none)}
+    d_columns = {"_name": F.coalesce("name", none), "_desc": F.when(F.col("name").isNull(), none).otherwise(F.coalesce("descriptor", none))}
+    f, ref_kinds, n_refs = save_with_kinds(
+        scratch, fragments.select("fragment").filter(parsed["type"].isNotNull()), "fragments", f_columns["f_type"], f_columns["f_desc"])
+    d, decl_kinds, n_decls = save_with_kinds(scratch, declarations.select(*columns), "declarations", "type_name", d_columns["_desc"])
+    f = f.withColumn("_near", F.xxhash64(simple_name(f_columns["f_type"])))
+    d = d.withColumn("_near", F.xxhash64(simple_name("type_name")))
+
+    def matched(f: DataFrame, d: DataFrame, *near: str) -> DataFrame:
+        f, d = f.withColumns(f_columns), d.withColumns(d_columns)
+
+        def found(refs: DataFrame, decls: DataFrame) -> DataFrame:
+            return wildcard_join(refs, decls, ref_kinds, decl_kinds, "f_type", "type_name", "f_name", "_name", "f_desc", "_desc", wild_decls, near)
+
+        # A static initializer that is not declared is found at its type, so types stand in for it. Only initializers are
+        # looked at together.
+        initializer = "<clinit>"
+        asked = f.filter(F.col("fragment").endswith(f"-{initializer}-()V") & (F.col("f_name") == initializer))
+        own = found(asked, d.filter(F.col("_name") == initializer)).filter(F.col("type_name") == F.col("f_type")).select(*near, "fragment").distinct()
+        types = d.filter(F.col("name").isNull()).select(*near, *columns, F.col("type_name").alias("f_type"))
+        stand_in = asked.select(*near, "fragment", "f_type").join(types, [*near, "f_type"]).join(own, [*near, "fragment"], "left_anti")
+        return found(f, d).select("fragment", *columns).unionByName(stand_in.select("fragment", *columns))
+
+    n = n_refs + n_decls
+    tasks = max(f.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        task = F.coalesce(F.pmod(F.col("_near"), F.lit(tasks)).cast("int"), F.lit(0))  # never null, so not checked for it
+        return df.withColumn("_task", task).repartitionById(tasks, "_task")
+
+    crowded = crowded_groups("_near", n, f, d)
+    if not crowded:
+        return matched(dealt(f).distinct(), dealt(d), "_near", "_task")
+    apart = _group("_near").isin(crowded)
+    return matched(dealt(f.filter(~apart)).distinct(), dealt(d.filter(~apart)), "_near", "_task").unionByName(
+        matched(f.filter(apart).drop("_near").distinct(), d.filter(apart).drop("_near")))
 
 
 def core_types(types: DataFrame, package: str = "java/lang") -> DataFrame:

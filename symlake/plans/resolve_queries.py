@@ -7,6 +7,7 @@ from symlake.operators import asof as A
 from symlake.operators import resolve as R
 from symlake.plans.fixtures import sub, table, view
 from symlake.plans.registry import query
+from symlake.session import Scratch
 
 
 def _part_decls(spark, sf):
@@ -108,7 +109,10 @@ SELECT f.fragment, d.type_name, d.name, d.descriptor, d.start, d."end" FROM f JO
   AND (f.fn IS NULL OR f.fd = d.descriptor OR (f.fd = '(*)?' AND d.descriptor LIKE '(%'))
 UNION ALL SELECT f.fragment, f.ft, NULL, NULL, 0, 1 FROM f WHERE f.fn = '<clinit>' AND f.fd = '()V'""")
 def match_fragment(spark, sf):
-    mem = view(spark, sf, "members").select("type_name", "name", "descriptor").distinct()
+    # Written once, the members of a type side by side.
+    mem, _ = Scratch(spark, "members").save(
+        view(spark, sf, "members").select("type_name", "name", "descriptor").repartition("type_name").distinct().sortWithinPartitions("type_name"),
+        "distinct")
     types = mem.select("type_name").distinct()
     decls = types.selectExpr("type_name", "cast(null AS string) AS name", "cast(null AS string) AS descriptor",
                              "0 AS start", "1 AS `end`").unionByName(

@@ -401,6 +401,59 @@ def test_only_marks_that_the_other_side_answers_are_joined(spark):
     assert exact.count() == 3
 
 
+def exchanges(df):
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x and "AdaptiveSparkPlan" not in x]
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+CROWD = [(f"p{i}/{t}", n, d) for i in range(30) for t, n, d in (
+    ("Main", None, None), ("Main", "run", "(I)V"), ("Main", "run", "(J)V"), (f"T{i}", None, None), (f"T{i}", "run", "(I)V"))] + [("p0/T0", "<clinit>", "()V")]
+ASKED = [("p1/Main", 1), ("*/Main", 30), ("p1/Main-run-(I)V", 1), ("*/Main-run-(*)?", 60), ("p1/Main-run-(?)V", 2), ("p2/T2", 1), ("*/T2-run-(*)?", 1),
+         ("p2/T2-run-(J)V", 0), ("p1/Main-<clinit>-()V", 1), ("p0/T0-<clinit>-()V", 1), ("p2/T2-<clinit>-()V", 1)]
+
+
+def crowd(spark):
+    decls = spark.createDataFrame([(*row, 0, i) for i, row in enumerate(CROWD)], "type_name string, name string, descriptor string, start int, end int")
+    # Asked twice, found once.
+    return decls, spark.createDataFrame([(f,) for f, _ in ASKED] * 2, "fragment string")
+
+
+def test_fragments_and_declarations_are_dealt_by_simple_name_only(spark, no_broadcast):
+    decls, frags = crowd(spark)
+    got = resolve.match_fragment(decls, frags)
+    assert exchanges(got) and all("direct_shuffle_partition_id(_task" in x for x in exchanges(got))
+    found = [r["fragment"] for r in got.collect()]
+    assert {f: found.count(f) for f, _ in ASKED} == dict(ASKED)
+
+
+def test_members_are_read_from_the_tables_once(spark, sf, monkeypatch):
+    from symlake.plans.registry import load
+    from symlake.session import Scratch
+
+    scans, save = [], Scratch.save_noting
+    monkeypatch.setattr(Scratch, "save_noting", lambda self, df, step, notes: (
+        scans.append("lineitem.parquet" in df._jdf.queryExecution().executedPlan().toString()), save(self, df, step, notes))[1])
+    load()[0]["match_fragment"](spark, sf)
+    assert scans.count(True) == 1
+
+
+def test_crowded_simple_names_are_spread(spark, monkeypatch, no_broadcast):
+    decls, frags = crowd(spark)
+    together = rows(resolve.match_fragment(decls, frags), "fragment", "type_name", "descriptor", "end")
+    monkeypatch.setattr(resolve, "TASK_ROWS", 60)
+    assert len(resolve.crowded_groups("n", 122, spark.range(61).selectExpr("7L AS n"), spark.range(61).selectExpr("id AS n"))) == 1
+    spread = resolve.match_fragment(decls, frags)
+    assert any("hashpartitioning(_key" in x for x in exchanges(spread)) and any("direct_shuffle_partition_id(_task" in x for x in exchanges(spread))
+    assert rows(spread, "fragment", "type_name", "descriptor", "end") == together
+
+
 def saved_rows(monkeypatch, run):
     """What ``run`` writes to scratch folders, as ``step -> rows``, and how often several steps are read back."""
     from symlake.session import Scratch
